@@ -36,7 +36,7 @@ def match_choice(text, choices, lower_first: bool = False) -> Column:
     cleaned text itself."""
     clean = py_strip_lower(remove_artefacts(text, lower_first))
     ch = F.col(choices) if isinstance(choices, str) else choices
-    hit = F.try_element_at(F.filter(ch, lambda c: F.locate(F.lower(c), clean) > 0), F.lit(1))
+    hit = F.try_element_at(F.filter(ch, lambda c: clean.contains(F.lower(c))), F.lit(1))
     return F.coalesce(F.lower(hit), clean)
 
 
