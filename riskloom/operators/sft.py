@@ -132,19 +132,21 @@ def inference_context(turns: DataFrame, conv: str, turn: str, role: str, text: s
                       tokenizer: Tokenizer = ws_token_ids) -> DataFrame:
     """All turns but the last, compact human template, EOS after non-human
     turns, no labels, truncated; conversations whose context holds no
-    ``Human`` text are skipped."""
-    last = turns.groupBy(conv).agg(F.max(turn).alias("_last"))
-    ctx = turns.join(last, conv).where(F.col(turn) < F.col("_last"))
+    ``Human`` text are skipped.  Both windows share one partitioning by
+    conversation (one shuffle)."""
+    by_conv = Window.partitionBy(conv)
+    human = is_human(F.col(role))
     rendered = render_turn(F.col(role), F.col(text), compact=True)
-    ctx = ctx.withColumn("_human", rendered.contains("Human"))
-    t = turn_tokens(ctx.withColumn(text, F.col(text)), conv, turn, role, text, tokenizer, compact=True, with_labels=False)
-    t = t.join(ctx.select(conv, turn, "_human"), [conv, turn])
-    w = Window.partitionBy(conv).orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
+    ids = tokenizer(rendered)
+    ids = F.when(human, ids).otherwise(F.concat(ids, F.array(F.lit(EOS_ID))))
+    t = turns.withColumn("_last", F.max(turn).over(by_conv)).where(F.col(turn) < F.col("_last"))
+    t = t.select(conv, turn, ids.alias("ids"), rendered.contains("Human").alias("_human")).withColumn("n", F.size("ids"))
+    w = by_conv.orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
     t = t.withColumn("_start", F.coalesce(F.sum("n").over(w), F.lit(0)))
     g = t.groupBy(conv).agg(F.max(F.col("_human").cast("int")).alias("_has_human"),
                            F.array_sort(F.collect_list(F.when(F.col("_start") < max_len, F.struct(F.col(turn).alias("t"), "ids")))).alias("_p"))
-    ids = F.slice(F.flatten(F.transform("_p", lambda x: x["ids"])), 1, max_len)
-    return g.where(F.col("_has_human") == 1).select(conv, ids.alias("input_ids"))
+    ids_all = F.slice(F.flatten(F.transform("_p", lambda x: x["ids"])), 1, max_len)
+    return g.where(F.col("_has_human") == 1).select(conv, ids_all.alias("input_ids"))
 
 
 def pack_blocks(docs: DataFrame, group: str, order: str, text: str, block: int, eos: bool = True,
@@ -181,7 +183,7 @@ def preference_rows(turns: DataFrame, conv: str, turn: str, role: str, text: str
     g = turns.groupBy(conv).agg(
         F.min_by(text, turn).alias("prompt"),
         F.max_by(text, turn).alias("rejected"),
-        F.max_by(F.when(F.col(turn) == 1, F.col(text)), F.when(F.col(turn) == 1, F.lit(1)).otherwise(F.lit(0))).alias("chosen"),
+        F.first(F.when(F.col(turn) == 1, F.col(text)), ignorenulls=True).alias("chosen"),
         F.count(F.lit(1)).alias("_n"),
     )
     return g.where(F.col("_n") >= 3).drop("_n")

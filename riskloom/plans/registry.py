@@ -50,4 +50,4 @@ def sql_hash(seed, key: str) -> str:
 
 def sql_ws_count(e: str) -> str:
     from ..functions.text import PY_WS_CLASS
-    return f"len(list_filter(string_split_regex({e}, {q(PY_WS_CLASS + '+')}), x -> x <> ''))"
+    return f"len(list_filter(string_split_regex({e}, {q(PY_WS_CLASS + '+')}), lambda x: x <> ''))"
