@@ -82,20 +82,37 @@ def range_cumsum(
     numeric (it defines the buckets); pass ``bounds=(lo, hi)`` when its range is
     known (e.g. a 32-bit hash) to skip the min/max subquery.
     ``inclusive=False`` sums only the rows strictly before.
+    ``value`` may be a dict ``{out_name: value}`` to compute several running
+    sums in the same pass (one shuffle).
     """
     by = list(by)
     order = list(order)
-    v = _c(value) if not isinstance(value, (int, float)) else F.lit(value)
+    values = value if isinstance(value, dict) else {out: value}
     b = _bucket_col(df, order[0], buckets, bounds)
-    t = df.withColumn("_rl_v", v).withColumn("_rl_b", b)
+    t = df.withColumn("_rl_b", b)
+    names = []
+    for i, (name, v) in enumerate(values.items()):
+        col = F.lit(v) if isinstance(v, (int, float)) else _c(v)
+        t = t.withColumn(f"_rl_v{i}", col)
+        names.append(name)
     frame_end = Window.currentRow if inclusive else -1
     local_w = Window.partitionBy(*by, "_rl_b").orderBy(*[_c(o) for o in order]).rowsBetween(Window.unboundedPreceding, frame_end)
-    local = t.withColumn("_rl_local", F.coalesce(F.sum("_rl_v").over(local_w), F.lit(0)))
-    totals = t.groupBy(*by, "_rl_b").agg(F.sum("_rl_v").alias("_rl_tot"))
     before = Window.partitionBy(*by).orderBy("_rl_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_rl_off", F.coalesce(F.sum("_rl_tot").over(before), F.lit(0))).drop("_rl_tot")
+    local = t
+    aggs, offs = [], []
+    for i in range(len(names)):
+        local = local.withColumn(f"_rl_l{i}", F.coalesce(F.sum(f"_rl_v{i}").over(local_w), F.lit(0)))
+        aggs.append(F.sum(f"_rl_v{i}").alias(f"_rl_t{i}"))
+    totals = t.groupBy(*by, "_rl_b").agg(*aggs)
+    for i in range(len(names)):
+        totals = totals.withColumn(f"_rl_o{i}", F.coalesce(F.sum(f"_rl_t{i}").over(before), F.lit(0)))
+        offs.append(f"_rl_o{i}")
+    offsets = totals.select(*by, "_rl_b", *offs)
     joined = _null_safe_join(local, offsets, [*by, "_rl_b"])
-    return joined.withColumn(out, F.col("_rl_off") + F.col("_rl_local")).drop("_rl_v", "_rl_b", "_rl_local", "_rl_off")
+    for i, name in enumerate(names):
+        joined = joined.withColumn(name, F.col(f"_rl_o{i}") + F.col(f"_rl_l{i}"))
+    drop = ["_rl_b"] + [f"_rl_{k}{i}" for i in range(len(names)) for k in ("v", "l", "o")]
+    return joined.drop(*drop)
 
 
 def global_rank(

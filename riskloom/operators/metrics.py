@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordering import global_rank, range_cumsum
+from ..functions.ordering import range_cumsum
 
 
 def confusion(truth: Column, pred: Column, positive) -> list[Column]:
@@ -77,11 +77,22 @@ def perplexity(df: DataFrame, loss: Column, by: Sequence[str] = ()) -> DataFrame
     return df.groupBy(*by).agg(F.avg(loss).alias("mean_loss"), F.exp(F.avg(loss)).alias("perplexity"))
 
 
-def running_mean(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str] = (), out: str = "running_mean") -> DataFrame:
-    """Incremental mean over an order (distributed prefix sums)."""
-    t = range_cumsum(df, value, order, by, out="_sum")
-    t = global_rank(t, order, by, out="_cnt")
-    return t.withColumn(out, F.col("_sum") / F.col("_cnt")).drop("_sum", "_cnt")
+def running_mean(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str] = (), out: str = "running_mean",
+                 scale: int | None = None, digits: int = 6) -> DataFrame:
+    """Incremental mean over an order (distributed prefix sums, one shuffle).
+
+    With ``scale`` (the number of decimals the values carry) the sums are
+    exact integers of ``10^-scale`` units and the mean is rounded half-up to
+    ``digits`` decimals with integer division, so the result does not depend
+    on the summation order (floating sums do, in the last bits)."""
+    if scale is None:
+        t = range_cumsum(df, {"_sum": F.col(value).cast("double"), "_cnt": F.lit(1).cast("long")}, order, by)
+        return t.withColumn(out, F.col("_sum") / F.col("_cnt")).drop("_sum", "_cnt")
+    units = F.round(F.col(value) * F.lit(10 ** scale)).cast("long")
+    t = range_cumsum(df, {"_sum": units, "_cnt": F.lit(1).cast("long")}, order, by)
+    mag = F.abs(F.col("_sum")) * F.lit(2 * 10 ** (digits - scale)) + F.col("_cnt")
+    t = t.withColumn("_mag", mag).withColumn("_q", F.expr("_mag div (2 * _cnt)") * F.signum("_sum").cast("long"))
+    return t.withColumn(out, F.col("_q") / F.lit(float(10 ** digits))).drop("_sum", "_cnt", "_mag", "_q")
 
 
 def block_mean(df: DataFrame, value: str, epoch: str, step: str, every: int) -> DataFrame:

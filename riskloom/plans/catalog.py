@@ -17,6 +17,7 @@ except ImportError:  # pragma: no cover
     pass
 try:
     from . import q_monitor  # noqa: F401
+    from . import q_text  # noqa: F401
 except ImportError:  # pragma: no cover
     pass
 
