@@ -1,8 +1,8 @@
 """Column builders for text rendering with Python-compatible semantics.
 
-All helpers return JVM-side Column expressions (whole-stage codegen), except
-``py_float_str`` which falls back to an Arrow ``pandas_udf`` only for numbers
-whose Java and Python spellings differ.
+All helpers are JVM-side Column expressions (whole-stage codegen, no Python
+worker): white space follows Python's ``str.isspace``; number text follows
+Python's ``repr(float)``.
 """
 
 from __future__ import annotations
@@ -12,13 +12,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The characters Python's str.strip()/str.isspace() treat as white
-# space, written as one regex class usable by both Java regex and RE2.
+# The characters Python's str.isspace() accepts (str.strip(),
+# str.split() use them).
+PY_WS_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+# The same set as one regex class usable by both Java regex and RE2.
 PY_WS_CLASS = (
     "[\\t\\n\\x{0b}\\x{0c}\\r\\x{1c}-\\x{1f} \\x{85}\\x{a0}\\x{1680}"
     "\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 )
 PY_STRIP_PATTERN = f"^{PY_WS_CLASS}+|{PY_WS_CLASS}+$"
+# White space outside the ASCII ``\s`` class shared by Java and RE2
+# ([ \t\n\f\r]); mapped to a blank before splitting on ``\s+``.
+EXTRA_WS_CHARS = "".join(c for c in PY_WS_CHARS if c not in " \t\n\x0c\r")
 
 
 def col(c) -> Column:
@@ -26,14 +35,25 @@ def col(c) -> Column:
 
 
 def py_strip(c) -> Column:
-    """Python ``str.strip()``: removes Unicode white space at both ends."""
-    return F.regexp_replace(col(c), PY_STRIP_PATTERN, "")
+    """Python ``str.strip()``: removes Unicode white space at both ends
+    (``trim`` with an explicit character set: linear in the trimmed part)."""
+    return F.btrim(col(c), F.lit(PY_WS_CHARS))
 
 
 def py_strip_lower(c) -> Column:
     return F.lower(py_strip(c))
 
 
+def ws_normalise(c) -> Column:
+    """Map non-ASCII white space to a blank (character translation)."""
+    return F.translate(col(c), EXTRA_WS_CHARS, " " * len(EXTRA_WS_CHARS))
+
+
+def ws_tokens(c) -> Column:
+    """White-space tokenisation with Python ``str.split()`` semantics."""
+    return F.filter(F.split(ws_normalise(c), r"\s+"), lambda t: t != "")
+
+
 def py_repr_str(c) -> Column:
     """Python ``repr(str)`` for printable text: single quotes unless the text
     holds a single quote and no double quote; backslash, quote and the common
@@ -54,18 +74,45 @@ def py_tuple2(a, b) -> Column:
     return F.concat(F.lit("("), py_repr_str(a), F.lit(", "), py_repr_str(b), F.lit(")"))
 
 
-@F.pandas_udf(T.StringType())
-def _py_repr_float(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: None if pd.isna(v) else repr(float(v)))
+_SCI = r"^(-?)([0-9])\.([0-9]+)E(-?[0-9]+)$"
 
 
 def py_float_str(c) -> Column:
-    """Python ``str(float)``.  Java's spelling equals Python's for 0 and for
-    1e-3 <= |x| < 1e7 (shortest round-trip digits, plain notation); only the
-    remaining values go through an Arrow-batched UDF."""
+    """Python ``str(float)`` / ``repr(float)`` from Java's spelling.
+
+    Both print the shortest round-trip digits; they differ only in layout:
+    Java switches to ``d.dddE<n>`` outside [1e-3, 1e7), Python to
+    ``d.ddde±XX`` outside [1e-4, 1e16).  The Java scientific form is re-laid
+    out with string functions, so no Python worker is involved."""
     x = col(c).cast("double")
-    plain = (x == 0) | ((F.abs(x) >= 1e-3) & (F.abs(x) < 1e7))
-    return F.when(x.isNull(), F.lit(None).cast("string")).when(plain, x.cast("string")).otherwise(_py_repr_float(x))
+    s = x.cast("string")
+    sign = F.regexp_extract(s, _SCI, 1)
+    d0 = F.regexp_extract(s, _SCI, 2)
+    frac = F.regexp_extract(s, _SCI, 3)
+    e = F.regexp_extract(s, _SCI, 4).cast("int")
+    digits = F.when(frac == "0", d0).otherwise(F.concat(d0, frac))
+    # plain layout for -4 <= e < 16
+    int_part = F.rpad(F.substring(digits, 1, e + 1), e + 1, F.lit("0"))
+    frac_part = F.substring(digits, e + 2, 400)
+    plain_pos = F.concat(sign, int_part, F.lit("."), F.when(frac_part == "", F.lit("0")).otherwise(frac_part))
+    plain_neg = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
+    mant = F.when(frac == "0", d0).otherwise(F.concat(d0, F.lit("."), frac))
+    sci = F.concat(sign, mant, F.lit("e"), F.when(e < 0, F.lit("-")).otherwise(F.lit("+")), 
+                 F.when(F.abs(e) < 10, F.concat(F.lit("0"), F.abs(e).cast("string"))).otherwise(F.abs(e).cast("string")))
+    relaid = F.when((e >= 0) & (e < 16), plain_pos).when((e < 0) & (e >= -4), plain_neg).otherwise(sci)
+    return (F.when(x.isNull(), F.lit(None).cast("string"))
+            .when(F.isnan(x), F.lit("nan"))
+            .when(x == float("inf"), F.lit("inf"))
+            .when(x == float("-inf"), F.lit("-inf"))
+            .when(~s.contains("E"), s)
+            .otherwise(relaid))
+
+
+@F.pandas_udf(T.StringType())
+def py_float_str_exact(s: pd.Series) -> pd.Series:
+    """Python's own ``repr`` in an Arrow-batched UDF — for callers that need
+    bit-exact parity on a JVM whose ``Double.toString`` is not shortest."""
+    return s.map(lambda v: None if pd.isna(v) else repr(float(v)))
 
 
 def py_str(c, kind: str) -> Column:
@@ -93,8 +140,3 @@ def py_str(c, kind: str) -> Column:
 def null_text(c, text: str = "nan") -> Column:
     """Never let a NULL swallow a whole ``concat``: render it as Python would."""
     return F.coalesce(col(c), F.lit(text))
-
-
-def ws_tokens(c) -> Column:
-    """White-space tokenisation (``str.split()``): no empty tokens."""
-    return F.filter(F.split(col(c), r"\s+"), lambda t: t != "")

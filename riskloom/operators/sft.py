@@ -20,18 +20,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordering import global_rank, range_cumsum
-from ..functions.text import PY_WS_CLASS
+from ..functions.text import ws_tokens
 from ..specs import HUMAN_TURN, HUMAN_TURN_COMPACT, IGNORE_INDEX
 
 PAD_ID, BOS_ID, EOS_ID = 0, 1, 2
 VOCAB = 32000
 
 
-def ws_tokens(text: Column) -> Column:
-    """``str.split()``: split on Python white space, no empty tokens."""
-    return F.filter(F.split(text, PY_WS_CLASS + "+"), lambda t: t != "")
-
-
 def ws_token_ids(text: Column, vocab: int = VOCAB) -> Column:
     return F.transform(ws_tokens(text), lambda t: (F.pmod(F.xxhash64(t), F.lit(vocab)) + 3).cast("int"))
 
@@ -156,23 +151,30 @@ def pack_blocks(docs: DataFrame, group: str, order: str, text: str, block: int,
 
     The remainder is dropped; with ``keep_short`` a stream shorter than one
     block is kept as one short block.  Document offsets are a distributed
-    prefix sum; tokens are exploded and regrouped by (group, block) so no
-    task ever holds more than one block per group."""
+    prefix sum; each document is cut into the pieces that fall into each
+    block it overlaps (``slice``), and the pieces are regrouped by
+    (group, block) — so the shuffle moves about one row per document and
+    block, and no task ever holds more than one block per group."""
     ids = tokenizer(F.col(text))
     if eos:
         ids = F.concat(ids, F.array(F.lit(EOS_ID)))
-    t = docs.select(group, order, ids.alias("_ids")).withColumn("_len", F.size("_ids"))
+    t = docs.select(group, order, ids.alias("_ids")).withColumn("_len", F.size("_ids")).where(F.col("_len") > 0)
     t = range_cumsum(t, "_len", [order], by=[group], out="_start", inclusive=False)
     totals = t.groupBy(group).agg(F.sum("_len").alias("_total"))
     full = F.floor(F.col("_total") / block)
-    limit = F.when(F.lit(keep_short) & (F.col("_total") < block) & (F.col("_total") > 0), F.lit(1)).otherwise(full)
-    tok = t.select(group, order, "_start", F.posexplode("_ids").alias("_pos", "_tok"))
-    tok = tok.withColumn("_g", F.col("_start") + F.col("_pos")).withColumn("_block", F.floor(F.col("_g") / block))
-    tok = tok.join(totals.select(group, limit.alias("_nblocks")), group).where(F.col("_block") < F.col("_nblocks"))
-    blocks = tok.groupBy(group, "_block").agg(
-        F.array_sort(F.collect_list(F.struct("_g", "_tok"))).alias("_s"),
+    limit = F.when(F.lit(keep_short) & (F.col("_total") < block), F.lit(1)).otherwise(full)
+    first_b = F.floor(F.col("_start") / block)
+    last_b = F.floor((F.col("_start") + F.col("_len") - 1) / block)
+    pieces = t.select(group, order, "_start", "_len", "_ids", F.explode(F.sequence(first_b, last_b)).alias("_block"))
+    lo = F.greatest(F.col("_block") * block, F.col("_start"))
+    hi = F.least((F.col("_block") + 1) * block, F.col("_start") + F.col("_len"))
+    pieces = pieces.select(group, order, "_block", lo.alias("_lo"),
+                           F.slice("_ids", (lo - F.col("_start") + 1).cast("int"), (hi - lo).cast("int")).alias("_piece"))
+    pieces = pieces.join(totals.select(group, limit.alias("_nblocks")), group).where(F.col("_block") < F.col("_nblocks"))
+    blocks = pieces.groupBy(group, "_block").agg(
+        F.array_sort(F.collect_list(F.struct("_lo", "_piece"))).alias("_s"),
         F.min(order).alias("first_doc"), F.max(order).alias("last_doc"))
-    ids_col = F.transform("_s", lambda x: x["_tok"])
+    ids_col = F.flatten(F.transform("_s", lambda x: x["_piece"]))
     return blocks.select(group, F.col("_block").cast("long").alias("block_no"), ids_col.alias("input_ids"),
                          ids_col.alias("labels"), "first_doc", "last_doc")
 

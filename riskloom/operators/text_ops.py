@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordering import global_rank
-from .sft import ws_tokens
+from ..functions.text import ws_tokens
 
 # The HTML cleaning pipeline (pattern, replacement), applied in order.
 HTML_STEPS = (

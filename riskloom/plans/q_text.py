@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import PY_WS_CLASS, py_strip
+from ..functions.text import py_strip
 from ..operators import text_ops as tx
-from .registry import T, q, query, sql_strip
+from .registry import T, q, query, sql_strip, sql_ws_tokens
 
 
 @query("union_all_files",
@@ -20,7 +20,7 @@ def union_all_files(spark, sf):
 
 def _words_sql(table: str, key: str) -> str:
     return (f"(SELECT piece, min({key} * 1000000 + p - 1) AS f FROM (SELECT {key}, unnest(l) AS piece, generate_subscripts(l, 1) AS p "
-            f"FROM (SELECT {key}, list_filter(string_split_regex(text, {q(PY_WS_CLASS + '+')}), lambda x: x <> '') AS l FROM {table})) "
+            f"FROM (SELECT {key}, {sql_ws_tokens('text')} AS l FROM {table})) "
             "GROUP BY piece)")
 
 

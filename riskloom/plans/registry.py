@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.text import PY_STRIP_PATTERN
+from ..functions.text import EXTRA_WS_CHARS, PY_WS_CHARS
 from ..sources.readers import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,13 +41,17 @@ def q(s: str) -> str:
 
 
 def sql_strip(e: str) -> str:
-    return f"regexp_replace({e}, {q(PY_STRIP_PATTERN)}, '', 'g')"
+    return f"trim({e}, {q(PY_WS_CHARS)})"
 
 
 def sql_hash(seed, key: str) -> str:
     return f"('0x' || substr(md5('{seed}:' || CAST({key} AS VARCHAR)), 1, 8))::BIGINT"
 
 
+def sql_ws_tokens(e: str) -> str:
+    norm = f"translate({e}, {q(EXTRA_WS_CHARS)}, {q(' ' * len(EXTRA_WS_CHARS))})"
+    return f"list_filter(string_split_regex({norm}, {q(chr(92) + 's+')}), lambda x: x <> '')"
+
+
 def sql_ws_count(e: str) -> str:
-    from ..functions.text import PY_WS_CLASS
-    return f"len(list_filter(string_split_regex({e}, {q(PY_WS_CLASS + '+')}), lambda x: x <> ''))"
+    return f"len({sql_ws_tokens(e)})"
