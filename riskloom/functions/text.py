@@ -74,7 +74,23 @@ def py_tuple2(a, b) -> Column:
     return F.concat(F.lit("("), py_repr_str(a), F.lit(", "), py_repr_str(b), F.lit(")"))
 
 
-_SCI = r"^(-?)([0-9])\.([0-9]+)E(-?[0-9]+)$"
+def _relayout_scientific(s: Column) -> Column:
+    """Java ``d.dddE<n>`` -> Python layout, as one linear chain of regex
+    rewrites (each sub-expression appears once, so the whole projection stays
+    in generated code): pad the fraction with zeros, move the decimal point
+    for the exponents Python prints plainly (-4 and 7..15), then trim zeros
+    and spell the remaining exponents ``e±XX``."""
+    t = F.regexp_replace(s, "E", "0000000000000000E")
+    for k in range(7, 16):
+        t = F.regexp_replace(t, rf"^(-?)([0-9])\.([0-9]{{{k}}})([0-9]*)E{k}$", "$1$2$3.$4")
+    t = F.regexp_replace(t, r"^(-?)([0-9])\.([0-9]*)E-4$", "$10.000$2$3")
+    t = F.regexp_replace(t, r"^([^E]*\.[0-9]*?)0+$", "$1")
+    t = F.regexp_replace(t, r"^([^E]*\.)$", "$10")
+    t = F.regexp_replace(t, r"\.?0+E", "E")
+    t = F.regexp_replace(t, r"E([0-9])$", "e+0$1")
+    t = F.regexp_replace(t, r"E([0-9][0-9]+)$", "e+$1")
+    t = F.regexp_replace(t, r"E-([0-9])$", "e-0$1")
+    return F.regexp_replace(t, r"E-([0-9][0-9]+)$", "e-$1")
 
 
 def py_float_str(c) -> Column:
@@ -82,30 +98,15 @@ def py_float_str(c) -> Column:
 
     Both print the shortest round-trip digits; they differ only in layout:
     Java switches to ``d.dddE<n>`` outside [1e-3, 1e7), Python to
-    ``d.ddde±XX`` outside [1e-4, 1e16).  The Java scientific form is re-laid
-    out with string functions, so no Python worker is involved."""
+    ``d.ddde±XX`` outside [1e-4, 1e16).  Only Java's scientific spellings are
+    rewritten; no Python worker is involved."""
     x = col(c).cast("double")
     s = x.cast("string")
-    sign = F.regexp_extract(s, _SCI, 1)
-    d0 = F.regexp_extract(s, _SCI, 2)
-    frac = F.regexp_extract(s, _SCI, 3)
-    e = F.regexp_extract(s, _SCI, 4).cast("int")
-    digits = F.when(frac == "0", d0).otherwise(F.concat(d0, frac))
-    # plain layout for -4 <= e < 16
-    int_part = F.rpad(F.substring(digits, 1, e + 1), e + 1, F.lit("0"))
-    frac_part = F.substring(digits, e + 2, 400)
-    plain_pos = F.concat(sign, int_part, F.lit("."), F.when(frac_part == "", F.lit("0")).otherwise(frac_part))
-    plain_neg = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
-    mant = F.when(frac == "0", d0).otherwise(F.concat(d0, F.lit("."), frac))
-    sci = F.concat(sign, mant, F.lit("e"), F.when(e < 0, F.lit("-")).otherwise(F.lit("+")), 
-                 F.when(F.abs(e) < 10, F.concat(F.lit("0"), F.abs(e).cast("string"))).otherwise(F.abs(e).cast("string")))
-    relaid = F.when((e >= 0) & (e < 16), plain_pos).when((e < 0) & (e >= -4), plain_neg).otherwise(sci)
-    return (F.when(x.isNull(), F.lit(None).cast("string"))
-            .when(F.isnan(x), F.lit("nan"))
+    return (F.when(F.isnan(x), F.lit("nan"))
             .when(x == float("inf"), F.lit("inf"))
             .when(x == float("-inf"), F.lit("-inf"))
-            .when(~s.contains("E"), s)
-            .otherwise(relaid))
+            .when(s.contains("E"), _relayout_scientific(s))
+            .otherwise(s))
 
 
 @F.pandas_udf(T.StringType())

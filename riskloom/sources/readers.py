@@ -12,9 +12,21 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table (one parquet file per table)."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, rebalance: bool = True) -> DataFrame:
+    """A driver table (one parquet file per table).
+
+    A scan yields one task per row group; a small table written as a single
+    row group would run every per-row step (rendering, tokenising, regexes)
+    in one task.  When the scan has fewer partitions than the cluster's
+    default parallelism, rows are hash-spread once on the table's key (its
+    first column; deterministic, no sort); on large inputs (more splits than
+    cores) this is a no-op."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if rebalance:
+        cores = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores, df.columns[0])
+    return df
 
 
 def positional_csv(spark: SparkSession, path, ddl: str, sep: str = ",", header: bool = False) -> DataFrame:
