@@ -43,16 +43,22 @@ def _c(c) -> Column:
 
 
 def _bucket_col(df: DataFrame, first: str, buckets: int, bounds: tuple | None) -> Column:
-    """Order-preserving bucket of the first order column."""
+    """Order-preserving bucket of the first order column.
+
+    Without known bounds the key range is read once (``min``/``max`` of the
+    key column: one small aggregate job returning two numbers, like the
+    sampling pass of a range partitioner) and baked into the plan as
+    literals."""
     x = F.col(first).cast("double")
-    if bounds is not None:
-        lo, hi = F.lit(float(bounds[0])), F.lit(float(bounds[1]))
-    else:
-        mm = df.agg(F.struct(F.min(F.col(first)).cast("double").alias("lo"),
-                             (F.max(F.col(first)).cast("double") + F.lit(1.0)).alias("hi")).alias("b")).scalar()
-        lo, hi = mm.getField("lo"), mm.getField("hi")
-    width = F.greatest(hi - lo, F.lit(1e-9))
-    return F.least(F.floor((x - lo) * F.lit(float(buckets)) / width), F.lit(buckets - 1)).cast("long")
+    if bounds is None:
+        k = F.col(first).cast("double")
+        row = df.agg(F.min(k).alias("lo"), F.max(k).alias("hi")).first()
+        lo_v = row["lo"] if row and row["lo"] is not None else 0.0
+        hi_v = (row["hi"] if row and row["hi"] is not None else 0.0) + 1.0
+        bounds = (lo_v, hi_v)
+    lo = F.lit(float(bounds[0]))
+    scale = F.lit(float(buckets) / max(float(bounds[1]) - float(bounds[0]), 1e-9))
+    return F.least(F.floor((x - lo) * scale), F.lit(buckets - 1)).cast("long")
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -74,6 +80,7 @@ def range_cumsum(
     inclusive: bool = True,
     buckets: int = DEFAULT_BUCKETS,
     bounds: tuple | None = None,
+    total_out: str | None = None,
 ) -> DataFrame:
     """Running sum of ``value`` in ``order`` inside ``by`` groups
     (``sum(value) over (partition by by order by order rows unbounded preceding)``).
@@ -83,7 +90,9 @@ def range_cumsum(
     known (e.g. a 32-bit hash) to skip the min/max subquery.
     ``inclusive=False`` sums only the rows strictly before.
     ``value`` may be a dict ``{out_name: value}`` to compute several running
-    sums in the same pass (one shuffle).
+    sums in the same pass (one shuffle).  ``total_out`` names an extra
+    column holding the group total of the first value (from the small
+    offsets table, no extra pass over the rows).
     """
     by = list(by)
     order = list(order)
@@ -95,22 +104,28 @@ def range_cumsum(
         col = F.lit(v) if isinstance(v, (int, float)) else _c(v)
         t = t.withColumn(f"_rl_v{i}", col)
         names.append(name)
-    frame_end = Window.currentRow if inclusive else -1
-    local_w = Window.partitionBy(*by, "_rl_b").orderBy(*[_c(o) for o in order]).rowsBetween(Window.unboundedPreceding, frame_end)
+    local_w = Window.partitionBy(*by, "_rl_b").orderBy(*[_c(o) for o in order]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy(*by).orderBy("_rl_b").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*by)
     local = t
     aggs, offs = [], []
     for i in range(len(names)):
         local = local.withColumn(f"_rl_l{i}", F.coalesce(F.sum(f"_rl_v{i}").over(local_w), F.lit(0)))
         aggs.append(F.sum(f"_rl_v{i}").alias(f"_rl_t{i}"))
+    # per-bucket totals: a partial (map-side) aggregate over the narrow value
+    # columns only, so this branch never carries the wide row
     totals = t.groupBy(*by, "_rl_b").agg(*aggs)
     for i in range(len(names)):
         totals = totals.withColumn(f"_rl_o{i}", F.coalesce(F.sum(f"_rl_t{i}").over(before), F.lit(0)))
         offs.append(f"_rl_o{i}")
+    if total_out:
+        totals = totals.withColumn(total_out, F.coalesce(F.sum("_rl_t0").over(whole), F.lit(0)))
+        offs.append(total_out)
     offsets = totals.select(*by, "_rl_b", *offs)
     joined = _null_safe_join(local, offsets, [*by, "_rl_b"])
     for i, name in enumerate(names):
-        joined = joined.withColumn(name, F.col(f"_rl_o{i}") + F.col(f"_rl_l{i}"))
+        own = F.lit(0) if inclusive else F.coalesce(F.col(f"_rl_v{i}"), F.lit(0))
+        joined = joined.withColumn(name, F.col(f"_rl_o{i}") + F.col(f"_rl_l{i}") - own)
     drop = ["_rl_b"] + [f"_rl_{k}{i}" for i in range(len(names)) for k in ("v", "l", "o")]
     return joined.drop(*drop)
 

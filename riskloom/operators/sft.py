@@ -49,7 +49,7 @@ def assemble_conversations(turns: DataFrame, conv: str, turn: str, role: str, te
     """Ordered turns -> ``conversations array<struct<from, value>>``;
     ``user`` is written as ``human``."""
     frm = F.when(F.lower(F.col(role)) == "user", F.lit("human")).otherwise(F.lower(F.col(role)))
-    g = turns.groupBy(conv).agg(F.array_sort(F.collect_list(F.struct(F.col(turn).alias("t"), frm.alias("from"), F.col(text).alias("value")))).alias("_turns"))
+    g = turns.groupBy(conv).agg(F.sort_array(F.collect_list(F.struct(F.col(turn).alias("t"), frm.alias("from"), F.col(text).alias("value")))).alias("_turns"))
     return g.select(conv, F.transform("_turns", lambda x: F.struct(x["from"].alias("from"), x["value"].alias("value"))).alias("conversations"))
 
 
@@ -90,7 +90,7 @@ def token_samples(turns: DataFrame, conv: str, turn: str, role: str, text: str,
     t = turn_tokens(turns, conv, turn, role, text, tokenizer)
     w = Window.partitionBy(conv).orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
     t = t.withColumn("_start", F.coalesce(F.sum("n").over(w), F.lit(0))).where(F.col("_start") < max_len)
-    g = t.groupBy(conv).agg(F.array_sort(F.collect_list(F.struct(F.col(turn).alias("t"), "ids", "labels"))).alias("_p"))
+    g = t.groupBy(conv).agg(F.sort_array(F.collect_list(F.struct(F.col(turn).alias("t"), "ids", "labels"))).alias("_p"))
     ids = F.slice(F.flatten(F.transform("_p", lambda x: x["ids"])), 1, max_len)
     labels = F.slice(F.flatten(F.transform("_p", lambda x: x["labels"])), 1, max_len)
     return g.select(conv, ids.alias("input_ids"), labels.alias("labels")).withColumn(
@@ -139,7 +139,7 @@ def inference_context(turns: DataFrame, conv: str, turn: str, role: str, text: s
     w = by_conv.orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
     t = t.withColumn("_start", F.coalesce(F.sum("n").over(w), F.lit(0)))
     g = t.groupBy(conv).agg(F.max(F.col("_human").cast("int")).alias("_has_human"),
-                           F.array_sort(F.collect_list(F.when(F.col("_start") < max_len, F.struct(F.col(turn).alias("t"), "ids")))).alias("_p"))
+                           F.sort_array(F.collect_list(F.when(F.col("_start") < max_len, F.struct(F.col(turn).alias("t"), "ids")))).alias("_p"))
     ids_all = F.slice(F.flatten(F.transform("_p", lambda x: x["ids"])), 1, max_len)
     return g.where(F.col("_has_human") == 1).select(conv, ids_all.alias("input_ids"))
 
@@ -158,21 +158,25 @@ def pack_blocks(docs: DataFrame, group: str, order: str, text: str, block: int,
     ids = tokenizer(F.col(text))
     if eos:
         ids = F.concat(ids, F.array(F.lit(EOS_ID)))
-    t = docs.select(group, order, ids.alias("_ids")).withColumn("_len", F.size("_ids")).where(F.col("_len") > 0)
-    t = range_cumsum(t, "_len", [order], by=[group], out="_start", inclusive=False)
-    totals = t.groupBy(group).agg(F.sum("_len").alias("_total"))
+    # the length is a token count (no id hashing) so the offsets branch stays cheap
+    n_tok = F.size(ws_tokens(F.col(text))) if tokenizer is ws_token_ids else F.size(tokenizer(F.col(text)))
+    length = n_tok + F.lit(1 if eos else 0)
+    t = docs.select(group, order, text, length.alias("_len")).where(F.col("_len") > 0)
+    t = range_cumsum(t, "_len", [order], by=[group], out="_start", inclusive=False, total_out="_total")
+    t = t.withColumn("_ids", ids).drop(text)
     full = F.floor(F.col("_total") / block)
     limit = F.when(F.lit(keep_short) & (F.col("_total") < block), F.lit(1)).otherwise(full)
     first_b = F.floor(F.col("_start") / block)
     last_b = F.floor((F.col("_start") + F.col("_len") - 1) / block)
-    pieces = t.select(group, order, "_start", "_len", "_ids", F.explode(F.sequence(first_b, last_b)).alias("_block"))
+    pieces = t.select(group, order, "_start", "_len", "_ids", limit.alias("_nblocks"),
+                      F.explode(F.sequence(first_b, last_b)).alias("_block"))
     lo = F.greatest(F.col("_block") * block, F.col("_start"))
     hi = F.least((F.col("_block") + 1) * block, F.col("_start") + F.col("_len"))
-    pieces = pieces.select(group, order, "_block", lo.alias("_lo"),
-                           F.slice("_ids", (lo - F.col("_start") + 1).cast("int"), (hi - lo).cast("int")).alias("_piece"))
-    pieces = pieces.join(totals.select(group, limit.alias("_nblocks")), group).where(F.col("_block") < F.col("_nblocks"))
+    pieces = pieces.where(F.col("_block") < F.col("_nblocks")).select(
+        group, order, "_block", lo.alias("_lo"),
+        F.slice("_ids", (lo - F.col("_start") + 1).cast("int"), (hi - lo).cast("int")).alias("_piece"))
     blocks = pieces.groupBy(group, "_block").agg(
-        F.array_sort(F.collect_list(F.struct("_lo", "_piece"))).alias("_s"),
+        F.sort_array(F.collect_list(F.struct("_lo", "_piece"))).alias("_s"),
         F.min(order).alias("first_doc"), F.max(order).alias("last_doc"))
     ids_col = F.flatten(F.transform("_s", lambda x: x["_piece"]))
     return blocks.select(group, F.col("_block").cast("long").alias("block_no"), ids_col.alias("input_ids"),
