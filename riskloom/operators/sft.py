@@ -69,13 +69,14 @@ def convert_instructions(df: DataFrame, order: Sequence[str], name: str, id_col:
 
 
 def turn_tokens(turns: DataFrame, conv: str, turn: str, role: str, text: str, tokenizer: Tokenizer = ws_token_ids,
-                compact: bool = False, eos_after_other: bool = True, with_labels: bool = True) -> DataFrame:
+                compact: bool = False, eos_after_other: bool = True, with_labels: bool = True,
+                eos_id: int = EOS_ID) -> DataFrame:
     """Per-turn ids and labels: human tokens masked with -100, other turns
     copied, EOS appended after every non-human turn (in both arrays)."""
     human = is_human(F.col(role))
     ids = tokenizer(render_turn(F.col(role), F.col(text), compact))
     if eos_after_other:
-        ids = F.when(human, ids).otherwise(F.concat(ids, F.array(F.lit(EOS_ID))))
+        ids = F.when(human, ids).otherwise(F.concat(ids, F.array(F.lit(eos_id))))
     t = turns.select(conv, turn, role, ids.alias("ids"))
     if with_labels:
         t = t.withColumn("labels", F.when(human, F.array_repeat(F.lit(IGNORE_INDEX), F.size("ids"))).otherwise(F.col("ids")))
@@ -83,11 +84,11 @@ def turn_tokens(turns: DataFrame, conv: str, turn: str, role: str, text: str, to
 
 
 def token_samples(turns: DataFrame, conv: str, turn: str, role: str, text: str, max_len: int,
-                  tokenizer: Tokenizer = ws_token_ids) -> DataFrame:
+                  tokenizer: Tokenizer = ws_token_ids, eos_id: int = EOS_ID) -> DataFrame:
     """Conversation -> ``input_ids, attention_mask, labels`` truncated to
     ``max_len``.  Turns starting at or beyond ``max_len`` never reach the
     collect."""
-    t = turn_tokens(turns, conv, turn, role, text, tokenizer)
+    t = turn_tokens(turns, conv, turn, role, text, tokenizer, eos_id=eos_id)
     w = Window.partitionBy(conv).orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
     t = t.withColumn("_start", F.coalesce(F.sum("n").over(w), F.lit(0))).where(F.col("_start") < max_len)
     g = t.groupBy(conv).agg(F.sort_array(F.collect_list(F.struct(F.col(turn).alias("t"), "ids", "labels"))).alias("_p"))
@@ -145,7 +146,7 @@ def inference_context(turns: DataFrame, conv: str, turn: str, role: str, text: s
 
 
 def pack_blocks(docs: DataFrame, group: str, order: str, text: str, block: int, eos: bool = True,
-                keep_short: bool = False, tokenizer: Tokenizer = ws_token_ids) -> DataFrame:
+                keep_short: bool = False, tokenizer: Tokenizer = ws_token_ids, eos_id: int = EOS_ID) -> DataFrame:
     """Concatenate the token streams of each group (docs in ``order``, EOS
     after each doc when ``eos``) and cut them into blocks of ``block`` tokens.
 
@@ -157,7 +158,7 @@ def pack_blocks(docs: DataFrame, group: str, order: str, text: str, block: int,
     block, and no task ever holds more than one block per group."""
     ids = tokenizer(F.col(text))
     if eos:
-        ids = F.concat(ids, F.array(F.lit(EOS_ID)))
+        ids = F.concat(ids, F.array(F.lit(eos_id)))
     # the length is a token count (no id hashing) so the offsets branch stays cheap
     n_tok = F.size(ws_tokens(F.col(text))) if tokenizer is ws_token_ids else F.size(tokenizer(F.col(text)))
     length = n_tok + F.lit(1 if eos else 0)

@@ -49,11 +49,16 @@ def jsonl(spark: SparkSession, path, ddl: str) -> DataFrame:
 
 
 def json_array(spark: SparkSession, path, ddl: str) -> DataFrame:
-    """A file holding one JSON array of objects; a non-list file is an error."""
-    df = spark.read.schema(ddl + ", _corrupt_record STRING").option("multiLine", True).json(path)
-    bad = df.where(F.col("_corrupt_record").isNotNull()).limit(1).count()
-    if bad:
+    """A file holding one JSON array of objects.  A file that is not a list
+    (first non-blank character is not ``[``) or does not parse is an error;
+    only one character per file reaches the driver."""
+    heads = spark.read.text(path, wholetext=True).select(F.substring(F.ltrim("value"), 1, 1).alias("c"))
+    if any(r.c != "[" for r in heads.collect()):
         raise ValueError(f"{path}: not a JSON list of records")
+    df = spark.read.schema(ddl + ", _corrupt_record STRING").option("multiLine", True).json(path)
+    first = df.columns[0]
+    if df.where(F.col("_corrupt_record").isNotNull()).select(first, "_corrupt_record").take(1):
+        raise ValueError(f"{path}: unparseable JSON records")
     return df.drop("_corrupt_record")
 
 
