@@ -41,14 +41,16 @@ def match_choice(text, choices, lower_first: bool = False) -> Column:
 
 
 def eval_records(df: DataFrame, id_col: str, prompt_col: str, response_col: str, answer_col: str,
-                 choices_col: str, model_name: Column | str = "unknown", parse: str = "clean") -> DataFrame:
+                 choices_col: str, model_name: Column | str = "unknown", parse: str = "clean",
+                 keep: Sequence[str] = ()) -> DataFrame:
     """Evaluation record per row.
 
     Missing response -> ``error='llm_response key not found'``; empty choices
     -> ``error='missing_choices'``; otherwise prediction (``logit_0``), trimmed
     lower-case truth, ``acc`` ``'1.0'/'0.0'``, ``missing`` ``'0'/'1'`` by
     membership in the lower-cased choice set and the ``(pred, truth)`` tuple
-    text for the external F1 / macro-F1 / MCC harness."""
+    text for the external F1 / macro-F1 / MCC harness.  ``keep`` carries
+    extra input columns (groups, labels) so later metrics need no join back."""
     resp = F.col(response_col)
     choices = F.col(choices_col)
     if parse == "clean":
@@ -77,6 +79,7 @@ def eval_records(df: DataFrame, id_col: str, prompt_col: str, response_col: str,
         F.when(ok, tup).alias("macro_f1"),
         F.when(ok, tup).alias("mcc"),
         error.alias("error"),
+        *keep,
     )
 
 

@@ -53,17 +53,16 @@ def eval_base(spark, sf):
     )
 
 
-def records(spark, sf):
+def records(spark, sf, keep=()):
     b = eval_base(spark, sf)
-    return rs.eval_records(b, "doc_id", "prompt_0", "llm_response", "answer", "choices", MODEL, parse="match")
+    return rs.eval_records(b, "doc_id", "prompt_0", "llm_response", "answer", "choices", MODEL, parse="match", keep=keep)
 
 
 def scored(spark, sf, policy="flip"):
-    """Records joined back to the truth with the reconstructed predicted label."""
-    b = eval_base(spark, sf).select("doc_id", "lang", "long_doc", "quality")
-    r = records(spark, sf).where(F.col("error").isNull()).select("doc_id", "logit_0", "truth", "acc", "missing")
-    j = b.join(r, "doc_id")
-    return j.withColumn("pred_label", rs.predicted_label("quality", "acc", 1, 0, "missing", policy))
+    """Records with the truth, the groups and the reconstructed predicted label
+    (columns carried through, no join back)."""
+    r = records(spark, sf, keep=("lang", "long_doc", "quality")).where(F.col("error").isNull())
+    return r.withColumn("pred_label", rs.predicted_label("quality", "acc", 1, 0, "missing", policy))
 
 
 # ------------------------------------------------------------------ SQL side
@@ -170,9 +169,7 @@ def _round_cols(df, cols):
        + f"{_r(_f1('tp', 'fp', 'fn'))} AS f1, {_r('(' + _f1('tp', 'fp', 'fn') + ' + ' + _f1('tn', 'fn', 'fp') + ') / 2')} AS macro_f1, "
        + f"{_r(_MCC)} AS mcc FROM c")
 def eval_summary(spark, sf):
-    r = records(spark, sf).where(F.col("error").isNull())
-    b = eval_base(spark, sf).select("doc_id", "lang")
-    j = r.join(b, "doc_id")
+    j = records(spark, sf, keep=("lang",)).where(F.col("error").isNull())
     m = me.binary_metrics(j, "truth", "logit_0", "good", by=["lang", "model_name"])
     extra = j.groupBy("lang").agg(F.avg(F.col("acc").cast("double")).alias("acc_mean"),
                                   F.avg(F.col("missing").cast("double")).alias("missing_rate"))
@@ -209,7 +206,7 @@ def metrics_binary(spark, sf):
 
 @query("confusion_by_group", "WITH " + _SQL_PARSED + ", c AS (" + _metric_sql("lang") + ") SELECT * FROM c")
 def confusion_by_group(spark, sf):
-    r = records(spark, sf).where(F.col("error").isNull()).join(eval_base(spark, sf).select("doc_id", "lang"), "doc_id")
+    r = records(spark, sf, keep=("lang",)).where(F.col("error").isNull())
     return me.confusion_by(r, "truth", "logit_0", "good", by=["lang"])
 
 
@@ -217,7 +214,7 @@ def confusion_by_group(spark, sf):
        "WITH " + _SQL_PARSED + ", c AS (" + _metric_sql("lang") + ") SELECT lang, tp+fp+fn+tn AS n, fp*5.0 + fn*1.0 AS total_cost, "
        + _r("CASE WHEN tp+fp+fn+tn = 0 THEN NULL ELSE (fp*5.0 + fn*1.0) / (tp+fp+fn+tn) END") + " AS mean_cost FROM c")
 def cost_weighted_error(spark, sf):
-    r = records(spark, sf).where(F.col("error").isNull()).join(eval_base(spark, sf).select("doc_id", "lang"), "doc_id")
+    r = records(spark, sf, keep=("lang",)).where(F.col("error").isNull())
     return _round_cols(me.cost_weighted_error(r, "truth", "logit_0", "good", 5.0, 1.0, by=["lang"]), ["mean_cost"])
 
 
@@ -322,8 +319,8 @@ def metrics_by_segment(spark, sf):
     resp = F.when(F.pmod("c_custkey", F.lit(13)) == 0, F.lit("good")).otherwise(
         F.concat(F.col("chat_query"), F.when(F.col("c_acctbal") > 2500, F.lit(" Good")).otherwise(F.lit(" Bad"))))
     r = p.select("c_custkey", "c_mktsegment", truth.alias("answer"), "choices", "chat_query", resp.alias("resp"))
-    rec = rs.eval_records(r, "c_custkey", "chat_query", "resp", "answer", "choices", MODEL, parse="clean")
-    rec = rec.join(p.select(F.col("c_custkey").alias("doc_id"), "c_mktsegment"), "doc_id")
+    rec = rs.eval_records(r, "c_custkey", "chat_query", "resp", "answer", "choices", MODEL, parse="clean",
+                          keep=("c_mktsegment",))
     m = me.binary_metrics(rec, "truth", "logit_0", "good", by=["c_mktsegment"])
     return _round_cols(m, ["accuracy", "f1", "macro_f1", "mcc"])
 
