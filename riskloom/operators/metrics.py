@@ -116,3 +116,35 @@ def topk(df: DataFrame, order: Sequence, k: int, by: Sequence[str] = (), out: st
     """Leaderboard: best ``k`` by metric (ties: earlier step first)."""
     w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= k)
+
+
+# Metric registry: name -> function(truth Column, pred Column, positive) ->
+# aggregate Column.  Callers pick metrics by name (the pluggable metric
+# callback of a training loop becomes a named aggregate).
+def _acc(t, p, pos):
+    return F.avg(F.when(t == p, 1.0).otherwise(0.0))
+
+
+def _f1(t, p, pos):
+    tp = F.count_if((t == pos) & (p == pos))
+    den = 2 * tp + F.count_if((t != pos) & (p == pos)) + F.count_if((t == pos) & ((p != pos) | p.isNull()))
+    return F.when(den == 0, F.lit(0.0)).otherwise(2.0 * tp / den)
+
+
+def _mcc(t, p, pos):
+    tp = F.count_if((t == pos) & (p == pos)).cast("double")
+    fp = F.count_if((t != pos) & (p == pos)).cast("double")
+    fn = F.count_if((t == pos) & ((p != pos) | p.isNull())).cast("double")
+    tn = F.count_if((t != pos) & ((p != pos) | p.isNull())).cast("double")
+    den = F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))
+    return F.when(den == 0, F.lit(0.0)).otherwise((tp * tn - fp * fn) / den)
+
+
+METRICS = {"accuracy": _acc, "f1": _f1, "mcc": _mcc}
+
+
+def evaluate(df: DataFrame, truth: str, pred: str, positive, names=("accuracy", "f1", "mcc"),
+             by: Sequence[str] = ()) -> DataFrame:
+    """Compute registered metrics by name in one aggregate."""
+    t, p, pos = F.col(truth), F.col(pred), F.lit(positive)
+    return df.groupBy(*by).agg(*[METRICS[n](t, p, pos).alias(n) for n in names])

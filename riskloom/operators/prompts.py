@@ -218,3 +218,9 @@ def json_answer(reason: Column, answer: Column) -> Column:
     def js(c):
         return F.regexp_replace(F.regexp_replace(F.to_json(F.array(c)), r"^\[", ""), r"\]$", "")
     return F.concat(F.lit('{"reason": '), js(reason), F.lit(', "answer": '), js(answer), F.lit("}"))
+
+
+def plain_eval_prompt(question: Column, candidates: Column) -> Column:
+    """Plain evaluation template: stripped question, newline-joined candidates."""
+    from ..functions.text import py_strip as _strip
+    return F.concat(_strip(question), F.lit("\n"), F.array_join(candidates, "\n"))

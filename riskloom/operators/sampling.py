@@ -179,3 +179,16 @@ def topk_per_group(df: DataFrame, group: Sequence[str], order: Sequence, k: int,
 def ratios_valid(ratios: Sequence[float]) -> bool:
     """Sanity check: ratios sum to 1 (driver side)."""
     return math.isclose(sum(ratios), 1.0, abs_tol=1e-9)
+
+
+def cached_split(spark, df: DataFrame, key: str, path: str, seed=10086, ratios=(0.7, 0.1),
+                 names=("train", "dev", "test")) -> DataFrame:
+    """Split assignment computed once and kept as Parquet under ``path``
+    (keyed by seed and ratios in the folder name), read back on later runs."""
+    tag = f"seed={seed}/ratios={'_'.join(str(r) for r in ratios)}"
+    target = f"{path.rstrip('/')}/{tag}"
+    try:
+        return spark.read.parquet(target)
+    except Exception:  # not written yet
+        split_exact(df.select(key), key, seed, ratios, names).write.mode("overwrite").parquet(target)
+        return spark.read.parquet(target)

@@ -157,3 +157,27 @@ def test_running_mean_exact_and_float(spark):
 def test_perplexity_overflow_is_infinite(spark):
     df = spark.createDataFrame([(1000.0,)], "loss double")
     assert me.perplexity(df, F.col("loss")).first().perplexity == float("inf")
+
+
+def test_metric_registry_matches_binary_metrics(cases):
+    r = me.evaluate(cases, "truth", "pred", "good").first()
+    b = me.binary_metrics(cases, "truth", "pred", "good").first()
+    assert r.accuracy == pytest.approx(b.accuracy) and r.f1 == pytest.approx(b.f1) and r.mcc == pytest.approx(b.mcc)
+
+
+def test_model_style_dispatch(spark):
+    from riskloom.operators import dispatch as dp
+    assert [dp.style_of(m) for m in ("Qwen2.5-7B", "DeepSeek-R1-Distill-Llama", "FinMA-7B", "llama-2")] == \
+        ["qwen", "distill", "finma", "generic"]
+    df = spark.createDataFrame([("x\n\nAssistant: <think>.</think> Good",)], "r string")
+    ch = F.array(F.lit("good"), F.lit("bad"))
+    got = df.select(dp.parse_response("qwen", F.col("r"), ch).alias("q"), dp.parse_response("generic", F.col("r"), ch).alias("g")).first()
+    assert got.q == "good" and got.g == "<think>.</think> good"
+
+
+def test_cached_split_is_reused(spark, tmp_path):
+    from riskloom.operators import sampling as sp
+    base = spark.range(200).withColumnRenamed("id", "k")
+    a = sp.cached_split(spark, base, "k", str(tmp_path / "splits"))
+    b = sp.cached_split(spark, base, "k", str(tmp_path / "splits"))
+    assert sorted(a.collect()) == sorted(b.collect()) and a.count() == 200
