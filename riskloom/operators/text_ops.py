@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordering import global_rank
+from ..session import checkpoint_dir
 from ..functions.text import ws_tokens
 
 # The HTML cleaning pipeline (pattern, replacement), applied in order.
@@ -51,10 +52,19 @@ def first_occurrence_words(df: DataFrame, key: str, text: str, stride: int = 1_0
     return w.groupBy("piece").agg(F.min(F.col(key).cast("long") * F.lit(stride) + F.col("_p")).alias("_first"))
 
 
-def vocab_merge(base: DataFrame, extra: DataFrame) -> DataFrame:
+def vocab_merge(base: DataFrame, extra: DataFrame, materialize: bool = True) -> DataFrame:
     """Pieces of ``base`` (first-occurrence order) followed by the pieces of
     ``extra`` not in ``base``, de-duplicated, in their own first-occurrence
-    order; positions re-numbered from 0.  Inputs: ``(piece, _first)``."""
+    order; positions re-numbered from 0.  Inputs: ``(piece, _first)``.
+
+    The vocabularies are read several times (key range, offsets, count,
+    ranks) and are far smaller than the corpus they come from, so they are
+    checkpointed once into the session's checkpoint folder (lineage cut,
+    survives executor loss) instead of re-exploding the corpus each time."""
+    if materialize:
+        checkpoint_dir(base.sparkSession)
+        base = base.checkpoint(eager=True)
+        extra = extra.checkpoint(eager=True)
     a = global_rank(base, ["_first", "piece"], out="_r").select("piece", (F.col("_r") - 1).alias("pos"))
     n_a = base.agg(F.count(F.lit(1))).scalar()
     b = extra.join(base.select("piece"), "piece", "left_anti")
