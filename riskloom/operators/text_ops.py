@@ -61,8 +61,7 @@ def vocab_merge(base: DataFrame, extra: DataFrame, materialize: bool = True) ->
     ranks) and are far smaller than the corpus they come from, so they are
     checkpointed once into the session's checkpoint folder (lineage cut,
     survives executor loss) instead of re-exploding the corpus each time."""
-    if materialize:
-        checkpoint_dir(base.sparkSession)
+    if materialize and checkpoint_dir(base.sparkSession):
         base = base.checkpoint(eager=True)
         extra = extra.checkpoint(eager=True)
     a = global_rank(base, ["_first", "piece"], out="_r").select("piece", (F.col("_r") - 1).alias("pos"))
