@@ -121,7 +121,7 @@ TRAVEL = DatasetSpec(
 
 
 def prompt_records(df: DataFrame, spec: DatasetSpec, add_debias: bool = False, add_counter_factual: bool = False,
-                   row_key: str | None = None) -> DataFrame:
+                   row_key: str | None = None, keep: tuple = ()) -> DataFrame:
     """Prompt record per row: ``text``, ``normal_query``, ``chat_query``,
     ``answer``, ``choices``, ``gold``, ``example``, ``task`` and bias notes
     (plus ``row_key`` when given).  Unknown labels fall into the negative
@@ -130,11 +130,10 @@ def prompt_records(df: DataFrame, spec: DatasetSpec, add_debias: bool = False, a
     out = pr.prompt_columns(df, text, spec.prompt, add_debias, add_counter_factual)
     answer, choices, gold = ft.answer_gold(spec.label_col, spec.positive_labels, spec.prompt.choices)
     out = out.withColumn("answer", answer).withColumn("gold", gold)
-    keep = [c for c in ("text", "normal_query", "chat_query", "answer", "choices", "gold", "example", "task",
-                        "debias_prompt", "counter_factual_prompt")]
-    if row_key:
-        keep = [row_key] + keep
-    return out.select(*keep)
+    keep_cols = ["text", "normal_query", "chat_query", "answer", "choices", "gold", "example", "task",
+                 "debias_prompt", "counter_factual_prompt"]
+    cols = ([row_key] if row_key else []) + list(keep) + keep_cols
+    return out.select(*cols)
 
 
 def german_groups(df: DataFrame) -> DataFrame:
@@ -144,3 +143,32 @@ def german_groups(df: DataFrame) -> DataFrame:
     return df.withColumn("gender_grp", ft.recode("c8", GERMAN_GENDER_RECODE)) \
         .withColumn("age_grp", ft.threshold_bucket("c12", GERMAN_AGE_THRESHOLD)) \
         .withColumn("foreign_grp", F.col("c19"))
+
+
+def prompt_dataset(df: DataFrame, spec: DatasetSpec, key: str, add_debias: bool = False,
+                   add_counter_factual: bool = False) -> DataFrame:
+    """Table -> prompt dataset in one lazy plan: exact seeded split
+    (``spec.split_ratios``), the German "test := test + dev" option, split-local
+    ids (0-based in key order) and the prompt record columns.  Write it with
+    ``sources.readers.write_jsonl(..., partition_by=["split"])``."""
+    from .operators import sampling as sp
+    ratios = spec.split_ratios[:2]
+    split = sp.split_exact(df, key, seed=spec.seed, ratios=ratios)
+    if spec.test_plus_dev:
+        split = split.unionByName(split.where(F.col("split") == "dev").withColumn("split", F.lit("test")))
+    split = sp.local_id(split, "split", [key])
+    return prompt_records(split, spec, add_debias, add_counter_factual, row_key=key, keep=("split", "id"))
+
+
+def bias_slices(df: DataFrame, groups: dict, order: list, n: int = 50) -> DataFrame:
+    """First ``n`` rows per group for several protected groupings (``{slice
+    name: group Column}``), tagged with the slice name; rows with no group
+    are dropped.  Each slice is a per-group limit applied before the shuffle."""
+    from .operators import sampling as sp
+    out = None
+    for name, grp in groups.items():
+        part = sp.group_head_n(df.withColumn("_slice_grp", grp), "_slice_grp", order, n) \
+            .withColumn("slice", F.lit(name)).withColumnRenamed("_slice_grp", "slice_group")
+        part = part.withColumn("slice_group", F.col("slice_group").cast("string"))
+        out = part if out is None else out.unionByName(part)
+    return out

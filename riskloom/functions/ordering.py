@@ -144,6 +144,26 @@ def global_rank(
     return r
 
 
+PREFIX_BYTES = 6
+
+
+def string_prefix_key(c) -> Column:
+    """Order-preserving integer of the first 6 UTF-8 bytes of a string
+    (Spark compares strings as UTF-8 bytes), in [0, 2^48): a numeric first
+    order column for ranking strings with the bucketed rank."""
+    s = F.col(c) if isinstance(c, str) else c
+    hexed = F.rpad(F.hex(F.substring(F.encode(s, "UTF-8"), 1, PREFIX_BYTES)), 2 * PREFIX_BYTES, "0")
+    return F.conv(hexed, 16, 10).cast("long")
+
+
+def string_rank(df: DataFrame, c: str, by: Sequence[str] = (), out: str = "rank",
+                buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """Rank rows by a string column (binary order, then the string itself)."""
+    t = df.withColumn("_rl_sp", string_prefix_key(c))
+    r = global_rank(t, ["_rl_sp", c], by, out=out, buckets=buckets, bounds=(0, 2 ** (8 * PREFIX_BYTES)))
+    return r.drop("_rl_sp")
+
+
 def hash_rank(df: DataFrame, seed, key: str, by: Sequence[str] = (), out: str = "rank",
               buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """Rank rows in seeded hash order (``hash_order(seed, key)``, then ``key``)."""

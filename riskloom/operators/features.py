@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -63,13 +63,15 @@ def label_encode(df: DataFrame, c: str, out: str, domain: Sequence | None = None
     """Sorted distinct values -> 0..k-1 (binary string order).
 
     With a fixed ``domain`` the codes are a literal map (data independent);
-    otherwise the domain is the distinct values of this table: a grouped
-    aggregate, ranked on the (categorical, small) distinct table and joined
-    back — AQE broadcasts it after checking its runtime size."""
+    otherwise the domain is the distinct values of this table (a grouped
+    aggregate), ranked with the bucketed string rank (no single-task window,
+    any cardinality) and joined back — AQE broadcasts the code table when its
+    measured size is small."""
     if domain is not None:
         return df.withColumn(out, recode(c, {v: i for i, v in enumerate(sorted(domain))}))
+    from ..functions.ordering import string_rank
     codes = df.select(c).where(F.col(c).isNotNull()).distinct()
-    codes = codes.withColumn(out, (F.row_number().over(Window.orderBy(c)) - 1).cast("int"))
+    codes = string_rank(codes, c, out="_code").select(c, (F.col("_code") - 1).cast("int").alias(out))
     return df.join(codes, c, "left")
 
 

@@ -53,3 +53,48 @@ def test_unknown_code_raises(spark):
     row[0] = "A19"
     with pytest.raises(Exception, match="unknown code"):
         prompt_records(spark.createDataFrame([tuple(row)], GERMAN_DDL), GERMAN).collect()
+
+
+def _german_rows(n):
+    import random
+    rnd = random.Random(5)
+    rows = []
+    for i in range(n):
+        row = list(GERMAN_ROW1)
+        row[8] = rnd.choice(["A91", "A92", "A93", "A94"])
+        row[12] = rnd.randint(19, 75)
+        row[19] = "A201" if rnd.random() < 0.95 else "A202"
+        row[20] = 1 if rnd.random() < 0.7 else 2
+        rows.append(tuple(row) + (i,))
+    return rows
+
+
+def test_prompt_dataset_german_sizes(spark):
+    from pyspark.sql import functions as F
+    from riskloom.datasets import prompt_dataset
+    df = spark.createDataFrame(_german_rows(1000), GERMAN_DDL + ", row_key LONG")
+    ds = prompt_dataset(df, GERMAN, "row_key")
+    sizes = {r.split: r.n for r in ds.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert sizes == {"train": 700, "dev": 100, "test": 300}
+    ids = {r.split: (r.lo, r.hi) for r in ds.groupBy("split").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).collect()}
+    assert ids == {"train": (0, 699), "dev": (0, 99), "test": (0, 299)}
+
+
+def test_bias_slices_first_n_per_group(spark):
+    from pyspark.sql import functions as F
+    from riskloom.datasets import bias_slices, german_groups
+    rows = _german_rows(300)
+    df = german_groups(spark.createDataFrame(rows, GERMAN_DDL + ", row_key LONG"))
+    sl = bias_slices(df, {"gender": F.col("gender_grp"), "age": F.col("age_grp"), "foreign": F.col("foreign_grp")}, ["row_key"], 50)
+    got = {}
+    for r in sl.collect():
+        got.setdefault((r.slice, r.slice_group), []).append(r.row_key)
+    recode = {"A91": 0, "A92": 1, "A93": 0, "A94": 0, "A95": 1}
+    exp_gender = {}
+    for r in rows:
+        exp_gender.setdefault(str(recode[r[8]]), []).append(r[21])
+    for g, keys in exp_gender.items():
+        assert sorted(got[("gender", g)]) == keys[:50]
+    foreign = [r[21] for r in rows if r[19] == "A202"]
+    assert sorted(got[("foreign", "A202")]) == foreign[:50]
+    assert len(got[("age", "<= 45")]) == 50

@@ -86,3 +86,11 @@ def test_range_cumsum_with_null_groups(spark):
                 acc += i
                 exp[i] = acc
     assert got == exp
+
+
+def test_string_rank_is_binary_order(spark):
+    from riskloom.functions.ordering import string_rank
+    words = ["b", "a", "aa", "a\x00", "Z", "é", "ab", "abcdefgh", "abcdefg", "abcdefgi", ""]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    got = [r.w for r in string_rank(df, "w", buckets=3).orderBy("rank").collect()]
+    assert got == sorted(words, key=lambda x: x.encode("utf-8"))
