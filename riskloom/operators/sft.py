@@ -83,12 +83,23 @@ def turn_tokens(turns: DataFrame, conv: str, turn: str, role: str, text: str, to
     return t.withColumn("n", F.size("ids"))
 
 
+def first_turns(turns: DataFrame, conv: str, turn: str, n: int) -> DataFrame:
+    """The first ``n`` turns of every conversation (``row_number() <= n``,
+    which Spark evaluates as a group limit before the shuffle)."""
+    w = Window.partitionBy(conv).orderBy(turn)
+    return turns.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+
+
 def token_samples(turns: DataFrame, conv: str, turn: str, role: str, text: str, max_len: int,
                   tokenizer: Tokenizer = ws_token_ids, eos_id: int = EOS_ID) -> DataFrame:
     """Conversation -> ``input_ids, attention_mask, labels`` truncated to
     ``max_len``.  Turns starting at or beyond ``max_len`` never reach the
     collect."""
-    t = turn_tokens(turns, conv, turn, role, text, tokenizer, eos_id=eos_id)
+    # every rendered turn has at least one token, so only the first max_len
+    # turns of a conversation can start before max_len: a per-conversation
+    # row limit (applied before the shuffle) bounds even a huge conversation
+    t = first_turns(turns, conv, turn, max_len)
+    t = turn_tokens(t, conv, turn, role, text, tokenizer, eos_id=eos_id)
     w = Window.partitionBy(conv).orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
     t = t.withColumn("_start", F.coalesce(F.sum("n").over(w), F.lit(0))).where(F.col("_start") < max_len)
     g = t.groupBy(conv).agg(F.sort_array(F.collect_list(F.struct(F.col(turn).alias("t"), "ids", "labels"))).alias("_p"))
@@ -128,14 +139,15 @@ def inference_context(turns: DataFrame, conv: str, turn: str, role: str, text: s
                       tokenizer: Tokenizer = ws_token_ids) -> DataFrame:
     """All turns but the last, compact human template, EOS after non-human
     turns, no labels, truncated; conversations whose context holds no
-    ``Human`` text are skipped.  Both windows share one partitioning by
-    conversation (one shuffle)."""
+    ``Human`` text are skipped.  The last turn comes from a partial aggregate;
+    only the first ``max_len`` turns per conversation enter the window."""
     by_conv = Window.partitionBy(conv)
     human = is_human(F.col(role))
     rendered = render_turn(F.col(role), F.col(text), compact=True)
     ids = tokenizer(rendered)
     ids = F.when(human, ids).otherwise(F.concat(ids, F.array(F.lit(EOS_ID))))
-    t = turns.withColumn("_last", F.max(turn).over(by_conv)).where(F.col(turn) < F.col("_last"))
+    last = turns.groupBy(conv).agg(F.max(turn).alias("_last"))
+    t = first_turns(turns, conv, turn, max_len).join(last, conv).where(F.col(turn) < F.col("_last"))
     t = t.select(conv, turn, ids.alias("ids"), rendered.contains("Human").alias("_human")).withColumn("n", F.size("ids"))
     w = by_conv.orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
     t = t.withColumn("_start", F.coalesce(F.sum("n").over(w), F.lit(0)))
