@@ -211,7 +211,7 @@ def confusion_by_group(spark, sf):
 
 
 @query("cost_weighted_error",
-       "WITH " + _SQL_PARSED + ", c AS (" + _metric_sql("lang") + ") SELECT lang, tp+fp+fn+tn AS n, fp*5.0 + fn*1.0 AS total_cost, "
+       "WITH " + _SQL_PARSED + ", c AS (" + _metric_sql("lang") + ") SELECT lang, tp+fp+fn+tn AS n, CAST(fp*5.0 + fn*1.0 AS DOUBLE) AS total_cost, "
        + _r("CASE WHEN tp+fp+fn+tn = 0 THEN NULL ELSE (fp*5.0 + fn*1.0) / (tp+fp+fn+tn) END") + " AS mean_cost FROM c")
 def cost_weighted_error(spark, sf):
     r = records(spark, sf, keep=("lang",)).where(F.col("error").isNull())

@@ -10,8 +10,8 @@ from .registry import T, q, query, sql_strip, sql_ws_tokens
 
 
 @query("union_all_files",
-       "SELECT 'documents' AS origin, 0 AS file_no, doc_id AS id, length(text) AS text_len FROM documents UNION ALL "
-       "SELECT 'benchmark', 1, item_id, length(text) FROM benchmark")
+       "SELECT 'documents' AS origin, 0 AS file_no, doc_id AS id, CAST(length(text) AS INTEGER) AS text_len FROM documents UNION ALL "
+       "SELECT 'benchmark', 1, item_id, CAST(length(text) AS INTEGER) FROM benchmark")
 def union_all_files(spark, sf):
     d = T(spark, sf, "documents").select(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), F.length("text").alias("text_len"))
     b = T(spark, sf, "benchmark").select(F.lit("benchmark").alias("origin"), F.col("item_id").alias("id"), F.length("text").alias("text_len"))
