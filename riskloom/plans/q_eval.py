@@ -170,10 +170,15 @@ def _round_cols(df, cols):
        + f"{_r(_MCC)} AS mcc FROM c")
 def eval_summary(spark, sf):
     j = records(spark, sf, keep=("lang",)).where(F.col("error").isNull())
-    m = me.binary_metrics(j, "truth", "logit_0", "good", by=["lang", "model_name"])
-    extra = j.groupBy("lang").agg(F.avg(F.col("acc").cast("double")).alias("acc_mean"),
-                                  F.avg(F.col("missing").cast("double")).alias("missing_rate"))
-    out = m.join(extra, "lang").select("lang", "model_name", "n", "acc_mean", "missing_rate", "f1", "macro_f1", "mcc")
+    t, p, pos = F.col("truth"), F.col("logit_0"), F.lit("good")
+    # one grouped aggregate: confusion counts and the per-record flag means
+    g = j.groupBy("lang", "model_name").agg(
+        *me.confusion(t, p, pos),
+        F.avg(F.col("acc").cast("double")).alias("acc_mean"),
+        F.avg(F.col("missing").cast("double")).alias("missing_rate"))
+    n = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
+    out = g.select("lang", "model_name", n.alias("n"), "acc_mean", "missing_rate", me.f1_expr().alias("f1"),
+                   ((me.f1_expr() + me.f1_expr("tn", "fn", "fp")) / 2).alias("macro_f1"), me.mcc_expr().alias("mcc"))
     return _round_cols(out, ["acc_mean", "missing_rate", "f1", "macro_f1", "mcc"])
 
 
