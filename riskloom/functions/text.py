@@ -132,9 +132,16 @@ def py_str(c, kind: str) -> Column:
     if kind.startswith("fixed"):
         return F.format_string(f"%.{int(kind[5:])}f", x.cast("double"))
     if kind.startswith("short"):
-        k, n = kind[5:].split("_fixed")
+        k, n = int(kind[5:].split("_fixed")[0]), int(kind.split("_fixed")[1])
+        fixed = F.format_string(f"%.{n}f", x.cast("double"))
+        if k < 5:
+            # every spelling where Java and Python differ (scientific forms,
+            # 1e-4 <= |x| < 1e-3, |x| >= 1e7) is at least 5 characters long in
+            # Python, so a short Java spelling without an exponent is Python's
+            js = x.cast("double").cast("string")
+            return F.when((F.length(js) <= k) & ~js.contains("E"), js).otherwise(fixed)
         s = py_float_str(x)
-        return F.when(F.length(s) <= int(k), s).otherwise(F.format_string(f"%.{int(n)}f", x.cast("double")))
+        return F.when(F.length(s) <= k, s).otherwise(fixed)
     raise ValueError(f"unknown render kind {kind!r}")
 
 

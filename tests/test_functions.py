@@ -94,3 +94,11 @@ def test_string_rank_is_binary_order(spark):
     df = spark.createDataFrame([(w,) for w in words], "w string")
     got = [r.w for r in string_rank(df, "w", buckets=3).orderBy("rank").collect()]
     assert got == sorted(words, key=lambda x: x.encode("utf-8"))
+
+
+def test_short_kind_matches_python(spark):
+    from riskloom.functions.text import py_str
+    vals = [0.05, 23.0, 1.5, 100.0, 0.0005, 1e-05, 1e16, 12345678.9, 68423.46, 0.1, -1.0, -0.5, 7.0]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = [r[0] for r in df.select(py_str("x", "short4_fixed2")).collect()]
+    assert got == [str(v) if len(str(v)) <= 4 else f"{v:.2f}" for v in vals]
