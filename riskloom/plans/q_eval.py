@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import py_strip_lower
 from ..operators import fairness as fa
 from ..operators import metrics as me
 from ..operators import responses as rs
@@ -329,5 +328,3 @@ def metrics_by_segment(spark, sf):
     m = me.binary_metrics(rec, "truth", "logit_0", "good", by=["c_mktsegment"])
     return _round_cols(m, ["accuracy", "f1", "macro_f1", "mcc"])
 
-
-__all__ = ["eval_base", "records", "scored", "py_strip_lower"]

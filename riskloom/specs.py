@@ -17,8 +17,8 @@ class FieldSpec:
     kind: ``int`` | ``float`` | ``str`` | ``fixed<n>`` | ``short<k>_fixed<n>``
     (see ``functions.text.py_str``).  ``codebook`` maps raw codes to phrases
     (strict: unknown code raises).  ``suffix`` is appended after the value
-    (e.g. ``%``).  ``decode`` is ``(value_when_true, test_value, text_true,
-    text_false)`` for prose decodes such as gender.
+    (e.g. ``%``).  ``decode`` is ``(test_value, text_when_equal,
+    text_otherwise)`` for prose decodes such as gender (compared as text).
     """
 
     col: str
@@ -139,35 +139,6 @@ GERMAN_PROMPT = PromptSpec(
     ),
 )
 
-# German code book (feature column -> code -> phrase), the
-# features used by the golden test; the remaining coded features follow the
-# same layout.
-GERMAN_CODEBOOK_0 = {
-    "A11": "smaller than 0 DM",
-    "A12": "bigger than 0 DM but smaller than 200 DM",
-    "A13": "bigger than 200 DM OR salary assignments for at least 1 year",
-    "A14": "no checking account",
-}
-GERMAN_CODEBOOK_2 = {
-    "A30": "no credits taken or all credits paid back duly",
-    "A31": "all credits at this bank paid back duly",
-    "A32": "existing credits paid back duly till now",
-    "A33": "delay in paying off in the past",
-    "A34": "critical account or other credits existing (not at this bank)",
-}
-GERMAN_CODEBOOK_3 = {
-    "A40": "car (new)",
-    "A41": "car (used)",
-    "A42": "furniture or equipment",
-    "A43": "radio or television",
-    "A44": "domestic appliances",
-    "A45": "repairs",
-    "A46": "education",
-    "A47": "vacation",
-    "A48": "retraining",
-    "A49": "business",
-    "A410": "others",
-}
 # German protected-group recodes.
 GERMAN_GENDER_RECODE = {"A91": 0, "A92": 1, "A93": 0, "A94": 0, "A95": 1}
 GERMAN_AGE_THRESHOLD = 45
