@@ -172,3 +172,71 @@ def bias_slices(df: DataFrame, groups: dict, order: list, n: int = 50) -> DataFr
         part = part.withColumn("slice_group", F.col("slice_group").cast("string"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+# Australian credit: attribute names are the rule "A1".."A14"; the first,
+# fourth to sixth and eighth to fourteenth attributes are integers.
+_AUS_FLOATS = (2, 3, 7)
+AUSTRALIAN_DDL = ", ".join(f"A{i} {'DOUBLE' if i in _AUS_FLOATS else 'INT'}" for i in range(1, 15)) + ", label INT"
+# Australian prompt text.
+AUSTRALIAN = DatasetSpec(
+    name="australian",
+    fields=tuple(FieldSpec(f"A{i}", f"A{i}", "float" if i in _AUS_FLOATS else "int") for i in range(1, 15)),
+    label_col="label",
+    positive_labels=(1,),
+    render=RenderSpec(template=" {name}: {value}", sep=",", end=".", prefix="The client has attributes:"),
+    prompt=PromptSpec(
+        instruction=("Assess the creditworthiness of a customer using the following table attributes for financial "
+                     "status. Respond with either 'good' or 'bad'. And all the table attribute names including 8 "
+                     "categorical attributes and 6 numerical attributes and values have been changed to meaningless "
+                     "symbols to protect confidentiality of the data. For instance, 'The client has attributes: A1: 0, "
+                     "A2: 21.67, A3: 11.5, A4: 1, A5: 5, A6: 3, A7: 0, A8: 1, A9: 1, A10: 11, A11: 1, A12: 2, A13: 0, "
+                     "A14: 1.', should be classified as 'good'."),
+        choices=("good", "bad"), quote_text=False, answer_cue=" \n Answer:"),
+)
+
+# Lending Club columns (in order) and display names.
+LENDING_COLUMNS = ("installment", "purpose", "application_type", "int_rate", "last_pymnt_amnt", "loan_amnt",
+                   "revol_bal", "delinq_2yrs", "inq_last_6mths", "mort_acc", "grade", "open_acc", "revol_util",
+                   "total_acc", "fico_range_low", "fico_range_high", "addr_state", "emp_length", "home_ownership",
+                   "verification_status", "annual_inc")
+LENDING_NAMES = ("Installment", "Loan Purpose", "Loan Application Type", "Interest Rate", "Last Payment Amount",
+                 "Loan Amount", "Revolving Balance", "Delinquency In 2 years", "Inquiries In 6 Months",
+                 "Mortgage Accounts", "Grade", "Open Accounts", "Revolving Utilization Rate", "Total Accounts",
+                 "Fico Range Low", "Fico Range High", "Address State", "Employment Length", "Home Ownership",
+                 "Verification Status", "Annual Income")
+_LENDING_STRINGS = {"purpose", "application_type", "grade", "addr_state", "emp_length", "home_ownership",
+                    "verification_status"}
+LENDING_DDL = ", ".join(f"{c} {'STRING' if c in _LENDING_STRINGS else 'DOUBLE'}" for c in LENDING_COLUMNS) + ", loan_status STRING"
+LENDING = DatasetSpec(
+    name="lending",
+    fields=tuple(FieldSpec(c, n, "str" if c in _LENDING_STRINGS else "float", suffix="%" if i in (3, 12) else "",
+                           null_as="nan")
+                 for i, (c, n) in enumerate(zip(LENDING_COLUMNS, LENDING_NAMES))),
+    label_col="loan_status",
+    positive_labels=("Fully Paid",),
+    render=RenderSpec(template="The state of {name} is {value}", sep=". ", end=".",
+                      prefix="The client has attributes as follows: "),
+    prompt=PromptSpec(
+        instruction=("Assess the client's loan status based on the following loan records from Lending Club. Respond "
+                     "with only 'good' or 'bad', and do not provide any additional information. For instance, 'The "
+                     "client has a stable income, no previous debts, and owns a property.' should be classified as "
+                     "'good'."),
+        choices=("good", "bad")),
+)
+LENDING_CLASSES = ("Fully Paid", "Charged Off")
+
+
+def header_spec(df: DataFrame, label_col: str, positive: tuple, choices: tuple, instruction: str, prefix: str,
+                kind: str | None = None, exclude: tuple = (), name: str = "table") -> DatasetSpec:
+    """Spec whose feature names are the table header (``name: value`` list,
+    ``, `` separated, ending ``.``), as for header-named risk tables; ``kind``
+    forces one number rendering (``fixed3``, ``short4_fixed2``) for numeric
+    columns, otherwise the declared type decides."""
+    fields = []
+    for f in pr.header_fields(df, exclude=(label_col,) + tuple(exclude)):
+        k = kind if (kind and f.kind in ("int", "float")) else f.kind
+        fields.append(FieldSpec(f.col, f.display, k))
+    return DatasetSpec(name=name, fields=tuple(fields), label_col=label_col, positive_labels=positive,
+                       render=RenderSpec(template="{name}: {value}", sep=", ", end=".", prefix=prefix),
+                       prompt=PromptSpec(instruction=instruction, choices=choices))

@@ -45,7 +45,7 @@ def field_value(f: FieldSpec) -> Column:
         test_value, yes_text, no_text = f.decode
         return F.when(c.cast("string") == F.lit(str(test_value)), F.lit(yes_text)).otherwise(F.lit(no_text))
     else:
-        v = null_text(py_str(c, f.kind), "nan" if f.kind != "str" else "None")
+        v = null_text(py_str(c, f.kind), f.null_as or ("nan" if f.kind != "str" else "None"))
     if f.suffix:
         v = F.concat(v, F.lit(f.suffix))
     return v
@@ -91,15 +91,17 @@ def typed_header(schema, fields: Sequence[FieldSpec], intro: str) -> str:
 
 
 def assemble(text: Column, instruction: str, debias: str = "", counter_factual: str = "",
-             add_debias: bool = False, add_counter_factual: bool = False, marker: str = " \nText: "):
-    """``(normal_query, chat_query)``: instruction + marker + quoted text,
+             add_debias: bool = False, add_counter_factual: bool = False, marker: str = " \nText: ",
+             quote_text: bool = True, answer_cue: str = NORMAL_SUFFIX):
+    """``(normal_query, chat_query)``: instruction + marker + (quoted) text,
     optional notes, then the answer cue (plain or chat-wrapped)."""
-    body = F.concat(F.lit(instruction + marker + "'"), text, F.lit("'"))
+    quote = "'" if quote_text else ""
+    body = F.concat(F.lit(instruction + marker + quote), text, F.lit(quote))
     if add_debias:
         body = F.concat(body, F.lit(NOTE_PREFIX + debias))
     if add_counter_factual:
         body = F.concat(body, F.lit(NOTE_PREFIX + counter_factual))
-    normal = F.concat(body, F.lit(NORMAL_SUFFIX))
+    normal = F.concat(body, F.lit(answer_cue))
     chat = F.concat(F.lit(CHAT_PREFIX), body, F.lit(CHAT_SUFFIX))
     return normal, chat
 
@@ -107,7 +109,7 @@ def assemble(text: Column, instruction: str, debias: str = "", counter_factual:
 def prompt_columns(df: DataFrame, text: Column, spec: PromptSpec, add_debias=False, add_counter_factual=False) -> DataFrame:
     """Attach the full prompt record columns (text, queries, choices, example, task, notes)."""
     normal, chat = assemble(F.col("text"), spec.instruction, spec.debias_prompt, spec.counter_factual_prompt,
-                            add_debias, add_counter_factual)
+                            add_debias, add_counter_factual, quote_text=spec.quote_text, answer_cue=spec.answer_cue)
     example = F.struct(
         F.struct(F.lit(spec.example1[0]).alias("input"), F.lit(spec.example1[1]).alias("output")).alias("example1"),
         F.struct(F.lit(spec.example2[0]).alias("input"), F.lit(spec.example2[1]).alias("output")).alias("example2"),

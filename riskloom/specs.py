@@ -19,6 +19,8 @@ class FieldSpec:
     (strict: unknown code raises).  ``suffix`` is appended after the value
     (e.g. ``%``).  ``decode`` is ``(test_value, text_when_equal,
     text_otherwise)`` for prose decodes such as gender (compared as text).
+    ``null_as`` is the text of a missing value (default: ``nan`` for numbers,
+    ``None`` for strings; pandas-read strings print ``nan``).
     """
 
     col: str
@@ -30,6 +32,7 @@ class FieldSpec:
     decode: tuple | None = None
     type_tag: str | None = None
     description: str = ""
+    null_as: str | None = None
 
 
 @dataclass(frozen=True)
@@ -53,6 +56,8 @@ class PromptSpec:
     counter_factual_prompt: str = ""
     example1: tuple = ("", "")
     example2: tuple = ("", "")
+    quote_text: bool = True
+    answer_cue: str = " \nAnswer:"
 
 
 @dataclass(frozen=True)

@@ -98,3 +98,36 @@ def test_bias_slices_first_n_per_group(spark):
     foreign = [r[21] for r in rows if r[19] == "A202"]
     assert sorted(got[("foreign", "A202")]) == foreign[:50]
     assert len(got[("age", "<= 45")]) == 50
+
+
+def test_australian_text_and_query(spark):
+    from riskloom.datasets import AUSTRALIAN, AUSTRALIAN_DDL
+    row = (0, 21.67, 11.5, 1, 5, 3, 0.0, 1, 1, 11, 1, 2, 0, 1, 1)
+    r = prompt_records(spark.createDataFrame([row], AUSTRALIAN_DDL), AUSTRALIAN).first()
+    assert r.text == ("The client has attributes: A1: 0, A2: 21.67, A3: 11.5, A4: 1, A5: 5, A6: 3, A7: 0.0, A8: 1, "
+                      "A9: 1, A10: 11, A11: 1, A12: 2, A13: 0, A14: 1.")
+    assert r.normal_query == AUSTRALIAN.prompt.instruction + " \nText: " + r.text + " \n Answer:"
+    assert (r.answer, r.gold) == ("good", 0)
+
+
+def test_lending_text_with_percent_and_nan(spark):
+    from riskloom.datasets import LENDING, LENDING_DDL
+    vals = [123.45, "debt_consolidation", "Individual", 13.56, 500.0, 10000.0, 2500.0, 0.0, 1.0, None, "C", 9.0, 45.2,
+            20.0, 690.0, 694.0, "CA", "10+ years", "RENT", "Verified", 55000.0, "Charged Off"]
+    r = prompt_records(spark.createDataFrame([tuple(vals)], LENDING_DDL), LENDING).first()
+    assert r.text.startswith("The client has attributes as follows: The state of Installment is 123.45. The state of "
+                             "Loan Purpose is debt_consolidation. The state of Loan Application Type is Individual. "
+                             "The state of Interest Rate is 13.56%. ")
+    assert "The state of Mortgage Accounts is nan. " in r.text
+    assert "The state of Revolving Utilization Rate is 45.2%. " in r.text
+    assert r.text.endswith("The state of Annual Income is 55000.0.")
+    assert (r.answer, r.gold) == ("bad", 1)
+
+
+def test_header_spec_fixed_precision(spark):
+    from riskloom.datasets import header_spec
+    df = spark.createDataFrame([(1, 0.4991, 1.0)], "target int, `ROA(C)` double, `Net Income Flag` double")
+    spec = header_spec(df, "target", (0,), ("no", "yes"), "Predict bankruptcy.", "The client has attributes: ", kind="fixed3")
+    r = prompt_records(df, spec).first()
+    assert r.text == "The client has attributes: ROA(C): 0.499, Net Income Flag: 1.000."
+    assert (r.answer, r.gold) == ("yes", 1)
