@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from . import prompts as pr
 from . import responses as rs
 
-# Model-name markers -> style.
-STYLE_MARKERS = (("qwen", "qwen"), ("distill", "distill"), ("finma", "finma"))
+# Model-name markers -> style.  Callers add their own markers
+# (e.g. for models whose output is lower-cased before cleaning: "lowercase").
+STYLE_MARKERS = (("qwen", "qwen"), ("distill", "distill"))
 
 
-def style_of(model_name: str) -> str:
+def style_of(model_name: str, extra_markers: tuple = ()) -> str:
     name = model_name.lower()
-    for marker, style in STYLE_MARKERS:
+    for marker, style in tuple(extra_markers) + STYLE_MARKERS:
         if marker in name:
             return style
     return "generic"
@@ -24,8 +25,8 @@ def style_of(model_name: str) -> str:
 
 def format_prompt(style: str, record_cols: dict, auxiliary: str = "") -> Column:
     """``record_cols``: Columns ``normal_query``, ``example``, ``task``,
-    ``text``, ``choices``.  Qwen / Distill use the two-shot template, FinMA and
-    generic models the stored query, all with the strict one-word suffix."""
+    ``text``, ``choices``.  Qwen / Distill use the two-shot template, the
+    lowercase and generic styles the stored query, all with the strict one-word suffix."""
     if style in ("qwen", "distill"):
         return pr.few_shot(record_cols["example"], record_cols["task"], record_cols["text"], record_cols["choices"], auxiliary)
     return pr.strict_suffix(record_cols["normal_query"], record_cols["choices"], auxiliary)
@@ -40,11 +41,12 @@ def system_prompt(style: str, choices: Column, debias: Column) -> Column | None:
 
 
 def parse_response(style: str, response: Column, choices: Column) -> Column:
-    """Qwen / Distill: artefact removal + first matching choice; FinMA: the
-    same after lower-casing first; generic: text after the assistant marker."""
+    """Qwen / Distill: artefact removal + first matching choice; lowercase:
+    the same after lower-casing first; generic: text after the assistant
+    marker."""
     if style in ("qwen", "distill"):
         return rs.match_choice(response, choices)
-    if style == "finma":
+    if style == "lowercase":
         return rs.match_choice(response, choices, lower_first=True)
     return rs.clean_response(response)
 

@@ -167,8 +167,9 @@ def test_metric_registry_matches_binary_metrics(cases):
 
 def test_model_style_dispatch(spark):
     from riskloom.operators import dispatch as dp
-    assert [dp.style_of(m) for m in ("Qwen2.5-7B", "DeepSeek-R1-Distill-Llama", "FinMA-7B", "llama-2")] == \
-        ["qwen", "distill", "finma", "generic"]
+    assert [dp.style_of(m) for m in ("Qwen2.5-7B", "DeepSeek-R1-Distill-Llama", "llama-2")] == \
+        ["qwen", "distill", "generic"]
+    assert dp.style_of("my-model-7b", extra_markers=(("my-model", "lowercase"),)) == "lowercase"
     df = spark.createDataFrame([("x\n\nAssistant: <think>.</think> Good",)], "r string")
     ch = F.array(F.lit("good"), F.lit("bad"))
     got = df.select(dp.parse_response("qwen", F.col("r"), ch).alias("q"), dp.parse_response("generic", F.col("r"), ch).alias("g")).first()
