@@ -240,3 +240,57 @@ def header_spec(df: DataFrame, label_col: str, positive: tuple, choices: tuple,
     return DatasetSpec(name=name, fields=tuple(fields), label_col=label_col, positive_labels=positive,
                        render=RenderSpec(template="{name}: {value}", sep=", ", end=".", prefix=prefix),
                        prompt=PromptSpec(instruction=instruction, choices=choices))
+
+
+# Credit-card fraud: V1..V28 (by rule) and Amount, rendered "name: %.3f".
+CREDITCARD_COLUMNS = tuple(f"V{i}" for i in range(1, 29)) + ("Amount",)
+CREDITCARD_DDL = ", ".join(f"{c} DOUBLE" for c in CREDITCARD_COLUMNS) + ", Class INT"
+# Credit-card fraud prompt text.
+CREDITCARD_EXAMPLE = ("The client has attributes: V1: 0.144, V2: 0.358, V3: 1.220, V4: 0.331, V5: -0.273, V6: 0.429, "
+                      "V7: -0.307, V8: -0.577, V9: 0.116, V10: -0.337, V11: 1.016, V12: 1.043, V13: -0.527, V14: 0.160, "
+                      "V15: -0.951, V16: -0.452, V17: 0.166, V18: -0.446, V19: 0.036, V20: -0.275, V21: 0.768, "
+                      "V22: -0.051, V23: -0.180, V24: 0.067, V25: 0.741, V26: 0.477, V27: 0.152, V28: 0.201, Amount: 6.990.")
+CREDITCARD = DatasetSpec(
+    name="creditcard",
+    fields=tuple(FieldSpec(c, c, "fixed3") for c in CREDITCARD_COLUMNS),
+    label_col="Class",
+    positive_labels=(0,),
+    render=RenderSpec(template="{name}: {value}", sep=", ", end=".", prefix="The client has attributes: "),
+    prompt=PromptSpec(
+        instruction=("Detect the credit card fraud using the following financial table attributes. Respond with only "
+                     "'yes' or 'no', and do not provide any additional information. Therein, the data contains 28 "
+                     "numerical input variables V1, V2, ..., and V28 which are the result of a PCA transformation and "
+                     "1 input variable Amount which has not been transformed with PCA. The feature 'Amount' is the "
+                     "transaction Amount, this feature can be used for example-dependant cost-sensitive learning. "
+                     "For instance, '" + CREDITCARD_EXAMPLE + "' should be classified as 'no'."),
+        choices=("no", "yes")),
+)
+
+# Instruction texts of the header-named risk tables.
+TAIWAN_INSTRUCTION = (
+    "Predict whether the company will face bankruptcy based on the financial profile attributes provided in the "
+    "following text. Respond with only 'no' or 'yes', and do not provide any additional information. \nFor "
+    "instance, 'The client has attributes:  ROA(C) before interest and depreciation before interest: 0.499, ..., "
+    "Net Income Flag: 1.000,  Equity to Liability: 0.044.' should be classified as 'no'.")
+PORTO_INSTRUCTION = (
+    "Identify whether or not to files a claim for the auto insurance policy holder using the following table "
+    "attributes about individual financial profile. Respond with only 'yes' or 'no', and do not provide any "
+    "additional information. And the table attributes that belong to similar groupings are tagged as such in the "
+    "feature names (e.g., ind, reg, car, calc). In addition, feature names include the postfix bin to indicate "
+    "binary features and cat to indicate categorical features. Features without these designations are either "
+    "continuous or ordinal. Values of -1 indicate that the feature was missing from the observation. For instance, "
+    "'The client has attributes: ps_ind_01: 1.0, ps_ind_02_cat: 2.0, ps_ind_03: 0.0, ..., ps_calc_18_bin: 0.0, "
+    "ps_calc_19_bin: 0.0, ps_calc_20_bin: 0.0.' should be classified as 'no'.")
+
+
+def taiwan_spec(df: DataFrame, label_col: str = "target") -> DatasetSpec:
+    """Bankruptcy table: header names, ``%.3f`` values, label 0 -> 'no'."""
+    return header_spec(df, label_col, (0,), ("no", "yes"), TAIWAN_INSTRUCTION, "The client has attributes: ",
+                       kind="fixed3", name="taiwan")
+
+
+def porto_spec(df: DataFrame, label_col: str = "target", exclude: tuple = ("id",)) -> DatasetSpec:
+    """Auto-insurance claims: header names, short values kept, others
+    ``%.2f``; label 1 -> 'yes' (choices yes, no)."""
+    return header_spec(df, label_col, (1,), ("yes", "no"), PORTO_INSTRUCTION, "The client has attributes: ",
+                       kind="short4_fixed2", exclude=exclude, name="porto")

@@ -131,3 +131,20 @@ def test_header_spec_fixed_precision(spark):
     r = prompt_records(df, spec).first()
     assert r.text == "The client has attributes: ROA(C): 0.499, Net Income Flag: 1.000."
     assert (r.answer, r.gold) == ("yes", 1)
+
+
+def test_creditcard_fixed_precision_text(spark):
+    from riskloom.datasets import CREDITCARD, CREDITCARD_DDL
+    row = tuple([0.144, -0.273] + [0.0] * 26 + [6.99, 0])
+    r = prompt_records(spark.createDataFrame([row], CREDITCARD_DDL), CREDITCARD).first()
+    assert r.text.startswith("The client has attributes: V1: 0.144, V2: -0.273, V3: 0.000, ")
+    assert r.text.endswith("V28: 0.000, Amount: 6.990.")
+    assert (r.answer, r.gold, list(r.choices)) == ("no", 0, ["no", "yes"])
+
+
+def test_porto_conditional_precision(spark):
+    from riskloom.datasets import porto_spec
+    df = spark.createDataFrame([(7, 1, 2.0, 0.61237, -1.0)], "id int, target int, ps_ind_01 double, ps_reg_03 double, ps_car_11 double")
+    r = prompt_records(df, porto_spec(df)).first()
+    assert r.text == "The client has attributes: ps_ind_01: 2.0, ps_reg_03: 0.61, ps_car_11: -1.0."
+    assert (r.answer, r.gold) == ("yes", 0)
