@@ -42,20 +42,20 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _bucket_col(df: DataFrame, first: str, buckets: int, bounds: tuple | None) -> Column:
+DEFAULT_WIDTH = 1 << 20
+
+
+def _bucket_col(df: DataFrame, first: str, buckets: int, bounds: tuple | None, width: float | None = None) -> Column:
     """Order-preserving bucket of the first order column.
 
-    Without known bounds the key range is read once (``min``/``max`` of the
-    key column: one small aggregate job returning two numbers, like the
-    sampling pass of a range partitioner) and baked into the plan as
-    literals."""
+    With known ``bounds`` (e.g. a 32-bit hash) the range is cut into
+    ``buckets`` equal parts.  Otherwise buckets have a fixed key width
+    (``width``, default 2^20): a bucket holds at most that many rows of a group
+    when the order key is unique within it, and the number of buckets grows
+    with the key range — no statistics job, nothing runs at plan time."""
     x = F.col(first).cast("double")
     if bounds is None:
-        k = F.col(first).cast("double")
-        row = df.agg(F.min(k).alias("lo"), F.max(k).alias("hi")).first()
-        lo_v = row["lo"] if row and row["lo"] is not None else 0.0
-        hi_v = (row["hi"] if row and row["hi"] is not None else 0.0) + 1.0
-        bounds = (lo_v, hi_v)
+        return F.floor(x / F.lit(float(width or DEFAULT_WIDTH))).cast("long")
     lo = F.lit(float(bounds[0]))
     scale = F.lit(float(buckets) / max(float(bounds[1]) - float(bounds[0]), 1e-9))
     return F.least(F.floor((x - lo) * scale), F.lit(buckets - 1)).cast("long")
@@ -81,13 +81,14 @@ def range_cumsum(
     buckets: int = DEFAULT_BUCKETS,
     bounds: tuple | None = None,
     total_out: str | None = None,
+    width: float | None = None,
 ) -> DataFrame:
     """Running sum of ``value`` in ``order`` inside ``by`` groups
     (``sum(value) over (partition by by order by order rows unbounded preceding)``).
 
     ``order`` must be a total order inside a group whose first column is
     numeric (it defines the buckets); pass ``bounds=(lo, hi)`` when its range is
-    known (e.g. a 32-bit hash) to skip the min/max subquery.
+    known (e.g. a 32-bit hash), otherwise buckets are ``width`` key units wide.
     ``inclusive=False`` sums only the rows strictly before.
     ``value`` may be a dict ``{out_name: value}`` to compute several running
     sums in the same pass (one shuffle).  ``total_out`` names an extra
@@ -97,7 +98,7 @@ def range_cumsum(
     by = list(by)
     order = list(order)
     values = value if isinstance(value, dict) else {out: value}
-    b = _bucket_col(df, order[0], buckets, bounds)
+    b = _bucket_col(df, order[0], buckets, bounds, width)
     t = df.withColumn("_rl_b", b)
     names = []
     for i, (name, v) in enumerate(values.items()):
@@ -137,10 +138,11 @@ def global_rank(
     out: str = "rank",
     buckets: int = DEFAULT_BUCKETS,
     bounds: tuple | None = None,
+    width: float | None = None,
 ) -> DataFrame:
     """``row_number() over (partition by by order by order)`` (1-based) without
     a single-task window; hot groups are split into buckets."""
-    r = range_cumsum(df, F.lit(1).cast("long"), order, by, out=out, buckets=buckets, bounds=bounds)
+    r = range_cumsum(df, F.lit(1).cast("long"), order, by, out=out, buckets=buckets, bounds=bounds, width=width)
     return r
 
 

@@ -64,8 +64,10 @@ def vocab_merge(base: DataFrame, extra: DataFrame, materialize: bool = True) ->
     if materialize and checkpoint_dir(base.sparkSession):
         base = base.checkpoint(eager=True)
         extra = extra.checkpoint(eager=True)
-    a = global_rank(base, ["_first", "piece"], out="_r").select("piece", (F.col("_r") - 1).alias("pos"))
+    # first-occurrence keys are doc * 1e6 + position: buckets of ~1024 documents
+    w = 1024 * 1_000_000
+    a = global_rank(base, ["_first", "piece"], out="_r", width=w).select("piece", (F.col("_r") - 1).alias("pos"))
     n_a = base.agg(F.count(F.lit(1))).scalar()
     b = extra.join(base.select("piece"), "piece", "left_anti")
-    b = global_rank(b, ["_first", "piece"], out="_r").select("piece", (n_a + F.col("_r") - 1).alias("pos"))
+    b = global_rank(b, ["_first", "piece"], out="_r", width=w).select("piece", (n_a + F.col("_r") - 1).alias("pos"))
     return a.unionByName(b)

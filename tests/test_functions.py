@@ -68,14 +68,14 @@ def test_global_rank_equals_row_number(spark):
 
 def test_rank_is_partition_invariant(spark):
     o = spark.read.parquet(f"{SF01}/orders.parquet").select("o_orderkey", "o_orderstatus")
-    a = global_rank(o, ["o_orderkey"], by=["o_orderstatus"], buckets=16)
-    b = global_rank(o.repartition(37), ["o_orderkey"], by=["o_orderstatus"], buckets=1000)
+    a = global_rank(o, ["o_orderkey"], by=["o_orderstatus"], width=16)
+    b = global_rank(o.repartition(37), ["o_orderkey"], by=["o_orderstatus"], width=1000)
     assert sorted(a.collect()) == sorted(b.collect())
 
 
 def test_range_cumsum_with_null_groups(spark):
     df = spark.createDataFrame([(i, None if i % 4 == 0 else i % 3, float(i)) for i in range(40)], "k long, g long, v double")
-    r = range_cumsum(df, "v", ["k"], by=["g"], buckets=5)
+    r = range_cumsum(df, "v", ["k"], by=["g"], width=5)
     got = {row.k: row.cum for row in r.collect()}
     exp = {}
     for g in {None, 0, 1, 2}:
@@ -93,6 +93,7 @@ def test_string_rank_is_binary_order(spark):
     words = ["b", "a", "aa", "a\x00", "Z", "é", "ab", "abcdefgh", "abcdefg", "abcdefgi", ""]
     df = spark.createDataFrame([(w,) for w in words], "w string")
     got = [r.w for r in string_rank(df, "w", buckets=3).orderBy("rank").collect()]
+    assert len(got) == len(words)
     assert got == sorted(words, key=lambda x: x.encode("utf-8"))
 
 
