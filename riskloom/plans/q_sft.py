@@ -160,13 +160,7 @@ def filter_has_human(spark, sf):
        f"SELECT conv_id, CAST(st // {SFT_MAX} AS BIGINT) AS segment, CAST(sum(nt) AS BIGINT) AS n_turns, CAST(sum(pn) AS BIGINT) AS n_tokens "
        f"FROM s GROUP BY conv_id, st // {SFT_MAX}")
 def split_long_conversation(spark, sf):
-    from pyspark.sql import Window
-    t = sft.turn_tokens(turns(spark, sf), "conv_id", "turn", "role", "text", with_labels=False)
-    p = t.groupBy("conv_id", F.floor(F.col("turn") / 2).alias("pair")).agg(F.sum("n").alias("pn"), F.count(F.lit(1)).alias("nt"))
-    w = Window.partitionBy("conv_id").orderBy("pair").rowsBetween(Window.unboundedPreceding, -1)
-    p = p.withColumn("st", F.coalesce(F.sum("pn").over(w), F.lit(0)))
-    return p.groupBy("conv_id", F.floor(F.col("st") / SFT_MAX).cast("long").alias("segment")).agg(
-        F.sum("nt").cast("long").alias("n_turns"), F.sum("pn").cast("long").alias("n_tokens"))
+    return sft.split_long_conversations(turns(spark, sf), "conv_id", "turn", "role", "text", SFT_MAX)
 
 
 @query("batch_pad",
