@@ -234,7 +234,7 @@ def align_token_probs(df: DataFrame, key: str, probs: str) -> DataFrame:
 
 
 def split_long_conversations(turns: DataFrame, conv: str, turn: str, role: str, text: str, max_tokens: int,
-                             tokenizer: Tokenizer = ws_token_ids) -> DataFrame:
+                             tokenizer: Tokenizer = ws_token_ids, width: float | None = None) -> DataFrame:
     """Cut conversations at turn pairs into segments of ``max_tokens``: pair
     sizes are partial aggregates, the pair offsets a bucketed prefix sum per
     conversation (a huge conversation is spread over buckets), segment =
@@ -242,6 +242,6 @@ def split_long_conversations(turns: DataFrame, conv: str, turn: str, role: str,
     t = turn_tokens(turns, conv, turn, role, text, tokenizer, with_labels=False)
     pairs = t.groupBy(conv, F.floor(F.col(turn) / 2).alias("pair")).agg(
         F.sum("n").alias("pair_tokens"), F.count(F.lit(1)).alias("pair_turns"))
-    pairs = range_cumsum(pairs, "pair_tokens", ["pair"], by=[conv], out="start", inclusive=False)
+    pairs = range_cumsum(pairs, "pair_tokens", ["pair"], by=[conv], out="start", inclusive=False, width=width)
     return pairs.groupBy(conv, F.floor(F.col("start") / max_tokens).cast("long").alias("segment")).agg(
         F.sum("pair_turns").cast("long").alias("n_turns"), F.sum("pair_tokens").cast("long").alias("n_tokens"))

@@ -182,3 +182,45 @@ def test_cached_split_is_reused(spark, tmp_path):
     a = sp.cached_split(spark, base, "k", str(tmp_path / "splits"))
     b = sp.cached_split(spark, base, "k", str(tmp_path / "splits"))
     assert sorted(a.collect()) == sorted(b.collect()) and a.count() == 200
+
+
+def _hot_conversation(spark):
+    import random
+    rnd = random.Random(4)
+    rows = []
+    for c, n_turns in ((1, 300), (2, 3), (3, 1)):
+        for t in range(n_turns):
+            role = "user" if t % 2 == 0 else "assistant"
+            rows.append((c, t, role, " ".join(f"w{rnd.randint(0, 9)}" for _ in range(rnd.randint(0, 6)))))
+    return rows, spark.createDataFrame(rows, "c long, t long, role string, text string")
+
+
+def test_token_samples_hot_conversation_matches_brute_force(spark):
+    rows, df = _hot_conversation(spark)
+    got = {r.c: (len(r.input_ids), sum(1 for x in r.labels if x == -100))
+           for r in sft.token_samples(df, "c", "t", "role", "text", 40).collect()}
+    exp = {}
+    for c in {r[0] for r in rows}:
+        seq = []
+        for _, t, role, text in sorted(r for r in rows if r[0] == c):
+            n = len(text.split())
+            seq += [-100] * (n + 2) if role == "user" else [0] * (n + 1)
+        seq = seq[:40]
+        exp[c] = (len(seq), seq.count(-100))
+    assert got == exp
+
+
+def test_split_long_conversations_multi_bucket(spark):
+    rows, df = _hot_conversation(spark)
+    got = sorted(tuple(r) for r in sft.split_long_conversations(df, "c", "t", "role", "text", 25, width=7).collect())
+    exp = {}
+    for c in {r[0] for r in rows}:
+        start, pairs = 0, {}
+        for _, t, role, text in sorted(r for r in rows if r[0] == c):
+            pairs.setdefault(t // 2, []).append(len(text.split()) + (2 if role == "user" else 1))
+        for p in sorted(pairs):
+            seg = start // 25
+            n_t, n_tok = exp.get((c, seg), (0, 0))
+            exp[(c, seg)] = (n_t + len(pairs[p]), n_tok + sum(pairs[p]))
+            start += sum(pairs[p])
+    assert got == sorted((c, s, a, b) for (c, s), (a, b) in exp.items())
