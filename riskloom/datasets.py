@@ -294,3 +294,33 @@ def porto_spec(df: DataFrame, label_col: str = "target", exclude: tuple = ("id",
     ``%.2f``; label 1 -> 'yes' (choices yes, no)."""
     return header_spec(df, label_col, (1,), ("yes", "no"), PORTO_INSTRUCTION, "The client has attributes: ",
                        kind="short4_fixed2", exclude=exclude, name="porto")
+
+
+# Travel insurance prose variant (free text with re-ordered
+# fields; the channel quote is left open as in the source).
+TRAVEL_DESC_TEMPLATE = (
+    "A policyholder aged {age} chosen product '{product}' of the insurance company '{agency}' through sales channel "
+    "'{channel} to travel to destination '{destination}'. The type of insurance is '{agency_type}', with an effective "
+    "period of {duration}, and the company recorded the net sales and commission of the insurance as {net_sales} "
+    "and {commission}.")
+TRAVEL_DESC_EXAMPLE = (
+    "A policyholder aged 41 chosen product 'Rental Vehicle Excess Insurance' of the insurance company 'CWT' through "
+    "sales channel 'Online to travel to destination 'ITALY'. The type of insurance is 'Travel Agency', with an "
+    "effective period of 79, and the company recorded the net sales and commission of the insurance as -19.8 and 11.88.")
+TRAVEL_DESC_INSTRUCTION = (
+    "Identify the claim status of insurance companies using the records of travel insurance attributes. Respond with "
+    "either 'Yes' or 'No' (Do not return 'Good' or 'Bad'). For instance: '" + TRAVEL_DESC_EXAMPLE
+    + "', should be classified as 'No'.")
+
+
+def travel_desc_records(df: DataFrame) -> DataFrame:
+    """Travel prose prompts: the raw label is the answer (choices Yes, No),
+    the text is appended unquoted and followed by `` \\nAnswer:``."""
+    from .functions.text import py_str
+    kinds = dict((c, k) for c, k in (("duration", "int"), ("age", "int"), ("net_sales", "float"), ("commission", "float")))
+    values = {c: py_str(c, kinds.get(c, "str")) for c, _ in TRAVEL_NAMES}
+    text = pr.prose(TRAVEL_DESC_TEMPLATE, values)
+    query = F.concat(F.lit(TRAVEL_DESC_INSTRUCTION + " \nText: "), text, F.lit(" \nAnswer:"))
+    gold = F.when(F.col("target") == "Yes", F.lit(0)).otherwise(F.lit(1))
+    return df.select(text.alias("text"), query.alias("query"), F.col("target").alias("answer"),
+                     F.array(F.lit("Yes"), F.lit("No")).alias("choices"), gold.alias("gold"))

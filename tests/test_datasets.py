@@ -148,3 +148,14 @@ def test_porto_conditional_precision(spark):
     r = prompt_records(df, porto_spec(df)).first()
     assert r.text == "The client has attributes: ps_ind_01: 2.0, ps_reg_03: 0.61, ps_car_11: -1.0."
     assert (r.answer, r.gold) == ("yes", 0)
+
+
+def test_travel_prose_variant(spark):
+    from riskloom.datasets import TRAVEL_DDL, travel_desc_records
+    df = spark.createDataFrame([("CWT", "Travel Agency", "Online", "Rental Vehicle Excess Insurance", "No", 79, "ITALY",
+                                 -19.8, 11.88, 41)], TRAVEL_DDL)
+    r = travel_desc_records(df).first()
+    from riskloom.datasets import TRAVEL_DESC_EXAMPLE
+    assert r.text == TRAVEL_DESC_EXAMPLE
+    assert r.query.endswith(" \nText: " + r.text + " \nAnswer:")
+    assert (r.answer, r.gold) == ("No", 1)
