@@ -324,3 +324,22 @@ def travel_desc_records(df: DataFrame) -> DataFrame:
     gold = F.when(F.col("target") == "Yes", F.lit(0)).otherwise(F.lit(1))
     return df.select(text.alias("text"), query.alias("query"), F.col("target").alias("answer"),
                      F.array(F.lit("Yes"), F.lit("No")).alias("choices"), gold.alias("gold"))
+
+
+# Customs declaration instruction text.
+CUSTOMS_INSTRUCTION = (
+    "Identify the provided customs import declaration information to determine whether it constitutes customs fraud "
+    "that attempts to reduce customs duty or not. The answer must be 'no' or 'yes', and do not provide any additional "
+    "information. This Import Declaration consists of 20 data attributes, including Declaration ID, Date, Office ID, "
+    "Process type, Import type, Import use, Payment type, Mode of transport, Declarant ID, Importer ID, Seller ID, "
+    "Courier ID, HS6 code, Country of departure, Country of origin, Tax rate, Tax type, Country of origin indicator, "
+    "Net mass and Item price. For instance, 'This customs import declaration has attributes: Declaration ID: "
+    "97061800, Date: 2020-01-01, Office ID: 30, Process Type: B, ..., Item Price: 372254.4.' should be categorized "
+    "as 'no'.")
+
+
+def customs_spec(df: DataFrame, label_col: str = "Fraud", exclude: tuple = ("Critical Fraud",)) -> DatasetSpec:
+    """Customs declarations: header names, values as Python prints them,
+    label 0 -> 'no', any other value -> 'yes' (choices no, yes)."""
+    return header_spec(df, label_col, (0,), ("no", "yes"), CUSTOMS_INSTRUCTION,
+                       "This customs import declaration has attributes: ", exclude=exclude, name="customs")

@@ -159,3 +159,13 @@ def test_travel_prose_variant(spark):
     assert r.text == TRAVEL_DESC_EXAMPLE
     assert r.query.endswith(" \nText: " + r.text + " \nAnswer:")
     assert (r.answer, r.gold) == ("No", 1)
+
+
+def test_customs_header_spec(spark):
+    from riskloom.datasets import customs_spec
+    df = spark.createDataFrame([(97061800, "2020-01-01", 30, 372254.4, 2, 1)],
+                               "`Declaration ID` long, `Date` string, `Office ID` int, `Item Price` double, Fraud int, `Critical Fraud` int")
+    r = prompt_records(df, customs_spec(df)).first()
+    assert r.text == ("This customs import declaration has attributes: Declaration ID: 97061800, Date: 2020-01-01, "
+                      "Office ID: 30, Item Price: 372254.4.")
+    assert (r.answer, r.gold, list(r.choices)) == ("yes", 1, ["no", "yes"])
