@@ -343,3 +343,59 @@ def customs_spec(df: DataFrame, label_col: str = "Fraud", exclude: tuple = ("Cri
     label 0 -> 'no', any other value -> 'yes' (choices no, yes)."""
     return header_spec(df, label_col, (0,), ("no", "yes"), CUSTOMS_INSTRUCTION,
                        "This customs import declaration has attributes: ", exclude=exclude, name="customs")
+
+
+# Polish bankruptcy attribute names (Attr1..Attr64, in order;
+# one name appears twice in the source list and is kept as is).
+POLISH_NAMES = (
+    "net profit / total assets", "total liabilities / total assets", "working capital / total assets",
+    "current assets / short-term liabilities",
+    "[(cash + short-term securities + receivables - short-term liabilities) / (operating expenses - depreciation)] * 365",
+    "retained earnings / total assets", "EBIT / total assets", "book value of equity / total liabilities",
+    "sales / total assets", "equity / total assets",
+    "(gross profit + extraordinary items + financial expenses) / total assets",
+    "gross profit / short-term liabilities", "(gross profit + depreciation) / sales",
+    "(gross profit + interest) / total assets",
+    "(total liabilities * 365) / (gross profit + depreciation)",
+    "(gross profit + depreciation) / total liabilities",
+    "total assets / total liabilities", "gross profit / total assets", "gross profit / sales",
+    "(inventory * 365) / sales",
+    "sales (n) / sales (n-1)", "profit on operating activities / total assets", "net profit / sales",
+    "gross profit (in 3 years) / total assets",
+    "(equity - share capital) / total assets", "(net profit + depreciation) / total liabilities",
+    "profit on operating activities / financial expenses", "working capital / fixed assets",
+    "logarithm of total assets",
+    "(total liabilities - cash) / sales", "(total liabilities - cash) / sales",
+    "(current liabilities * 365) / cost of products sold", "operating expenses / short-term liabilities",
+    "operating expenses / total liabilities", "profit on sales / total assets", "total sales / total assets",
+    "(current assets - inventories) / long-term liabilities", "constant capital / total assets",
+    "profit on sales / sales",
+    "(current assets - inventory - receivables) / short-term liabilities",
+    "total liabilities / ((profit on operating activities + depreciation) * (12/365))",
+    "profit on operating activities / sales",
+    "rotation receivables + inventory turnover in days", "(receivables * 365) / sales",
+    "net profit / inventory",
+    "(current assets - inventory) / short-term liabilities", "(inventory * 365) / cost of products sold",
+    "EBITDA (profit on operating activities - depreciation) / total assets",
+    "EBITDA (profit on operating activities - depreciation) / sales", "current assets / total liabilities",
+    "short-term liabilities / total assets", "(short-term liabilities * 365) / cost of products sold)",
+    "equity / fixed assets", "constant capital / fixed assets", "working capital",
+    "(sales - cost of products sold) / sales",
+    "(current assets - inventory - short-term liabilities) / (sales - gross profit - depreciation)",
+    "total costs /total sales", "long-term liabilities / equity", "sales / inventory", "sales / receivables",
+    "(short-term liabilities *365) / sales", "sales / short-term liabilities", "sales / fixed assets",
+)
+POLISH_INSTRUCTION = (
+    "Predict whether the company will face bankruptcy based on the financial profile attributes provided in the "
+    "following text. Respond with only 'no' or 'yes', and do not provide any additional information. \nFor instance, "
+    "'The client has attributes: net profit / total assets: -0.046186, ..., sales / short-term liabilities: 5.7063, "
+    "sales / fixed assets: 1.3882.' should be classified as 'no'.")
+POLISH = DatasetSpec(
+    name="polish",
+    # ARFF '?' is read as a missing value and printed as None
+    fields=tuple(FieldSpec(f"Attr{i + 1}", n, "float", null_as="None") for i, n in enumerate(POLISH_NAMES)),
+    label_col="class",
+    positive_labels=("0",),
+    render=RenderSpec(template="{name}: {value}", sep=", ", end=".", prefix="The client has attributes: "),
+    prompt=PromptSpec(instruction=POLISH_INSTRUCTION, choices=("no", "yes")),
+)

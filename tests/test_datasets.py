@@ -169,3 +169,19 @@ def test_customs_header_spec(spark):
     assert r.text == ("This customs import declaration has attributes: Declaration ID: 97061800, Date: 2020-01-01, "
                       "Office ID: 30, Item Price: 372254.4.")
     assert (r.answer, r.gold, list(r.choices)) == ("yes", 1, ["no", "yes"])
+
+
+def test_polish_from_arff(spark, tmp_path):
+    from riskloom.datasets import POLISH, POLISH_NAMES
+    from riskloom.sources import readers as rd
+    header = ["@relation polish"] + [f"@attribute Attr{i} numeric" for i in range(1, 65)] + ["@attribute class {0,1}", "@data"]
+    vals = ["-0.046186"] + ["?"] + ["1.5"] * 62
+    p = tmp_path / "1year.arff"
+    p.write_text("\n".join(header + [",".join(vals + ["1"])]) + "\n")
+    df = rd.arff(spark, [str(p)], rd.arff_ddl(header))
+    r = prompt_records(df, POLISH).first()
+    assert len(POLISH_NAMES) == 64
+    assert r.text.startswith("The client has attributes: net profit / total assets: -0.046186, "
+                             "total liabilities / total assets: None, working capital / total assets: 1.5, ")
+    assert r.text.endswith("sales / fixed assets: 1.5.")
+    assert (r.answer, r.gold) == ("yes", 1)
