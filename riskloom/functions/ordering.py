@@ -8,10 +8,10 @@ shuffles cannot be reproduced in SQL; sizes and invariants match instead.
 Ranking and running sums never use an un-partitioned ``Window.orderBy`` (that
 pulls every row into one task).  Rows are cut into order-preserving buckets — a
 monotone function of the first order column (the top bits of a 32-bit hash, or
-the key scaled between its min and max) — so a hot group is spread over many
-buckets.  Each (group, bucket) window is small; the offset of a bucket is the
-running total of the bucket counts, computed on a table of at most
-``groups x buckets`` rows.  Every step is a deterministic function of the row,
+fixed-width ranges of the key) — so a hot group is spread over many buckets.
+Each (group, bucket) window is small; the offset of a bucket is the running
+total of the bucket counts, computed on a table with one row per (group,
+bucket).  No statistics are gathered before the plan runs.  Every step is a deterministic function of the row,
 so a recomputed task after an executor loss lands in the same place.
 """
 
