@@ -54,6 +54,11 @@ def ws_tokens(c) -> Column:
     return F.filter(F.split(ws_normalise(c), r"\s+"), lambda t: t != "")
 
 
+def ws_token_count(c) -> Column:
+    """Number of ``str.split()`` tokens, counted without building the array."""
+    return F.regexp_count(ws_normalise(c), F.lit(r"\S+"))
+
+
 def py_repr_str(c) -> Column:
     """Python ``repr(str)`` for printable text: single quotes unless the text
     holds a single quote and no double quote; backslash, quote and the common

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordering import global_rank, range_cumsum
-from ..functions.text import ws_tokens
+from ..functions.text import ws_token_count, ws_tokens
 from ..specs import HUMAN_TURN, HUMAN_TURN_COMPACT, IGNORE_INDEX
 
 PAD_ID, BOS_ID, EOS_ID = 0, 1, 2
@@ -172,7 +172,7 @@ def pack_blocks(docs: DataFrame, group: str, order: str, text: str, block: int,
     if eos:
         ids = F.concat(ids, F.array(F.lit(eos_id)))
     # the length is a token count (no id hashing) so the offsets branch stays cheap
-    n_tok = F.size(ws_tokens(F.col(text))) if tokenizer is ws_token_ids else F.size(tokenizer(F.col(text)))
+    n_tok = ws_token_count(F.col(text)) if tokenizer is ws_token_ids else F.size(tokenizer(F.col(text)))
     length = n_tok + F.lit(1 if eos else 0)
     t = docs.select(group, order, text, length.alias("_len")).where(F.col("_len") > 0)
     t = range_cumsum(t, "_len", [order], by=[group], out="_start", inclusive=False, total_out="_total")

@@ -122,3 +122,10 @@ def test_py_float_str_property(spark):
     got = [r[0] for r in df.select(py_float_str("x")).collect()]
     bad = [(v, g) for v, g in zip(vals, got) if g != repr(v)]
     assert not bad, bad[:5]
+
+
+def test_ws_token_count_matches_split(spark):
+    from riskloom.functions.text import ws_token_count
+    texts = ["", "  a b\tc\x1c d  ", "　x　y", "one", "a b\x85c"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(ws_token_count("t")).collect()] == [len(t.split()) for t in texts]
