@@ -328,3 +328,16 @@ def metrics_by_segment(spark, sf):
     m = me.binary_metrics(rec, "truth", "logit_0", "good", by=["c_mktsegment"])
     return _round_cols(m, ["accuracy", "f1", "macro_f1", "mcc"])
 
+
+
+@query("average_precision",
+       "WITH s AS (SELECT d.n_chars AS score, count(*) FILTER (WHERE l.quality = 1) AS tp, count(*) FILTER (WHERE l.quality <> 1) AS fp "
+       "FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.n_chars), "
+       "c AS (SELECT tp, sum(tp) OVER w AS ctp, sum(fp) OVER w AS cfp FROM s WINDOW w AS (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), "
+       "t AS (SELECT sum(tp) AS p FROM s) "
+       "SELECT round(sum(tp::DOUBLE / t.p * ctp / (ctp + cfp)), 6) AS average_precision FROM c, t")
+def average_precision_q(spark, sf):
+    d = T(spark, sf, "documents").select("doc_id", "n_chars")
+    lab = T(spark, sf, "labels").select("doc_id", "quality")
+    ap = me.average_precision(d.join(lab, "doc_id"), "n_chars", "quality", 1, width=1024)
+    return _round_cols(ap, ["average_precision"])

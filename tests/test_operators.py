@@ -224,3 +224,19 @@ def test_split_long_conversations_multi_bucket(spark):
             exp[(c, seg)] = (n_t + len(pairs[p]), n_tok + sum(pairs[p]))
             start += sum(pairs[p])
     assert got == sorted((c, s, a, b) for (c, s), (a, b) in exp.items())
+
+
+def test_average_precision_brute_force(spark):
+    import random
+    rnd = random.Random(9)
+    rows = [(rnd.randint(0, 30), 1 if rnd.random() < 0.3 else 0) for _ in range(400)]
+    df = spark.createDataFrame(rows, "s long, y int")
+    got = me.average_precision(df, "s", "y", 1, width=4).first()[0]
+    pos_total = sum(y for _, y in rows)
+    ap, ctp, cfp = 0.0, 0, 0
+    for s in sorted({s for s, _ in rows}, reverse=True):
+        tp = sum(1 for x, y in rows if x == s and y == 1)
+        fp = sum(1 for x, y in rows if x == s and y == 0)
+        ctp, cfp = ctp + tp, cfp + fp
+        ap += tp / pos_total * ctp / (ctp + cfp)
+    assert got == pytest.approx(ap, abs=1e-12)
