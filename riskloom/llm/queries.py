@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, topk, url_filter
+from . import fingerprints, secrets, topk, url_filter
 from .common import read
 from .registry import ORACLE, QUERIES, query
 
@@ -58,3 +58,8 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 @query("op9_exact_top_k", SQL_TOPK)
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op7_secret_scan")
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(read(spark, sf_dir, "documents"))
