@@ -3,8 +3,7 @@
 Features are the character (byte) n-grams of the lower-cased text, hashed to
 ``2^BITS`` numbers; each counts once per text.  The log-count ratio of a
 feature between toxic and other training texts scales it, and a logistic
-regression with an L2 penalty is fitted to the scaled features by accelerated
-gradient descent.  The model is one weight per feature and a bias.
+regression with an L2 penalty is fitted to the scaled features by L-BFGS.  The model is one weight per feature and a bias.
 
 Training uses at most ``max_train`` labelled texts (a documented bound of the
 fit alone: those with the smallest hash of ``doc_id``); the texts of the sample
@@ -104,7 +103,7 @@ def _collect(batches):
     return f, np.array(y, dtype=np.float64)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = 12_000, rounds: int = 30, parts: int = 12, l2: float = 0.1) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = 12_000, rounds: int = 25, parts: int = 6, l2: float = 1.0) -> Model:
     """``docs``: doc_id, text; ``labels``: doc_id, toxic, of the rows that may teach."""
     spark = docs.sparkSession
     one = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -128,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 12_000, rounds: int
     p, q = (n[1] + 1) / (ones + 2), (n[0] + 1) / (rows - ones + 2)
     ratio = np.log(p / q)
 
-    def gradient(held):
+    def slope(held):
         def run(batches):
             w, b = held.value
             f, y = _collect(batches)
@@ -137,25 +136,53 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 12_000, rounds: int
             e = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
             for x, d in zip(f, e, strict=True):
                 g[x] += d
-            yield pa.RecordBatch.from_arrays([pa.array([g.astype(np.float32).tobytes()]), pa.array([float(e.sum())])], ["g", "b"])
+            loss = float((np.logaddexp(0, z) - y * z).sum())
+            yield pa.RecordBatch.from_arrays([pa.array([g.tobytes()]), pa.array([float(e.sum())]), pa.array([loss])], ["g", "b", "loss"])
         return run
 
-    # minimise the mean loss plus l2/2 |w|^2 over v = ratio * w, each feature's
-    # step scaled by its curvature (its share of rows), with momentum
-    w, b = np.zeros(1 << BITS), float(np.log(ones / (rows - ones)))
-    past_w, past_b = w.copy(), b
-    typical = float(np.sqrt((n.sum(axis=0) * ratio**2).sum() / rows)) or 1.0
-    step = 4.0 / (typical**2 + l2)
-    for t in range(rounds):
-        look_w, look_b = w + t / (t + 3) * (w - past_w), b + t / (t + 3) * (b - past_b)
-        held = spark.sparkContext.broadcast((look_w * ratio, look_b))
-        got = table.mapInArrow(gradient(held), "g binary, b double").collect()
-        g = sum(np.frombuffer(r.g, np.float32).astype(np.float64) for r in got) * ratio / rows
-        past_w, past_b = w, b
-        w = look_w - step * (g + l2 / rows * look_w)
-        b = look_b - 4.0 / (1 + typical**2) * sum(r.b for r in got) / rows
+    def evaluate(v):
+        """Mean loss with its penalty, and slope, at scaled weights and bias ``v``."""
+        held = spark.sparkContext.broadcast((v[:-1] * ratio, v[-1]))
+        got = table.mapInArrow(slope(held), "g binary, b double, loss double").collect()
         held.destroy()
-    return Model(w * ratio, b)
+        g = np.append(sum(np.frombuffer(r.g) for r in got) * ratio, sum(r.b for r in got)) / rows
+        g[:-1] += l2 / rows * v[:-1]
+        return sum(r.loss for r in got) / rows + l2 / rows / 2 * float(v[:-1] @ v[:-1]), g
+
+    v = descend(evaluate, np.append(np.zeros(1 << BITS), np.log(ones / (rows - ones))), rounds)
+    return Model(v[:-1] * ratio, float(v[-1]))
+
+
+def descend(evaluate, v: np.ndarray, rounds: int, memory: int = 8) -> np.ndarray:
+    """Limited-memory BFGS with a halving step, at most ``rounds`` evaluations."""
+    loss, g = evaluate(v)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    length = 1.0 / max(1.0, float(np.linalg.norm(g)))
+    for _ in range(rounds - 1):
+        d, kept = -g, []
+        for s, y in reversed(steps):
+            a = float(s @ d) / float(s @ y)
+            kept.append(a)
+            d = d - a * y
+        if steps:
+            s, y = steps[-1]
+            d = d * (float(s @ y) / float(y @ y))
+        for (s, y), a in zip(steps, reversed(kept), strict=True):
+            d = d + (a - float(y @ d) / float(s @ y)) * s
+        new = v + length * d
+        new_loss, new_g = evaluate(new)
+        if not new_loss <= loss + 1e-4 * length * float(g @ d):
+            length /= 4
+            if length < 1e-10:
+                break
+            continue
+        s, y = new - v, new_g - g
+        if float(s @ y) > 1e-12:
+            steps = [*steps[1 - memory:], (s, y)]
+        if loss - new_loss < 1e-6 * loss:
+            return new
+        v, loss, g, length = new, new_loss, new_g, 1.0
+    return v
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
