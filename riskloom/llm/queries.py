@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, secrets, topk, toxicity, url_filter
+from . import fingerprints, near_dedup, secrets, topk, toxicity, url_filter
 from .common import read
 from .registry import ORACLE, QUERIES, query
 
@@ -68,3 +68,8 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_toxicity")
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op10_order_minhash")
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(read(spark, sf_dir, "documents"))
