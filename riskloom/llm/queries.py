@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, near_dedup, secrets, topk, toxicity, url_filter
+from . import fingerprints, mixing, near_dedup, secrets, topk, toxicity, url_filter
 from .common import read
 from .registry import ORACLE, QUERIES, query
 
@@ -73,3 +73,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_order_minhash")
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_classes(read(spark, sf_dir, "documents"))
+
+
+@query("op5_target_mix", mixing.oracle())
+def op5_target_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
