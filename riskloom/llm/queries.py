@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, near_dedup, secrets, topk, toxicity, url_filter
+from . import fingerprints, mixing, near_dedup, secrets, tool_calls, topk, toxicity, url_filter
 from .common import read
 from .registry import ORACLE, QUERIES, query
 
@@ -78,3 +78,58 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_target_mix", mixing.oracle())
 def op5_target_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
+
+
+#: conversations as tool use: a user's turn calls a tool, the turn after it (if the assistant's) is the result
+TOOLS = {
+    "ask": {"type": "object", "required": ["limit", "query"], "additionalProperties": False, "properties": {
+        "limit": {"type": "integer", "minimum": 1, "maximum": 60}, "query": {"type": "string", "minLength": 1, "maxLength": 1000}}},
+    "open": {"type": "object", "required": ["query", "turn"], "properties": {
+        "query": {"type": "string"}, "turn": {"type": "integer", "minimum": 1}}},
+}
+
+SQL_CALLS = r"""
+WITH u AS (
+  SELECT conv_id, 'call-' || turn AS call_id, turn, text, CASE WHEN turn % 4 < 2 THEN 'ask' ELSE 'open' END AS name,
+         coalesce(len(regexp_extract_all(text, '[^ \t\n\r]+')), 0) AS n FROM conversations WHERE role = 'user' AND turn IS NOT NULL),
+c AS (SELECT conv_id, call_id, min(turn) AS turn, min(text) AS text, min(name) AS name, arg_min(n, coalesce(text, '')) AS n, true AS called FROM u GROUP BY conv_id, call_id),
+r AS (SELECT conv_id, 'call-' || (turn - 1) AS call_id, min(turn) AS turn, min(text) AS content, true AS answered FROM conversations
+      WHERE role = 'assistant' AND turn IS NOT NULL GROUP BY conv_id, turn),
+l AS (  -- a chain of calls two turns apart: the level counts back to its start
+  SELECT conv_id, call_id, row_number() OVER (PARTITION BY conv_id, turn % 2, run ORDER BY turn) - 1 AS level, run
+  FROM (SELECT *, turn // 2 - row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS run FROM c)),
+j AS (
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, coalesce(c.turn, r.turn) AS turn, l.level, called, answered,
+         CASE WHEN called AND c.turn >= 2 AND l.level = 0 THEN 'call-' || (c.turn - 2) END AS missing, c.name, c.text, c.n, r.content
+  FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.call_id = r.call_id LEFT JOIN l ON c.conv_id = l.conv_id AND c.call_id = l.call_id),
+e AS (
+  SELECT *, CASE WHEN NOT called THEN NULL
+    WHEN name = 'ask' THEN nullif(concat_ws('; ', CASE WHEN n < 1 THEN '/limit: minimum 1' END, CASE WHEN n > 60 THEN '/limit: maximum 60' END,
+         CASE WHEN text IS NULL THEN '/query: not of type string' WHEN length(text) < 1 THEN '/query: minLength 1' WHEN length(text) > 1000 THEN '/query: maxLength 1000' END), '')
+    ELSE nullif(concat_ws('; ', CASE WHEN text IS NULL THEN '/query: not of type string' END, CASE WHEN turn < 1 THEN '/turn: minimum 1' END), '') END AS error,
+    CASE WHEN NOT called THEN NULL WHEN name = 'ask' THEN '{"limit":' || n || ',"query":' || coalesce(to_json(text)::VARCHAR, 'null') || '}'
+         ELSE '{"query":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"turn":' || turn || '}' END AS args FROM j)
+SELECT conv_id, call_id, turn, level, CASE WHEN called IS NULL THEN 'orphan' WHEN answered IS NULL THEN 'unanswered' ELSE 'linked' END AS status, missing,
+  CASE WHEN called THEN error IS NULL END AS valid, CASE WHEN called THEN error END AS error,
+  '{"arguments":' || coalesce(args, 'null') || ',"id":' || to_json(call_id)::VARCHAR || ',"name":' || coalesce(to_json(name)::VARCHAR, 'null')
+  || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS message
+FROM e
+"""
+
+
+@query("op4_tool_calls", SQL_CALLS)
+def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user turn is a call (named by its turn, its text the query, its words
+    the limit) that needs the call two turns earlier; each assistant turn is the
+    result of the turn before it."""
+    turns = read(spark, sf_dir, "conversations").where("turn is not null")
+    name = lambda t: F.concat(F.lit("call-"), t.cast("string"))
+    text, turn = F.col("text"), F.col("turn")
+    asks = turn % 4 < 2
+    keep = {"ignoreNullFields": "false"}
+    words = mixing.tokens_of(text)
+    arguments = F.when(asks, F.to_json(F.struct(words.alias("limit"), text.alias("query")), keep)).otherwise(F.to_json(F.struct(text.alias("query"), turn.alias("turn")), keep))
+    calls = turns.where("role = 'user'").select("conv_id", name(turn).alias("call_id"), "turn", F.when(asks, "ask").otherwise("open").alias("name"), arguments.alias("arguments"),
+                                                F.when(turn >= 2, F.array(name(turn - 2))).otherwise(F.array().cast("array<string>")).alias("needs"))
+    results = turns.where("role = 'assistant'").select("conv_id", name(turn - 1).alias("call_id"), "turn", text.alias("content"))
+    return tool_calls.link(calls, results, TOOLS)
