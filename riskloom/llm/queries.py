@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, near_dedup, secrets, tool_calls, topk, toxicity, url_filter
+from . import fingerprints, mixing, near_dedup, packing, secrets, tool_calls, topk, toxicity, url_filter
 from .common import read
 from .registry import ORACLE, QUERIES, query
 
@@ -133,3 +133,14 @@ def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                 F.when(turn >= 2, F.array(name(turn - 2))).otherwise(F.array().cast("array<string>")).alias("needs"))
     results = turns.where("role = 'assistant'").select("conv_id", name(turn - 1).alias("call_id"), "turn", text.alias("content"))
     return tool_calls.link(calls, results, TOOLS)
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op8_lexical_packing")
+def op8_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), vocabulary())
