@@ -39,29 +39,45 @@ WINDOW, END = 4096, 2
 K1, B = 1.2, 0.75
 
 
+TAIL = ".,;:!?"
+
+
 class WordTokens:
-    """Token ids of texts, by a tokenizer that drops white space: every run
-    between blanks and line ends is encoded by itself and remembered, at most
-    ``most`` runs at a time."""
+    """Token ids of texts, by a tokenizer that lower-cases and drops white space:
+    every run between blanks and line ends is encoded by itself and remembered,
+    at most ``most`` runs at a time.  A run of letters (up to U+00FF) with marks
+    at its end is looked up as its lower-case letters and its marks, which that
+    tokenizer splits anyway."""
 
-    def __init__(self, definition: str, kind: str, most: int = 200_000):
+    def __init__(self, definition: str, kind: str, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kind, self.most = Tokenizer.from_str(definition), kind, most
         self.known: dict[str, bytes] = {"": b""}
 
+    def _learn(self, runs) -> None:
+        runs = list(runs)
+        for r, e in zip(runs, self.tokenizer.encode_batch_fast(runs, add_special_tokens=False), strict=True):
+            self.known[r] = np.array(e.ids, dtype=self.kind).tobytes()
+
     def encode(self, text: str) -> bytes:
         runs = text.replace("\n", " ").split(" ")
         known = self.known
-        new = [r for r in dict.fromkeys(runs) if r not in known]
+        new = {r for r in runs if r not in known}
         if new:
-            if len(known) + len(new) > self.most:
+            if len(known) + 2 * len(new) > self.most:
                 known.clear()
                 known[""] = b""
-                new = [r for r in dict.fromkeys(runs) if r]
-            for r, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[r] = np.array(e.ids, dtype=self.kind).tobytes()
+                new = {r for r in runs if r}
+            parts = {}
+            for r in new:
+                core = r.rstrip(TAIL)
+                if core.isalpha() and max(core) <= "\xff":
+                    parts[r] = core.lower(), r[len(core):]
+            self._learn({x for pair in parts.values() for x in pair if x not in known} | (new - parts.keys()))
+            for r, (core, tail) in parts.items():
+                known[r] = known[core] + known[tail]
         return b"".join(map(known.__getitem__, runs))
 
 
