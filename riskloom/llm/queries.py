@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, near_dedup, packing, secrets, tool_calls, topk, toxicity, url_filter
+from . import fingerprints, mixing, near_dedup, packing, passages, secrets, tool_calls, topk, toxicity, url_filter
 from .common import read
 from .registry import ORACLE, QUERIES, query
 
@@ -144,3 +144,8 @@ def vocabulary() -> str:
 @query("op8_lexical_packing")
 def op8_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary())
+
+
+@query("op6_compact_windows")
+def op6_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(read(spark, sf_dir, "documents"))
