@@ -255,12 +255,15 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` with one document of each class: that with the
     class's smallest ``doc_id`` (once, if it is repeated).  Rows without an id
     stay if no row with an id has their text, once per text."""
-    at = fresh(docs.columns, "class_of")
+    at, n = fresh(docs.columns, "class_of"), fresh(docs.columns, "copies")
     classes = near_classes(docs.select("doc_id", "text"), **options)
-    kept = classes.where("doc_id <=> class_id").groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).select(F.col("class_id").alias(at), "n")
-    n = fresh(docs.columns, "copies")
-    rows = docs.join(kept.withColumnRenamed("n", n), docs["doc_id"].eqNullSafe(F.col(at)))
-    once = rows.where(F.col(n) == 1).select(*[docs[c] for c in docs.columns])
-    again = rows.where(F.col(n) > 1).select(*[docs[c] for c in docs.columns])
-    named = again.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return once.unionByName(named).unionByName(again.where("doc_id is null").dropDuplicates(["text"]))
+    kept = classes.where("doc_id = class_id").groupBy("class_id").agg(F.count(F.lit(1)).alias(n)).withColumnRenamed("class_id", at)
+    rows = docs.join(kept, docs["doc_id"] == kept[at])
+    own = [docs[c] for c in docs.columns]
+    out = rows.where(F.col(n) == 1).select(*own).unionByName(rows.where(F.col(n) > 1).select(*own).dropDuplicates(["doc_id"]))
+    nameless = docs.where("doc_id is null")
+    if nameless.isEmpty():
+        return out
+    digest = F.md5(F.coalesce("text", F.lit("")))
+    named = docs.where("doc_id is not null").select(digest.alias(at)).distinct()
+    return out.unionByName(nameless.join(named, digest == named[at], "left_anti").dropDuplicates(["text"]))
