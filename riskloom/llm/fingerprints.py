@@ -92,16 +92,16 @@ def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([match(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def with_next(df: DataFrame, columns: dict[str, str], rows: int = 4096) -> DataFrame:
+def with_next(df: DataFrame, columns: dict[str, str], rows: int = 1024, max_broadcast: int = 200_000) -> DataFrame:
     """Add, for ``{new: column}``, the column of the next row by ``doc_id`` (after
-    the last: the first).  ``df`` must have only ``doc_id``, ``text`` and columns
-    that follow from them.
+    the last: the first).  ``df`` has ``doc_id`` and ``text``; what follows from
+    the text is better made after this than moved with it.
 
     Rows are dealt into ranges of ``doc_id`` of about ``rows`` rows each; the
     first row of each range is also sent to the range before it as a guest, so
     no window spans more than one range.  The ranges' first ids are a narrow
-    table of one row per range; adaptive execution broadcasts it if its measured
-    size allows and joins it by a shuffle otherwise."""
+    table of one row per range; it is broadcast if their number, which is known
+    from the count, is at most ``max_broadcast``, and else joined by a shuffle."""
     span = df.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).first()
     lo, hi = (span.lo or 0), (span.hi or 0)
     width = max(1, -(-(hi - lo + 1) * rows // max(1, span.n)))
@@ -110,6 +110,8 @@ def with_next(df: DataFrame, columns: dict[str, str], rows: int = 4096) -> DataF
     heads = df.select("doc_id", bucket.alias("range_")).groupBy("range_").agg(F.min("doc_id").alias("first_"))
     line = Window.orderBy("range_")  # of the ranges, not of the rows
     heads = heads.select("first_", F.coalesce(F.lag("range_").over(line), F.max("range_").over(Window.partitionBy())).alias("to_"))
+    if (hi - lo + 1) // width + 2 <= max_broadcast:
+        heads = F.broadcast(heads)
     guests = dealt.drop("range_").join(heads, dealt.doc_id.eqNullSafe(heads.first_)).withColumnRenamed("to_", "range_").drop("first_")
     both = dealt.withColumn("guest_", F.lit(False)).unionByName(guests.withColumn("guest_", F.lit(True)))
     by = Window.partitionBy("range_").orderBy("guest_", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
@@ -127,9 +129,9 @@ def edited(text: Column, after: Column) -> Column:
 def edit_report(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how alike they
     (and the next document) look by their fingerprints."""
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("print", fingerprint("text"))
-    both = with_next(own, {"after": "text", "next_print": "print"})
-    both = both.withColumn("edit", edited(F.col("text"), F.col("after")))
-    out = both.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edit", 256).alias("edited_sha256"), "print", "next_print", fingerprint("edit").alias("edit_print"))
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    both = with_next(own, {"after": "text"}).withColumn("edit", edited(F.col("text"), F.col("after")))
+    out = both.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edit", 256).alias("edited_sha256"),
+                      fingerprint("text").alias("print"), fingerprint("after").alias("next_print"), fingerprint("edit").alias("edit_print"))
     return out.select("doc_id", "n_chars", "edited_sha256", F.lower(F.hex("print")).alias("fingerprint"), F.lower(F.hex("edit_print")).alias("edited_fingerprint"),
                       likeness("print", "edit_print").alias("near_edited"), likeness("print", "next_print").alias("near_next"))
