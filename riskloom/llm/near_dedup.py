@@ -163,8 +163,10 @@ def similarities(pairs: list[tuple[np.ndarray, np.ndarray]], least: float, cells
     while rest:
         todo = sorted(rest, key=lambda i: len(rest[i][0]))
         while todo:
-            some = todo[:max(1, cells // (2 * band + 1))]
-            todo = todo[len(some):]
+            n = max(1, cells // (2 * band + 1))
+            while n > 1 and n * (len(rest[todo[min(n, len(todo)) - 1]][0]) + 2 * band + 1) > 8 * cells:
+                n = n * 3 // 4  # long texts in smaller lots, so the arrays stay small
+            some, todo = todo[:n], todo[n:]
             found = banded_distances([rest[i] for i in some], band)
             for i, d in zip(some, found, strict=True):
                 if d <= min(band, most[i]):
@@ -180,12 +182,12 @@ def similarities(pairs: list[tuple[np.ndarray, np.ndarray]], least: float, cells
 
 def verifier(least: float):
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(at, 128) for b in batches for at in range(0, b.num_rows, 128)):
             sides = []
             for name in ("text_a", "text_b"):
                 data, offsets = text_bytes(batch.column(name))
                 _, _, doc, h = words(data, offsets)
-                sides.append(np.split(h | U(2), np.cumsum(np.bincount(doc, minlength=batch.num_rows))[:-1]) if batch.num_rows else [])
+                sides.append(np.split(h | U(2), np.cumsum(np.bincount(doc, minlength=batch.num_rows))[:-1]))
             s = similarities(list(zip(*sides, strict=True)), least)
             keep = np.flatnonzero(s >= least - 1e-12)
             yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(keep)), batch.column("b").take(pa.array(keep)), pa.array(s[keep])], ["a", "b", "similarity"])
