@@ -5,14 +5,16 @@ Seeded "random" order = md5 of ``'<seed>:<key>'``, first 32 bits as a BIGINT
 ties broken by the key itself.  Python's Mersenne Twister / NumPy / sklearn
 shuffles cannot be reproduced in SQL; sizes and invariants match instead.
 
-Ranking and running sums never use an un-partitioned ``Window.orderBy`` (that
-pulls every row into one task).  Rows are cut into order-preserving buckets — a
-monotone function of the first order column (the top bits of a 32-bit hash, or
-fixed-width ranges of the key) — so a hot group is spread over many buckets.
-Each (group, bucket) window is small; the offset of a bucket is the running
-total of the bucket counts, computed on a table with one row per (group,
-bucket).  No statistics are gathered before the plan runs.  Every step is a deterministic function of the row,
-so a recomputed task after an executor loss lands in the same place.
+Ranking and running sums never use an un-partitioned ``Window.orderBy`` over the
+rows.  Rows are cut into order-preserving buckets: equal parts of the range of a
+32-bit hash, or, for any other key (numbers of any spread, scores, strings), the
+stretches between sample quantiles of the whole order key.  The sample is the
+rows with the smallest hash of the key, a pure function of the data, so however
+often it is evaluated the cuts are the same; it is a scalar subquery of the plan
+and nothing runs while the plan is built.  Rows are shuffled once by (group,
+bucket); the windows and the bucket totals both read that shuffle, and the
+offset of a bucket is the running total over a table of at most ``MOST_CUTS + 1``
+rows a group.
 """
 
 from __future__ import annotations
@@ -23,7 +25,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TWO_POW_32 = 4294967296
-DEFAULT_BUCKETS = 4096
+#: equal parts of the range of a hash
+HASH_BUCKETS = 1 << 14
+#: rows of the sample, rows between two cuts, and so the most cuts there are
+SAMPLE, SPACING = 1 << 16, 16
+MOST_CUTS = SAMPLE // SPACING
 
 
 def hash_order(seed, key) -> Column:
@@ -42,23 +48,32 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-DEFAULT_WIDTH = 1 << 20
-
-
-def _bucket_col(df: DataFrame, first: str, buckets: int, bounds: tuple | None, width: float | None = None) -> Column:
-    """Order-preserving bucket of the first order column.
-
-    With known ``bounds`` (e.g. a 32-bit hash) the range is cut into
-    ``buckets`` equal parts.  Otherwise buckets have a fixed key width
-    (``width``, default 2^20): a bucket holds at most that many rows of a group
-    when the order key is unique within it, and the number of buckets grows
-    with the key range — no statistics job, nothing runs at plan time."""
-    x = F.col(first).cast("double")
-    if bounds is None:
-        return F.floor(x / F.lit(float(width or DEFAULT_WIDTH))).cast("long")
-    lo = F.lit(float(bounds[0]))
-    scale = F.lit(float(buckets) / max(float(bounds[1]) - float(bounds[0]), 1e-9))
-    return F.least(F.floor((x - lo) * scale), F.lit(buckets - 1)).cast("long")
+def sample_cuts(df: DataFrame, order: Sequence[str]) -> Column:
+    """Sorted cuts of the order key: every ``SPACING``-th of the ``SAMPLE`` keys
+    with the smallest hash, as a scalar subquery."""
+    key = F.struct(*[_c(o) for o in order])
+    least = df.select(key.alias("k")).orderBy(F.xxhash64("k")).limit(SAMPLE)
+    every = F.filter(F.array_sort(F.collect_list("k")), lambda _, i: i % SPACING == SPACING - 1)
+    return least.agg(every.alias("cuts")).scalar()
+
+
+def with_bucket(df: DataFrame, order: Sequence[str], bounds: tuple | None = None, out: str = "_rl_b") -> DataFrame:
+    """Add the order-preserving bucket of each row: with ``bounds`` equal parts
+    of the first order column's range, else the number of sample cuts at or
+    below the row's key (a binary search, one step a column)."""
+    if bounds is not None:
+        lo, hi = (float(b) for b in bounds)
+        scale = F.lit(HASH_BUCKETS / max(hi - lo, 1e-9))
+        part = F.floor((_c(order[0]).cast("double") - F.lit(lo)) * scale)
+        return df.withColumn(out, F.least(part, F.lit(HASH_BUCKETS - 1)).cast("int"))
+    cuts = sample_cuts(df, order)
+    t = df.withColumn("_rl_k", F.struct(*[_c(o) for o in order])).withColumn(out, F.lit(0))
+    step = MOST_CUTS
+    while step:
+        below = F.coalesce(F.get(cuts, F.col(out) + (step - 1)) <= F.col("_rl_k"), F.lit(False))
+        t = t.withColumn(out, F.col(out) + F.when(below, step).otherwise(0))
+        step //= 2
+    return t.drop("_rl_k")
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,17 +93,14 @@ def range_cumsum(
     by: Sequence[str] = (),
     out: str = "cum",
     inclusive: bool = True,
-    buckets: int = DEFAULT_BUCKETS,
     bounds: tuple | None = None,
     total_out: str | None = None,
-    width: float | None = None,
 ) -> DataFrame:
     """Running sum of ``value`` in ``order`` inside ``by`` groups
     (``sum(value) over (partition by by order by order rows unbounded preceding)``).
 
-    ``order`` must be a total order inside a group whose first column is
-    numeric (it defines the buckets); pass ``bounds=(lo, hi)`` when its range is
-    known (e.g. a 32-bit hash), otherwise buckets are ``width`` key units wide.
+    ``order`` must be a total order inside a group; pass ``bounds=(lo, hi)`` when
+    its first column is a hash spread evenly over that range.
     ``inclusive=False`` sums only the rows strictly before.
     ``value`` may be a dict ``{out_name: value}`` to compute several running
     sums in the same pass (one shuffle).  ``total_out`` names an extra
@@ -98,13 +110,11 @@ def range_cumsum(
     by = list(by)
     order = list(order)
     values = value if isinstance(value, dict) else {out: value}
-    b = _bucket_col(df, order[0], buckets, bounds, width)
-    t = df.withColumn("_rl_b", b)
-    names = []
-    for i, (name, v) in enumerate(values.items()):
-        col = F.lit(v) if isinstance(v, (int, float)) else _c(v)
-        t = t.withColumn(f"_rl_v{i}", col)
-        names.append(name)
+    t = with_bucket(df, order, bounds)
+    names = list(values)
+    for i, v in enumerate(values.values()):
+        t = t.withColumn(f"_rl_v{i}", F.lit(v) if isinstance(v, (int, float)) else _c(v))
+    t = t.repartition(*by, "_rl_b")  # the one shuffle that windows and totals share
     local_w = Window.partitionBy(*by, "_rl_b").orderBy(*[_c(o) for o in order]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy(*by).orderBy("_rl_b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
@@ -113,9 +123,10 @@ def range_cumsum(
     for i in range(len(names)):
         local = local.withColumn(f"_rl_l{i}", F.coalesce(F.sum(f"_rl_v{i}").over(local_w), F.lit(0)))
         aggs.append(F.sum(f"_rl_v{i}").alias(f"_rl_t{i}"))
-    # per-bucket totals: a partial (map-side) aggregate over the narrow value
-    # columns only, so this branch never carries the wide row
-    totals = t.groupBy(*by, "_rl_b").agg(*aggs)
+    # the totals read the same columns as the windows (a hash that is never null),
+    # so both share the one shuffle whatever the row carries
+    rest = [c for c, kind in t.dtypes if "map<" not in kind and "variant" not in kind]
+    totals = t.groupBy(*by, "_rl_b").agg(*aggs, F.max(F.xxhash64(*rest)).alias("_rl_all")).where("_rl_all is not null").drop("_rl_all")
     for i in range(len(names)):
         totals = totals.withColumn(f"_rl_o{i}", F.coalesce(F.sum(f"_rl_t{i}").over(before), F.lit(0)))
         offs.append(f"_rl_o{i}")
@@ -123,6 +134,8 @@ def range_cumsum(
         totals = totals.withColumn(total_out, F.coalesce(F.sum("_rl_t0").over(whole), F.lit(0)))
         offs.append(total_out)
     offsets = totals.select(*by, "_rl_b", *offs)
+    if not by:  # at most HASH_BUCKETS or MOST_CUTS + 1 rows
+        offsets = F.broadcast(offsets)
     joined = _null_safe_join(local, offsets, [*by, "_rl_b"])
     for i, name in enumerate(names):
         own = F.lit(0) if inclusive else F.coalesce(F.col(f"_rl_v{i}"), F.lit(0))
@@ -131,56 +144,15 @@ def range_cumsum(
     return joined.drop(*drop)
 
 
-def global_rank(
-    df: DataFrame,
-    order: Sequence[str],
-    by: Sequence[str] = (),
-    out: str = "rank",
-    buckets: int = DEFAULT_BUCKETS,
-    bounds: tuple | None = None,
-    width: float | None = None,
-) -> DataFrame:
+def global_rank(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), out: str = "rank",
+                bounds: tuple | None = None, total_out: str | None = None) -> DataFrame:
     """``row_number() over (partition by by order by order)`` (1-based) without
-    a single-task window; hot groups are split into buckets."""
-    r = range_cumsum(df, F.lit(1).cast("long"), order, by, out=out, buckets=buckets, bounds=bounds, width=width)
-    return r
-
+    a single-task window; hot groups are split into buckets.  ``total_out``:
+    the group's number of rows."""
+    return range_cumsum(df, F.lit(1).cast("long"), order, by, out=out, bounds=bounds, total_out=total_out)
 
-PREFIX_BYTES = 6
 
-
-def string_prefix_key(c) -> Column:
-    """Order-preserving integer of the first 6 UTF-8 bytes of a string
-    (Spark compares strings as UTF-8 bytes), in [0, 2^48): a numeric first
-    order column for ranking strings with the bucketed rank."""
-    s = F.col(c) if isinstance(c, str) else c
-    hexed = F.rpad(F.hex(F.substring(F.encode(s, "UTF-8"), 1, PREFIX_BYTES)), 2 * PREFIX_BYTES, "0")
-    return F.conv(hexed, 16, 10).cast("long")
-
-
-def string_rank(df: DataFrame, c: str, by: Sequence[str] = (), out: str = "rank",
-                buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """Rank rows by a string column (binary order, then the string itself)."""
-    t = df.withColumn("_rl_sp", string_prefix_key(c))
-    r = global_rank(t, ["_rl_sp", c], by, out=out, buckets=buckets, bounds=(0, 2 ** (8 * PREFIX_BYTES)))
-    return r.drop("_rl_sp")
-
-
-def hash_rank(df: DataFrame, seed, key: str, by: Sequence[str] = (), out: str = "rank",
-              buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def hash_rank(df: DataFrame, seed, key: str, by: Sequence[str] = (), out: str = "rank", total_out: str | None = None) -> DataFrame:
     """Rank rows in seeded hash order (``hash_order(seed, key)``, then ``key``)."""
     t = df.withColumn("_rl_h", hash_order(seed, key))
-    r = global_rank(t, ["_rl_h", key], by, out=out, buckets=buckets, bounds=(0, TWO_POW_32))
-    return r.drop("_rl_h")
-
-
-def with_count(df: DataFrame, by: Sequence[str] = (), out: str = "n") -> DataFrame:
-    """Attach the row count of each group (or of the whole table).
-
-    A global count is a scalar subquery (one value, no join); per-group
-    counts are a grouped aggregate joined back on the group key."""
-    by = list(by)
-    if not by:
-        return df.withColumn(out, df.agg(F.count(F.lit(1))).scalar())
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias(out))
-    return _null_safe_join(df, counts, by)
+    return global_rank(t, ["_rl_h", key], by, out=out, bounds=(0, TWO_POW_32), total_out=total_out).drop("_rl_h")

@@ -64,14 +64,14 @@ def label_encode(df: DataFrame, c: str, out: str, domain: Sequence | None = None
 
     With a fixed ``domain`` the codes are a literal map (data independent);
     otherwise the domain is the distinct values of this table (a grouped
-    aggregate), ranked with the bucketed string rank (no single-task window,
+    aggregate), ranked over sampled cuts of the strings (no single-task window,
     any cardinality) and joined back — AQE broadcasts the code table when its
     measured size is small."""
     if domain is not None:
         return df.withColumn(out, recode(c, {v: i for i, v in enumerate(sorted(domain))}))
-    from ..functions.ordering import string_rank
+    from ..functions.ordering import global_rank
     codes = df.select(c).where(F.col(c).isNotNull()).distinct()
-    codes = string_rank(codes, c, out="_code").select(c, (F.col("_code") - 1).cast("int").alias(out))
+    codes = global_rank(codes, [c], out="_code").select(c, (F.col("_code") - 1).cast("int").alias(out))
     return df.join(codes, c, "left")
 
 

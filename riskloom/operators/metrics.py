@@ -150,16 +150,15 @@ def evaluate(df: DataFrame, truth: str, pred: str, positive, names=("accuracy",
     return df.groupBy(*by).agg(*[METRICS[n](t, p, pos).alias(n) for n in names])
 
 
-def average_precision(df: DataFrame, score: str, label: str, positive=1, width: float | None = None) -> DataFrame:
+def average_precision(df: DataFrame, score: str, label: str, positive=1) -> DataFrame:
     """Area under the precision-recall curve as average precision:
     ``sum_k (R_k - R_{k-1}) * P_k`` over score thresholds (ties grouped),
     highest score first.  Per-score counts are a partial aggregate; the
-    cumulative counts a bucketed prefix sum (``width``: score units per
-    bucket).  Returns one row ``average_precision`` (NULL without positives)."""
+    cumulative counts a bucketed prefix sum, which also gives the number of
+    positives.  Returns one row ``average_precision`` (NULL without positives)."""
     pos = F.col(label) == F.lit(positive)
     per_score = df.groupBy(F.col(score).alias("_s")).agg(
         F.count_if(pos).alias("_tp"), F.count_if(~pos).alias("_fp")).withColumn("_neg", -F.col("_s"))
-    cum = range_cumsum(per_score, {"_ctp": F.col("_tp"), "_cfp": F.col("_fp")}, ["_neg"], width=width)
-    total = df.agg(F.count_if(pos)).scalar()
-    term = F.col("_tp") / total * F.col("_ctp") / (F.col("_ctp") + F.col("_cfp"))
-    return cum.agg(F.when(total == 0, F.lit(None).cast("double")).otherwise(F.sum(term)).alias("average_precision"))
+    cum = range_cumsum(per_score, {"_ctp": F.col("_tp"), "_cfp": F.col("_fp")}, ["_neg"], total_out="_pos")
+    term = F.col("_tp") / F.nullif("_pos", F.lit(0)) * F.col("_ctp") / (F.col("_ctp") + F.col("_cfp"))
+    return cum.agg(F.sum(term).alias("average_precision"))

@@ -12,10 +12,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordering import global_rank, hash_rank, hash_uniform, with_count
+from ..functions.ordering import global_rank, hash_order, hash_rank, hash_uniform
+
+#: so many rows at most are taken by a distributed top-n instead of a rank of all
+FEW = 10_000
 
 
 def _floor_of(n: Column, ratio: float) -> Column:
@@ -26,8 +30,7 @@ def split_exact(df: DataFrame, key: str, seed=10086, ratios=(0.7, 0.1), names=("
                 by: Sequence[str] = (), out: str = "split") -> DataFrame:
     """Exact sizes ``int(n*r1)``, ``int(n*r2)``, rest, in seeded hash order
     (per ``by`` group when given: stratified split)."""
-    t = with_count(df, by, "_n")
-    t = hash_rank(t, seed, key, by, out="_rank")
+    t = hash_rank(df, seed, key, by, out="_rank", total_out="_n")
     bounds = []
     acc = None
     for r in ratios:
@@ -67,8 +70,7 @@ def split_by_ratio(df: DataFrame, key: str, ratio_text: str = "6,2,2", seed=1234
     rs = [float(s) for s in ratio_text.split(",")]
     total = sum(rs)
     rs = [r / total for r in rs]
-    t = with_count(df, (), "_n")
-    t = hash_rank(t, seed, key, out="_rank")
+    t = hash_rank(df, seed, key, out="_rank", total_out="_n")
     n = F.col("_n").cast("double")
     cum = []
     acc = None
@@ -102,7 +104,10 @@ def local_id(df: DataFrame, split_col: str, order: Sequence[str], out: str = "id
 
 
 def sample_n(df: DataFrame, key: str, n: int, seed=42) -> DataFrame:
-    """Simple random sample of exactly ``min(n, count)`` rows."""
+    """Simple random sample of exactly ``min(n, count)`` rows: a top-n by the
+    seeded hash for few rows, a rank for many."""
+    if n <= FEW:
+        return df.withColumn("_h", hash_order(seed, key)).orderBy("_h", key).limit(n).drop("_h")
     return hash_rank(df, seed, key, out="_rank").where(F.col("_rank") <= n).drop("_rank")
 
 
@@ -139,18 +144,26 @@ def stratified_sample(df: DataFrame, key: str, label: str, fraction: float | Non
     return t.join(quotas, label, "inner").where(F.col("_rank") <= F.col("quota")).drop("_rank", "quota")
 
 
+def _first_ranked(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
+    """At least the first ``n`` rows in order, with ``_rank``: few rows by a
+    distributed top-n and a window over those, many by a rank of all."""
+    if n <= FEW:
+        return df.orderBy(*order).limit(n).withColumn("_rank", F.row_number().over(Window.orderBy(*order)))
+    return global_rank(df, order, out="_rank")
+
+
 def balance_cap(df: DataFrame, label: str, order: Sequence[str], positive=1, negative=0, total: int = 100) -> DataFrame:
     """All positives, then the first ``total - n_pos`` negatives in row order
     (none when positives already exceed the total)."""
     n_pos = df.agg(F.count_if(F.col(label) == F.lit(positive))).scalar()
-    negs = global_rank(df.where(F.col(label) == F.lit(negative)), order, out="_rank")
+    negs = _first_ranked(df.where(F.col(label) == F.lit(negative)), order, total)
     negs = negs.where(F.col("_rank") <= F.greatest(F.lit(total) - n_pos, F.lit(0))).drop("_rank")
     return df.where(F.col(label) == F.lit(positive)).unionByName(negs)
 
 
 def slice_rows(df: DataFrame, order: Sequence[str], start: int, stop: int) -> DataFrame:
     """Positional slice ``[start:stop]`` in an explicit order."""
-    t = global_rank(df, order, out="_rank")
+    t = _first_ranked(df, order, stop)
     return t.where((F.col("_rank") > start) & (F.col("_rank") <= stop)).drop("_rank")
 
 
@@ -181,14 +194,18 @@ def ratios_valid(ratios: Sequence[float]) -> bool:
     return math.isclose(sum(ratios), 1.0, abs_tol=1e-9)
 
 
-def cached_split(spark, df: DataFrame, key: str, path: str, seed=10086, ratios=(0.7, 0.1),
+def cached_split(spark, df: DataFrame, key: str, path: str, dataset: str, seed=10086, ratios=(0.7, 0.1),
                  names=("train", "dev", "test")) -> DataFrame:
-    """Split assignment computed once and kept as Parquet under ``path``
-    (keyed by seed and ratios in the folder name), read back on later runs."""
-    tag = f"seed={seed}/ratios={'_'.join(str(r) for r in ratios)}"
+    """Split assignment computed once and kept as Parquet under ``path``, in a
+    folder of the data set's name, the seed and the ratios; read back on later
+    runs.  Only a folder that does not exist yet is written; any other read
+    error is raised."""
+    tag = f"dataset={dataset}/seed={seed}/ratios={'_'.join(str(r) for r in ratios)}"
     target = f"{path.rstrip('/')}/{tag}"
     try:
         return spark.read.parquet(target)
-    except Exception:  # not written yet
-        split_exact(df.select(key), key, seed, ratios, names).write.mode("overwrite").parquet(target)
-        return spark.read.parquet(target)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    split_exact(df.select(key), key, seed, ratios, names).write.parquet(target)
+    return spark.read.parquet(target)

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordering import global_rank
-from ..session import checkpoint_dir
 from ..functions.text import ws_tokens
 
 # The HTML cleaning pipeline (pattern, replacement), applied in order.
@@ -45,29 +44,21 @@ def union_sources(parts: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def first_occurrence_words(df: DataFrame, key: str, text: str, stride: int = 1_000_000) -> DataFrame:
-    """Distinct white-space words with the position of their first occurrence
-    (``key * stride + word position``), a partial min-aggregate per word."""
+def first_occurrence_words(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Distinct white-space words with their first occurrence, the pair
+    ``(key, word position)``: a partial min-aggregate per word."""
     w = df.select(key, F.posexplode(ws_tokens(F.col(text))).alias("_p", "piece"))
-    return w.groupBy("piece").agg(F.min(F.col(key).cast("long") * F.lit(stride) + F.col("_p")).alias("_first"))
+    return w.groupBy("piece").agg(F.min(F.struct(F.col(key).alias("key"), F.col("_p").alias("pos"))).alias("_first"))
 
 
-def vocab_merge(base: DataFrame, extra: DataFrame, materialize: bool = True) -> DataFrame:
+def vocab_merge(base: DataFrame, extra: DataFrame) -> DataFrame:
     """Pieces of ``base`` (first-occurrence order) followed by the pieces of
     ``extra`` not in ``base``, de-duplicated, in their own first-occurrence
     order; positions re-numbered from 0.  Inputs: ``(piece, _first)``.
 
-    The vocabularies are read several times (key range, offsets, count,
-    ranks) and are far smaller than the corpus they come from, so they are
-    checkpointed once into the session's checkpoint folder (lineage cut,
-    survives executor loss) instead of re-exploding the corpus each time."""
-    if materialize and checkpoint_dir(base.sparkSession):
-        base = base.checkpoint(eager=True)
-        extra = extra.checkpoint(eager=True)
-    # first-occurrence keys are doc * 1e6 + position: buckets of ~1024 documents
-    w = 1024 * 1_000_000
-    a = global_rank(base, ["_first", "piece"], out="_r", width=w).select("piece", (F.col("_r") - 1).alias("pos"))
-    n_a = base.agg(F.count(F.lit(1))).scalar()
-    b = extra.join(base.select("piece"), "piece", "left_anti")
-    b = global_rank(b, ["_first", "piece"], out="_r", width=w).select("piece", (n_a + F.col("_r") - 1).alias("pos"))
-    return a.unionByName(b)
+    Both vocabularies meet in one aggregate per piece (a piece of ``base`` keeps
+    its place there), which is ranked once by (input, first occurrence)."""
+    both = base.select("piece", F.struct(F.lit(0).alias("no"), "_first").alias("_at")).unionByName(
+        extra.select("piece", F.struct(F.lit(1).alias("no"), "_first").alias("_at")))
+    merged = both.groupBy("piece").agg(F.min("_at").alias("_at"))
+    return global_rank(merged, ["_at", "piece"], out="_r").select("piece", (F.col("_r") - 1).alias("pos"))

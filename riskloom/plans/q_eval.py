@@ -339,5 +339,5 @@ def metrics_by_segment(spark, sf):
 def average_precision_q(spark, sf):
     d = T(spark, sf, "documents").select("doc_id", "n_chars")
     lab = T(spark, sf, "labels").select("doc_id", "quality")
-    ap = me.average_precision(d.join(lab, "doc_id"), "n_chars", "quality", 1, width=1024)
+    ap = me.average_precision(d.join(lab, "doc_id"), "n_chars", "quality", 1)
     return _round_cols(ap, ["average_precision"])

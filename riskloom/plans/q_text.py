@@ -19,7 +19,7 @@ def union_all_files(spark, sf):
 
 
 def _words_sql(table: str, key: str) -> str:
-    return (f"(SELECT piece, min({key} * 1000000 + p - 1) AS f FROM (SELECT {key}, unnest(l) AS piece, generate_subscripts(l, 1) AS p "
+    return (f"(SELECT piece, min(({key}, p)) AS f FROM (SELECT {key}, unnest(l) AS piece, generate_subscripts(l, 1) AS p "
             f"FROM (SELECT {key}, {sql_ws_tokens('text')} AS l FROM {table})) "
             "GROUP BY piece)")
 

@@ -12,25 +12,9 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, rebalance: bool = True) -> DataFrame:
-    """A driver table (one parquet file per table).
-
-    A scan yields one task per row group; a small table written as a single
-    row group would run every per-row step (rendering, tokenising, regexes)
-    in one task.  When the scan has fewer partitions than the cluster's
-    default parallelism, rows are hash-spread once on the table's key (its
-    first column; deterministic, no sort); on large inputs (more splits than
-    cores) this is a no-op."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if rebalance:
-        try:
-            cores = spark.sparkContext.defaultParallelism
-            splits = df.rdd.getNumPartitions()
-        except Exception:  # e.g. a Spark Connect session: leave the scan as is
-            return df
-        if splits < cores:
-            df = df.repartition(cores, df.columns[0])
-    return df
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table (parquet)."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def positional_csv(spark: SparkSession, path, ddl: str, sep: str = ",", header: bool = False) -> DataFrame:
@@ -39,6 +23,18 @@ def positional_csv(spark: SparkSession, path, ddl: str, sep: str = ",", header:
     return spark.read.schema(ddl).option("sep", sep).option("header", header).option("mode", "FAILFAST").csv(path)
 
 
+def named_csv(spark: SparkSession, path, types: dict[str, str], default: str = "STRING", sep: str = ",") -> DataFrame:
+    """Delimited file whose header names the columns: ``types`` declares the
+    type of some of them by name (in any order), the others are ``default``.
+    A declared name that the header lacks is an error, as is a bad value."""
+    raw = spark.read.option("sep", sep).option("header", True).csv(path)  # names only: nothing is inferred
+    missing = [c for c in types if c not in raw.columns]
+    if missing:
+        raise ValueError(f"{path}: no columns {missing}")
+    ddl = ", ".join(f"`{c}` {types.get(c, default)}" for c in raw.columns)
+    return spark.read.schema(ddl).option("sep", sep).option("header", True).option("mode", "FAILFAST").csv(path)
+
+
 def project_reorder(df: DataFrame, columns: Sequence[str], drop: Sequence[str] = ()) -> DataFrame:
     """Column pruning + re-ordering; a missing column is an error (analysis
     fails), never a silent NULL column.  Pruning reaches the scan."""
@@ -53,17 +49,15 @@ def jsonl(spark: SparkSession, path, ddl: str) -> DataFrame:
 
 
 def json_array(spark: SparkSession, path, ddl: str) -> DataFrame:
-    """A file holding one JSON array of objects.  A file that is not a list
-    (first non-blank character is not ``[``) or does not parse is an error;
-    only one character per file reaches the driver."""
-    heads = spark.read.text(path, wholetext=True).select(F.substring(F.ltrim("value"), 1, 1).alias("c"))
-    if any(r.c != "[" for r in heads.collect()):
-        raise ValueError(f"{path}: not a JSON list of records")
-    df = spark.read.schema(ddl + ", _corrupt_record STRING").option("multiLine", True).json(path)
-    first = df.columns[0]
-    if df.where(F.col("_corrupt_record").isNotNull()).select(first, "_corrupt_record").take(1):
-        raise ValueError(f"{path}: unparseable JSON records")
-    return df.drop("_corrupt_record")
+    """Files of one JSON array of objects each (small exports: Spark reads such a
+    file in one task; large data belongs in JSON lines).  A file that is no list
+    of objects is an error when it is read: a value that does not parse as the
+    record, or a top-level object, fails the query, and nothing is collected."""
+    lines = spark.read.option("wholetext", True).text(path)
+    records = F.from_json("value", f"ARRAY<STRUCT<{ddl}>>", {"mode": "FAILFAST"})
+    is_list = F.substring(F.ltrim("value"), 1, 1) == "["
+    checked = F.when(is_list, records).otherwise(F.raise_error(F.lit("not a JSON list of records")).cast(f"ARRAY<STRUCT<{ddl}>>"))
+    return lines.select(F.inline(checked))
 
 
 def arff(spark: SparkSession, paths: Sequence[str], ddl: str) -> DataFrame:

@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..session import checkpoint_dir
 
 
 def loss_source(spark: SparkSession, path: str, schema: str, max_files_per_trigger: int = 1) -> DataFrame:
@@ -73,15 +72,11 @@ def block_means(stream: DataFrame, run: str, step: str, loss: str, every: int) -
         _block_state_fn(every, step, loss), _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def run_available(df: DataFrame, name: str, output_mode: str = "append", fmt: str = "parquet",
-                  path: str | None = None) -> str:
-    """Process everything available now into ``path`` (parquet under the
-    checkpoint folder by default) and return the output location."""
-    spark = df.sparkSession
-    base = checkpoint_dir(spark)
-    out = path or os.path.join(base, "streams", name, "data")
-    ckpt = os.path.join(base, "streams", name, "checkpoint")
-    w = df.writeStream.outputMode(output_mode).option("checkpointLocation", ckpt).trigger(availableNow=True)
+def run_available(df: DataFrame, name: str, folder: str, output_mode: str = "append", fmt: str = "parquet") -> str:
+    """Process everything available now; data and stream checkpoint lie under
+    ``folder`` (shared storage on a cluster).  Returns the output location."""
+    out = os.path.join(folder, name, "data")
+    w = df.writeStream.outputMode(output_mode).option("checkpointLocation", os.path.join(folder, name, "checkpoint")).trigger(availableNow=True)
     if fmt == "memory":
         q = w.format("memory").queryName(name).start()
     else:

@@ -58,7 +58,7 @@ def test_hash_order_matches_duckdb(spark):
 
 def test_global_rank_equals_row_number(spark):
     o = spark.read.parquet(f"{SF01}/orders.parquet")
-    r = hash_rank(o, 7, "o_orderkey", by=["o_orderstatus"], buckets=64)
+    r = hash_rank(o, 7, "o_orderkey", by=["o_orderstatus"])
     got = sorted((a, b) for a, b in r.select("o_orderkey", "rank").collect())
     exp = sorted(duckdb.sql(
         f"select o_orderkey, row_number() over (partition by o_orderstatus order by ('0x'||substr(md5('7:'||o_orderkey::varchar),1,8))::BIGINT, o_orderkey) "
@@ -68,14 +68,14 @@ def test_global_rank_equals_row_number(spark):
 
 def test_rank_is_partition_invariant(spark):
     o = spark.read.parquet(f"{SF01}/orders.parquet").select("o_orderkey", "o_orderstatus")
-    a = global_rank(o, ["o_orderkey"], by=["o_orderstatus"], width=16)
-    b = global_rank(o.repartition(37), ["o_orderkey"], by=["o_orderstatus"], width=1000)
+    a = global_rank(o, ["o_orderkey"], by=["o_orderstatus"])
+    b = global_rank(o.repartition(37), ["o_orderkey"], by=["o_orderstatus"])
     assert sorted(a.collect()) == sorted(b.collect())
 
 
 def test_range_cumsum_with_null_groups(spark):
     df = spark.createDataFrame([(i, None if i % 4 == 0 else i % 3, float(i)) for i in range(40)], "k long, g long, v double")
-    r = range_cumsum(df, "v", ["k"], by=["g"], width=5)
+    r = range_cumsum(df, "v", ["k"], by=["g"])
     got = {row.k: row.cum for row in r.collect()}
     exp = {}
     for g in {None, 0, 1, 2}:
@@ -88,15 +88,41 @@ def test_range_cumsum_with_null_groups(spark):
     assert got == exp
 
 
-def test_string_rank_is_binary_order(spark):
-    from riskloom.functions.ordering import string_rank
+def _buckets(df, order):
+    from riskloom.functions.ordering import with_bucket
+    rows = with_bucket(df, order).groupBy("_rl_b").count().collect()
+    return len(rows), max(r["count"] for r in rows)
+
+
+def test_buckets_follow_the_data(spark):
+    n = 40_000
+    shared_prefix = spark.range(n).select(F.format_string("Customer#%09d", "id").alias("k"))
+    scores = spark.range(n).select((F.col("id") / n).alias("k"))
+    sparse = spark.range(n).select((F.xxhash64("id")).alias("k"))
+    skewed = spark.range(n).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), "id")
+    for df, order in ((shared_prefix, ["k"]), (scores, ["k"]), (sparse, ["k"]), (skewed, ["k", "id"])):
+        buckets, largest = _buckets(df, order)
+        assert 1000 < buckets < n // 10 and largest < 300
+        ranks = global_rank(df, order, out="r").select(F.struct(*order).alias("o"), "r").orderBy("o").collect()
+        assert [r.r for r in ranks] == list(range(1, n + 1))
+
+
+def test_rank_of_strings_is_binary_order(spark):
     words = ["b", "a", "aa", "a\x00", "Z", "é", "ab", "abcdefgh", "abcdefg", "abcdefgi", ""]
     df = spark.createDataFrame([(w,) for w in words], "w string")
-    got = [r.w for r in string_rank(df, "w", buckets=3).orderBy("rank").collect()]
-    assert len(got) == len(words)
+    got = [r.w for r in global_rank(df, ["w"]).orderBy("rank").collect()]
     assert got == sorted(words, key=lambda x: x.encode("utf-8"))
 
 
+def test_one_scan_per_split(spark):
+    from riskloom.operators import sampling as sp
+    o = spark.read.parquet(f"{SF01}/orders.parquet").select("o_orderkey", "o_orderstatus")
+    for df in (sp.split_exact(o, "o_orderkey"), sp.split_stratified(o, "o_orderkey", "o_orderstatus"), sp.sample_n(o, "o_orderkey", 50)):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("FileScan parquet") == 1
+
+
 def test_short_kind_matches_python(spark):
     from riskloom.functions.text import py_str
     vals = [0.05, 23.0, 1.5, 100.0, 0.0005, 1e-05, 1e16, 12345678.9, 68423.46, 0.1, -1.0, -0.5, 7.0]

@@ -179,9 +179,11 @@ def test_model_style_dispatch(spark):
 def test_cached_split_is_reused(spark, tmp_path):
     from riskloom.operators import sampling as sp
     base = spark.range(200).withColumnRenamed("id", "k")
-    a = sp.cached_split(spark, base, "k", str(tmp_path / "splits"))
-    b = sp.cached_split(spark, base, "k", str(tmp_path / "splits"))
+    a = sp.cached_split(spark, base, "k", str(tmp_path / "splits"), "one")
+    b = sp.cached_split(spark, base.where("false"), "k", str(tmp_path / "splits"), "one")
     assert sorted(a.collect()) == sorted(b.collect()) and a.count() == 200
+    other = sp.cached_split(spark, spark.range(5000, 5300).withColumnRenamed("id", "k"), "k", str(tmp_path / "splits"), "two")
+    assert other.count() == 300 and other.agg(F.min("k")).first()[0] == 5000
 
 
 def _hot_conversation(spark):
@@ -212,7 +214,7 @@ def test_token_samples_hot_conversation_matches_brute_force(spark):
 
 def test_split_long_conversations_multi_bucket(spark):
     rows, df = _hot_conversation(spark)
-    got = sorted(tuple(r) for r in sft.split_long_conversations(df, "c", "t", "role", "text", 25, width=7).collect())
+    got = sorted(tuple(r) for r in sft.split_long_conversations(df, "c", "t", "role", "text", 25).collect())
     exp = {}
     for c in {r[0] for r in rows}:
         start, pairs = 0, {}
@@ -231,7 +233,7 @@ def test_average_precision_brute_force(spark):
     rnd = random.Random(9)
     rows = [(rnd.randint(0, 30), 1 if rnd.random() < 0.3 else 0) for _ in range(400)]
     df = spark.createDataFrame(rows, "s long, y int")
-    got = me.average_precision(df, "s", "y", 1, width=4).first()[0]
+    got = me.average_precision(df, "s", "y", 1).first()[0]
     pos_total = sum(y for _, y in rows)
     ap, ctp, cfp = 0.0, 0, 0
     for s in sorted({s for s, _ in rows}, reverse=True):

@@ -2,7 +2,6 @@
 
 import json
 import os
-import tempfile
 
 import pytest
 
@@ -40,8 +39,12 @@ def test_json_array_must_be_a_list(spark, tmp):
     bad = os.path.join(tmp, "bad.json")
     with open(bad, "w") as f:
         f.write('{"doc_id": 1, "acc": "1.0"')
-    with pytest.raises(ValueError):
-        rd.json_array(spark, bad, "doc_id LONG, acc STRING")
+    with pytest.raises(Exception, match="JSON list"):
+        rd.json_array(spark, bad, "doc_id LONG, acc STRING").collect()
+    with open(bad, "w") as f:
+        f.write('[{"doc_id": 1, "acc": "1.0"')
+    with pytest.raises(Exception):  # noqa: B017 - the parser's own error
+        rd.json_array(spark, bad, "doc_id LONG, acc STRING").collect()
 
 
 def test_arff_union_in_file_order(spark, tmp):
@@ -78,16 +81,27 @@ def test_driver_contract(spark):
         assert qs[key](spark, SF001).count() >= 0
 
 
-def test_checkpoint_dir_respects_cluster_setting(spark):
+def test_checkpoint_dir_is_the_clusters_or_none(spark):
     from riskloom.session import checkpoint_dir
-    path = checkpoint_dir(spark)
-    assert path and spark.sparkContext.getCheckpointDir()
-    assert not path.startswith(tempfile.gettempdir()) or os.path.isdir(path.replace("file:", ""))
+    assert checkpoint_dir(spark) is None
+    spark.conf.set("spark.checkpoint.dir", "file:/shared/there")
+    assert checkpoint_dir(spark) == "file:/shared/there"
+    spark.conf.unset("spark.checkpoint.dir")
+
+
+def test_named_csv_takes_types_by_header_name(spark, tmp):
+    with open(os.path.join(tmp, "h.csv"), "w") as f:
+        f.write("b,a,c\n1,x,2.5\n,y,\n")
+    df = rd.named_csv(spark, f"{tmp}/h.csv", {"c": "DOUBLE", "b": "INT"})
+    assert dict(df.dtypes) == {"b": "int", "a": "string", "c": "double"}
+    assert sorted(map(tuple, df.collect()), key=str) == [(1, "x", 2.5), (None, "y", None)]
+    with pytest.raises(ValueError):
+        rd.named_csv(spark, f"{tmp}/h.csv", {"zz": "INT"})
 
 
 def test_json_object_is_not_a_list(spark, tmp):
     p = os.path.join(tmp, "obj.json")
     with open(p, "w") as f:
         json.dump({"doc_id": 1, "acc": "1.0"}, f)
-    with pytest.raises(ValueError):
-        rd.json_array(spark, p, "doc_id LONG, acc STRING")
+    with pytest.raises(Exception, match="JSON list"):
+        rd.json_array(spark, p, "doc_id LONG, acc STRING").collect()

@@ -23,10 +23,10 @@ def log_dir(spark, tmp_path):
     return str(tmp_path / "log" / "*"), df
 
 
-def test_stream_block_means_match_batch(spark, log_dir):
+def test_stream_block_means_match_batch(spark, log_dir, tmp_path):
     path, df = log_dir
     stream = lm.loss_source(spark, path, SCHEMA)
-    name = lm.run_available(lm.block_means(stream, "run", "step", "loss", 7), "blocks_test", fmt="memory")
+    name = lm.run_available(lm.block_means(stream, "run", "step", "loss", 7), "blocks_test", str(tmp_path), fmt="memory")
     got = sorted((r.run, r.block_no, round(r.mean_loss, 9), r.n) for r in spark.table(name).collect())
     exp = []
     for run in ("a", "b"):
@@ -35,10 +35,10 @@ def test_stream_block_means_match_batch(spark, log_dir):
     assert got == sorted(exp) and len(got) == 10
 
 
-def test_stream_windowed_loss(spark, log_dir):
+def test_stream_windowed_loss(spark, log_dir, tmp_path):
     path, df = log_dir
     stream = lm.loss_source(spark, path, SCHEMA)
-    name = lm.run_available(lm.windowed_loss(stream, "ts", "loss", "run", "1 hour"), "win_test",
+    name = lm.run_available(lm.windowed_loss(stream, "ts", "loss", "run", "1 hour"), "win_test", str(tmp_path),
                             output_mode="complete", fmt="memory")
     got = {(r.run, r.window_start): r.n for r in spark.table(name).collect()}
     exp = {(r.run, r.ws): r.n for r in df.groupBy("run", F.window("ts", "1 hour").start.alias("ws"))
