@@ -60,16 +60,19 @@ def ws_token_count(c) -> Column:
 
 
 def py_repr_str(c) -> Column:
-    """Python ``repr(str)`` for printable text: single quotes unless the text
-    holds a single quote and no double quote; backslash, quote and the common
-    control characters escaped."""
+    """Python ``repr(str)``: single quotes unless the text holds a single quote
+    and no double quote; backslash, quote, control characters and the other
+    characters up to U+00FF that Python does not print are escaped."""
     s = col(c)
-    base = F.regexp_replace(s, r"\\", r"\\\\")
-    base = F.regexp_replace(base, "\n", r"\\n")
-    base = F.regexp_replace(base, "\r", r"\\r")
-    base = F.regexp_replace(base, "\t", r"\\t")
+    base = F.replace(s, F.lit("\\"), F.lit("\\\\"))
+    for ch, esc in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        base = F.replace(base, F.lit(ch), F.lit(esc))
+    plain = base
+    for code in (*range(9), 11, 12, *range(14, 32), *range(127, 161), 173):
+        base = F.replace(base, F.lit(chr(code)), F.lit(f"\\x{code:02x}"))
+    base = F.when(s.rlike("[\\x{00}-\\x{1f}\\x{7f}-\\x{a0}\\x{ad}]"), base).otherwise(plain)
     use_double = s.contains("'") & ~s.contains('"')
-    single = F.concat(F.lit("'"), F.regexp_replace(base, "'", r"\\'"), F.lit("'"))
+    single = F.concat(F.lit("'"), F.replace(base, F.lit("'"), F.lit("\\'")), F.lit("'"))
     double = F.concat(F.lit('"'), base, F.lit('"'))
     return F.when(use_double, double).otherwise(single)
 
@@ -98,18 +101,37 @@ def _relayout_scientific(s: Column) -> Column:
     return F.regexp_replace(t, r"E-([0-9][0-9]+)$", "e-$1")
 
 
+def _shortest_whole(x: Column) -> Column:
+    """``repr`` of doubles in [1e16, 9.2e18): whole numbers, so the shortest of
+    15, 16 or 17 digits that reads back as the value is found in integers."""
+    size = F.abs(x).cast("long")
+    out = None
+    for digits in (17, 16, 15):
+        unit = F.when(size < 10 ** 17, 10 ** (17 - digits)).when(size < 10 ** 18, 10 ** (18 - digits)).otherwise(10 ** (19 - digits)).cast("long")
+        low = size - F.pmod(size, unit)
+        near = low + F.when(F.pmod(size, unit) * 2 > unit, unit).otherwise(F.lit(0))
+        fits = near.cast("double") == F.abs(x)
+        out = near if out is None else F.when(fits, near).otherwise(out)
+    text = out.cast("string")
+    body = F.regexp_replace(F.concat(F.substring(text, 1, 1), F.lit("."), F.substring(text, 2, 20)), r"\.?0+$", "")
+    return F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), body, F.lit("e+"), (F.length(text) - 1).cast("string"))
+
+
 def py_float_str(c) -> Column:
     """Python ``str(float)`` / ``repr(float)`` from Java's spelling.
 
-    Both print the shortest round-trip digits; they differ only in layout:
-    Java switches to ``d.dddE<n>`` outside [1e-3, 1e7), Python to
-    ``d.ddde±XX`` outside [1e-4, 1e16).  Only Java's scientific spellings are
-    rewritten; no Python worker is involved."""
+    Both print the shortest round-trip digits; they differ in layout: Java
+    switches to ``d.dddE<n>`` outside [1e-3, 1e7), Python to ``d.ddde±XX``
+    outside [1e-4, 1e16).  Only Java's scientific spellings are rewritten; no
+    Python worker is involved.  Java before 19 does not always print the shortest
+    digits from 1e16 on: up to 9.2e18 they are found in integer arithmetic here,
+    beyond that (and for subnormals) use ``py_float_str_exact``."""
     x = col(c).cast("double")
     s = x.cast("string")
     return (F.when(F.isnan(x), F.lit("nan"))
             .when(x == float("inf"), F.lit("inf"))
             .when(x == float("-inf"), F.lit("-inf"))
+            .when((F.abs(x) >= 1e16) & (F.abs(x) < 9.2e18), _shortest_whole(x))
             .when(s.contains("E"), _relayout_scientific(s))
             .otherwise(s))
 
@@ -121,6 +143,28 @@ def py_float_str_exact(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if pd.isna(v) else repr(float(v)))
 
 
+def py_fixed(c, n: int) -> Column:
+    """Python ``'%.nf'``: rounds the exact binary value, ties to even.
+
+    Java rounds the shortest decimal text half up.  The two can differ only where
+    that text has exactly ``n + 1`` decimals and ends in 5; there the double is
+    compared exactly with the tie (its fraction times 2^62 is a whole number for
+    values from 2^-10 on), and below the tie, or on it after an even digit, the
+    text is cut instead of rounded up."""
+    x = col(c).cast("double")
+    up = F.format_string(f"%.{n}f", x)
+    text = py_float_str(x)
+    tie = text.rlike(rf"^-?[0-9]+\.[0-9]{{{n}}}5$")
+    size = F.abs(x)
+    fraction = ((size - F.floor(size)) * F.lit(float(1 << 62))).cast("long").cast("decimal(19,0)") * F.lit(10 ** (n + 1)).cast(f"decimal({n + 2},0)")
+    half = F.substring_index(text, ".", -1).cast("long").cast("decimal(19,0)") * F.lit(1 << 62).cast("decimal(19,0)")
+    cut = F.regexp_replace(F.substring(text, F.lit(1), F.length(text) - 1), r"\.$", "")
+    even = F.substring(F.replace(cut, F.lit("."), F.lit("")), -1, 1).isin("0", "2", "4", "6", "8")
+    down = tie & (size >= 2.0 ** -10) & ((fraction < half) | ((fraction == half) & even))
+    return (F.when(F.isnan(x), F.lit("nan")).when(size == float("inf"), F.when(x > 0, F.lit("inf")).otherwise(F.lit("-inf")))
+            .when(down, cut).otherwise(up))
+
+
 def py_str(c, kind: str) -> Column:
     """Render a value the way Python ``str()`` renders the spec-declared kind.
 
@@ -135,10 +179,10 @@ def py_str(c, kind: str) -> Column:
     if kind == "str":
         return x.cast("string")
     if kind.startswith("fixed"):
-        return F.format_string(f"%.{int(kind[5:])}f", x.cast("double"))
+        return py_fixed(x, int(kind[5:]))
     if kind.startswith("short"):
         k, n = int(kind[5:].split("_fixed")[0]), int(kind.split("_fixed")[1])
-        fixed = F.format_string(f"%.{n}f", x.cast("double"))
+        fixed = py_fixed(x, n)
         if k < 5:
             # every spelling where Java and Python differ (scientific forms,
             # 1e-4 <= |x| < 1e-3, |x| >= 1e7) is at least 5 characters long in

@@ -138,11 +138,10 @@ def test_py_float_str_property(spark):
     for _ in range(3000):
         mant = round(rnd.uniform(-10, 10), rnd.randint(0, 17))
         v = mant * 10.0 ** rnd.randint(-12, 22)
-        # JDK 17's Double.toString is not always shortest for |x| >= 1e16 and
-        # subnormals (fixed in JDK 19); those values use py_float_str_exact
-        if abs(v) >= 1e16 or (v != 0 and abs(v) < 2.3e-308):
-            continue
-        vals.append(v)
+        if abs(v) < 9.2e18:
+            vals.append(v)
+    vals += [rnd.uniform(1e16, 9.2e18) * rnd.choice((1, -1)) for _ in range(3000)]
+    vals += [float(rnd.randint(10, 99)) * 10.0 ** rnd.randint(15, 17) for _ in range(300)] + [1e16, 1e17, 1e18, 9e18]
     vals += [round(rnd.uniform(0, 1e5), 2) for _ in range(500)]
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     got = [r[0] for r in df.select(py_float_str("x")).collect()]
@@ -155,3 +154,24 @@ def test_ws_token_count_matches_split(spark):
     texts = ["", "  a b\tc\x1c d  ", "　x　y", "one", "a b\x85c"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(ws_token_count("t")).collect()] == [len(t.split()) for t in texts]
+
+
+def test_fixed_text_rounds_like_python(spark):
+    import random
+
+    from riskloom.functions.text import py_str
+    rnd = random.Random(5)
+    vals = [1.0005, 2.675, 1.005, 0.125, 0.375, 2.5, 0.5, 1.5, -2.675, -0.125, 0.0005, 0.0015, 0.00049, 12345678.125, 1e22, 0.0, -0.0, 99.995, 0.045, 8.5]
+    vals += [round(rnd.uniform(-3, 300), k) for k in (1, 2, 3, 4, 5) for _ in range(3000)] + [rnd.uniform(-1e9, 1e9) for _ in range(2000)]
+    vals += [k / 2 ** j for j in range(1, 9) for k in range(1, 90)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    for n in (1, 2, 3):
+        got = [r[0] for r in df.select(py_str("x", f"fixed{n}")).collect()]
+        bad = [(v, g, f"{v:.{n}f}") for v, g in zip(vals, got) if g != f"{v:.{n}f}"]
+        assert not bad, bad[:5]
+
+
+def test_repr_escapes_what_python_escapes(spark):
+    texts = ["".join(chr(c) for c in range(lo, lo + 16)) for lo in range(0, 256, 16)] + ["a\\b'", "\x0b\x7f\xa0\xad"]
+    df = spark.createDataFrame([(t, "x") for t in texts], "a string, b string")
+    assert [r[0] for r in df.select(py_tuple2("a", "b")).collect()] == [str((t, "x")) for t in texts]
