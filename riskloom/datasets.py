@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .operators import features as ft
 from .operators import prompts as pr
-from .specs import GERMAN_PROMPT, DatasetSpec, FieldSpec, PromptSpec, RenderSpec
+from .specs import GERMAN_PROMPT, DatasetSpec, FairnessSpec, FieldSpec, PromptSpec, RenderSpec
 
 # German credit feature names (display text, in column order).
 GERMAN_NAMES = (
@@ -103,23 +103,76 @@ CCFRAUD = DatasetSpec(
     ),
 )
 
-# Travel insurance field names (table variant, Gender dropped).
+# Travel insurance columns, display names, descriptions and prompt
+# text (the spelling of the examples is part of the text).
+TRAVEL_RAW_DDL = ("agency STRING, agency_type STRING, channel STRING, product STRING, target STRING, duration INT, "
+                  "destination STRING, net_sales DOUBLE, commission DOUBLE, gender STRING, age INT")
 TRAVEL_DDL = ("agency STRING, agency_type STRING, channel STRING, product STRING, target STRING, duration INT, "
               "destination STRING, net_sales DOUBLE, commission DOUBLE, age INT")
 TRAVEL_NAMES = (("agency", "Agency"), ("agency_type", "Agency Type"), ("channel", "Distribution Channel"),
                 ("product", "Product Name"), ("duration", "Duration"), ("destination", "Destination"),
                 ("net_sales", "Net Sales"), ("commission", "Commission"), ("age", "Age"))
+TRAVEL_DESCRIPTIONS = ("Name of agency", "Type of travel insurance agencies", "Distribution channel of travel insurance agencies",
+                       "Name of the travel insurance products", "Duration of travel", "Destination of travel",
+                       "Amount of sales of travel insurance policies", "Commission received for travel insurance agency",
+                       "Age of insured")
+TRAVEL_EXAMPLE_NO = ("The insurance company has attributes: Agency: CBH, Agency Type: Travel Agency, Distribution Chanel: "
+                     "Offline, Product Name: Comprehensive Plan, Duration: 186, Destination: MALAYSIA, Net Sales: -29, "
+                     "Commision: 9.57, Age: 81.")
+TRAVEL_EXAMPLE_YES = ("The insurance company has attributes: Agency: C2B, Agency Type: Airlines, Distribution Channel: Online, "
+                      "Product Name: Bronze Plan, Duration: 18, Destination: SINGAPORE, Net Sales: 60.0, Commission: 15.0, "
+                      "Age: 36.")
+TRAVEL_INTRO = ("Identify the claim status of insurance companies using the following table attributes for travel insurance "
+                "status. Respond with only 'yes' or 'no', and do not provide any additional information. And the table "
+                "attributes including 5 categorical attributes and 4 numerical attributes are as follows: \n")
+TRAVEL_MOST_DAYS, TRAVEL_LEAST_DAYS, TRAVEL_MOST_AGE, TRAVEL_AGE_THRESHOLD = 731, 1, 99, 45
 _TRAVEL_KINDS = {"duration": "int", "age": "int", "net_sales": "float", "commission": "float"}
+_TRAVEL_FIELDS = tuple(FieldSpec(c, n, _TRAVEL_KINDS.get(c, "str"), description=d, type_tag="numerical" if c in _TRAVEL_KINDS else "categorical")
+                       for (c, n), d in zip(TRAVEL_NAMES, TRAVEL_DESCRIPTIONS, strict=True))
 TRAVEL = DatasetSpec(
     name="travel",
-    fields=tuple(FieldSpec(c, n, _TRAVEL_KINDS.get(c, "str")) for c, n in TRAVEL_NAMES),
+    fields=_TRAVEL_FIELDS,
     label_col="target",
     positive_labels=("Yes",),
     render=RenderSpec(template=" {name}: {value}", sep=",", end=".", prefix="The insurance company has attributes:"),
-    prompt=PromptSpec(instruction="", choices=("yes", "no"), task="travel insurance claim"),
+    prompt=PromptSpec(
+        instruction=pr.field_header(_TRAVEL_FIELDS, TRAVEL_INTRO) + f"For instance, '{TRAVEL_EXAMPLE_NO}' should be classified as 'no'.",
+        choices=("yes", "no"),
+        task="fraudulent claim status",
+        debias_prompt=("When evaluating the claim status of insurance companies, please ensure that your assessment is free "
+                       "from any biases related to age. Focus solely on the insurance attributes provided."),
+        counter_factual_prompt=("Your assessment must stay the same even if age changes. Stay neutral and base your claim "
+                                "status judgment only on the insurance attributes provided."),
+        example1=(TRAVEL_EXAMPLE_NO, "no"),
+        example2=(TRAVEL_EXAMPLE_YES, "yes"),
+    ),
 )
 
 
+def travel_clean(df: DataFrame) -> DataFrame:
+    """Cleaning in front of the Travel prompts: durations over 731 days become
+    731, those below 1 the truncated mean of all (capped) durations, ages over 99
+    become 99, and the gender column goes."""
+    t = ft.impute_clip(df, "duration", TRAVEL_MOST_DAYS, TRAVEL_LEAST_DAYS, "_days")
+    t = t.withColumn("duration", F.col("_days").cast("int")).withColumn("age", F.least("age", F.lit(TRAVEL_MOST_AGE)))
+    return t.select(*[c for c in df.columns if c != "gender"])
+
+
+# Protected groups of the three bias studies: label, favourable value, group
+# column (see ``*_groups``), privileged and unprivileged value.
+GERMAN_FAIRNESS = (
+    FairnessSpec("label", 1, "foreign_grp", "A202", "A201"),
+    FairnessSpec("label", 1, "age_grp", "<= 45", "> 45"),
+    FairnessSpec("label", 1, "gender_grp", 0, 1),
+)
+CCFRAUD_FAIRNESS = (FairnessSpec("fraudRisk", 0, "gender", 1, 2),)
+TRAVEL_FAIRNESS = (FairnessSpec("target", "No", "age_grp", f"<= {TRAVEL_AGE_THRESHOLD}", f"> {TRAVEL_AGE_THRESHOLD}"),)
+
+
+def travel_groups(df: DataFrame) -> DataFrame:
+    return df.withColumn("age_grp", ft.threshold_bucket("age", TRAVEL_AGE_THRESHOLD))
+
+
 def prompt_records(df: DataFrame, spec: DatasetSpec, add_debias: bool = False, add_counter_factual: bool = False,
                    row_key: str | None = None, keep: tuple = ()) -> DataFrame:
     """Prompt record per row: ``text``, ``normal_query``, ``chat_query``,
@@ -174,14 +227,13 @@ def bias_slices(df: DataFrame, groups: dict, order: list, n: int = 50) -> DataFr
     return out
 
 
-# Australian credit: attribute names are the rule "A1".."A14"; the first,
-# fourth to sixth and eighth to fourteenth attributes are integers.
-_AUS_FLOATS = (2, 3, 7)
-AUSTRALIAN_DDL = ", ".join(f"A{i} {'DOUBLE' if i in _AUS_FLOATS else 'INT'}" for i in range(1, 15)) + ", label INT"
+# Australian credit: attribute names are the rule "A1".."A14"; the rows pass
+# through one numeric matrix, so every value prints as a float ("0.0").
+AUSTRALIAN_DDL = ", ".join(f"A{i} DOUBLE" for i in range(1, 15)) + ", label INT"
 # Australian prompt text.
 AUSTRALIAN = DatasetSpec(
     name="australian",
-    fields=tuple(FieldSpec(f"A{i}", f"A{i}", "float" if i in _AUS_FLOATS else "int") for i in range(1, 15)),
+    fields=tuple(FieldSpec(f"A{i}", f"A{i}", "float") for i in range(1, 15)),
     label_col="label",
     positive_labels=(1,),
     render=RenderSpec(template=" {name}: {value}", sep=",", end=".", prefix="The client has attributes:"),

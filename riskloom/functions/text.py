@@ -146,23 +146,28 @@ def py_float_str_exact(s: pd.Series) -> pd.Series:
 def py_fixed(c, n: int) -> Column:
     """Python ``'%.nf'``: rounds the exact binary value, ties to even.
 
-    Java rounds the shortest decimal text half up.  The two can differ only where
-    that text has exactly ``n + 1`` decimals and ends in 5; there the double is
+    Java rounds the shortest decimal half up.  The two can differ only where that
+    decimal has exactly ``n + 1`` places and ends in 5; there the double is
     compared exactly with the tie (its fraction times 2^62 is a whole number for
     values from 2^-10 on), and below the tie, or on it after an even digit, the
-    text is cut instead of rounded up."""
+    last place is cut instead of rounded up.  All of it is decimal arithmetic in
+    generated code, for the few values near a tie only."""
     x = col(c).cast("double")
     up = F.format_string(f"%.{n}f", x)
-    text = py_float_str(x)
-    tie = text.rlike(rf"^-?[0-9]+\.[0-9]{{{n}}}5$")
     size = F.abs(x)
+    scaled = size * F.lit(float(10 ** n))
+    near = (size >= 2.0 ** -10) & (size < 1e14) & (F.abs(scaled - F.floor(scaled) - 0.5) <= scaled * 1e-14 + 1e-9)
+    shortest = size.cast(f"decimal(30,{n + 1})")  # rounds the shortest decimal, keeps it if it fits
+    units = (shortest * F.lit(10 ** (n + 1)).cast(f"decimal({n + 2},0)")).cast("decimal(38,0)").cast("long")
+    tie = (shortest.cast("double") == size) & (units % 10 == 5)
     fraction = ((size - F.floor(size)) * F.lit(float(1 << 62))).cast("long").cast("decimal(19,0)") * F.lit(10 ** (n + 1)).cast(f"decimal({n + 2},0)")
-    half = F.substring_index(text, ".", -1).cast("long").cast("decimal(19,0)") * F.lit(1 << 62).cast("decimal(19,0)")
-    cut = F.regexp_replace(F.substring(text, F.lit(1), F.length(text) - 1), r"\.$", "")
-    even = F.substring(F.replace(cut, F.lit("."), F.lit("")), -1, 1).isin("0", "2", "4", "6", "8")
-    down = tie & (size >= 2.0 ** -10) & ((fraction < half) | ((fraction == half) & even))
+    half = (units % 10 ** (n + 1)).cast("decimal(9,0)") * F.lit(1 << 62).cast("decimal(19,0)")
+    low = F.call_function("div", units - 5, F.lit(10))
+    cut = low.cast("decimal(19,0)") * F.lit(10.0 ** -n).cast(f"decimal({n + 1},{n})")
+    signed = F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), cut.cast("string"))
+    down = tie & ((fraction < half) | ((fraction == half) & (low % 2 == 0)))
     return (F.when(F.isnan(x), F.lit("nan")).when(size == float("inf"), F.when(x > 0, F.lit("inf")).otherwise(F.lit("-inf")))
-            .when(down, cut).otherwise(up))
+            .when(~near, up).when(down, signed).otherwise(up))
 
 
 def py_str(c, kind: str) -> Column:

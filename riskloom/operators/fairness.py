@@ -72,22 +72,13 @@ def fairness_metrics(df: DataFrame, spec: FairnessSpec, truth: str, pred: str, b
 
 def fairness_report(df: DataFrame, specs: Sequence[FairnessSpec], truth: str, pred: str) -> DataFrame:
     """Long report ``(metric, attribute, value)`` over several protected
-    attributes: the attributes are unpivoted to ``(attribute, grp)`` rows
-    (``stack``) so one grouped aggregate serves all of them."""
-    parts = []
-    for s in specs:
-        parts.append(
-            df.select(
-                F.col(truth).alias("_t"), F.col(pred).alias("_p"), F.lit(s.protected_col).alias("attribute"),
-                F.when(_is(F.col(s.protected_col), s.unprivileged), F.lit("u"))
-                .when(_is(F.col(s.protected_col), s.privileged), F.lit("p")).alias("_g"),
-                F.lit(str(s.favorable)).alias("_fav"),
-            )
-        )
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
-    long = long.where(F.col("_g").isNotNull())
+    attributes: each row is exploded once to its ``(attribute, group)`` pairs, so
+    the input is read once and one grouped aggregate serves all of them."""
+    pairs = F.array(*[F.struct(
+        F.lit(s.protected_col).alias("attribute"),
+        F.when(_is(F.col(s.protected_col), s.unprivileged), F.lit("u")).when(_is(F.col(s.protected_col), s.privileged), F.lit("p")).alias("_g"),
+        F.lit(str(s.favorable)).alias("_fav")) for s in specs])
+    long = df.select(F.col(truth).alias("_t"), F.col(pred).alias("_p"), F.inline(pairs)).where(F.col("_g").isNotNull())
     fav_t = F.col("_t").cast("string") == F.col("_fav")
     fav_p = F.col("_p").cast("string") == F.col("_fav")
 

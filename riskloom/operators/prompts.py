@@ -90,6 +90,11 @@ def typed_header(schema, fields: Sequence[FieldSpec], intro: str) -> str:
     return out
 
 
+def field_header(fields: Sequence[FieldSpec], intro: str) -> str:
+    """Header block of fields that declare their type tag themselves."""
+    return intro + "".join(f"{f.display}: {f.description or f.display} ({f.type_tag}). \n" for f in fields)
+
+
 def assemble(text: Column, instruction: str, debias: str = "", counter_factual: str = "",
              add_debias: bool = False, add_counter_factual: bool = False, marker: str = " \nText: ",
              quote_text: bool = True, answer_cue: str = NORMAL_SUFFIX):

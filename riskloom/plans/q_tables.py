@@ -220,7 +220,16 @@ def prompt_header_named(spark, sf):
     return p.select("p_partkey", pr.render_fields(fields, spec).alias("text"))
 
 
-LINE_FIELDS = (("l_quantity", "Quantity"), ("l_extendedprice", "Extended price"), ("l_discount", "Discount"), ("l_tax", "Tax"))
+# products and halves have more decimals than are printed, so the text is rounded
+LINE_VALUES = {"l_quantity": "l_quantity / 8", "net": "l_extendedprice * (1 - l_discount)", "taxed": "l_extendedprice * l_discount * l_tax", "l_tax": "l_tax"}
+LINE_FIELDS = (("l_quantity", "Quantity"), ("net", "Net price"), ("taxed", "Taxed discount"), ("l_tax", "Tax"))
+
+
+def _line_values(spark, sf):
+    return T(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *[F.expr(e).cast("double").alias(c) for c, e in LINE_VALUES.items()])
+
+
+_LINES = "(SELECT l_orderkey, l_linenumber, " + ", ".join(f"({e})::DOUBLE AS {c}" for c, e in LINE_VALUES.items()) + " FROM lineitem)"
 
 
 def _line_sql(fmt):
@@ -229,11 +238,11 @@ def _line_sql(fmt):
 
 
 @query("prompt_fixed_precision",
-       f"SELECT l_orderkey, l_linenumber, {_line_sql(lambda c: f'printf(' + chr(39) + '%.3f' + chr(39) + f', {c})')} AS text FROM lineitem")
+       f"SELECT l_orderkey, l_linenumber, {_line_sql(lambda c: f'printf(' + chr(39) + '%.3f' + chr(39) + f', {c})')} AS text FROM {_LINES}")
 def prompt_fixed_precision(spark, sf):
     fields = [FieldSpec(c, d, "fixed3") for c, d in LINE_FIELDS]
     spec = RenderSpec(template="{name}: {value}", sep=", ", end=".", prefix="The line has attributes: ")
-    return T(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", pr.render_fields(fields, spec).alias("text"))
+    return _line_values(spark, sf).select("l_orderkey", "l_linenumber", pr.render_fields(fields, spec).alias("text"))
 
 
 def _cond_sql(c):
@@ -242,11 +251,11 @@ def _cond_sql(c):
 
 
 @query("prompt_conditional_precision",
-       f"SELECT l_orderkey, l_linenumber, {_line_sql(_cond_sql)} AS text FROM lineitem")
+       f"SELECT l_orderkey, l_linenumber, {_line_sql(_cond_sql)} AS text FROM {_LINES}")
 def prompt_conditional_precision(spark, sf):
     fields = [FieldSpec(c, d, "short4_fixed2") for c, d in LINE_FIELDS]
     spec = RenderSpec(template="{name}: {value}", sep=", ", end=".", prefix="The line has attributes: ")
-    return T(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", pr.render_fields(fields, spec).alias("text"))
+    return _line_values(spark, sf).select("l_orderkey", "l_linenumber", pr.render_fields(fields, spec).alias("text"))
 
 
 PROSE_FIELDS = (

@@ -102,10 +102,10 @@ def test_bias_slices_first_n_per_group(spark):
 
 def test_australian_text_and_query(spark):
     from riskloom.datasets import AUSTRALIAN, AUSTRALIAN_DDL
-    row = (0, 21.67, 11.5, 1, 5, 3, 0.0, 1, 1, 11, 1, 2, 0, 1, 1)
+    row = (*map(float, (0, 21.67, 11.5, 1, 5, 3, 0, 1, 1, 11, 1, 2, 0, 1)), 1)
     r = prompt_records(spark.createDataFrame([row], AUSTRALIAN_DDL), AUSTRALIAN).first()
-    assert r.text == ("The client has attributes: A1: 0, A2: 21.67, A3: 11.5, A4: 1, A5: 5, A6: 3, A7: 0.0, A8: 1, "
-                      "A9: 1, A10: 11, A11: 1, A12: 2, A13: 0, A14: 1.")
+    assert r.text == ("The client has attributes: A1: 0.0, A2: 21.67, A3: 11.5, A4: 1.0, A5: 5.0, A6: 3.0, A7: 0.0, A8: 1.0, "
+                      "A9: 1.0, A10: 11.0, A11: 1.0, A12: 2.0, A13: 0.0, A14: 1.0.")
     assert r.normal_query == AUSTRALIAN.prompt.instruction + " \nText: " + r.text + " \n Answer:"
     assert (r.answer, r.gold) == ("good", 0)
 
@@ -185,3 +185,34 @@ def test_polish_from_arff(spark, tmp_path):
                              "total liabilities / total assets: None, working capital / total assets: 1.5, ")
     assert r.text.endswith("sales / fixed assets: 1.5.")
     assert (r.answer, r.gold) == ("yes", 1)
+
+
+def test_travel_prompt_and_cleaning(spark):
+    from riskloom import datasets as ds
+    rows = [("EPX", "Travel Agency", "Online", "2 way Comprehensive Plan", "No", 6, "CHINA", 33.0, 0.0, None, 35),
+            ("C2B", "Airlines", "Online", "Bronze Plan", "Yes", 4000, "SINGAPORE", 60.0, 15.0, "F", 118),
+            ("CWT", "Travel Agency", "Online", "Rental", "No", -1, "ITALY", -19.8, 11.88, "M", 41),
+            ("CWT", "Travel Agency", "Online", "Rental", "No", 0, "ITALY", -19.8, 11.88, "M", 41)]
+    clean = ds.travel_clean(spark.createDataFrame(rows, ds.TRAVEL_RAW_DDL))
+    assert clean.columns == [c.split()[0] for c in ds.TRAVEL_DDL.split(", ")]
+    got = {r.agency + str(i): r for i, r in enumerate(clean.orderBy("age", "duration").collect())}
+    mean = int((6 + 731 - 1 + 0) / 4)
+    assert sorted((r.duration, r.age) for r in got.values()) == sorted([(6, 35), (731, 99), (mean, 41), (mean, 41)])
+    r = prompt_records(clean, ds.TRAVEL, add_debias=True).where("text LIKE '%EPX%'").first()
+    assert r.text == ("The insurance company has attributes: Agency: EPX, Agency Type: Travel Agency, Distribution Channel: Online, "
+                      "Product Name: 2 way Comprehensive Plan, Duration: 6, Destination: CHINA, Net Sales: 33.0, Commission: 0.0, Age: 35.")
+    head = r.normal_query[:r.normal_query.index("For instance")]
+    assert head.startswith("Identify the claim status") and head.endswith("Age: Age of insured (numerical). \n") and head.count("(categorical). \n") == 5
+    assert "should be classified as 'no'. \nText: '" + r.text + "' \nNote: When evaluating" in r.normal_query and r.normal_query.endswith(" \nAnswer:")
+    assert (r.answer, r.gold, r.task, r.example.example2.output) == ("no", 1, "fraudulent claim status", "yes")
+
+
+def test_bias_study_specs(spark):
+    from riskloom import datasets as ds
+    from riskloom.operators import fairness as fa
+    cc = spark.createDataFrame([(g, 0 if i < n else 1) for g, n in ((2, 64), (1, 66)) for i in range(70)], "gender int, fraudRisk int")
+    travel = spark.createDataFrame([(a, "No" if i < 58 else "Yes") for a in (30, 60) for i in range(60)], "age int, target string")
+    assert round(cc.agg(fa.disparate_impact(cc, "fraudRisk", ds.CCFRAUD_FAIRNESS[0])).first()[0], 6) == 0.969697
+    travel = ds.travel_groups(travel)
+    assert travel.agg(fa.disparate_impact(travel, "target", ds.TRAVEL_FAIRNESS[0])).first()[0] == 1.0
+    assert [s.protected_col for s in ds.GERMAN_FAIRNESS] == ["foreign_grp", "age_grp", "gender_grp"]
