@@ -1,8 +1,9 @@
 """Instruction-tuning data path: conversations -> token samples -> blocks.
 
 Token ids come from a pluggable tokenizer Column function; the default is a
-white-space tokenizer (Python ``str.split()``) with ids ``pmod(xxhash64(t),
-vocab) + 3`` (0 pad, 1 bos, 2 eos), all JVM-side.  A real tokenizer can be
+white-space tokenizer (Python ``str.split()``) whose ids are the first four hex
+digits of the token's md5 plus 3 (0 pad, 1 bos, 2 eos), all JVM-side, so SQL can
+recompute every id.  A real tokenizer can be
 passed as a ``pandas_udf`` returning ``array<int>``.
 
 Per-conversation work (assembling turns, masking, truncation) groups by the
@@ -20,15 +21,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordering import global_rank, range_cumsum
-from ..functions.text import ws_token_count, ws_tokens
+from ..functions.text import ws_tokens
 from ..specs import HUMAN_TURN, HUMAN_TURN_COMPACT, IGNORE_INDEX
 
 PAD_ID, BOS_ID, EOS_ID = 0, 1, 2
-VOCAB = 32000
 
 
-def ws_token_ids(text: Column, vocab: int = VOCAB) -> Column:
-    return F.transform(ws_tokens(text), lambda t: (F.pmod(F.xxhash64(t), F.lit(vocab)) + 3).cast("int"))
+def ws_token_ids(text: Column) -> Column:
+    return F.transform(ws_tokens(text), lambda t: F.conv(F.substring(F.md5(t), 1, 4), 16, 10).cast("int") + 3)
 
 
 Tokenizer = Callable[[Column], Column]
@@ -139,22 +139,24 @@ def inference_context(turns: DataFrame, conv: str, turn: str, role: str, text: s
                       tokenizer: Tokenizer = ws_token_ids) -> DataFrame:
     """All turns but the last, compact human template, EOS after non-human
     turns, no labels, truncated; conversations whose context holds no
-    ``Human`` text are skipped.  The last turn comes from a partial aggregate;
-    only the first ``max_len`` turns per conversation enter the window."""
-    by_conv = Window.partitionBy(conv)
+    ``Human`` text are skipped.
+
+    Whether ``Human`` occurs is a partial aggregate over the whole context; the
+    length limit applies to the tokens alone: turn offsets are a bucketed prefix
+    sum, so a long conversation is spread over tasks and only the turns that
+    start below ``max_len`` are collected."""
     human = is_human(F.col(role))
     rendered = render_turn(F.col(role), F.col(text), compact=True)
     ids = tokenizer(rendered)
     ids = F.when(human, ids).otherwise(F.concat(ids, F.array(F.lit(EOS_ID))))
     last = turns.groupBy(conv).agg(F.max(turn).alias("_last"))
-    t = first_turns(turns, conv, turn, max_len).join(last, conv).where(F.col(turn) < F.col("_last"))
-    t = t.select(conv, turn, ids.alias("ids"), rendered.contains("Human").alias("_human")).withColumn("n", F.size("ids"))
-    w = by_conv.orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumn("_start", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    g = t.groupBy(conv).agg(F.max(F.col("_human").cast("int")).alias("_has_human"),
-                           F.sort_array(F.collect_list(F.when(F.col("_start") < max_len, F.struct(F.col(turn).alias("t"), "ids")))).alias("_p"))
+    t = turns.join(last, conv).where(F.col(turn) < F.col("_last"))
+    named = t.groupBy(conv).agg(F.max(rendered.contains("Human")).alias("_has_human")).where("_has_human").select(conv)
+    t = t.select(conv, turn, ids.alias("ids")).withColumn("n", F.size("ids").cast("long"))
+    t = range_cumsum(t, "n", [turn], by=[conv], out="_start", inclusive=False).where(F.col("_start") < max_len)
+    g = t.groupBy(conv).agg(F.sort_array(F.collect_list(F.struct(F.col(turn).alias("t"), "ids"))).alias("_p"))
     ids_all = F.slice(F.flatten(F.transform("_p", lambda x: x["ids"])), 1, max_len)
-    return g.where(F.col("_has_human") == 1).select(conv, ids_all.alias("input_ids"))
+    return g.join(named, conv).select(conv, ids_all.alias("input_ids"))
 
 
 def pack_blocks(docs: DataFrame, group: str, order: str, text: str, block: int, eos: bool = True,
@@ -171,12 +173,9 @@ def pack_blocks(docs: DataFrame, group: str, order: str, text: str, block: int,
     ids = tokenizer(F.col(text))
     if eos:
         ids = F.concat(ids, F.array(F.lit(eos_id)))
-    # the length is a token count (no id hashing) so the offsets branch stays cheap
-    n_tok = ws_token_count(F.col(text)) if tokenizer is ws_token_ids else F.size(tokenizer(F.col(text)))
-    length = n_tok + F.lit(1 if eos else 0)
-    t = docs.select(group, order, text, length.alias("_len")).where(F.col("_len") > 0)
+    # tokenised once, in the scan; from there only ids move
+    t = docs.select(group, order, ids.alias("_ids")).withColumn("_len", F.size("_ids").cast("long")).where(F.col("_len") > 0)
     t = range_cumsum(t, "_len", [order], by=[group], out="_start", inclusive=False, total_out="_total")
-    t = t.withColumn("_ids", ids).drop(text)
     full = F.floor(F.col("_total") / block)
     limit = F.when(F.lit(keep_short) & (F.col("_total") < block), F.lit(1)).otherwise(full)
     first_b = F.floor(F.col("_start") / block)
@@ -197,15 +196,18 @@ def pack_blocks(docs: DataFrame, group: str, order: str, text: str, block: int,
 
 
 def preference_rows(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
-    """``prompt`` = first turn, ``chosen`` = second turn, ``rejected`` = last
-    turn (conversations with at least three turns) — partial aggregates."""
-    g = turns.groupBy(conv).agg(
-        F.min_by(text, turn).alias("prompt"),
-        F.max_by(text, turn).alias("rejected"),
-        F.first(F.when(F.col(turn) == 1, F.col(text)), ignorenulls=True).alias("chosen"),
-        F.count(F.lit(1)).alias("_n"),
-    )
-    return g.where(F.col("_n") >= 3).drop("_n")
+    """``prompt`` = the text up to the first assistant turn, ``chosen`` = the
+    first and ``rejected`` = the last assistant turn; conversations without two
+    assistant turns are skipped.  Partial aggregates; only the turns in front of
+    the first answer are collected."""
+    said = turns.where(F.lower(role) == "assistant").groupBy(conv).agg(
+        F.min(turn).alias("_first"), F.min_by(text, turn).alias("chosen"), F.max_by(text, turn).alias("rejected"), F.count(F.lit(1)).alias("_n"))
+    said = said.where(F.col("_n") >= 2)
+    lead = turns.join(said.select(conv, "_first"), conv).where(F.col(turn) < F.col("_first"))
+    lead = lead.groupBy(conv).agg(F.sort_array(F.collect_list(F.struct(F.col(turn).alias("t"), F.col(text).alias("v")))).alias("_l"))
+    out = said.join(lead, conv, "left")
+    prompt = F.array_join(F.transform("_l", lambda x: x["v"]), "\n")
+    return out.select(conv, F.coalesce(prompt, F.lit("")).alias("prompt"), "chosen", "rejected")
 
 
 def stack_pairs(pref: DataFrame, conv: str) -> DataFrame:
@@ -235,13 +237,28 @@ def align_token_probs(df: DataFrame, key: str, probs: str) -> DataFrame:
 
 def split_long_conversations(turns: DataFrame, conv: str, turn: str, role: str, text: str, max_tokens: int,
                              tokenizer: Tokenizer = ws_token_ids) -> DataFrame:
-    """Cut conversations at turn pairs into segments of ``max_tokens``: pair
-    sizes are partial aggregates, the pair offsets a bucketed prefix sum per
-    conversation (a huge conversation is spread over buckets), segment =
+    """Cut conversations into segments of ``max_tokens`` in front of a human
+    turn: a pair is a human turn with what follows it up to the next one (a
+    leading system turn goes with the first), numbered by a running count of
+    human turns.  Both the count and the pair offsets are bucketed prefix sums
+    per conversation, so a huge conversation is spread over tasks; segment =
     ``offset // max_tokens``."""
     t = turn_tokens(turns, conv, turn, role, text, tokenizer, with_labels=False)
-    pairs = t.groupBy(conv, F.floor(F.col(turn) / 2).alias("pair")).agg(
+    t = t.select(conv, turn, "n", is_human(F.col(role)).cast("long").alias("_human"))
+    t = range_cumsum(t, "_human", [turn], by=[conv], out="pair")
+    pairs = t.groupBy(conv, F.greatest("pair", F.lit(1)).alias("pair")).agg(
         F.sum("n").alias("pair_tokens"), F.count(F.lit(1)).alias("pair_turns"))
     pairs = range_cumsum(pairs, "pair_tokens", ["pair"], by=[conv], out="start", inclusive=False)
     return pairs.groupBy(conv, F.floor(F.col("start") / max_tokens).cast("long").alias("segment")).agg(
         F.sum("pair_turns").cast("long").alias("n_turns"), F.sum("pair_tokens").cast("long").alias("n_tokens"))
+
+
+def pad_batches(samples: DataFrame, key: str, batch: int = 8, multiple: int = 8) -> DataFrame:
+    """Batches of ``batch`` samples in key order, each padded on the right to the
+    batch's longest sample rounded up to ``multiple`` (ids with the pad id, mask
+    with 0, labels with -100): one rank, one window over a batch."""
+    t = global_rank(samples, [key], out="_rank").withColumn("batch_no", F.floor((F.col("_rank") - 1) / batch).cast("long"))
+    longest = F.max(F.size("input_ids")).over(Window.partitionBy("batch_no"))
+    t = t.withColumn("padded_len", (F.ceil(longest / multiple) * multiple).cast("long")).drop("_rank")
+    fill = lambda c, v: F.concat(c, F.array_repeat(F.lit(v), (F.col("padded_len") - F.size(c)).cast("int")))
+    return t.withColumns({"input_ids": fill("input_ids", PAD_ID), "attention_mask": fill("attention_mask", 0), "labels": fill("labels", IGNORE_INDEX)})

@@ -3,19 +3,18 @@
 packing streams), ``benchmark`` (exam items) and ``embeddings`` (stored
 probabilities).
 
-Token ids are hash-based, so the oracles compare what SQL can recompute
-independently: token counts, masked/kept counts, padding counts, block spans.
+Token ids follow from md5, so the oracles recompute every id, label and mask;
+arrays are compared by the md5 of their joined text.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.ordering import global_rank
 from ..operators import prompts as pr
 from ..operators import sft
-from ..specs import IGNORE_INDEX
-from .registry import T, q, query, sql_ws_count
+from ..specs import HUMAN_TURN, HUMAN_TURN_COMPACT, IGNORE_INDEX
+from .registry import T, q, query, sql_digest, sql_token_ids, sql_ws_count
 
 HUMAN_SQL = "lower(role) IN ('human', 'user')"
 SFT_MAX = 256
@@ -30,20 +29,24 @@ def _count_if(arr, pred):
     return F.size(F.filter(arr, pred)).cast("long")
 
 
-def _turn_sql(compact_context: bool = False) -> str:
-    base = "conversations"
-    if compact_context:
-        base = ("(SELECT c.* FROM conversations c JOIN (SELECT conv_id AS cid, max(turn) AS last FROM conversations GROUP BY conv_id) m "
-                "ON c.conv_id = m.cid WHERE c.turn < m.last)")
-    return (f"t AS (SELECT conv_id, turn, role, text, {HUMAN_SQL} AS hum, "
-            f"{sql_ws_count('text')} + CASE WHEN {HUMAN_SQL} THEN 2 ELSE 1 END AS n FROM {base}), "
-            "s AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st FROM t) ")
+def digest(c):
+    """md5 of an array's joined values."""
+    return F.md5(F.array_join(F.transform(c, lambda x: x.cast("string")), ","))
+
+
+def _ids_sql(around) -> str:
+    """Ids of a rendered turn, EOS after a non-human one."""
+    human = sql_token_ids(f"{q(around[0])} || text || {q(around[1])}")
+    return f"CASE WHEN {HUMAN_SQL} THEN {human} ELSE list_append({sql_token_ids('text')}, {sft.EOS_ID}) END"
 
 
 def _trunc_sql(max_len: int) -> str:
-    return (f"WITH {_turn_sql()}, c AS (SELECT *, greatest(0, least(n, {max_len} - st)) AS cn FROM s), "
-            "g AS (SELECT conv_id, CAST(sum(cn) AS BIGINT) AS n_input, CAST(sum(CASE WHEN hum THEN cn ELSE 0 END) AS BIGINT) AS n_masked, "
-            "CAST(sum(CASE WHEN hum THEN 0 ELSE cn END) AS BIGINT) AS n_kept FROM c GROUP BY conv_id) ")
+    return (f"WITH t AS (SELECT conv_id, turn, {HUMAN_SQL} AS hum, {_ids_sql(HUMAN_TURN)} AS ids FROM conversations), "
+            f"l AS (SELECT *, CASE WHEN hum THEN list_transform(ids, lambda x: {IGNORE_INDEX}) ELSE ids END AS labels FROM t), "
+            f"a AS (SELECT conv_id, list_slice(flatten(list(ids ORDER BY turn)), 1, {max_len}) AS ids, "
+            f"list_slice(flatten(list(labels ORDER BY turn)), 1, {max_len}) AS labels FROM l GROUP BY conv_id), "
+            f"g AS (SELECT conv_id, ids, labels, CAST(len(ids) AS BIGINT) AS n_input, CAST(len(list_filter(labels, lambda x: x = {IGNORE_INDEX})) AS BIGINT) AS n_masked, "
+            f"CAST(len(list_filter(labels, lambda x: x <> {IGNORE_INDEX})) AS BIGINT) AS n_kept FROM a) ")
 
 
 def samples(spark, sf, max_len):
@@ -52,14 +55,13 @@ def samples(spark, sf, max_len):
 
 @query("conversation_assemble",
        "SELECT conv_id, count(*) AS n_turns, string_agg(CASE WHEN lower(role) = 'user' THEN 'human' ELSE lower(role) END, ',' ORDER BY turn) AS roles, "
-       "CAST(sum(length(text)) AS BIGINT) AS total_chars FROM conversations GROUP BY conv_id")
+       "md5(string_agg(text, chr(30) ORDER BY turn)) AS texts_md5 FROM conversations GROUP BY conv_id")
 def conversation_assemble(spark, sf):
     c = sft.assemble_conversations(turns(spark, sf), "conv_id", "turn", "role", "text")
     return c.select(
         "conv_id", F.size("conversations").cast("long").alias("n_turns"),
         F.array_join(F.transform("conversations", lambda x: x["from"]), ",").alias("roles"),
-        F.aggregate(F.transform("conversations", lambda x: F.length(x["value"]).cast("long")), F.lit(0).cast("long"),
-                    lambda a, b: a + b).alias("total_chars"))
+        F.md5(F.array_join(F.transform("conversations", lambda x: x["value"]), "\x1e")).alias("texts_md5"))
 
 
 @query("conversation_convert",
@@ -88,73 +90,75 @@ def sft_render(spark, sf):
     return t.select("conv_id", "turn", sft.render_turn(F.col("role"), F.col("text")).alias("rendered"))
 
 
-@query("sft_mask_labels", _trunc_sql(SFT_MAX) + "SELECT * FROM g")
+_COUNTS = "conv_id, n_input, n_masked, n_kept"
+
+
+@query("sft_mask_labels", _trunc_sql(SFT_MAX) + f"SELECT {_COUNTS}, {sql_digest('ids')} AS ids_md5, {sql_digest('labels')} AS labels_md5 FROM g")
 def sft_mask_labels(spark, sf):
     s = samples(spark, sf, SFT_MAX)
     return s.select("conv_id", F.size("input_ids").cast("long").alias("n_input"),
                     _count_if("labels", lambda x: x == IGNORE_INDEX).alias("n_masked"),
-                    _count_if("labels", lambda x: x != IGNORE_INDEX).alias("n_kept"))
+                    _count_if("labels", lambda x: x != IGNORE_INDEX).alias("n_kept"), digest("input_ids").alias("ids_md5"), digest("labels").alias("labels_md5"))
 
 
-@query("sft_repair_masked",
-       _trunc_sql(REPAIR_MAX) + "SELECT conv_id, CAST(n_kept = 0 AS INTEGER) AS repaired, "
-       "CAST(CASE WHEN n_kept = 0 THEN greatest(0, least(n_input, 24) - 18) ELSE n_kept END AS BIGINT) AS n_kept_after FROM g")
+_REPAIRED = ("CASE WHEN n_kept = 0 THEN list_concat(list_slice(labels, 1, 18), list_concat(list_slice(ids, 19, 24), list_slice(labels, 25, n_input))) ELSE labels END")
+
+
+@query("sft_repair_masked", _trunc_sql(REPAIR_MAX) + f"SELECT conv_id, CAST(n_kept = 0 AS INTEGER) AS repaired, {sql_digest(_REPAIRED)} AS labels_md5 FROM g")
 def sft_repair_masked(spark, sf):
     s = samples(spark, sf, REPAIR_MAX)
     all_masked = F.forall("labels", lambda x: x == IGNORE_INDEX)
     fixed = sft.repair_masked(F.col("input_ids"), F.col("labels"))
-    return s.select("conv_id", all_masked.cast("int").alias("repaired"),
-                    _count_if(fixed, lambda x: x != IGNORE_INDEX).alias("n_kept_after"))
+    return s.select("conv_id", all_masked.cast("int").alias("repaired"), digest(fixed).alias("labels_md5"))
 
 
-@query("sft_drop_all_masked", _trunc_sql(REPAIR_MAX - 1) + "SELECT conv_id, n_input FROM g WHERE n_kept > 0")
+@query("sft_drop_all_masked", _trunc_sql(REPAIR_MAX - 1) + f"SELECT conv_id, {sql_digest('ids')} AS ids_md5, {sql_digest('labels')} AS labels_md5 FROM g WHERE n_kept > 0")
 def sft_drop_all_masked(spark, sf):
     s = samples(spark, sf, REPAIR_MAX - 1)
-    return s.where(sft.has_label(F.col("labels"))).select("conv_id", F.size("input_ids").cast("long").alias("n_input"))
+    return s.where(sft.has_label(F.col("labels"))).select("conv_id", digest("input_ids").alias("ids_md5"), digest("labels").alias("labels_md5"))
+
 
+def _padded_sql(side: str, label_pad: int, to: str = str(SFT_MAX)) -> str:
+    def both(a, value):
+        fill = f"list_transform(range(greatest({to} - n_input, 0)), lambda x: {value})"
+        return sql_digest(f"list_concat({fill}, {a})" if side == "left" else f"list_concat({a}, {fill})")
+    mask = "list_transform(ids, lambda x: 1)"
+    return f"{both('ids', sft.PAD_ID)} AS ids_md5, {both(mask, 0)} AS mask_md5, {both('labels', label_pad)} AS labels_md5"
 
-@query("pad_fixed_left",
-       _trunc_sql(SFT_MAX) + f"SELECT conv_id, CAST(greatest({SFT_MAX}, n_input) AS INTEGER) AS padded_len, "
-       f"CAST(greatest({SFT_MAX} - n_input, 0) AS BIGINT) AS n_pad, CAST(n_input < {SFT_MAX} AS INTEGER) AS lead_is_pad, "
-       f"CAST(greatest({SFT_MAX} - n_input, 0) AS BIGINT) AS n_label_pad FROM g")
+
+def _padded(s):
+    return s.select("conv_id", digest("input_ids").alias("ids_md5"), digest("attention_mask").alias("mask_md5"), digest("labels").alias("labels_md5"))
+
+
+@query("pad_fixed_left", _trunc_sql(SFT_MAX) + f"SELECT conv_id, {_padded_sql('left', sft.PAD_ID)} FROM g")
 def pad_fixed_left(spark, sf):
-    s = sft.pad_sample(samples(spark, sf, SFT_MAX), SFT_MAX, "left", label_pad=sft.PAD_ID)
-    return s.select("conv_id", F.size("input_ids").alias("padded_len"),
-                    _count_if("attention_mask", lambda x: x == 0).alias("n_pad"),
-                    (F.col("input_ids")[0] == sft.PAD_ID).cast("int").alias("lead_is_pad"),
-                    _count_if("labels", lambda x: x == sft.PAD_ID).alias("n_label_pad"))
+    return _padded(sft.pad_sample(samples(spark, sf, SFT_MAX), SFT_MAX, "left", label_pad=sft.PAD_ID))
 
 
-@query("pad_fixed_right",
-       _trunc_sql(SFT_MAX) + f"SELECT conv_id, CAST(greatest({SFT_MAX}, n_input) AS INTEGER) AS padded_len, "
-       f"CAST(greatest({SFT_MAX} - n_input, 0) AS BIGINT) AS n_pad, CAST(n_input < {SFT_MAX} AS INTEGER) AS tail_is_pad, "
-       f"CAST(greatest({SFT_MAX} - n_input, 0) + n_masked AS BIGINT) AS n_label_ignored FROM g")
+@query("pad_fixed_right", _trunc_sql(SFT_MAX) + f"SELECT conv_id, {_padded_sql('right', IGNORE_INDEX)} FROM g")
 def pad_fixed_right(spark, sf):
-    s = sft.pad_sample(samples(spark, sf, SFT_MAX), SFT_MAX, "right", label_pad=IGNORE_INDEX)
-    return s.select("conv_id", F.size("input_ids").alias("padded_len"),
-                    _count_if("attention_mask", lambda x: x == 0).alias("n_pad"),
-                    (F.element_at("input_ids", -1) == sft.PAD_ID).cast("int").alias("tail_is_pad"),
-                    _count_if("labels", lambda x: x == IGNORE_INDEX).alias("n_label_ignored"))
+    return _padded(sft.pad_sample(samples(spark, sf, SFT_MAX), SFT_MAX, "right", label_pad=IGNORE_INDEX))
 
 
-_CTX_SQL = (f"WITH {_turn_sql(compact_context=True)}, c AS (SELECT *, greatest(0, least(n, 2048 - st)) AS cn FROM s) "
-            f"SELECT conv_id, CAST(sum(cn) AS INTEGER) AS n_context FROM c GROUP BY conv_id "
-            f"HAVING bool_or(hum OR contains(text, 'Human'))")
+_CTX_SQL = ("WITH m AS (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY conv_id), "
+            f"t AS (SELECT c.conv_id, turn, {_ids_sql(HUMAN_TURN_COMPACT)} AS ids, {HUMAN_SQL} OR contains(text, 'Human') AS named "
+            "FROM conversations c JOIN m ON c.conv_id = m.conv_id WHERE turn < last), "
+            "g AS (SELECT conv_id, list_slice(flatten(list(ids ORDER BY turn)), 1, 2048) AS ids FROM t GROUP BY conv_id HAVING bool_or(named)) ")
 
 
-@query("infer_context", _CTX_SQL)
+@query("infer_context", _CTX_SQL + f"SELECT conv_id, CAST(len(ids) AS INTEGER) AS n_context, {sql_digest('ids')} AS ids_md5 FROM g")
 def infer_context(spark, sf):
     c = sft.inference_context(turns(spark, sf), "conv_id", "turn", "role", "text", 2048)
-    return c.select("conv_id", F.size("input_ids").alias("n_context"))
+    return c.select("conv_id", F.size("input_ids").alias("n_context"), digest("input_ids").alias("ids_md5"))
 
 
-@query("filter_has_human", "SELECT conv_id FROM (" + _CTX_SQL + ")")
+@query("filter_has_human", _CTX_SQL + "SELECT conv_id FROM g")
 def filter_has_human(spark, sf):
     return sft.inference_context(turns(spark, sf), "conv_id", "turn", "role", "text", 2048).select("conv_id")
 
 
 @query("split_long_conversation",
-       f"WITH t AS (SELECT conv_id, turn // 2 AS pair, {sql_ws_count('text')} + CASE WHEN {HUMAN_SQL} THEN 2 ELSE 1 END AS n FROM conversations), "
+       f"WITH t AS (SELECT conv_id, greatest(sum(CAST({HUMAN_SQL} AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY turn), 1) AS pair, {sql_ws_count('text')} + CASE WHEN {HUMAN_SQL} THEN 2 ELSE 1 END AS n FROM conversations), "
        "p AS (SELECT conv_id, pair, sum(n) AS pn, count(*) AS nt FROM t GROUP BY conv_id, pair), "
        "s AS (SELECT *, coalesce(sum(pn) OVER (PARTITION BY conv_id ORDER BY pair ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st FROM p) "
        f"SELECT conv_id, CAST(st // {SFT_MAX} AS BIGINT) AS segment, CAST(sum(nt) AS BIGINT) AS n_turns, CAST(sum(pn) AS BIGINT) AS n_tokens "
@@ -164,13 +168,12 @@ def split_long_conversation(spark, sf):
 
 
 @query("batch_pad",
-       _trunc_sql(SFT_MAX) + ", b AS (SELECT conv_id, n_input, (row_number() OVER (ORDER BY conv_id) - 1) // 8 AS batch_no FROM g) "
-       "SELECT conv_id, CAST(batch_no AS BIGINT) AS batch_no, CAST(ceil(max(n_input) OVER (PARTITION BY batch_no) / 8.0) * 8 AS BIGINT) AS padded_len FROM b")
+       _trunc_sql(SFT_MAX) + ", b AS (SELECT *, CAST((row_number() OVER (ORDER BY conv_id) - 1) // 8 AS BIGINT) AS batch_no FROM g), "
+       "p AS (SELECT *, CAST(ceil(max(n_input) OVER (PARTITION BY batch_no) / 8.0) * 8 AS BIGINT) AS padded_len FROM b) "
+       f"SELECT conv_id, batch_no, padded_len, {_padded_sql('right', IGNORE_INDEX, 'padded_len')} FROM p")
 def batch_pad(spark, sf):
-    s = samples(spark, sf, SFT_MAX).select("conv_id", F.size("input_ids").alias("n"))
-    r = global_rank(s, ["conv_id"], out="_rank").withColumn("batch_no", F.floor((F.col("_rank") - 1) / 8).cast("long"))
-    mx = r.groupBy("batch_no").agg((F.ceil(F.max("n") / 8.0) * 8).cast("long").alias("padded_len"))
-    return r.join(mx, "batch_no").select("conv_id", "batch_no", "padded_len")
+    p = sft.pad_batches(samples(spark, sf, SFT_MAX), "conv_id")
+    return p.select("conv_id", "batch_no", "padded_len", digest("input_ids").alias("ids_md5"), digest("attention_mask").alias("mask_md5"), digest("labels").alias("labels_md5"))
 
 
 EXAM_TYPE = "single choice"
@@ -194,31 +197,34 @@ SHORT_BLOCK = 16384
 
 
 def _pack_sql(block: int, eos: bool, keep_short: bool) -> str:
-    ln = sql_ws_count("text") + (" + 1" if eos else "")
+    ids = f"list_append({sql_token_ids('text')}, {sft.EOS_ID})" if eos else sql_token_ids("text")
     limit = f"CASE WHEN total < {block} AND total > 0 THEN 1 ELSE total // {block} END" if keep_short else f"total // {block}"
-    ntok = f"CASE WHEN total < {block} THEN total ELSE {block} END" if keep_short else str(block)
-    return (f"WITH d AS (SELECT source, doc_id, {ln} AS len FROM documents), "
-            "o AS (SELECT source, doc_id, len, CAST(coalesce(sum(len) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS st, "
-            "CAST(sum(len) OVER (PARTITION BY source) AS BIGINT) AS total FROM d), "
-            f"x AS (SELECT source, doc_id, total, UNNEST(range(st // {block}, (st + len - 1) // {block} + 1)) AS block_no FROM o WHERE len > 0) "
-            f"SELECT source, CAST(block_no AS BIGINT) AS block_no, CAST(any_value({ntok}) AS INTEGER) AS n_tokens, min(doc_id) AS first_doc, max(doc_id) AS last_doc "
-            f"FROM x WHERE block_no < {limit} GROUP BY source, block_no")
+    return (f"WITH d AS (SELECT source, doc_id, {ids} AS ids FROM documents), "
+            "o AS (SELECT source, doc_id, len(ids) AS len, CAST(coalesce(sum(len(ids)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS st, "
+            "CAST(sum(len(ids)) OVER (PARTITION BY source) AS BIGINT) AS total FROM d), "
+            f"x AS (SELECT source, doc_id, total, UNNEST(range(st // {block}, (st + len - 1) // {block} + 1)) AS block_no FROM o WHERE len > 0), "
+            f"b AS (SELECT source, block_no, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM x WHERE block_no < {limit} GROUP BY source, block_no), "
+            "s AS (SELECT source, flatten(list(ids ORDER BY doc_id)) AS ids FROM d GROUP BY source), "
+            f"y AS (SELECT b.*, list_slice(ids, block_no * {block} + 1, block_no * {block} + {block}) AS piece FROM b JOIN s USING (source)) "
+            f"SELECT source, CAST(block_no AS BIGINT) AS block_no, CAST(len(piece) AS INTEGER) AS n_tokens, {sql_digest('piece')} AS ids_md5, first_doc, last_doc FROM y")
 
 
 @query("pack_blocks", _pack_sql(PACK_BLOCK, True, False))
 def pack_blocks(spark, sf):
     b = sft.pack_blocks(T(spark, sf, "documents"), "source", "doc_id", "text", PACK_BLOCK, eos=True)
-    return b.select("source", "block_no", F.size("input_ids").alias("n_tokens"), "first_doc", "last_doc")
+    return b.select("source", "block_no", F.size("input_ids").alias("n_tokens"), digest("input_ids").alias("ids_md5"), "first_doc", "last_doc")
 
 
 @query("pack_blocks_keep_short", _pack_sql(SHORT_BLOCK, False, True))
 def pack_blocks_keep_short(spark, sf):
     b = sft.pack_blocks(T(spark, sf, "documents"), "source", "doc_id", "text", SHORT_BLOCK, eos=False, keep_short=True)
-    return b.select("source", "block_no", F.size("input_ids").alias("n_tokens"), "first_doc", "last_doc")
+    return b.select("source", "block_no", F.size("input_ids").alias("n_tokens"), digest("input_ids").alias("ids_md5"), "first_doc", "last_doc")
 
 
-_PREF_SQL = ("WITH p AS (SELECT conv_id, arg_min(text, turn) AS prompt, max(text) FILTER (WHERE turn = 1) AS chosen, "
-             "arg_max(text, turn) AS rejected FROM conversations GROUP BY conv_id HAVING count(*) >= 3) ")
+_PREF_SQL = ("WITH a AS (SELECT conv_id, min(turn) AS first, arg_min(text, turn) AS chosen, arg_max(text, turn) AS rejected FROM conversations "
+             "WHERE lower(role) = 'assistant' GROUP BY conv_id HAVING count(*) >= 2), "
+             "l AS (SELECT c.conv_id, string_agg(text, chr(10) ORDER BY turn) AS prompt FROM conversations c JOIN a USING (conv_id) WHERE turn < first GROUP BY c.conv_id), "
+             "p AS (SELECT a.*, coalesce(l.prompt, '') AS prompt FROM a LEFT JOIN l USING (conv_id)) ")
 
 
 @query("pairwise_stack",
@@ -235,6 +241,16 @@ def pairwise_prompt_response(spark, sf):
     return sft.phase_projection(p, "conv_id", 2)
 
 
+@query("pairwise_phase_sft", _PREF_SQL + "SELECT conv_id, prompt || chosen AS sample FROM p")
+def pairwise_phase_sft(spark, sf):
+    return sft.phase_projection(sft.preference_rows(turns(spark, sf), "conv_id", "turn", "role", "text"), "conv_id", 1)
+
+
+@query("pairwise_phase_prompt", _PREF_SQL + "SELECT conv_id, prompt FROM p")
+def pairwise_phase_prompt(spark, sf):
+    return sft.phase_projection(sft.preference_rows(turns(spark, sf), "conv_id", "turn", "role", "text"), "conv_id", 3)
+
+
 @query("token_prob_align",
        "SELECT vec_id, CAST(i - 1 AS INTEGER) AS pos, round(CASE WHEN i = 1 THEN 0.0 ELSE CAST(embedding[i - 1] AS DOUBLE) END, 6) AS prob "
        "FROM (SELECT vec_id, embedding, generate_subscripts(embedding, 1) AS i FROM embeddings)")

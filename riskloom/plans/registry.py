@@ -53,5 +53,14 @@ def sql_ws_tokens(e: str) -> str:
     return f"list_filter(string_split_regex({norm}, {q(chr(92) + 's+')}), lambda x: x <> '')"
 
 
+def sql_token_ids(e: str) -> str:
+    """Ids of the default tokenizer, as a DuckDB list."""
+    return f"list_transform({sql_ws_tokens(e)}, lambda t: ('0x' || substr(md5(t), 1, 4))::INTEGER + 3)"
+
+
+def sql_digest(e: str) -> str:
+    return f"md5(array_to_string({e}, ','))"
+
+
 def sql_ws_count(e: str) -> str:
     return f"len({sql_ws_tokens(e)})"

@@ -242,3 +242,35 @@ def test_average_precision_brute_force(spark):
         ctp, cfp = ctp + tp, cfp + fp
         ap += tp / pos_total * ctp / (ctp + cfp)
     assert got == pytest.approx(ap, abs=1e-12)
+
+
+def test_human_far_behind_the_length_limit_keeps_the_conversation(spark):
+    rows = [(1, t, "assistant" if t < 2090 else "user", "x y") for t in range(2100)] + [(2, t, "assistant", "no one") for t in range(3)]
+    df = spark.createDataFrame(rows, "c long, t long, role string, text string")
+    got = {r.c: len(r.input_ids) for r in sft.inference_context(df, "c", "t", "role", "text", 2048).collect()}
+    assert got == {1: 2048}
+
+
+def test_pairs_follow_roles(spark):
+    rows = [(1, 0, "system", "S"), (1, 1, "user", "Q"), (1, 2, "assistant", "A1"), (1, 3, "user", "R"), (1, 4, "assistant", "A2"), (1, 5, "user", "T"),
+            (2, 1, "user", "q"), (2, 2, "assistant", "a"), (3, 0, "assistant", "first"), (3, 1, "assistant", "last")]
+    df = spark.createDataFrame(rows, "c long, t long, role string, text string")
+    got = sorted(map(tuple, sft.preference_rows(df, "c", "t", "role", "text").collect()))
+    assert got == [(1, "S\nQ", "A1", "A2"), (3, "", "first", "last")]
+    cut = sorted(map(tuple, sft.split_long_conversations(df.where("c = 1"), "c", "t", "role", "text", 6).collect()))
+    assert cut == [(1, 0, 3, 7), (1, 1, 3, 8)]  # system, user and answer stay together
+
+
+def test_vocabulary_order_of_very_long_texts(spark):
+    from riskloom.operators import text_ops as tx
+    d = spark.range(2).select(F.col("id").alias("k"), F.when(F.col("id") == 0, F.concat(F.repeat(F.lit("w "), 1_000_003), F.lit("late"))).otherwise(F.lit("next w")).alias("t"))
+    v = tx.vocab_merge(tx.first_occurrence_words(d.where("k < 0"), "k", "t"), tx.first_occurrence_words(d, "k", "t"))
+    assert [r.piece for r in v.orderBy("pos").collect()] == ["w", "late", "next"]
+
+
+def test_packing_spreads_one_hot_source(spark):
+    rows = spark.range(4000).select(F.lit("s").alias("g"), F.col("id").alias("k"), F.concat(F.lit("w"), F.col("id").cast("string"), F.lit(" x")).alias("t"))
+    b = sft.pack_blocks(rows, "g", "k", "t", 100, eos=True).collect()
+    assert len(b) == 120 and all(len(r.input_ids) == 100 for r in b)
+    from riskloom.functions.ordering import with_bucket
+    assert with_bucket(rows, ["k"]).select("_rl_b").distinct().count() > 50
