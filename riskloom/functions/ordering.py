@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 TWO_POW_32 = 4294967296
 #: equal parts of the range of a hash
 HASH_BUCKETS = 1 << 14
+#: values of a dense ordinal in a bucket
+ORDINALS = 1 << 16
 #: rows of the sample, rows between two cuts, and so the most cuts there are
-SAMPLE, SPACING = 1 << 16, 16
+SAMPLE, SPACING = 1 << 15, 16
 MOST_CUTS = SAMPLE // SPACING
 
 
@@ -57,10 +59,14 @@ def sample_cuts(df: DataFrame, order: Sequence[str]) -> Column:
     return least.agg(every.alias("cuts")).scalar()
 
 
-def with_bucket(df: DataFrame, order: Sequence[str], bounds: tuple | None = None, out: str = "_rl_b") -> DataFrame:
+def with_bucket(df: DataFrame, order: Sequence[str], bounds: tuple | str | None = None, out: str = "_rl_b") -> DataFrame:
     """Add the order-preserving bucket of each row: with ``bounds`` equal parts
-    of the first order column's range, else the number of sample cuts at or
-    below the row's key (a binary search, one step a column)."""
+    of the first order column's range; with ``bounds="ordinal"``, for a key that
+    counts the rows of a group by construction, stretches of ``ORDINALS`` values;
+    else the number of sample cuts at or below the row's key (a binary search,
+    one step a column)."""
+    if bounds == "ordinal":
+        return df.withColumn(out, F.floor(_c(order[0]) / ORDINALS).cast("int"))
     if bounds is not None:
         lo, hi = (float(b) for b in bounds)
         scale = F.lit(HASH_BUCKETS / max(hi - lo, 1e-9))
@@ -93,14 +99,15 @@ def range_cumsum(
     by: Sequence[str] = (),
     out: str = "cum",
     inclusive: bool = True,
-    bounds: tuple | None = None,
+    bounds: tuple | str | None = None,
     total_out: str | None = None,
 ) -> DataFrame:
     """Running sum of ``value`` in ``order`` inside ``by`` groups
     (``sum(value) over (partition by by order by order rows unbounded preceding)``).
 
     ``order`` must be a total order inside a group; pass ``bounds=(lo, hi)`` when
-    its first column is a hash spread evenly over that range.
+    its first column is a hash spread evenly over that range, ``"ordinal"`` when
+    it counts the rows of the group.
     ``inclusive=False`` sums only the rows strictly before.
     ``value`` may be a dict ``{out_name: value}`` to compute several running
     sums in the same pass (one shuffle).  ``total_out`` names an extra
@@ -145,7 +152,7 @@ def range_cumsum(
 
 
 def global_rank(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), out: str = "rank",
-                bounds: tuple | None = None, total_out: str | None = None) -> DataFrame:
+                bounds: tuple | str | None = None, total_out: str | None = None) -> DataFrame:
     """``row_number() over (partition by by order by order)`` (1-based) without
     a single-task window; hot groups are split into buckets.  ``total_out``:
     the group's number of rows."""

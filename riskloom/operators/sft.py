@@ -248,7 +248,7 @@ def split_long_conversations(turns: DataFrame, conv: str, turn: str, role: str,
     t = range_cumsum(t, "_human", [turn], by=[conv], out="pair")
     pairs = t.groupBy(conv, F.greatest("pair", F.lit(1)).alias("pair")).agg(
         F.sum("n").alias("pair_tokens"), F.count(F.lit(1)).alias("pair_turns"))
-    pairs = range_cumsum(pairs, "pair_tokens", ["pair"], by=[conv], out="start", inclusive=False)
+    pairs = range_cumsum(pairs, "pair_tokens", ["pair"], by=[conv], out="start", inclusive=False, bounds="ordinal")
     return pairs.groupBy(conv, F.floor(F.col("start") / max_tokens).cast("long").alias("segment")).agg(
         F.sum("pair_turns").cast("long").alias("n_turns"), F.sum("pair_tokens").cast("long").alias("n_tokens"))
 
