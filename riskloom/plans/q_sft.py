@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators import prompts as pr
 from ..operators import sft
 from ..specs import HUMAN_TURN, HUMAN_TURN_COMPACT, IGNORE_INDEX
-from .registry import T, q, query, sql_digest, sql_token_ids, sql_ws_count
+from .registry import T, q, query, sql_digest, sql_strip, sql_token_ids, sql_ws_count
 
 HUMAN_SQL = "lower(role) IN ('human', 'user')"
 SFT_MAX = 256
@@ -177,15 +177,28 @@ def batch_pad(spark, sf):
 
 
 EXAM_TYPE = "single choice"
+# quotes and backslashes, which JSON must escape, behind every other question
+SQL_ITEMS = "(SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'He said \"no\" \\ ' || text ELSE text END AS text FROM benchmark)"
+
+
+def items(spark, sf):
+    text = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit('He said "no" \\ '), F.col("text"))).otherwise(F.col("text"))
+    return T(spark, sf, "benchmark").select("item_id", text.alias("text"))
+
+
+@query("plain_eval_prompt", f"SELECT item_id, {sql_strip('text')} || chr(10) || 'A. yes' || chr(10) || 'B. no' AS prompt FROM {SQL_ITEMS}")
+def plain_eval_prompt(spark, sf):
+    return items(spark, sf).select("item_id", pr.plain_eval_prompt(F.col("text"), F.array(F.lit("A. yes"), F.lit("B. no"))).alias("prompt"))
+
 
 
 @query("exam_prompt_json",
        f"SELECT item_id, {q('Human: ' + chr(10) + '回答下面的' + EXAM_TYPE + '题，用json返回答案，包括原因和答案，如{\"reason\":..., \"answer\":...}' + chr(10))} "
        f"|| text || {q(chr(10) + '选项：A. yes B. no' + chr(10) + chr(10) + 'Assistant: ' + chr(10))} AS human_prompt, "
        "'{\"reason\": ' || to_json(split_part(text, '.', 1))::VARCHAR || ', \"answer\": ' || to_json(CASE WHEN item_id % 2 = 0 THEN 'A' ELSE 'B' END)::VARCHAR || '}' AS answer_json "
-       "FROM benchmark")
+       f"FROM {SQL_ITEMS}")
 def exam_prompt_json(spark, sf):
-    b = T(spark, sf, "benchmark")
+    b = items(spark, sf)
     cands = F.array(F.lit("A. yes"), F.lit("B. no"))
     answer = F.when(F.pmod("item_id", F.lit(2)) == 0, F.lit("A")).otherwise(F.lit("B"))
     return b.select("item_id", pr.exam_prompt(F.lit(EXAM_TYPE), F.col("text"), cands).alias("human_prompt"),

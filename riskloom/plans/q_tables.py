@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import py_float_str
+from ..operators import dispatch as dp
 from ..operators import features as ft
 from ..operators import prompts as pr
 from ..sources.readers import project_reorder
-from ..specs import CHAT_PREFIX, CHAT_SUFFIX, NORMAL_SUFFIX, NOTE_PREFIX, TEXT_MARKER, FieldSpec, PromptSpec, RenderSpec
+from ..specs import ARTEFACTS, ARTEFACTS_LOWER, CHAT_PREFIX, CHAT_SUFFIX, INCOMPLETE, NORMAL_SUFFIX, NOTE_PREFIX, TEXT_MARKER, FieldSpec, PromptSpec, RenderSpec
+from ..specs import SYSTEM_ANALYSIS
 from .registry import T, q, query, sql_strip
 
 # Fixed values for the driver-table mappings (our own wording).
@@ -182,13 +184,20 @@ def impute_clip(spark, sf):
     return ft.impute_clip(T(spark, sf, "events"), "value", 300, 1, "value_clean").select("event_id", "value_clean")
 
 
-@query("impute_mode_mean",
-       "WITH m AS (SELECT avg(value) AS mv FROM events), "
-       "md AS (SELECT event_type AS mt FROM events WHERE event_type IS NOT NULL GROUP BY event_type ORDER BY count(*) DESC, event_type LIMIT 1) "
-       "SELECT event_id, coalesce(value, m.mv) AS value_imp, coalesce(event_type, md.mt) AS event_type_imp FROM events, m, md")
+@query("impute_mode_mean",  # every seventh value and every fifth type is missing
+       "WITH e AS (SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN value END AS value, CASE WHEN event_id % 5 <> 0 THEN event_type END AS event_type FROM events), "
+       "m AS (SELECT avg(value) AS mv FROM e), "
+       "md AS (SELECT event_type AS mt FROM e WHERE event_type IS NOT NULL GROUP BY event_type ORDER BY count(*) DESC, event_type LIMIT 1) "
+       "SELECT event_id, round(coalesce(value, m.mv), 6) AS value_imp, coalesce(event_type, md.mt) AS event_type_imp FROM e, m, md")
 def impute_mode_mean(spark, sf):
-    e = T(spark, sf, "events")
-    return ft.impute_mode_mean(e, ["value"], ["event_type"]).select("event_id", "value_imp", "event_type_imp")
+    e = T(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value"),
+                                      F.when(F.col("event_id") % 5 != 0, F.col("event_type")).alias("event_type"))
+    return ft.impute_mode_mean(e, ["value"], ["event_type"]).select("event_id", F.round("value_imp", 6).alias("value_imp"), "event_type_imp")
+
+
+@query("json_props", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_props(spark, sf):
+    return T(spark, sf, "events").select("event_id", F.from_json("props", "k LONG")["k"].alias("k"))
 
 
 # ---------------------------------------------------------------- rendering
@@ -362,6 +371,44 @@ def chat_messages(spark, sf):
                     F.size(msgs).alias("n_messages"))
 
 
+def _analysis_sql():
+    return q(SYSTEM_ANALYSIS.replace("{debias}", CUSTOMER_PROMPT.debias_prompt + " ").replace("{choices}", "'good' or 'bad'"))
+
+
+@query("chat_messages_analysis", f"SELECT c_custkey, {_analysis_sql()} AS system_content FROM {SQL_CUSTOMERS}")
+def chat_messages_analysis(spark, sf):
+    p = customer_prompts(spark, sf)
+    msgs = pr.chat_messages(F.col("normal_query"), F.col("choices"), F.concat(F.col("debias_prompt"), F.lit(" ")), "analysis")
+    return p.select("c_custkey", msgs[0]["content"].alias("system_content"))
+
+
+MODEL_NAMES = ("Qwen2.5-7B", "my-model-7b", "llama-2")
+OWN_MARKERS = (("my-model", "lowercase"),)
+
+
+def _matched_sql(e: str, artefacts) -> str:
+    for bad in artefacts:
+        e = f"replace({e}, {q(bad)}, '')"
+    clean = sql_strip(e)
+    return f"CASE WHEN contains(lower({clean}), 'good') THEN 'good' WHEN contains(lower({clean}), 'bad') THEN 'bad' ELSE lower({clean}) END"
+
+
+_SQL_SAID = ("(SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'x' || chr(10) || chr(10) || 'Assistant:  GOOD<|im_end|> ' WHEN c_custkey % 4 = 1 THEN '<THINK>' || c_name || '</THINK> Bad' "
+             "WHEN c_custkey % 4 = 2 THEN 'None of them ' || c_name ELSE chr(10) || chr(10) || 'Assistant: ' || c_name END AS said FROM customer)")
+
+
+@query("parse_by_model",
+       f"SELECT c_custkey, {_matched_sql('said', ARTEFACTS)} AS qwen, {_matched_sql('lower(said)', ARTEFACTS_LOWER)} AS lowercase, "
+       f"CASE WHEN contains(said, chr(10) || chr(10) || 'Assistant:') THEN lower({sql_strip('split_part(said, chr(10) || chr(10) || ' + q('Assistant:') + ', 2)')}) ELSE {q(INCOMPLETE)} END AS generic FROM {_SQL_SAID}")
+def parse_by_model(spark, sf):
+    key, name = F.col("c_custkey"), F.col("c_name")
+    said = (F.when(key % 4 == 0, F.lit("x\n\nAssistant:  GOOD<|im_end|> ")).when(key % 4 == 1, F.concat(F.lit("<THINK>"), name, F.lit("</THINK> Bad")))
+            .when(key % 4 == 2, F.concat(F.lit("None of them "), name)).otherwise(F.concat(F.lit("\n\nAssistant: "), name)))
+    choices = F.array(F.lit("good"), F.lit("bad"))
+    styles = [dp.style_of(m, OWN_MARKERS) for m in MODEL_NAMES]
+    return T(spark, sf, "customer").select(key, *[dp.parse_response(s, said, choices).alias(s) for s in styles])
+
+
 @query("prompt_second_turn",
        f"SELECT c_custkey, {SQL_CHAT} || CASE WHEN c_acctbal >= 0 THEN 'good' ELSE 'bad' END || "
        f"{q(chr(10) + 'Human: ' + SECOND_QUERY + chr(10) + 'Assistant:')} AS second_prompt FROM {SQL_CUSTOMERS}")

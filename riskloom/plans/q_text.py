@@ -40,11 +40,14 @@ def filter_languages(spark, sf):
     return T(spark, sf, "documents").where(F.col("lang").isin("en", "fr")).select("doc_id", "lang")
 
 
-@query("count_empty_text",
+@query("count_empty_text",  # some texts are made empty, blank and missing
+       "WITH d AS (SELECT CASE doc_id % 10 WHEN 0 THEN '' WHEN 1 THEN ' ' || chr(9) || chr(160) WHEN 2 THEN NULL ELSE text END AS text FROM documents) "
        "SELECT count(*) AS n_docs, count(*) FILTER (WHERE length(text) = 0) AS n_empty, "
-       f"count(*) FILTER (WHERE text IS NULL OR length({sql_strip('text')}) = 0) AS n_blank FROM documents")
+       f"count(*) FILTER (WHERE text IS NULL OR length({sql_strip('text')}) = 0) AS n_blank FROM d")
 def count_empty_text(spark, sf):
-    d = T(spark, sf, "documents")
+    r = F.col("doc_id") % 10
+    text = F.when(r == 0, F.lit("")).when(r == 1, F.lit(" \t\xa0")).when(r == 2, F.lit(None)).otherwise(F.col("text"))
+    d = T(spark, sf, "documents").select(text.alias("text"))
     return d.agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(F.length("text") == 0).alias("n_empty"),
                  F.count_if(F.col("text").isNull() | (F.length(py_strip("text")) == 0)).alias("n_blank"))
 
