@@ -89,6 +89,9 @@ def running_mean(df: DataFrame, value: str, order: Sequence[str], by: Sequence[s
         t = range_cumsum(df, {"_sum": F.col(value).cast("double"), "_cnt": F.lit(1).cast("long")}, order, by)
         return t.withColumn(out, F.col("_sum") / F.col("_cnt")).drop("_sum", "_cnt")
     units = F.round(F.col(value) * F.lit(10 ** scale)).cast("long")
+    # a value with more decimals than declared is an error, never cut
+    exact = F.col(value).isNull() | (units / F.lit(float(10 ** scale)) == F.col(value).cast("double"))
+    units = F.when(exact, units).otherwise(F.raise_error(F.lit(f"running_mean: a value has more than {scale} decimals")).cast("long"))
     t = range_cumsum(df, {"_sum": units, "_cnt": F.lit(1).cast("long")}, order, by)
     mag = F.abs(F.col("_sum")) * F.lit(2 * 10 ** (digits - scale)) + F.col("_cnt")
     t = t.withColumn("_mag", mag).withColumn("_q", F.expr("_mag div (2 * _cnt)") * F.signum("_sum").cast("long"))

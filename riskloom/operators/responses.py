@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 from ..functions.text import py_strip, py_strip_lower, py_tuple2
 from ..specs import ARTEFACTS, ARTEFACTS_LOWER, INCOMPLETE
 
-ASSISTANT_MARKER = r"(?s)\n\nAssistant:(.*)$"
+ASSISTANT_MARKER = "\n\nAssistant:"
 
 
 def clean_response(c) -> Column:
     """Text after the first ``\\n\\nAssistant:`` marker, stripped and lower
     cased; ``'Incomplete response'`` when there is no marker."""
     x = F.col(c) if isinstance(c, str) else c
-    has = x.rlike(r"(?s)\n\nAssistant:")
-    return F.when(has, py_strip_lower(F.regexp_extract(x, ASSISTANT_MARKER, 1))).otherwise(F.lit(INCOMPLETE))
+    at = F.locate(ASSISTANT_MARKER, x)
+    return F.when(at > 0, py_strip_lower(F.substring(x, at + len(ASSISTANT_MARKER), F.lit(2147483647)))).otherwise(F.lit(INCOMPLETE))
 
 
 def remove_artefacts(c, lower_first: bool = False) -> Column:
@@ -59,14 +59,16 @@ def eval_records(df: DataFrame, id_col: str, prompt_col: str, response_col: str,
         pred = match_choice(clean_response(resp), choices)
     else:
         pred = resp
-    truth = py_strip_lower(F.coalesce(F.col(answer_col), F.lit("")))
     choice_set = F.transform(choices, lambda c: py_strip_lower(c))
     no_choices = F.coalesce(F.size(choices), F.lit(0)) <= 0
     error = F.when(resp.isNull(), F.lit("llm_response key not found")).when(no_choices, F.lit("missing_choices"))
-    ok = error.isNull()
-    tup = py_tuple2(pred, truth)
     mn = F.lit(model_name) if isinstance(model_name, str) else model_name
-    return df.select(
+    # the answer is parsed once, then its text once; the record refers to both
+    t = df.withColumns({"_ev_error": error, "_ev_pred": pred, "_ev_truth": py_strip_lower(F.coalesce(F.col(answer_col), F.lit("")))})
+    pred, truth = F.col("_ev_pred"), F.col("_ev_truth")
+    t = t.withColumn("_ev_tuple", py_tuple2(pred, truth))
+    ok, tup = F.col("_ev_error").isNull(), F.col("_ev_tuple")
+    return t.select(
         F.col(id_col).alias("doc_id"),
         F.when(ok, F.col(prompt_col)).alias("prompt_0"),
         F.when(ok, mn).alias("model_name"),
@@ -78,7 +80,7 @@ def eval_records(df: DataFrame, id_col: str, prompt_col: str, response_col: str,
         F.when(ok, tup).alias("f1"),
         F.when(ok, tup).alias("macro_f1"),
         F.when(ok, tup).alias("mcc"),
-        error.alias("error"),
+        F.col("_ev_error").alias("error"),
         *keep,
     )
 

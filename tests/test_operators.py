@@ -274,3 +274,10 @@ def test_packing_spreads_one_hot_source(spark):
     assert len(b) == 120 and all(len(r.input_ids) == 100 for r in b)
     from riskloom.functions.ordering import with_bucket
     assert with_bucket(rows, ["k"]).select("_rl_b").distinct().count() > 50
+
+
+def test_running_mean_never_cuts_decimals(spark):
+    df = spark.createDataFrame([(1, 0.25), (2, 0.125)], "k long, v double")
+    with pytest.raises(Exception, match="more than 2 decimals"):
+        me.running_mean(df, "v", ["k"], scale=2).collect()
+    assert [r.running_mean for r in me.running_mean(df, "v", ["k"], scale=3).orderBy("k").collect()] == [0.25, 0.1875]
