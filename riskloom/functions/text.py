@@ -162,7 +162,7 @@ def py_fixed(c, n: int) -> Column:
     tie = (shortest.cast("double") == size) & (units % 10 == 5)
     fraction = ((size - F.floor(size)) * F.lit(float(1 << 62))).cast("long").cast("decimal(19,0)") * F.lit(10 ** (n + 1)).cast(f"decimal({n + 2},0)")
     half = (units % 10 ** (n + 1)).cast("decimal(9,0)") * F.lit(1 << 62).cast("decimal(19,0)")
-    low = F.call_function("div", units - 5, F.lit(10))
+    low = F.call_function("div", units - 5, F.lit(10))  # whole division
     cut = low.cast("decimal(19,0)") * F.lit(10.0 ** -n).cast(f"decimal({n + 1},{n})")
     signed = F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), cut.cast("string"))
     down = tie & ((fraction < half) | ((fraction == half) & (low % 2 == 0)))
