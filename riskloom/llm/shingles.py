@@ -51,8 +51,6 @@ def _table(name: str, base: np.uint64, n: int) -> np.ndarray:
 def words(data: np.ndarray, offsets: np.ndarray):
     """Start, end (bytes) and text number of each word, and its hash."""
     space = (data == 32) | ((data >= 9) & (data <= 13))
-    edge = np.zeros(len(data) + 1, bool)  # a word ends before white space, at a text's start, at the end
-    edge[:-1] = space
     inner = ~space
     first = inner.copy()
     first[1:] &= space[:-1]

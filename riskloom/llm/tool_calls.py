@@ -144,7 +144,7 @@ def levels(calls: DataFrame, max_calls: int = 20_000) -> DataFrame:
     edges = nodes.select("node", "conv_id", F.explode("needs").alias("need")).where("need is not null").select("node", need.alias("on")).distinct()
     edges = materialise(edges.join(nodes.select(F.col("node").alias("on")), "on"), "needs")
     open_ = materialise(nodes.select("conv_id", "call_id", "node"), "open")
-    done, level, free = small, 0, None
+    done, level = small, 0
     while True:
         free = materialise(open_.join(edges, "node", "left_anti"), "level")
         if free.isEmpty():
