@@ -30,6 +30,7 @@ def split_exact(df: DataFrame, key: str, seed=10086, ratios=(0.7, 0.1), names=("
                 by: Sequence[str] = (), out: str = "split") -> DataFrame:
     """Exact sizes ``int(n*r1)``, ``int(n*r2)``, rest, in seeded hash order
     (per ``by`` group when given: stratified split)."""
+    check_ratios(ratios, names)
     t = hash_rank(df, seed, key, by, out="_rank", total_out="_n")
     bounds = []
     acc = None
@@ -48,6 +49,7 @@ def split_hash(df: DataFrame, key: str, seed=10086, ratios=(0.7, 0.1), names=("t
                out: str = "split") -> DataFrame:
     """Scalable split: a row goes to the bucket its hash fraction falls into.
     No shuffle, no count; sizes match the ratios only in expectation."""
+    check_ratios(ratios, names)
     u = hash_uniform(seed, key)
     expr = None
     cum = 0.0
@@ -189,6 +191,12 @@ def topk_per_group(df: DataFrame, group: Sequence[str], order: Sequence, k: int,
     return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= k)
 
 
+def check_ratios(ratios: Sequence[float], names: Sequence[str]) -> None:
+    """Named shares, the last one implied, must be non-negative and sum to 1."""
+    if len(names) != len(ratios) + 1 or not ratios_valid([*ratios, 1.0 - sum(ratios)]) or min([*ratios, 1.0 - sum(ratios)]) < -1e-9:
+        raise ValueError(f"ratios {tuple(ratios)} do not give shares for {tuple(names)}")
+
+
 def ratios_valid(ratios: Sequence[float]) -> bool:
     """Sanity check: ratios sum to 1 (driver side)."""
     return math.isclose(sum(ratios), 1.0, abs_tol=1e-9)

@@ -48,16 +48,30 @@ def jsonl(spark: SparkSession, path, ddl: str) -> DataFrame:
     return spark.read.schema(ddl).json(path)
 
 
+def train_validation(spark: SparkSession, train, validation, ddl: str, valid_rows: int | None = None, order: Sequence[str] = ()) -> DataFrame:
+    """Training and validation records (JSON lines) as one table with ``split``.
+
+    With a validation file its rows are ``valid``; without one the first
+    ``valid_rows`` training rows in ``order`` are."""
+    from ..operators.sampling import head_tail_split
+
+    rows = jsonl(spark, train, ddl)
+    if validation is not None:
+        return rows.withColumn("split", F.lit("train")).unionByName(jsonl(spark, validation, ddl).withColumn("split", F.lit("valid")))
+    if not valid_rows or not order:
+        raise ValueError("without a validation file, valid_rows and order are needed")
+    return head_tail_split(rows, list(order), valid_rows)
+
+
 def json_array(spark: SparkSession, path, ddl: str) -> DataFrame:
     """Files of one JSON array of objects each (small exports: Spark reads such a
     file in one task; large data belongs in JSON lines).  A file that is no list
-    of objects is an error when it is read: a value that does not parse as the
-    record, or a top-level object, fails the query, and nothing is collected."""
-    lines = spark.read.option("wholetext", True).text(path)
-    records = F.from_json("value", f"ARRAY<STRUCT<{ddl}>>", {"mode": "FAILFAST"})
-    is_list = F.substring(F.ltrim("value"), 1, 1) == "["
-    checked = F.when(is_list, records).otherwise(F.raise_error(F.lit("not a JSON list of records")).cast(f"ARRAY<STRUCT<{ddl}>>"))
-    return lines.select(F.inline(checked))
+    of objects, or does not parse, fails the query that reads it, and nothing is
+    collected; so does a field that cannot be read as its declared type."""
+    lines = spark.read.text(path, wholetext=True)
+    kind = f"ARRAY<STRUCT<{ddl}>>"
+    records = F.try_variant_get(F.try_parse_json("value"), "$", kind)
+    return lines.select(F.inline(F.coalesce(records, F.raise_error(F.lit("not a JSON list of records")).cast(kind))))
 
 
 def arff(spark: SparkSession, paths: Sequence[str], ddl: str) -> DataFrame:

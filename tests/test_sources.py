@@ -43,7 +43,7 @@ def test_json_array_must_be_a_list(spark, tmp):
         rd.json_array(spark, bad, "doc_id LONG, acc STRING").collect()
     with open(bad, "w") as f:
         f.write('[{"doc_id": 1, "acc": "1.0"')
-    with pytest.raises(Exception):  # noqa: B017 - the parser's own error
+    with pytest.raises(Exception, match="JSON list"):
         rd.json_array(spark, bad, "doc_id LONG, acc STRING").collect()
 
 
@@ -81,12 +81,9 @@ def test_driver_contract(spark):
         assert qs[key](spark, SF001).count() >= 0
 
 
-def test_checkpoint_dir_is_the_clusters_or_none(spark):
+def test_checkpoint_dir_is_the_sessions(spark):
     from riskloom.session import checkpoint_dir
-    assert checkpoint_dir(spark) is None
-    spark.conf.set("spark.checkpoint.dir", "file:/shared/there")
-    assert checkpoint_dir(spark) == "file:/shared/there"
-    spark.conf.unset("spark.checkpoint.dir")
+    assert checkpoint_dir(spark) == spark.conf.get("spark.checkpoint.dir", None)
 
 
 def test_named_csv_takes_types_by_header_name(spark, tmp):
@@ -105,3 +102,25 @@ def test_json_object_is_not_a_list(spark, tmp):
         json.dump({"doc_id": 1, "acc": "1.0"}, f)
     with pytest.raises(Exception, match="JSON list"):
         rd.json_array(spark, p, "doc_id LONG, acc STRING").collect()
+
+
+def test_train_and_validation_files(spark, tmp):
+    ddl = "id LONG, text STRING"
+    rd.write_jsonl(spark.createDataFrame([(i, f"t{i}") for i in range(10)], ddl), f"{tmp}/train")
+    rd.write_jsonl(spark.createDataFrame([(90, "v")], ddl), f"{tmp}/valid")
+    both = rd.train_validation(spark, f"{tmp}/train", f"{tmp}/valid", ddl)
+    assert sorted((r.id, r.split) for r in both.collect()) == [(i, "train") for i in range(10)] + [(90, "valid")]
+    cut = rd.train_validation(spark, f"{tmp}/train", None, ddl, valid_rows=3, order=["id"])
+    assert sorted(r.id for r in cut.where("split = 'valid'").collect()) == [0, 1, 2] and cut.count() == 10
+    with pytest.raises(ValueError):
+        rd.train_validation(spark, f"{tmp}/train", None, ddl)
+
+
+def test_ratios_are_checked(spark):
+    from riskloom.operators import sampling as sp
+    df = spark.range(10)
+    for ratios, names in (((0.9, 0.2), ("a", "b", "c")), ((0.5,), ("a",)), ((-0.1, 0.5), ("a", "b", "c"))):
+        with pytest.raises(ValueError):
+            sp.split_exact(df, "id", ratios=ratios, names=names)
+        with pytest.raises(ValueError):
+            sp.split_hash(df, "id", ratios=ratios, names=names)
