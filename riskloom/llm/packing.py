@@ -23,6 +23,7 @@ table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -58,36 +59,47 @@ class WordTokens:
 
     def _learn(self, runs) -> None:
         runs = list(runs)
-        for r, e in zip(runs, self.tokenizer.encode_batch_fast(runs, add_special_tokens=False), strict=True):
-            self.known[r] = np.array(e.ids, dtype=self.kind).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        runs = text.replace("\n", " ").split(" ")
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
+        ends = np.cumsum([len(x) for x in found], dtype=np.int64) * np.dtype(self.kind).itemsize
+        data = np.fromiter(itertools.chain.from_iterable(found), dtype=self.kind).tobytes()
+        self.known.update(zip(runs, (data[a:b] for a, b in zip([0, *ends[:-1]], ends)), strict=True))
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Encode all runs of a lot of texts that aren't known, in one call."""
+        seen = set().union(*texts)
+        new = seen.difference(self.known)
+        if len(self.known) + 2 * len(new) > self.most:
+            self.known = {"": b""}
+            new = seen.difference(self.known)
+        parts = {}
+        for r in new:
+            core = r.rstrip(TAIL)
+            if core.isalpha() and max(core) <= "\xff":
+                parts[r] = core.lower(), r[len(core):]
+        cores = {core for core, _ in parts.values()} | {tail for _, tail in parts.values()}
+        self._learn(cores.difference(self.known) | (new - parts.keys()))
         known = self.known
-        new = {r for r in runs if r not in known}
-        if new:
-            if len(known) + 2 * len(new) > self.most:
-                known.clear()
-                known[""] = b""
-                new = {r for r in runs if r}
-            parts = {}
-            for r in new:
-                core = r.rstrip(TAIL)
-                if core.isalpha() and max(core) <= "\xff":
-                    parts[r] = core.lower(), r[len(core):]
-            self._learn({x for pair in parts.values() for x in pair if x not in known} | (new - parts.keys()))
-            for r, (core, tail) in parts.items():
-                known[r] = known[core] + known[tail]
-        return b"".join(map(known.__getitem__, runs))
+        known.update({r: known[core] + known[tail] for r, (core, tail) in parts.items()})
+
+    def encode(self, texts: list[str], lot: int = 256) -> Iterator[bytes]:
+        """The ids' bytes of each text."""
+        for at in range(0, len(texts), lot):
+            runs = [t.replace("\n", " ").split(" ") for t in texts[at:at + lot]]
+            self.learn(runs)
+            look = self.known.__getitem__
+            for r in runs:
+                yield b"".join(map(look, r))
 
 
 def salient(ids: np.ndarray) -> tuple[int, int]:
     """The two tokens of most weight, by their number in the text and their
     place in the vocabulary (a later one is a longer, rarer piece)."""
-    seen, n = np.unique(ids, return_counts=True)
-    weight = np.sqrt(n) * np.log2(seen + 2.0)
-    order = np.lexsort((seen, -weight))[:2]
-    return int(seen[order[0]]), int(seen[order[-1]])
+    n = np.bincount(ids)
+    seen = np.flatnonzero(n)
+    weight = np.sqrt(n[seen]) * np.log2(seen + 2.0)
+    one = int(weight.argmax())
+    weight[one] = -1.0
+    return int(seen[one]), int(seen[weight.argmax()])
 
 
 def tokenised(docs: DataFrame, path: str, end: int = END) -> tuple[DataFrame, str, int]:
@@ -104,7 +116,7 @@ def tokenised(docs: DataFrame, path: str, end: int = END) -> tuple[DataFrame, st
     def run(batches):
         tokens, last = WordTokens(held.value, kind), np.array([end], dtype=kind).tobytes()
         for batch in batches:
-            ids = [tokens.encode(t or "") + last for t in batch.column("text").to_pylist()]
+            ids = [x + last for x in tokens.encode([t or "" for t in batch.column("text").to_pylist()])]
             keys = [salient(np.frombuffer(x, kind)) for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32())], ["doc_id", "ids", "one", "two"])
 
@@ -115,11 +127,13 @@ def tokenised(docs: DataFrame, path: str, end: int = END) -> tuple[DataFrame, st
 def statistics(table: DataFrame, kind: str, size: int):
     """Documents, tokens, and the number of documents that hold each token."""
     def run(batches):
-        n = np.zeros(size + 2, np.int64)
+        n, last = np.zeros(size + 2, np.int64), np.zeros(size, np.int64)
         for batch in batches:
             for x in batch.column("ids").to_pylist():
                 ids = np.frombuffer(x, kind)
-                n[np.unique(ids)] += 1
+                at = np.arange(len(ids))
+                last[ids] = at  # a token's last place stands for it
+                n[ids[last[ids] == at]] += 1
                 n[size] += 1
                 n[size + 1] += len(ids)
         at = np.flatnonzero(n)
@@ -159,7 +173,7 @@ class Windows:
         self.window, self.open, self.fill, self.done = window, [], 0, []
 
     def place(self, doc, length: int) -> bool:
-        """True if a part of the document opened a new window."""
+        """True if the document's rest opened the window that is open now."""
         start = 0
         while start < length:
             n = min(length - start, self.window - self.fill)
@@ -169,7 +183,7 @@ class Windows:
             if self.fill == self.window:
                 self.done.append(self.open)
                 self.open, self.fill = [], 0
-        return bool(self.open) and self.open[0][1] > 0
+        return len(self.open) == 1 and self.open[0][1] > 0
 
     def finish(self) -> None:
         """Cut the open window into powers of two, largest first."""
