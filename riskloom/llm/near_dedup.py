@@ -10,7 +10,7 @@ their text's digest), so a group of copies is one representative.
 No bucket emits all its pairs.  Its members are compared with the bucket's
 smallest member, and with the smallest of those that agree in the next band as
 well; the members that were not linked to the smallest one are compared
-again among themselves, until a round finds no new link.  Keys are aggregated
+again among themselves, until a round finds no link.  Keys are aggregated
 before the shuffle and joined back, so adaptive execution can split a hot bucket.
 
 A candidate pair is verified on its whole texts: the edit distance in words by
@@ -194,14 +194,19 @@ def verifier(least: float):
     return run
 
 
-def verified(docs: DataFrame, pairs: DataFrame, least: float, max_broadcast: int = 1_000_000) -> DataFrame:
-    """The pairs ``(a, b)`` whose texts are alike, with their similarity.  Only
-    texts in some pair are moved: their ids (a narrow table of counted size) are
-    broadcast if they are at most ``max_broadcast``, and else joined."""
+def candidate_texts(docs: DataFrame, pairs: DataFrame, max_broadcast: int = 1_000_000) -> DataFrame:
+    """``(id, text)`` of the documents in some pair, written once: only those
+    texts are moved.  The ids (a narrow table of counted size) are broadcast if
+    they are at most ``max_broadcast``, and else joined."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     if pairs.count() <= max_broadcast // 2:
         ids = F.broadcast(ids)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(ids, "id", "left_semi")
+    return materialise(texts, "candidate-texts")
+
+
+def verified(texts: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """The pairs ``(a, b)`` whose texts are alike, with their similarity."""
     both = pairs.join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b").join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(verifier(least), "a long, b long, similarity double")
 
@@ -212,28 +217,31 @@ def links_of(docs: DataFrame, reps: DataFrame, bands: int, least: float):
     narrow = F.xxhash64("band", "value")
     tight = F.xxhash64("band", "value", F.element_at("bands", (F.col("band") + 1) % bands + 1), F.lit(1))
     entry = entry.select("rep", "n_words", F.explode(F.array(narrow, tight)).alias("key"))
-    shared = entry.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    members = materialise(entry.join(shared, "key", "left_semi"), "bucket-members").withColumn("class_id", F.col("rep"))
-    links = None
+    shared = entry.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    members = materialise(entry.join(shared, "key", "left_semi").withColumn("label", F.col("rep")), "bucket-members")
+    links = texts = None
     while True:
-        size = F.struct("rep", "n_words", "class_id")
-        hubs = members.groupBy("key").agg(F.min(size).alias("hub"))
-        met = members.join(hubs, "key").where("class_id <> hub.class_id")
-        met = materialise(met, "bucket-rest")
-        near = met.where(F.least("n_words", "hub.n_words") >= F.lit(least - 1e-9) * F.greatest("n_words", "hub.n_words"))
-        pairs = materialise(near.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-        found = materialise(verified(docs, pairs, least), "found")
-        if found.isEmpty():
-            return found if links is None else links
+        # a label names a text that the member is linked to, directly or by others,
+        # so members of equal labels need no comparison
+        hubs = members.groupBy("key").agg(F.min(F.struct("rep", "n_words", "label")).alias("hub"))
+        met = members.join(hubs, "key").where("label <> hub.label")
+        met = materialise(met.select("key", "rep", "n_words", "label", F.col("hub.rep").alias("hub"), F.col("hub.n_words").alias("hub_words")), "bucket-rest")
+        near = met.where(F.least("n_words", "hub_words") >= F.lit(least - 1e-9) * F.greatest("n_words", "hub_words"))
+        pairs = materialise(near.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+        first = texts is None
+        if first:  # members of later rounds are among those of the first
+            texts = candidate_texts(docs, met.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
+        found = materialise(verified(texts, pairs, least), "found")
         links = found if links is None else links.unionByName(found)
-        classes = components(links)
-        # members that are not in their hub's class now meet among themselves
-        names = classes.select(F.col("id").alias("rep"), F.col("class_id").alias("now"))
-        members = (met.select("key", "rep", "n_words", "hub.rep").toDF("key", "rep", "n_words", "hub")
-                   .join(names, "rep", "left").join(names.toDF("hub", "hub_now"), "hub", "left")
-                   .withColumn("class_id", F.coalesce("now", "rep"))
-                   .where(F.col("class_id") != F.coalesce("hub_now", "hub")).select("rep", "n_words", "key", "class_id"))
-        members = materialise(members, "bucket-members")
+        if found.isEmpty():
+            return links
+        # members that were not linked to their hub now meet among themselves
+        if first:  # nearly all links: their classes are the labels, later ones add their partner
+            to = components(found).select(F.col("id").alias("rep"), F.col("class_id").alias("to"))
+        else:
+            to = found.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("to"))
+        rest = met.join(found.select(F.col("a").alias("hub"), F.col("b").alias("rep")), ["hub", "rep"], "left_anti").join(to, "rep", "left")
+        members = materialise(rest.select("rep", "n_words", "key", F.least("label", "to").alias("label")), "bucket-members")
 
 
 def near_classes(docs: DataFrame, bands: int = BANDS, k: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
