@@ -9,9 +9,12 @@ their text's digest), so a group of copies is one representative.
 
 No bucket emits all its pairs.  Its members are compared with the bucket's
 smallest member, and with the smallest of those that agree in the next band as
-well; the members that were not linked to the smallest one are compared
-again among themselves, until a round finds no link.  Keys are aggregated
-before the shuffle and joined back, so adaptive execution can split a hot bucket.
+well.  Members that are linked by then, directly or by others, have one label;
+in each bucket of several labels a growing number of hubs is then compared with
+all members of other labels, linked or not, and leaves the bucket.  Pairs whose
+lengths or words alone show that they are unlike end in the join; it is salted
+by the bucket's size.  Keys are aggregated before the shuffle and joined back,
+so adaptive execution can split a hot bucket.
 
 A candidate pair is verified on its whole texts: the edit distance in words by
 alignment within a band that widens up to the largest distance that still gives
@@ -36,11 +39,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .common import fresh, materialise, text_bytes
+from .common import fresh, materialise, text_blocks, text_bytes
 from .components import components
 from .shingles import U, batches, mix, words
 
 BANDS, WORDS, SIMILARITY = 16, 5, 0.8
+HUBS, PARITIES = 8, 16
 PLACE = U((1 << 24) - 1)
 LAST = U(0xFFFFFFFFFFFFFFFF)
 
@@ -211,37 +215,99 @@ def verified(texts: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(verifier(least), "a long, b long, similarity double")
 
 
+def parities(n: int = PARITIES):
+    """For each text ``64 n`` bits: the parity of the number of words in each of
+    as many hash buckets.  Every word that only one of two texts has flips a bit
+    at most, so the differing bits never exceed those words."""
+    @arrow_udf(ArrayType(LongType()))
+    def run(texts: pa.Array) -> pa.Array:
+        out = [np.zeros(0, U)]
+        for lo, hi in text_blocks(texts):
+            data, offsets = text_bytes(texts.slice(lo, hi - lo))
+            _, _, doc, h = words(data, offsets)
+            own = np.zeros((hi - lo) * n, U)
+            np.bitwise_xor.at(own, doc * n + (h >> U(8)).astype(np.int64) % n, U(1) << (h & U(63)))
+            out.append(own)
+        v = np.concatenate(out).view(np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(v) // n + 1, dtype=np.int32) * n), pa.array(v))
+    return run
+
+
+def open_buckets(members: DataFrame, hubs: int) -> DataFrame:
+    """The members of buckets of two labels or more, with about ``hubs`` of each
+    bucket marked as hubs.  Every pair of different labels has a member without
+    the bucket's commonest label: only those are drawn, and the shortest text."""
+    labels = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("n_words", "rep")).alias("short"))
+    buckets = labels.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.sum("c").alias("n"), F.max(F.struct("c", "label")).alias("top"), F.min("short").alias("short")).where("labels > 1")
+    other = F.col("n") - F.col("top.c")
+    salts = F.ceil(F.col("n") * (F.least(other, F.lit(hubs)) + 1) / F.lit(1 << 20))
+    buckets = buckets.select("key", salts.cast("int").alias("salts"), other.alias("other"), F.col("top.label").alias("top"), F.col("short.rep").alias("short"))
+    drawn = (F.col("label") != F.col("top")) & (F.pmod(F.xxhash64("rep", F.lit(hubs)), F.col("other")) < hubs)
+    return members.join(buckets, "key").withColumn("hub", drawn | (F.col("rep") == F.col("short"))).drop("other", "top", "short")
+
+
+def hub_pairs(members: DataFrame, least: float) -> DataFrame:
+    """Pairs ``(a, b)`` of a hub and a member of its bucket with another label,
+    but for those whose lengths or words alone show that they are unlike.  A
+    bucket's members are dealt over its salts, its hubs go to each of them."""
+    dealt = members.select("key", "rep", "n_words", "label", "bag", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt"))
+    hubs = members.where("hub").select("key", F.col("rep").alias("h_rep"), F.col("n_words").alias("h_words"), F.col("label").alias("h_label"), F.col("bag").alias("h_bag"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    shorter, longer = F.least("n_words", "h_words"), F.greatest("n_words", "h_words")
+    # a distance of at most d leaves longer - d common words, so at most this many that one side lacks
+    lacking = 2 * F.floor(F.lit(1 - least) * longer + F.lit(1e-9)) - (longer - shorter)
+    differing = sum((F.bit_count(F.col("bag")[i].bitwiseXOR(F.col("h_bag")[i])) for i in range(PARITIES)), F.lit(0))
+    alike = (F.col("label") != F.col("h_label")) & (shorter >= F.lit(least - 1e-9) * longer) & (differing <= lacking)
+    met = dealt.join(hubs, (dealt["key"] == hubs["key"]) & (dealt["salt"] == hubs["salt"]) & alike)
+    return met.select(F.least("rep", "h_rep").alias("a"), F.greatest("rep", "h_rep").alias("b")).distinct()
+
+
 def links_of(docs: DataFrame, reps: DataFrame, bands: int, least: float):
     """Verified links between representatives, written round by round."""
     entry = reps.where("n_words > 0").select("rep", "n_words", F.posexplode("bands").alias("band", "value"), "bands")
     narrow = F.xxhash64("band", "value")
     tight = F.xxhash64("band", "value", F.element_at("bands", (F.col("band") + 1) % bands + 1), F.lit(1))
-    entry = entry.select("rep", "n_words", F.explode(F.array(narrow, tight)).alias("key"))
+    entry = entry.select("rep", "n_words", F.explode(F.array(F.struct(narrow.alias("key"), F.lit(True).alias("narrow")), F.struct(tight.alias("key"), F.lit(False).alias("narrow")))).alias("k")).select("rep", "n_words", "k.*")
     shared = entry.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    members = materialise(entry.join(shared, "key", "left_semi").withColumn("label", F.col("rep")), "bucket-members")
-    links = texts = None
+    members = materialise(entry.join(shared, "key", "left_semi"), "bucket-members")
+    # the first round: every member meets its buckets' smallest one
+    hubs = members.groupBy("key").agg(F.min(F.struct("rep", "n_words")).alias("hub"))
+    met = members.join(hubs, "key").where("rep <> hub.rep")
+    met = materialise(met.select("key", "narrow", "rep", "n_words", F.col("hub.rep").alias("hub"), F.col("hub.n_words").alias("hub_words")), "bucket-rest")
+    near = met.where(F.least("n_words", "hub_words") >= F.lit(least - 1e-9) * F.greatest("n_words", "hub_words"))
+    pairs = tested = materialise(near.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    texts = candidate_texts(docs, met.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
+    links = found = materialise(verified(texts, pairs, least), "found")
+    if found.isEmpty():
+        return links
+    # A label names a text that the member is linked to, directly or by others, so
+    # members of equal labels need no comparison.  A hub that has met all others
+    # leaves its bucket; what is linked to it stays.
+    classes = components(found)
+    members = met.where("narrow").select("key", "rep", "n_words").join(classes.withColumnsRenamed({"id": "rep", "class_id": "label"}), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    hubs, bags = HUBS, None
     while True:
-        # a label names a text that the member is linked to, directly or by others,
-        # so members of equal labels need no comparison
-        hubs = members.groupBy("key").agg(F.min(F.struct("rep", "n_words", "label")).alias("hub"))
-        met = members.join(hubs, "key").where("label <> hub.label")
-        met = materialise(met.select("key", "rep", "n_words", "label", F.col("hub.rep").alias("hub"), F.col("hub.n_words").alias("hub_words")), "bucket-rest")
-        near = met.where(F.least("n_words", "hub_words") >= F.lit(least - 1e-9) * F.greatest("n_words", "hub_words"))
-        pairs = materialise(near.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-        first = texts is None
-        if first:  # members of later rounds are among those of the first
-            texts = candidate_texts(docs, met.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
+        members = materialise(open_buckets(members, hubs), "bucket-members")
+        if members.isEmpty():
+            return links
+        if bags is None:
+            own = members.select(F.col("rep").alias("id")).distinct()
+            bags = materialise(texts.join(own, "id", "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("rep"), parities()("text").alias("bag")), "word-parities")
+        pairs = materialise(hub_pairs(members.join(bags, "rep"), least).join(tested, ["a", "b"], "left_anti"), "pairs")
         found = materialise(verified(texts, pairs, least), "found")
-        links = found if links is None else links.unionByName(found)
+        tested, links = tested.unionByName(pairs), links.unionByName(found)
+        members = members.where("not hub").select("key", "rep", "n_words", "label")
         if found.isEmpty():
             return links
-        # members that were not linked to their hub now meet among themselves
-        if first:  # nearly all links: their classes are the labels, later ones add their partner
-            to = components(found).select(F.col("id").alias("rep"), F.col("class_id").alias("to"))
-        else:
-            to = found.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("to"))
-        rest = met.join(found.select(F.col("a").alias("hub"), F.col("b").alias("rep")), ["hub", "rep"], "left_anti").join(to, "rep", "left")
-        members = materialise(rest.select("rep", "n_words", "key", F.least("label", "to").alias("label")), "bucket-members")
+        label = classes.withColumnsRenamed({"id": "x", "class_id": "to"})
+        edges = found.select("a", "b")
+        for side in ("a", "b"):
+            edges = edges.join(label, edges[side] == label["x"], "left").withColumn(side, F.coalesce("to", side)).drop("x", "to")
+        joined = components(edges).withColumnsRenamed({"id": "label", "class_id": "to"})
+        members = members.join(joined, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
+        # the class of every id that has a link so far
+        ids = classes.select("id", F.col("class_id").alias("label")).unionByName(found.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes, "id", "left_anti").select("id", F.col("id").alias("label")))
+        classes = materialise(ids.join(joined, "label", "left").select("id", F.coalesce("to", "label").alias("class_id")), "classes")
+        hubs *= 32
 
 
 def near_classes(docs: DataFrame, bands: int = BANDS, k: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:

@@ -77,6 +77,21 @@ def test_planted_copies_equal_brute_force(spark):
     assert got == brute_classes([(a, b) for a, b, *_ in rows])
 
 
+def test_star_families_are_one_class_wherever_the_base_stands(spark):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    rows, want = [], {}
+    for family, (size, base_at) in enumerate([(21, 0), (21, 10), (21, 20), (61, 30), (61, 60)]):
+        base = [word() for _ in range(200)]
+        for i in range(size):
+            at = r.randrange(len(base) + 1)
+            text = base if i == base_at else base[:at] + [word() for _ in range(38)] + base[at:]
+            rows.append((100 * family + i, " ".join(text), "en", "s", 1))
+            want[100 * family + i] = 100 * family
+    got = {x.doc_id: x.class_id for x in near_dedup.near_classes(docs(spark, rows)).collect()}
+    assert got == want
+
+
 def test_awkward_rows(spark):
     rows = clashing(docs(spark))
     got = near_dedup.near_classes(rows).collect()
