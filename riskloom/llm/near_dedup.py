@@ -11,7 +11,8 @@ No bucket emits all its pairs.  Its members are compared with the bucket's
 smallest member, and with the smallest of those that agree in the next band as
 well.  Members that are linked by then, directly or by others, have one label;
 in each bucket of several labels a growing number of hubs is then compared with
-all members of other labels, linked or not, and leaves the bucket.  Pairs whose
+all members of other labels, linked or not, and leaves the bucket, until no
+bucket has members of two labels, whatever the other buckets hold.  Pairs whose
 lengths or words alone show that they are unlike end in the join; it is salted
 by the bucket's size.  Keys are aggregated before the shuffle and joined back,
 so adaptive execution can split a hot bucket.
@@ -277,8 +278,6 @@ def links_of(docs: DataFrame, reps: DataFrame, bands: int, least: float):
     pairs = tested = materialise(near.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     texts = candidate_texts(docs, met.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
     links = found = materialise(verified(texts, pairs, least), "found")
-    if found.isEmpty():
-        return links
     # A label names a text that the member is linked to, directly or by others, so
     # members of equal labels need no comparison.  A hub that has met all others
     # leaves its bucket; what is linked to it stays.
@@ -296,8 +295,9 @@ def links_of(docs: DataFrame, reps: DataFrame, bands: int, least: float):
         found = materialise(verified(texts, pairs, least), "found")
         tested, links = tested.unionByName(pairs), links.unionByName(found)
         members = members.where("not hub").select("key", "rep", "n_words", "label")
-        if found.isEmpty():
-            return links
+        hubs *= 32
+        if found.isEmpty():  # other buckets' links say nothing about the pairs still unmet
+            continue
         label = classes.withColumnsRenamed({"id": "x", "class_id": "to"})
         edges = found.select("a", "b")
         for side in ("a", "b"):
@@ -307,7 +307,6 @@ def links_of(docs: DataFrame, reps: DataFrame, bands: int, least: float):
         # the class of every id that has a link so far
         ids = classes.select("id", F.col("class_id").alias("label")).unionByName(found.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes, "id", "left_anti").select("id", F.col("id").alias("label")))
         classes = materialise(ids.join(joined, "label", "left").select("id", F.coalesce("to", "label").alias("class_id")), "classes")
-        hubs *= 32
 
 
 def near_classes(docs: DataFrame, bands: int = BANDS, k: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:

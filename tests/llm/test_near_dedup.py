@@ -1,6 +1,8 @@
+import collections
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from riskloom.llm import near_dedup, queries
 from riskloom.llm.components import components
@@ -92,6 +94,26 @@ def test_star_families_are_one_class_wherever_the_base_stands(spark):
     assert got == want
 
 
+def test_like_texts_meet_behind_hubs_that_link_nothing(spark):
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    line = [word() for _ in range(60)]
+
+    def band(text):
+        _, _, h, doc, at, _, _ = next(near_dedup.batches(pa.array([text]), 5))
+        return near_dedup.order_sketch(h, doc, at, 1, 1)[0, 0]
+    tails = [[word() for _ in range(80)] for _ in range(200)]
+    texts = [" ".join(line + t) for t in tails]
+    common = collections.Counter(map(band, texts)).most_common(1)[0][0]
+    tails = [t for t, x in zip(tails, texts, strict=True) if band(x) == common][:24]
+    assert len(tails) == 24
+    near = tails[-1][:-3] + [word() for _ in range(3)]
+    rows = [(i, " ".join(line + t), "en", "s", 1) for i, t in enumerate([*tails, near])]
+    assert len({band(x[1]) for x in rows}) == 1  # one bucket: 23 texts that are unlike all, then the pair
+    got = {x.doc_id: x.class_id for x in near_dedup.near_classes(docs(spark, rows), bands=1).collect()}
+    assert got == {**{i: i for i in range(24)}, 24: 23}
+
+
 def test_awkward_rows(spark):
     rows = clashing(docs(spark))
     got = near_dedup.near_classes(rows).collect()
