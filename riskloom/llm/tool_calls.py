@@ -8,9 +8,11 @@ call and result are serialised as canonical JSON (keys sorted by code point, no
 blanks, shortest numbers, non-ASCII text as it is).
 
 A conversation of at most ``max_calls`` calls is levelled in one task; the calls
-of a longer one (say, a third of all rows) are levelled by Spark joins, a written
-table a round, so no task holds a whole hot conversation.  Both give the same
-levels.
+of a longer one (say, a third of all rows) are levelled by Spark joins over
+written tables, so no task holds a whole hot conversation.  A need on a call that
+has one need alone is passed on to that one's need (pointer doubling), so a chain
+takes rounds by the logarithm of its length; only calls of several needs that
+stay distinct are taken away level by level.  Both give the same levels.
 
 Defined results: a call without a result is ``unanswered``, a result without a
 call ``orphan`` (a row of its own, without level); repeated calls or results of
@@ -143,16 +145,35 @@ def levels(calls: DataFrame, max_calls: int = 20_000) -> DataFrame:
     need = F.concat_ws("\x00", F.coalesce(F.col("conv_id").cast("string"), F.lit("null")), F.col("need"))
     edges = nodes.select("node", "conv_id", F.explode("needs").alias("need")).where("need is not null").select("node", need.alias("on")).distinct()
     edges = materialise(edges.join(nodes.select(F.col("node").alias("on")), "on"), "needs")
-    open_ = materialise(nodes.select("conv_id", "call_id", "node"), "open")
-    done, level = small, 0
+    state = materialise(nodes.select("conv_id", "call_id", "node", F.lit(0).cast("long").alias("least"), F.lit(False).alias("cyclic")), "open")
+    most, done, turn = nodes.count(), small, 0
+    edges = edges.select("node", "on", F.lit(1).cast("long").alias("steps"))
     while True:
-        free = materialise(open_.join(edges, "node", "left_anti"), "level")
-        if free.isEmpty():
+        # an edge (node, on, steps): node's level is at least that of on, and so many steps more
+        own = edges.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.first("on").alias("next"), F.first("steps").alias("further"),
+                                        F.max((F.col("node") == F.col("on")) | (F.col("steps") > most)).alias("round_"))
+        state = state.join(own, "node", "left").withColumn("cyclic", F.col("cyclic") | F.coalesce("round_", F.lit(False))).drop("round_")
+        state = materialise(state.withColumn("n", F.coalesce("n", F.lit(0))), "open")
+        then = state.select(F.col("node").alias("next"), F.col("least").alias("then_least"), F.col("cyclic").alias("then_cyclic"), F.col("n").alias("then_n"))
+        at = state.select(F.col("node").alias("on"), F.col("least").alias("on_least"), F.col("cyclic").alias("on_cyclic"), F.col("n").alias("on_n"), "next", "further").join(then, "next", "left")
+        past = (F.col("on_n") == 1) & ~F.col("on_cyclic")  # it needs one call alone: go on to that
+        steps, open_end = F.col("steps") + F.col("further"), (F.col("then_n") > 0) & ~F.col("then_cyclic")
+        moved = edges.join(state.where("not cyclic").select("node"), "node", "left_semi").join(at, "on").select(
+            "node", F.when(past & open_end, F.col("next")).when((F.col("on_n") > 1) & ~F.col("on_cyclic"), F.col("on")).alias("on"), F.when(past, steps).otherwise(F.col("steps")).alias("steps"),
+            F.greatest(F.col("on_least") + F.col("steps"), F.when(past, F.col("then_least") + steps)).alias("reach"),
+            (F.col("on_cyclic") | past & F.col("then_cyclic")).alias("hit"), (past | F.col("on_cyclic") | (F.col("on_n") == 0)).alias("went"))
+        moved = materialise(moved, "needs")
+        over = state.where("n = 0 or cyclic").select("conv_id", "call_id", F.when(~F.col("cyclic"), F.col("least")).alias("level"))
+        done = done.unionByName(over)
+        open_ = state.where("n > 0 and not cyclic")
+        if moved.where("went").isEmpty():  # what is left needs calls on cycles of several needs
             return done.unionByName(open_.select("conv_id", "call_id", F.lit(None).cast("long").alias("level")))
-        done = done.unionByName(free.select("conv_id", "call_id", F.lit(level).cast("long").alias("level")))
-        open_ = materialise(open_.join(free.select("node"), "node", "left_anti"), "open")
-        edges = materialise(edges.join(free.select(F.col("node").alias("on")), "on", "left_anti"), "needs")
-        level += 1
+        reach = moved.groupBy("node").agg(F.max("reach").alias("reach"), F.max("hit").alias("hit"))
+        state = open_.drop("n", "next", "further").join(reach, "node").select("conv_id", "call_id", "node", F.greatest("least", "reach").alias("least"), F.col("hit").alias("cyclic"))
+        edges = moved.where("on is not null").groupBy("node", "on").agg(F.max("steps").alias("steps"))
+        turn += 1
+        if turn % 20 == 0:
+            done = materialise(done, "levels")
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping], max_calls: int = 20_000) -> DataFrame:

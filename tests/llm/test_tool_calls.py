@@ -38,6 +38,19 @@ def test_long_conversations_get_the_same_levels(spark):
     assert shown(linked(spark, max_calls=2)) == shown(linked(spark))
 
 
+def test_a_conversation_of_long_chains_takes_few_rounds(spark, monkeypatch):
+    n, rounds, write = 20_400, [], tool_calls.materialise
+    monkeypatch.setattr(tool_calls, "materialise", lambda df, name: rounds.append(name) or write(df, name))
+    calls = [(1, str(i), [str(i - 2)] if i > 1 else []) for i in range(n)]  # two chains
+    calls += [(1, "both", [str(n - 1), "7", "both2"]), (1, "both2", [str(n - 2), "0"]), (1, "last", ["both"])]
+    calls += [(1, f"c{i}", [f"c{(i + 1) % 7}"]) for i in range(7)] + [(1, "on_cycle", ["c3", "5"]), (1, "after", ["on_cycle"]), (1, "x", ["y", "1"]), (1, "y", ["x", "0"])]
+    got = {r.call_id: r.level for r in tool_calls.levels(spark.createDataFrame(calls, "conv_id long, call_id string, needs array<string>")).collect()}
+    top = n // 2 - 1
+    want = {str(i): i // 2 for i in range(n)} | {"both": top + 2, "both2": top + 1, "last": top + 3}
+    want |= {f"c{i}": None for i in range(7)} | dict.fromkeys(("on_cycle", "after", "x", "y"))
+    assert got == want and len(rounds) < 60
+
+
 def test_canonical_json_round_trip():
     v = {"b": [1, 2.0, 1.5, 1e22, True, None], "a": {"é": "x\ny\"", "A": -0.0}}
     text = tool_calls.canonical(v)
