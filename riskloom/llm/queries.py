@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, near_dedup, packing, passages, secrets, tool_calls, topk, toxicity, url_filter
+from . import fingerprints, mixing, near_dedup, packing, passages, secrets, spelling, tool_calls, topk, toxicity, url_filter
 from .common import read
 from .registry import ORACLE, QUERIES, query
 
@@ -149,3 +149,28 @@ def op8_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_compact_windows")
 def op6_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.passages(read(spark, sf_dir, "documents"))
+
+
+SQL_SPELLING = r"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(0, 256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
+d AS (SELECT doc_id, run, count(*) AS n, hex(encode(doc_id::VARCHAR || ':' || run)) AS x FROM r WHERE length(run) >= 6 GROUP BY ALL),
+h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+        lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) AS h FROM d, crc),
+w AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+      FROM h GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5),
+v AS (SELECT word, n, i AS at, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM w)),
+p AS (SELECT a.word, b.word AS near, b.n FROM v a JOIN v b ON a.rest = b.rest AND a.at = b.at AND a.word <> b.word
+      UNION SELECT v.word, w.word, w.n FROM v JOIN w ON v.rest = w.word
+      UNION SELECT w.word, v.word, v.n FROM v JOIN w ON v.rest = w.word),
+b AS (SELECT word, count(*) AS n_near, max(n) AS most FROM p GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.most >= 5 * w.n THEN (SELECT min(near) FROM p WHERE p.word = w.word AND p.n = b.most) END AS form,
+             CASE WHEN b.most >= 5 * w.n THEN b.most END AS form_n FROM w LEFT JOIN b ON w.word = b.word),
+c(word, root, steps) AS (SELECT word, word, 0 FROM f UNION ALL SELECT c.word, f.form, steps + 1 FROM c JOIN f ON c.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, e.root, f.n, f.n_near, f.form_n FROM f JOIN (SELECT word, arg_max(root, steps) AS root FROM c GROUP BY word) e ON f.word = e.word
+"""
+
+
+@query("op13_spelling_variants", SQL_SPELLING)
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"), noise=199)
