@@ -47,6 +47,26 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Remembered:
+    """Bytes by text, made once while they fit in about ``most`` bytes; then all
+    are forgotten and those in use made again."""
+
+    def __init__(self, most: int, overhead: int = 200):
+        self.most, self.overhead, self.size = most, overhead, 0
+        self.values: dict[str, bytes] = {}
+
+    def all(self, keys: list[str], make) -> Iterable[bytes]:
+        """The values of ``keys``; ``make`` gives those of a set of new ones."""
+        new = set(keys)
+        if self.size > self.most:
+            self.values, self.size = {}, 0
+        if new := list(new.difference(self.values)):
+            made = make(new)
+            self.size += sum(map(len, made.values())) + sum(map(len, made)) + self.overhead * len(made)
+            self.values.update(made)
+        return map(self.values.__getitem__, keys)
+
+
 def text_blocks(texts: pa.Array, limit: int = 1 << 20):
     """Cut an Arrow string array into runs ``(lo, hi)`` of at most ``limit``
     bytes (one text at least), so that temporary arrays stay small."""
