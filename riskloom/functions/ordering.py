@@ -63,8 +63,8 @@ def with_bucket(df: DataFrame, order: Sequence[str], bounds: tuple | str | None
     """Add the order-preserving bucket of each row: with ``bounds`` equal parts
     of the first order column's range; with ``bounds="ordinal"``, for a key that
     counts the rows of a group by construction, stretches of ``ORDINALS`` values;
-    else the number of sample cuts at or below the row's key (a binary search,
-    one step a column)."""
+    else the number of sample cuts at or below the row's key (a binary search in
+    one expression, which holds the cuts' subquery once)."""
     if bounds == "ordinal":
         return df.withColumn(out, F.floor(_c(order[0]) / ORDINALS).cast("int"))
     if bounds is not None:
@@ -72,14 +72,11 @@ def with_bucket(df: DataFrame, order: Sequence[str], bounds: tuple | str | None
         scale = F.lit(HASH_BUCKETS / max(hi - lo, 1e-9))
         part = F.floor((_c(order[0]).cast("double") - F.lit(lo)) * scale)
         return df.withColumn(out, F.least(part, F.lit(HASH_BUCKETS - 1)).cast("int"))
-    cuts = sample_cuts(df, order)
-    t = df.withColumn("_rl_k", F.struct(*[_c(o) for o in order])).withColumn(out, F.lit(0))
-    step = MOST_CUTS
-    while step:
-        below = F.coalesce(F.get(cuts, F.col(out) + (step - 1)) <= F.col("_rl_k"), F.lit(False))
-        t = t.withColumn(out, F.col(out) + F.when(below, step).otherwise(0))
-        step //= 2
-    return t.drop("_rl_k")
+    key = F.struct(*[_c(o) for o in order])
+    steps = F.array(*[F.lit(MOST_CUTS >> i) for i in range(MOST_CUTS.bit_length())])
+    cut = lambda at: F.get(F.col("_rl_c"), at - 1)
+    found = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.coalesce(cut(at + step) <= key, F.lit(False)), step).otherwise(0))
+    return df.withColumn("_rl_c", sample_cuts(df, order)).withColumn(out, found).drop("_rl_c")
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

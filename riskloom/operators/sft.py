@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import global_rank, range_cumsum
 from ..functions.text import ws_tokens
+from ..session import written
 from ..specs import HUMAN_TURN, HUMAN_TURN_COMPACT, IGNORE_INDEX
 
 PAD_ID, BOS_ID, EOS_ID = 0, 1, 2
@@ -235,22 +236,60 @@ def align_token_probs(df: DataFrame, key: str, probs: str) -> DataFrame:
     return df.select(key, F.posexplode(aligned).alias("pos", "prob"))
 
 
+def conversation_units(turns: DataFrame, conv: str, turn: str, role: str, text: str, max_tokens: int,
+                       tokenizer: Tokenizer = ws_token_ids) -> DataFrame:
+    """What a cut keeps together: ``conv, unit`` (from 1), ``n`` tokens, ``turns``,
+    ``end`` (tokens up to its end), ``total``.  A unit is a pair, that is a human
+    turn with what follows it up to the next one (leading other turns go with the
+    first), or, where a pair has more than ``max_tokens``, each of its turns."""
+    t = turn_tokens(turns, conv, turn, role, text, tokenizer, with_labels=False)
+    t = t.select(conv, turn, F.col("n").cast("long").alias("n"), is_human(F.col(role)).cast("long").alias("_human"))
+    t = range_cumsum(t, "_human", [turn], by=[conv], out="pair").withColumn("pair", F.greatest("pair", F.lit(1)))
+    large = t.groupBy(conv, "pair").agg(F.sum("n").alias("_pair_n")).where(F.col("_pair_n") > max_tokens)
+    alone = t.join(large, [conv, "pair"], "left").withColumn("_alone", F.when(F.col("_pair_n").isNotNull(), F.col(turn)))
+    units = alone.groupBy(conv, "pair", "_alone").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("turns"), F.min(turn).alias("_at"))
+    return range_cumsum(units.drop("pair", "_alone"), {"end": F.col("n"), "unit": F.lit(1).cast("long")}, ["_at"], by=[conv], total_out="total").drop("_at")
+
+
+def greedy_cuts(units: DataFrame, conv: str, max_tokens: int) -> DataFrame:
+    """``conv, unit`` of the units that open a segment, if every segment takes
+    units as long as it has at most ``max_tokens`` (one unit at least).
+
+    Each unit points to the first one that no longer fits behind it (a rank of
+    unit ends among the points where a segment opened there is full).  From the
+    first unit, pointers of 1, 2, 4, ... steps mark all units that are reached; so
+    a conversation of any length is spread over tasks and is done in a
+    logarithmic number of rounds, each a written table."""
+    last = F.floor(F.col("end") - F.col("n") + max_tokens)
+    ends = units.select(conv, F.col("end").alias("at"), F.lit(0).alias("asks"), "unit", "total", F.lit(1).cast("long").alias("one"))
+    full = units.select(conv, last.alias("at"), F.lit(1).alias("asks"), "unit", "total", F.lit(0).cast("long").alias("one"))
+    ranked = range_cumsum(ends.unionByName(full), "one", ["at", "asks", "unit"], by=[conv], out="fit").where("asks = 1")
+    onward = F.greatest(F.col("fit"), F.col("unit")) + 1
+    steps = written(ranked.where(F.col("at") < F.col("total")).select(conv, "unit", onward.alias("to")), "unit-steps")
+    marks = reached = units.where("unit = 1").select(conv, "unit")
+    while True:
+        reached = written(marks.join(steps, [conv, "unit"]).select(conv, F.col("to").alias("unit")), "unit-marks")
+        if reached.isEmpty():
+            return marks
+        marks = marks.unionByName(reached)
+        on = steps.select(conv, F.col("unit").alias("to"), F.col("to").alias("far"))
+        steps = written(steps.join(on, [conv, "to"]).select(conv, "unit", F.col("far").alias("to")), "unit-steps")
+
+
 def split_long_conversations(turns: DataFrame, conv: str, turn: str, role: str, text: str, max_tokens: int,
                              tokenizer: Tokenizer = ws_token_ids) -> DataFrame:
-    """Cut conversations into segments of ``max_tokens`` in front of a human
-    turn: a pair is a human turn with what follows it up to the next one (a
-    leading system turn goes with the first), numbered by a running count of
-    human turns.  Both the count and the pair offsets are bucketed prefix sums
-    per conversation, so a huge conversation is spread over tasks; segment =
-    ``offset // max_tokens``."""
-    t = turn_tokens(turns, conv, turn, role, text, tokenizer, with_labels=False)
-    t = t.select(conv, turn, "n", is_human(F.col(role)).cast("long").alias("_human"))
-    t = range_cumsum(t, "_human", [turn], by=[conv], out="pair")
-    pairs = t.groupBy(conv, F.greatest("pair", F.lit(1)).alias("pair")).agg(
-        F.sum("n").alias("pair_tokens"), F.count(F.lit(1)).alias("pair_turns"))
-    pairs = range_cumsum(pairs, "pair_tokens", ["pair"], by=[conv], out="start", inclusive=False, bounds="ordinal")
-    return pairs.groupBy(conv, F.floor(F.col("start") / max_tokens).cast("long").alias("segment")).agg(
-        F.sum("pair_turns").cast("long").alias("n_turns"), F.sum("pair_tokens").cast("long").alias("n_tokens"))
+    """Cut conversations greedily into segments of at most ``max_tokens``:
+    ``conv, segment`` (from 0), ``n_turns, n_tokens``.  No segment is larger unless
+    it is one turn that is; a pair that fits is never cut (``conversation_units``)."""
+    units = written(conversation_units(turns, conv, turn, role, text, max_tokens, tokenizer), "units")
+    whole = units.where(F.col("total") <= max_tokens).withColumn("segment", F.lit(0).cast("long"))
+    long = units.where(F.col("total") > max_tokens)
+    cuts = greedy_cuts(long, conv, max_tokens).withColumn("_opens", F.lit(1).cast("long"))
+    opened = long.join(cuts, [conv, "unit"], "left").withColumn("_opens", F.coalesce("_opens", F.lit(0).cast("long")))
+    cut = range_cumsum(opened, "_opens", ["unit"], by=[conv], out="_segment", bounds="ordinal").withColumn("segment", F.col("_segment") - 1)
+    columns = [conv, "segment", "turns", "n"]
+    return whole.select(*columns).unionByName(cut.select(*columns)).groupBy(conv, "segment").agg(
+        F.sum("turns").alias("n_turns"), F.sum("n").alias("n_tokens"))
 
 
 def pad_batches(samples: DataFrame, key: str, batch: int = 8, multiple: int = 8) -> DataFrame:

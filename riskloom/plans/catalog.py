@@ -1,24 +1,6 @@
 """All registered queries (importing the modules fills the registry)."""
 
-from . import q_tables  # noqa: F401
+from . import q_eval, q_monitor, q_sampling, q_sft, q_tables, q_text  # noqa: F401
 from .registry import ORACLE, QUERIES
 
-try:  # later groups register themselves when present
-    from . import q_sampling  # noqa: F401
-except ImportError:  # pragma: no cover
-    pass
-try:
-    from . import q_eval  # noqa: F401
-except ImportError:  # pragma: no cover
-    pass
-try:
-    from . import q_sft  # noqa: F401
-except ImportError:  # pragma: no cover
-    pass
-try:
-    from . import q_monitor  # noqa: F401
-    from . import q_text  # noqa: F401
-except ImportError:  # pragma: no cover
-    pass
-
 __all__ = ["QUERIES", "ORACLE"]

@@ -157,12 +157,16 @@ def filter_has_human(spark, sf):
     return sft.inference_context(turns(spark, sf), "conv_id", "turn", "role", "text", 2048).select("conv_id")
 
 
-@query("split_long_conversation",
-       f"WITH t AS (SELECT conv_id, greatest(sum(CAST({HUMAN_SQL} AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY turn), 1) AS pair, {sql_ws_count('text')} + CASE WHEN {HUMAN_SQL} THEN 2 ELSE 1 END AS n FROM conversations), "
-       "p AS (SELECT conv_id, pair, sum(n) AS pn, count(*) AS nt FROM t GROUP BY conv_id, pair), "
-       "s AS (SELECT *, coalesce(sum(pn) OVER (PARTITION BY conv_id ORDER BY pair ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st FROM p) "
-       f"SELECT conv_id, CAST(st // {SFT_MAX} AS BIGINT) AS segment, CAST(sum(nt) AS BIGINT) AS n_turns, CAST(sum(pn) AS BIGINT) AS n_tokens "
-       f"FROM s GROUP BY conv_id, st // {SFT_MAX}")
+@query("split_long_conversation",  # greedy, one segment after the other
+       f"WITH RECURSIVE t AS (SELECT conv_id, turn, greatest(sum(CAST({HUMAN_SQL} AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY turn), 1) AS pair, {sql_ws_count('text')} + CASE WHEN {HUMAN_SQL} THEN 2 ELSE 1 END AS n FROM conversations), "
+       f"p AS (SELECT *, CASE WHEN sum(n) OVER (PARTITION BY conv_id, pair) > {SFT_MAX} THEN turn END AS alone FROM t), "
+       "v AS (SELECT conv_id, min(turn) AS opens, sum(n) AS n, count(*) AS turns FROM p GROUP BY conv_id, pair, alone), "
+       "u AS (SELECT conv_id, n, turns, row_number() OVER w AS unit, sum(n) OVER w AS stop FROM v WINDOW w AS (PARTITION BY conv_id ORDER BY opens ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), "
+       f"j AS (SELECT conv_id, unit, (SELECT min(b.unit) FROM u b WHERE b.conv_id = a.conv_id AND b.unit > a.unit AND b.stop > a.stop - a.n + {SFT_MAX}) AS onward FROM u a), "
+       "c(conv_id, segment, unit) AS (SELECT conv_id, 0, unit FROM u WHERE unit = 1 UNION ALL SELECT c.conv_id, segment + 1, onward FROM c JOIN j ON c.conv_id = j.conv_id AND c.unit = j.unit WHERE onward IS NOT NULL), "
+       "d AS (SELECT conv_id, segment, unit, coalesce(lead(unit) OVER (PARTITION BY conv_id ORDER BY segment), 9223372036854775807) AS until FROM c) "
+       "SELECT d.conv_id, CAST(segment AS BIGINT) AS segment, CAST(sum(turns) AS BIGINT) AS n_turns, CAST(sum(n) AS BIGINT) AS n_tokens "
+       "FROM d JOIN u ON u.conv_id = d.conv_id AND u.unit >= d.unit AND u.unit < d.until GROUP BY d.conv_id, segment")
 def split_long_conversation(spark, sf):
     return sft.split_long_conversations(turns(spark, sf), "conv_id", "turn", "role", "text", SFT_MAX)
 

@@ -6,7 +6,10 @@ settings.  ``checkpoint_dir`` reads ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str | int = "*", partitions: int = 8, app: str = "riskloom") -> SparkSession:
@@ -33,3 +36,23 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     """Shared folder for lineage cuts: the cluster's ``spark.checkpoint.dir``, or
     None where the session names none (a folder of one machine is no substitute)."""
     return spark.conf.get("spark.checkpoint.dir", None)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder for written tables: the cluster's ``spark.checkpoint.dir``.  Only
+    a local session without that setting gets a scratch folder, once."""
+    folder = checkpoint_dir(spark) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="riskloom-shared-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: the lineage ends there, and a
+    lost executor costs no more than its tasks."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

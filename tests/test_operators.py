@@ -2,6 +2,7 @@
 policies, response parsing, token samples, packing, padding and loss monitors."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -258,7 +259,8 @@ def test_pairs_follow_roles(spark):
     got = sorted(map(tuple, sft.preference_rows(df, "c", "t", "role", "text").collect()))
     assert got == [(1, "S\nQ", "A1", "A2"), (3, "", "first", "last")]
     cut = sorted(map(tuple, sft.split_long_conversations(df.where("c = 1"), "c", "t", "role", "text", 6).collect()))
-    assert cut == [(1, 0, 3, 7), (1, 1, 3, 8)]  # system, user and answer stay together
+    # the first pair (7 tokens) has more than 6, so its turns stand alone; the others stay whole
+    assert cut == [(1, 0, 2, 5), (1, 1, 1, 2), (1, 2, 2, 5), (1, 3, 1, 3)]
 
 
 def test_vocabulary_order_of_very_long_texts(spark):
@@ -281,3 +283,41 @@ def test_running_mean_never_cuts_decimals(spark):
     with pytest.raises(Exception, match="more than 2 decimals"):
         me.running_mean(df, "v", ["k"], scale=2).collect()
     assert [r.running_mean for r in me.running_mean(df, "v", ["k"], scale=3).orderBy("k").collect()] == [0.25, 0.1875]
+
+
+def greedy(turns, most):
+    """Segments (turns, tokens) of one conversation, turn by turn."""
+    def size(role, text):
+        return len(text.split()) + (2 if role == "user" else 1)
+
+    pairs = []
+    for role, text in turns:
+        if role == "user" and any(r == "user" for p in pairs for r, _ in p):
+            pairs.append([])
+        elif not pairs:
+            pairs.append([])
+        pairs[-1].append((role, text))
+    units = []
+    for p in pairs:
+        n = [size(*x) for x in p]
+        units += [(1, x) for x in n] if sum(n) > most else [(len(p), sum(n))]
+    out = []
+    for k, n in units:
+        if out and out[-1][1] + n <= most:
+            out[-1] = out[-1][0] + k, out[-1][1] + n
+        else:
+            out.append((k, n))
+    return out
+
+
+def test_greedy_cut_is_the_sequential_one(spark):
+    rng = random.Random(2)
+    talks = {c: [(rng.choice(["user", "assistant", "assistant", "system"]), " ".join("w" * rng.randint(0, 9))) for _ in range(rng.choice([1, 2, 5, 40, 700]))] for c in range(12)}
+    talks[99] = [("user" if i % 2 == 0 else "assistant", "a b c") for i in range(4000)]  # one hot conversation
+    rows = [(c, i, r, t) for c, talk in talks.items() for i, (r, t) in enumerate(talk)]
+    df = spark.createDataFrame(rows, "c long, t long, role string, text string")
+    for most in (4, 12, 64):
+        got = sorted(map(tuple, sft.split_long_conversations(df, "c", "t", "role", "text", most).collect()))
+        assert got == sorted((c, i, *s) for c, talk in talks.items() for i, s in enumerate(greedy(talk, most)))
+        assert all(n <= most or k == 1 for _, _, k, n in got)
+    assert sft.split_long_conversations(df.limit(0), "c", "t", "role", "text", 8).count() == 0
