@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.ordering import hash_order
 from ..functions.text import py_strip
+from ..operators import language as la
 from ..operators import text_ops as tx
-from .registry import T, q, query, sql_strip, sql_ws_tokens
+from .registry import T, q, query, sql_hash, sql_strip, sql_ws_tokens
 
 
 @query("union_all_files",
@@ -35,9 +37,44 @@ def vocab_merge(spark, sf):
     return tx.vocab_merge(a, b)
 
 
-@query("filter_languages", "SELECT doc_id, lang FROM documents WHERE lang IN ('en', 'fr')")
+LANGUAGE_SEED = "language"
+#: documents of an even hash teach the labels, the others are told by their text alone
+TEACHES = f"{sql_hash(LANGUAGE_SEED, 'doc_id')} % 2 = 0"
+SQL_TOLD = (
+    f"WITH d AS (SELECT doc_id, lang, {TEACHES} AS teaches, ' ' || regexp_replace(translate(text, '{la.UPPER}', '{la.LOWER}'), '[^a-z\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g') || ' ' AS t FROM documents), "
+    "b AS (SELECT doc_id, lang, teaches, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: ('0x' || x)::INTEGER) AS l FROM d WHERE length(trim(t)) > 0), "
+    f"g AS (SELECT doc_id, lang, teaches, unnest(list_transform(range(1, len(l) - 1), lambda i: ((l[i] * {la.FACTOR} + l[i + 1]) * {la.FACTOR} + l[i + 2]) % {la.BUCKETS})) AS k FROM b), "
+    "f AS (SELECT doc_id, lang, teaches, k, count(*) AS c FROM g GROUP BY ALL), "
+    "n AS (SELECT lang, k, sum(c) AS n FROM f WHERE teaches AND lang IS NOT NULL GROUP BY lang, k), "
+    "m AS (SELECT lang, sum(n) AS total FROM n GROUP BY lang), "
+    f"w AS (SELECT m.lang, k, floor({la.UNIT} * ln((coalesce(n.n, 0) + 1)::DOUBLE / (total + {la.BUCKETS})) + 0.5)::BIGINT AS w FROM m CROSS JOIN (SELECT DISTINCT k FROM f) LEFT JOIN n USING (lang, k)), "
+    "s AS (SELECT doc_id, w.lang AS language, sum(c * w)::BIGINT AS score FROM f JOIN w USING (k) GROUP BY doc_id, w.lang), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, language) AS place, lead(score) OVER (PARTITION BY doc_id ORDER BY score DESC, language) AS next FROM s), "
+    "told AS (SELECT d.doc_id, d.lang, d.teaches, r.language, (r.score - coalesce(r.next, r.score))::BIGINT AS lead FROM d LEFT JOIN r ON r.doc_id = d.doc_id AND r.place = 1) ")
+
+
+def told(spark, sf):
+    """Documents with the language that a model of half of them tells."""
+    d = T(spark, sf, "documents").select("doc_id", "lang", "text").withColumn("teaches", hash_order(LANGUAGE_SEED, "doc_id") % 2 == 0)
+    model = la.learn(d.where("teaches"), "text", "lang")
+    return la.identify(d, "text", model)
+
+
+@query("identify_language", SQL_TOLD + "SELECT doc_id, language, lead FROM told")
+def identify_language(spark, sf):
+    return told(spark, sf).select("doc_id", "language", "lead")
+
+
+@query("language_agreement", SQL_TOLD + "SELECT lang AS label, language, count(*) AS n FROM told WHERE NOT teaches GROUP BY ALL")
+def language_agreement(spark, sf):
+    return la.agreement(told(spark, sf).where("not teaches"))
+
+
+@query("filter_languages", SQL_TOLD + "SELECT doc_id, lang FROM told WHERE language IN ('en', 'fr')")
 def filter_languages(spark, sf):
-    return T(spark, sf, "documents").where(F.col("lang").isin("en", "fr")).select("doc_id", "lang")
+    d = T(spark, sf, "documents").select("doc_id", "lang", "text")
+    model = la.learn(d.where(hash_order(LANGUAGE_SEED, "doc_id") % 2 == 0), "text", "lang")
+    return la.keep_languages(d, "text", model, ("en", "fr")).select("doc_id", "lang")
 
 
 @query("count_empty_text",  # some texts are made empty, blank and missing
