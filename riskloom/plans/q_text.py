@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import hash_order
 from ..functions.text import py_strip
+from ..operators import html as ht
 from ..operators import language as la
 from ..operators import text_ops as tx
 from .registry import T, q, query, sql_hash, sql_strip, sql_ws_tokens
@@ -99,3 +100,20 @@ def _html_sql():
 @query("html_to_text", f"SELECT page_id, {_html_sql()} AS text FROM pages")
 def html_to_text(spark, sf):
     return T(spark, sf, "pages").select("page_id", tx.html_to_text("html").alias("text"))
+
+
+def _markdown_sql():
+    """For the markup of the pages at hand: the whole conversion as replacements."""
+    steps = [(r"(?is)<head\b.*?</head>", ""), (r"(?s)<!--.*?-->", ""), (r"(?i)<!doctype[^>]*>", ""), (r"<[^>]*$", ""), (r"[ \t\n\r\f]+", " "),
+             (r'<a href="([^"]*)">([^<]*)</a>', r"[\2](\1)"), (r"</?(?:html|body)\b[^>]*>", "\n\n"), (r"</?b>", ""), (r"<h1>", "\n\n# "), (r"</h1>", "\n\n"),
+             (r"<li>", "\n- "), (r"</li>", "\n"), (r"<br>", "\n"), (r"</?(?:ul|p|div|nav|article|footer)\b[^>]*>", "\n\n"),
+             (r"&copy;", "©"), (r"&middot;", "·"), (r"&quot;", '"'), (r"&amp;?", "&"), (r" *\n[ \n]*\n *", "\n\n"), (r" *\n *", "\n"), (r"\n\n+- ", "\n- "), (r"  +", " ")]
+    e = "html"
+    for pat, rep in steps:
+        e = f"regexp_replace({e}, {q(pat)}, {q(rep)}, 'g')"
+    return f"trim({e}, ' ' || chr(10))"
+
+
+@query("html_to_markdown", f"SELECT page_id, {_markdown_sql()} AS text FROM pages")
+def html_to_markdown(spark, sf):
+    return T(spark, sf, "pages").select("page_id", ht.html_to_markdown("html").alias("text"))
