@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import fairness as fa
 from ..operators import metrics as me
+from ..operators import pairing as pg
 from ..operators import responses as rs
 from ..operators.scoring import batch_score
 from ..specs import FairnessSpec
@@ -201,6 +202,21 @@ def pair_predictions(spark, sf):
     return truth.join(preds, "doc_id", "inner")
 
 
+@query("pair_by_position",  # the k-th row of one list with the k-th of the other, as read; a row without partner is an error
+       "SELECT doc_id, quality AS truth, toxic AS pred FROM labels")
+def pair_by_position(spark, sf):
+    truth = pg.with_position(T(spark, sf, "labels")).select("position", "doc_id", F.col("quality").alias("truth"))
+    preds = pg.with_position(T(spark, sf, "labels")).select("position", F.col("toxic").alias("pred"))
+    return pg.pair_by_position(truth, preds).select("doc_id", "truth", "pred")
+
+
+@query("pair_by_key", "SELECT l.doc_id, l.quality AS truth, d.lang AS pred FROM labels l JOIN documents d ON l.doc_id = d.doc_id")
+def pair_by_key(spark, sf):
+    truth = T(spark, sf, "labels").select("doc_id", F.col("quality").alias("truth"))
+    preds = T(spark, sf, "documents").join(truth.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.col("lang").alias("pred"))
+    return pg.pair_by_key(truth, preds, "doc_id")
+
+
 @query("metrics_binary", "WITH " + _SQL_PARSED + ", c AS (" + _metric_sql(None) + ") " + _metrics_select(None))
 def metrics_binary(spark, sf):
     r = records(spark, sf).where(F.col("error").isNull())

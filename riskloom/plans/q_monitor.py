@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import leaderboard as lb
 from ..operators import metrics as me
 from .registry import T, query
 
@@ -58,3 +59,30 @@ def block_mean_loss(spark, sf):
 def topk_checkpoints(spark, sf):
     e = T(spark, sf, "events").select("event_type", "event_id", "value")
     return me.topk(e, [F.desc("value"), F.asc("event_id")], 3, by=["event_type"])
+
+
+SQL_HISTORY = (  # one step after the other: the board is a sorted list of (metric, step)
+    "WITH RECURSIVE e AS (SELECT event_type, event_id, floor(value / 4)::DOUBLE AS metric, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events), "
+    "s(event_type, n, event_id, metric, board, entered, gone) AS ("
+    "SELECT event_type, 0::BIGINT, NULL::BIGINT, NULL::DOUBLE, []::STRUCT(m DOUBLE, s BIGINT)[], false, NULL::STRUCT(m DOUBLE, s BIGINT) FROM (SELECT DISTINCT event_type FROM e) "
+    "UNION ALL SELECT s.event_type, e.n, e.event_id, e.metric, "
+    "CASE WHEN len(s.board) < 3 THEN list_sort(list_append(s.board, {'m': e.metric, 's': e.event_id})) "
+    "WHEN e.metric > s.board[1].m THEN list_sort(list_append(s.board[2:], {'m': e.metric, 's': e.event_id})) ELSE s.board END, "
+    "len(s.board) < 3 OR e.metric > s.board[1].m, CASE WHEN len(s.board) = 3 AND e.metric > s.board[1].m THEN s.board[1] END "
+    "FROM s JOIN e ON e.event_type = s.event_type AND e.n = s.n + 1) ")
+
+
+def metric_log(spark, sf):
+    """Events as a metric log: whole-number metrics, so that many are equal."""
+    return T(spark, sf, "events").select("event_type", "event_id", F.floor(F.col("value") / 4).cast("double").alias("metric"))
+
+
+@query("checkpoint_history", SQL_HISTORY + "SELECT event_type, event_id, metric, entered, gone.s AS evicted_step, gone.m AS evicted_metric FROM s WHERE n > 0")
+def checkpoint_history(spark, sf):
+    return lb.history(metric_log(spark, sf), "metric", "event_id", ["event_type"])
+
+
+@query("checkpoint_board", SQL_HISTORY + "SELECT event_type, b.s AS event_id, b.m AS metric FROM "
+       "(SELECT event_type, unnest(board) AS b FROM s WHERE n = (SELECT max(n) FROM s t WHERE t.event_type = s.event_type))")
+def checkpoint_board(spark, sf):
+    return lb.board(metric_log(spark, sf), "metric", "event_id", ["event_type"])

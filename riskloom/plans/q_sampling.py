@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import checks as ck
 from ..operators import features as ft
 from ..operators import sampling as sp
 from .registry import T, query, sql_hash
@@ -200,3 +201,14 @@ def group_head_n_threshold(spark, sf):
 def group_head_n_mapped(spark, sf):
     o = T(spark, sf, "orders").select("o_orderkey", ft.recode("o_orderpriority", PRIORITY_GROUP).alias("grp"))
     return sp.group_head_n(o, "grp", ["o_orderkey"], 50)
+
+
+SHARES = {"train": 0.7, "dev": 0.1, "test": 0.2}
+
+
+@query("split_shares",  # a split that keeps to its ratios, and one that does not
+       _SPLIT_CTE + "SELECT g.split, coalesce(c.n, 0) AS n, round(coalesce(c.n, 0) / t.n, 6) AS share, g.wanted, abs(coalesce(c.n, 0) / t.n - g.wanted) <= 0.001 AS within "
+       "FROM (VALUES ('train', 0.7::DOUBLE), ('dev', 0.1::DOUBLE), ('test', 0.2::DOUBLE), ('holdout', 0.05::DOUBLE)) g(split, wanted) "
+       "LEFT JOIN (SELECT split, count(*) AS n FROM s GROUP BY split) c USING (split), (SELECT count(*)::DOUBLE AS n FROM s) t")
+def split_shares(spark, sf):
+    return ck.share_table(customer_split(spark, sf), "split", {**SHARES, "holdout": 0.05}, 0.001).withColumn("share", F.round("share", 6))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import checks as ck
 from ..operators import prompts as pr
 from ..operators import sft
 from ..specs import HUMAN_TURN, HUMAN_TURN_COMPACT, IGNORE_INDEX
@@ -118,6 +119,13 @@ def sft_drop_all_masked(spark, sf):
     return s.where(sft.has_label(F.col("labels"))).select("conv_id", digest("input_ids").alias("ids_md5"), digest("labels").alias("labels_md5"))
 
 
+@query("sft_drop_count",  # how many samples the drop takes, and of how many
+       _trunc_sql(REPAIR_MAX - 1) + "SELECT count(*) AS n_in, count(*) FILTER (WHERE n_kept = 0) AS n_dropped FROM g")
+def sft_drop_count(spark, sf):
+    kept = sft.has_label(F.col("labels"))
+    return samples(spark, sf, REPAIR_MAX - 1).agg(*[c.alias(n) for n, c in ck.dropping(kept).numbers.items()])
+
+
 def _padded_sql(side: str, label_pad: int, to: str = str(SFT_MAX)) -> str:
     def both(a, value):
         fill = f"list_transform(range(greatest({to} - n_input, 0)), lambda x: {value})"
