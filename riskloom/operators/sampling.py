@@ -10,6 +10,7 @@ hash, sizes only approximately equal to the ratios).
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -202,18 +203,40 @@ def ratios_valid(ratios: Sequence[float]) -> bool:
     return math.isclose(sum(ratios), 1.0, abs_tol=1e-9)
 
 
+def content_of(df: DataFrame, key: str) -> str:
+    """A fingerprint of a column's values that does not depend on their order:
+    how many there are, and the sum and the exclusive or of two hashes."""
+    text = F.coalesce(F.col(key).cast("string"), F.lit("\x00"))
+    one, two = F.xxhash64(text), F.xxhash64(F.lit("2"), text)
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(one.cast("decimal(38,0)")).alias("s"), F.bit_xor(one).alias("x"), F.bit_xor(two).alias("y")).first()
+    return f"{r.n}-{int(r.s or 0) & ((1 << 128) - 1):x}-{(r.x or 0) & ((1 << 64) - 1):x}-{(r.y or 0) & ((1 << 64) - 1):x}"
+
+
 def cached_split(spark, df: DataFrame, key: str, path: str, dataset: str, seed=10086, ratios=(0.7, 0.1),
                  names=("train", "dev", "test")) -> DataFrame:
-    """Split assignment computed once and kept as Parquet under ``path``, in a
-    folder of the data set's name, the seed and the ratios; read back on later
-    runs.  Only a folder that does not exist yet is written; any other read
-    error is raised."""
-    tag = f"dataset={dataset}/seed={seed}/ratios={'_'.join(str(r) for r in ratios)}"
+    """Split assignment computed once and kept as Parquet under ``path``, by the data
+    set's name, the seed, the ratios, the names and the keys' content, so changed
+    rows under an old name are split anew.
+
+    The rows are written to a folder of their own first; a manifest that names it is
+    written after, and only what a manifest names is read.  So a folder that a
+    failed run left half-written is never used, and of two runs at the same time
+    both write, and all later ones read the same one (the smaller name)."""
+    tag = f"dataset={dataset}/seed={seed}/ratios={'_'.join(str(r) for r in ratios)}/names={'_'.join(names)}/content={content_of(df, key)}"
     target = f"{path.rstrip('/')}/{tag}"
+    run = _published(spark, target)
+    if run is None:
+        own = uuid.uuid4().hex
+        split_exact(df.select(key), key, seed, ratios, names).write.parquet(f"{target}/run-{own}")
+        spark.createDataFrame([(own,)], "run string").coalesce(1).write.mode("append").json(f"{target}/manifest")
+        run = _published(spark, target)
+    return spark.read.parquet(f"{target}/run-{run}")
+
+
+def _published(spark, target: str) -> str | None:
     try:
-        return spark.read.parquet(target)
+        return spark.read.schema("run string").json(f"{target}/manifest").agg(F.min("run")).first()[0]
     except AnalysisException as e:
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-    split_exact(df.select(key), key, seed, ratios, names).write.parquet(target)
-    return spark.read.parquet(target)
+        return None

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from riskloom.operators import fairness as fa
 from riskloom.operators import metrics as me
 from riskloom.operators import responses as rs
+from riskloom.operators import sampling as sp
 from riskloom.operators import sft
 from riskloom.specs import FairnessSpec
 
@@ -177,14 +178,44 @@ def test_model_style_dispatch(spark):
     assert got.q == "good" and got.g == "<think>.</think> good"
 
 
-def test_cached_split_is_reused(spark, tmp_path):
-    from riskloom.operators import sampling as sp
-    base = spark.range(200).withColumnRenamed("id", "k")
-    a = sp.cached_split(spark, base, "k", str(tmp_path / "splits"), "one")
-    b = sp.cached_split(spark, base.where("false"), "k", str(tmp_path / "splits"), "one")
-    assert sorted(a.collect()) == sorted(b.collect()) and a.count() == 200
-    other = sp.cached_split(spark, spark.range(5000, 5300).withColumnRenamed("id", "k"), "k", str(tmp_path / "splits"), "two")
-    assert other.count() == 300 and other.agg(F.min("k")).first()[0] == 5000
+def splits_of(df):
+    return sorted(map(tuple, df.collect()))
+
+
+def test_cached_split_is_reused(spark, tmp_path, monkeypatch):
+    base, path = spark.range(300).withColumnRenamed("id", "k"), str(tmp_path / "splits")
+    a = sp.cached_split(spark, base, "k", path, "one")
+    assert a.count() == 300
+    monkeypatch.setattr(sp, "split_exact", None)  # from here on nothing is split
+    assert splits_of(sp.cached_split(spark, base.orderBy(F.desc("k")).repartition(3), "k", path, "one")) == splits_of(a)
+
+
+def test_cached_split_follows_the_content(spark, tmp_path):
+    path = str(tmp_path / "splits")
+    base = spark.range(300).withColumnRenamed("id", "k")
+    for changed in (base.where("k <> 7"), base.withColumn("k", F.when(F.col("k") == 7, 1007).otherwise(F.col("k"))), base.unionByName(base.where("k = 7")), base.limit(0)):
+        sp.cached_split(spark, base, "k", path, "one")
+        assert [r[0] for r in splits_of(sp.cached_split(spark, changed, "k", path, "one"))] == sorted(r.k for r in changed.collect())
+    assert len({sp.content_of(spark.createDataFrame(rows, "k string"), "k") for rows in ([("a",), ("b",)], [("a",), ("b",), ("b",)], [("a",), (None,)], [("a",)], [("ab",)])}) == 5
+
+
+def test_a_half_written_split_is_never_read(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "splits")
+    base = spark.range(300).withColumnRenamed("id", "k")
+    good = sp.split_exact
+
+    def aborted(df, *options):
+        return good(df, *options).withColumn("split", F.when(F.col("k") == 250, F.raise_error(F.lit("lost"))).otherwise(F.col("split")))
+
+    monkeypatch.setattr(sp, "split_exact", aborted)
+    with pytest.raises(Exception, match="lost"):
+        sp.cached_split(spark, base, "k", path, "one")
+    monkeypatch.setattr(sp, "split_exact", good)
+    assert sp.cached_split(spark, base, "k", path, "one").count() == 300
+    # a folder with rows, but without a manifest
+    content = sp.content_of(base.where("k < 9"), "k")
+    base.where("k < 3").withColumn("split", F.lit("train")).write.parquet(f"{path}/dataset=two/seed=10086/ratios=0.7_0.1/names=train_dev_test/content={content}/run-0")
+    assert sp.cached_split(spark, base.where("k < 9"), "k", path, "two").count() == 9
 
 
 def _hot_conversation(spark):
