@@ -15,6 +15,7 @@ from ..operators import fairness as fa
 from ..operators import metrics as me
 from ..operators import pairing as pg
 from ..operators import responses as rs
+from ..operators import user_metrics as um
 from ..operators.scoring import batch_score
 from ..specs import FairnessSpec
 from .q_tables import SQL_CHAT, SQL_CUSTOMERS, customer_prompts
@@ -224,6 +225,47 @@ def metrics_binary(spark, sf):
     return _round_cols(m, ["accuracy", "f1", "macro_f1", "mcc"])
 
 
+class MeanAbsoluteError:
+    """A metric of a user: mean and largest distance kept as a state that merges."""
+
+    columns = ("n_chars", "quality")
+
+    def __init__(self, largest: bool = False):
+        self.largest = largest
+
+    def init(self):
+        return 0, 0, 0
+
+    def update(self, state, batch):
+        n, total, most = state
+        for x, y in zip(batch.column("n_chars").to_pylist(), batch.column("quality").to_pylist(), strict=True):
+            if x is not None and y is not None:
+                n, total, most = n + 1, total + abs(x - 1000 * y), max(most, abs(x - 1000 * y))
+        return n, total, most
+
+    def merge(self, a, b):
+        return a[0] + b[0], a[1] + b[1], max(a[2], b[2])
+
+    def finish(self, state):
+        return None if not state[0] else float(state[2]) if self.largest else state[1] / state[0]
+
+
+@query("user_metric",
+       "SELECT lang, round(avg(abs(n_chars - 1000 * quality)), 6) AS mae, CAST(max(abs(n_chars - 1000 * quality)) AS DOUBLE) AS largest "
+       "FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY lang")
+def user_metric(spark, sf):
+    d = T(spark, sf, "documents").select("doc_id", "lang", "n_chars").join(T(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+    return _round_cols(um.evaluate(d, {"mae": MeanAbsoluteError(), "largest": MeanAbsoluteError(largest=True)}, "lang"), ["mae"])
+
+
+@query("evaluate_by_name", "WITH " + _SQL_PARSED + ", c AS (" + _metric_sql("lang") + ") "
+       "SELECT lang, a.accuracy, round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2.0 * tp / (2 * tp + fp + fn) END, 6) AS f1 "
+       "FROM c JOIN (SELECT lang, round(avg(CASE WHEN truth = pred THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM rec GROUP BY lang) a USING (lang)")
+def evaluate_by_name(spark, sf):
+    r = records(spark, sf, keep=("lang",)).where(F.col("error").isNull())
+    return _round_cols(me.evaluate(r, "truth", "logit_0", "good", ("accuracy", "f1"), by=["lang"]), ["accuracy", "f1"])
+
+
 @query("confusion_by_group", "WITH " + _SQL_PARSED + ", c AS (" + _metric_sql("lang") + ") SELECT * FROM c")
 def confusion_by_group(spark, sf):
     r = records(spark, sf, keep=("lang",)).where(F.col("error").isNull())

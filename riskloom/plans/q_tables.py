@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import py_float_str
 from ..operators import dispatch as dp
+from ..operators import encoder as en
 from ..operators import features as ft
 from ..operators import prompts as pr
 from ..sources.readers import project_reorder
@@ -149,6 +150,28 @@ def label_encode(spark, sf):
     return ft.label_encode(c, "c_mktsegment", "code").select("c_custkey", "c_mktsegment", "code")
 
 
+@query("label_encode_columns",  # fitted on one part of the rows, applied to all: values that it lacks get -1
+       "WITH f AS (SELECT * FROM customer WHERE c_nationkey < 20), "
+       "m AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT c_mktsegment AS v FROM f)), "
+       "n AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT CAST(c_nationkey AS VARCHAR) AS v FROM f)) "
+       "SELECT c_custkey, coalesce(m.code, -1) AS c_mktsegment_code, coalesce(n.code, -1) AS c_nationkey_code "
+       "FROM customer LEFT JOIN m ON c_mktsegment = m.v LEFT JOIN n ON CAST(c_nationkey AS VARCHAR) = n.v")
+def label_encode_columns(spark, sf):
+    c = T(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
+    names = ["c_mktsegment", "c_nationkey"]
+    codes = en.fit(c.where("c_nationkey < 20"), names)
+    return en.encode(c, codes, names).select("c_custkey", "c_mktsegment_code", "c_nationkey_code")
+
+
+@query("label_encode_files",  # every file has its own codes
+       "WITH d AS (SELECT o_orderkey, o_orderpriority AS p, o_orderstatus AS s, o_custkey % 3 AS file FROM orders WHERE o_custkey % 3 <> 1 OR o_orderstatus <> 'P'), "
+       "x AS (SELECT o_orderkey, dense_rank() OVER (PARTITION BY file ORDER BY p) - 1 AS p_code, dense_rank() OVER (PARTITION BY file ORDER BY s) - 1 AS s_code FROM d) SELECT * FROM x")
+def label_encode_files(spark, sf):
+    o = T(spark, sf, "orders").select("o_orderkey", F.col("o_orderpriority").alias("p"), F.col("o_orderstatus").alias("s"), (F.col("o_custkey") % 3).alias("file"))
+    o = o.where("file <> 1 or s <> 'P'")
+    return en.encode(o, en.fit(o, ["p", "s"], "file"), ["p", "s"], file="file").select("o_orderkey", "p_code", "s_code")
+
+
 @query("binarize_threshold",
        "SELECT p_partkey, p_size, CAST(CASE WHEN p_size <= 25 THEN 0 WHEN p_size > 25 THEN 1 END AS INTEGER) AS size_bin FROM part")
 def binarize_threshold(spark, sf):
