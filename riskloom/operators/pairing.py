@@ -19,9 +19,9 @@ from ..functions.ordering import range_cumsum
 FILE, BLOCK, ROW = "_pos_file", "_pos_block", "_pos_row"
 
 
-def with_position(scan: DataFrame, out: str = "position", parquet: bool = True) -> DataFrame:
+def with_position(scan: DataFrame, out: str = "position", parquet: bool = True, file: str | None = None) -> DataFrame:
     """``scan``, a file source as read (no filter in between), with each row's
-    0-based position."""
+    0-based position over all files, and its file's path as ``file`` if named."""
     if parquet:
         rows = scan.select("*", F.col("_metadata.file_path").alias(FILE), F.lit(0).cast("long").alias(BLOCK), F.col("_metadata.row_index").alias(ROW))
     else:
@@ -30,7 +30,8 @@ def with_position(scan: DataFrame, out: str = "position", parquet: bool = True)
     starts = range_cumsum(parts, "_pos_n", [FILE, BLOCK], out="_pos_start", inclusive=False)
     starts = starts.select(F.col(FILE).alias("_pos_f"), F.col(BLOCK).alias("_pos_b"), "_pos_start", "_pos_first")
     found = rows.join(starts, (F.col(FILE) == F.col("_pos_f")) & (F.col(BLOCK) == F.col("_pos_b")))
-    return found.select(*scan.columns, (F.col("_pos_start") + F.col(ROW) - F.col("_pos_first")).alias(out))
+    path = [F.col(FILE).alias(file)] if file else []
+    return found.select(*scan.columns, *path, (F.col("_pos_start") + F.col(ROW) - F.col("_pos_first")).alias(out))
 
 
 def pair_by_position(left: DataFrame, right: DataFrame, position: str = "position") -> DataFrame:

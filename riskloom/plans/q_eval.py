@@ -9,6 +9,8 @@ whole chain is oracle-checkable: completions depend on ``doc_id`` and
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import fairness as fa
@@ -17,9 +19,11 @@ from ..operators import pairing as pg
 from ..operators import responses as rs
 from ..operators import user_metrics as um
 from ..operators.scoring import batch_score
+from ..session import shared_dir
 from ..specs import FairnessSpec
+from ..streaming.resumable import score_resumably
 from .q_tables import SQL_CHAT, SQL_CUSTOMERS, customer_prompts
-from .registry import T, q, query, sql_strip
+from .registry import ORACLE, T, q, query, sql_strip
 
 MODEL = "rule-scorer"
 PROMPT_HEAD = "Human: \nJudge the quality of the following "
@@ -302,6 +306,15 @@ def batch_score_q(spark, sf):
     return batch_score(b, "doc_id", "prompt_0", RuleScorer(), retries=3)
 
 
+@query("score_resumably",  # the same answers from files of prompts, batch by batch, without scoring any twice
+       ORACLE["batch_score"])
+def score_resumably_q(spark, sf):
+    folder = f"{shared_dir(spark)}/scoring-{uuid.uuid4().hex}"
+    b = eval_base(spark, sf).select("doc_id", "prompt_0")
+    b.repartition(8, "doc_id").write.parquet(f"{folder}/prompts")
+    return score_resumably(spark, f"{folder}/prompts", b.schema, f"{folder}/answers", f"{folder}/state", "doc_id", "prompt_0", RuleScorer(), files_per_batch=3)
+
+
 # ------------------------------------------------------------------ fairness
 def _rate_sql(cond: str, given: str) -> str:
     return (f"CASE WHEN count(*) FILTER (WHERE {given}) = 0 THEN NULL "

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import checks as ck
+from ..operators import packing_udtf as tf
 from ..operators import prompts as pr
 from ..operators import sft
 from ..specs import HUMAN_TURN, HUMAN_TURN_COMPACT, IGNORE_INDEX
@@ -282,3 +283,18 @@ def pairwise_phase_prompt(spark, sf):
 def token_prob_align(spark, sf):
     a = sft.align_token_probs(T(spark, sf, "embeddings"), "vec_id", "embedding")
     return a.select("vec_id", "pos", F.round("prob", 6).alias("prob"))
+
+
+BATCH_BLOCK = 512
+
+
+@query("pack_batches",  # each batch of documents packed by itself, through the table function
+       f"WITH d AS (SELECT doc_id // 100 AS batch, flatten(list(list_append({sql_token_ids('text')}, {sft.EOS_ID}) ORDER BY doc_id)) AS ids FROM documents GROUP BY ALL), "
+       f"x AS (SELECT batch, ids, unnest(range(0, CASE WHEN len(ids) < {BATCH_BLOCK} THEN 1 ELSE len(ids) // {BATCH_BLOCK} END)) AS block_no FROM d WHERE len(ids) > 0), "
+       f"y AS (SELECT batch, block_no, list_slice(ids, block_no * {BATCH_BLOCK} + 1, block_no * {BATCH_BLOCK} + {BATCH_BLOCK}) AS piece FROM x) "
+       f"SELECT batch, block_no, CAST(len(piece) AS INTEGER) AS n_tokens, {sql_digest('piece')} AS ids_md5 FROM y")
+def pack_batches(spark, sf):
+    ids = F.concat(sft.ws_token_ids(F.col("text")), F.array(F.lit(sft.EOS_ID)))
+    rows = T(spark, sf, "documents").select(F.floor(F.col("doc_id") / 100).alias("batch"), "doc_id", ids.alias("input_ids"))
+    packed = tf.pack_batches(rows, "batch", "doc_id", BATCH_BLOCK)
+    return packed.select("batch", "block_no", F.size("input_ids").alias("n_tokens"), digest("input_ids").alias("ids_md5"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.ordering import hash_order
@@ -9,6 +11,8 @@ from ..functions.text import py_strip
 from ..operators import html as ht
 from ..operators import language as la
 from ..operators import text_ops as tx
+from ..session import shared_dir
+from ..sources import json_arrays as ja
 from .registry import T, q, query, sql_hash, sql_strip, sql_ws_tokens
 
 
@@ -117,3 +121,11 @@ def _markdown_sql():
 @query("html_to_markdown", f"SELECT page_id, {_markdown_sql()} AS text FROM pages")
 def html_to_markdown(spark, sf):
     return T(spark, sf, "pages").select("page_id", ht.html_to_markdown("html").alias("text"))
+
+
+@query("json_array_round_trip",  # written as one JSON array over part files, and read back by many tasks
+       "SELECT doc_id, lang, md5(text) AS text_md5, n_chars FROM documents")
+def json_array_round_trip(spark, sf):
+    folder = f"{shared_dir(spark)}/array-{uuid.uuid4().hex}"
+    ja.write_json_array(T(spark, sf, "documents").select("doc_id", "lang", "text", "n_chars"), folder, ["doc_id"])
+    return ja.json_array(spark, folder, "doc_id BIGINT, lang STRING, text STRING, n_chars BIGINT", one_array=True).select("doc_id", "lang", F.md5("text").alias("text_md5"), "n_chars")
