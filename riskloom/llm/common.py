@@ -47,6 +47,28 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Hand memory that a finished partition no longer holds back to the system:
+    Python workers are used again, and the next stage's should not stand on top."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this kind of C library
+        pass
+
+
+def frugal(run):
+    """``run`` (batches to batches), whose memory goes with its partition."""
+    def whole(batches):
+        yield from run(batches)
+        give_back()
+    return whole
+
+
 class Remembered:
     """Bytes by text, made once while they fit in about ``most`` bytes; then all
     are forgotten and those in use made again."""

@@ -34,28 +34,31 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import frugal, materialise
 
 WINDOW, END = 4096, 2
 K1, B = 1.2, 0.75
 
 
 TAIL = ".,;:!?"
+#: bytes that a remembered run takes besides its letters and ids
+ENTRY = 200
 
 
 class WordTokens:
     """Token ids of texts, by a tokenizer that lower-cases and drops white space:
     every run between blanks and line ends is encoded by itself and remembered,
-    at most ``most`` runs at a time.  A run of letters (up to U+00FF) with marks
+    in about ``most`` bytes.  A run of letters (up to U+00FF) with marks
     at its end is looked up as its lower-case letters and its marks, which that
     tokenizer splits anyway."""
 
-    def __init__(self, definition: str, kind: str, most: int = 800_000):
+    def __init__(self, definition: str, kind: str, most: int = 96 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kind, self.most = Tokenizer.from_str(definition), kind, most
         self.known: dict[str, bytes] = {"": b""}
+        self.size = 0
 
     def _learn(self, runs) -> None:
         runs = list(runs)
@@ -63,13 +66,14 @@ class WordTokens:
         ends = np.cumsum([len(x) for x in found], dtype=np.int64) * np.dtype(self.kind).itemsize
         data = np.fromiter(itertools.chain.from_iterable(found), dtype=self.kind).tobytes()
         self.known.update(zip(runs, (data[a:b] for a, b in zip([0, *ends[:-1]], ends)), strict=True))
+        self.size += len(data) + sum(map(len, runs)) + ENTRY * len(runs)
 
     def learn(self, texts: list[list[str]]) -> None:
         """Encode all runs of a lot of texts that aren't known, in one call."""
         seen = set().union(*texts)
         new = seen.difference(self.known)
-        if len(self.known) + 2 * len(new) > self.most:
-            self.known = {"": b""}
+        if self.size > self.most:
+            self.known, self.size = {"": b""}, 0
             new = seen.difference(self.known)
         parts = {}
         for r in new:
@@ -80,6 +84,7 @@ class WordTokens:
         self._learn(cores.difference(self.known) | (new - parts.keys()))
         known = self.known
         known.update({r: known[core] + known[tail] for r, (core, tail) in parts.items()})
+        self.size += sum(map(len, parts)) + 2 * ENTRY * len(parts)
 
     def encode(self, texts: list[str], lot: int = 256) -> Iterator[bytes]:
         """The ids' bytes of each text."""
@@ -121,7 +126,7 @@ def tokenised(docs: DataFrame, path: str, end: int = END) -> tuple[DataFrame, st
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32())], ["doc_id", "ids", "one", "two"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return materialise(own.mapInArrow(run, "doc_id long, ids binary, one int, two int"), "tokens"), kind, size
+    return materialise(own.mapInArrow(frugal(run), "doc_id long, ids binary, one int, two int"), "tokens"), kind, size
 
 
 def statistics(table: DataFrame, kind: str, size: int):
@@ -283,4 +288,4 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, shard_tokens: int = 1
     parts = max(1, -(-tokens // part_tokens))
     order = ["one", "two", "doc_id"]
     dealt = table.repartitionByRange(parts, *order).sortWithinPartitions(*order, "ids").select("doc_id", "ids")
-    return dealt.mapInArrow(packer(kind, idf, tokens / max(n, 1), window, shard_tokens), OUT)
+    return dealt.mapInArrow(frugal(packer(kind, idf, tokens / max(n, 1), window, shard_tokens)), OUT)

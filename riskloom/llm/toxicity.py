@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import DoubleType
 
-from .common import materialise, text_blocks, text_bytes
+from .common import frugal, materialise, text_blocks, text_bytes
 from .shingles import U, mix
 
 BITS, SIZES = 18, (3, 4, 5)
@@ -94,13 +94,12 @@ def _featurise(batches):
         yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(_pack(list(features(batch.column("text")))), pa.binary())], ["toxic", "f"])
 
 
-def _collect(batches):
-    """Features end to end, row starts and labels of one partition."""
-    f, y = [], []
+def _rows(batches, most: int = 256):
+    """Features and labels, a few texts at a time."""
     for batch in batches:
-        f += [np.frombuffer(x, "<i4") for x in batch.column("f").to_pylist()]
-        y += batch.column("toxic").to_pylist()
-    return f, np.array(y, dtype=np.float64)
+        for at in range(0, batch.num_rows, most):
+            part = batch.slice(at, most)
+            yield [np.frombuffer(x, "<i4") for x in part.column("f").to_pylist()], part.column("toxic").to_numpy(zero_copy_only=False).astype(np.float64)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = 12_000, rounds: int = 25, parts: int = 6, l2: float = 1.0) -> Model:
@@ -108,17 +107,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 12_000, rounds: int
     spark = docs.sparkSession
     one = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)  # bounded by max_train narrow rows
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
-    table = materialise(texts.repartition(parts, F.xxhash64("text")).mapInArrow(_featurise, "toxic int, f binary"), "toxicity-sample").coalesce(parts)
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+    table = materialise(texts.repartition(parts, "doc_id").select("toxic", "text").mapInArrow(frugal(_featurise), "toxic int, f binary"), "toxicity-sample").coalesce(parts)
 
     def count(batches):
-        n = np.zeros((2, 1 << BITS), np.float32)
-        f, y = _collect(batches)
-        for x, label in zip(f, y, strict=True):
-            n[int(label > 0), x] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([n.tobytes()]), pa.array([int((y > 0).sum())]), pa.array([len(y)])], ["n", "ones", "rows"])
-
-    got = table.mapInArrow(count, "n binary, ones long, rows long").collect()  # at most `parts` vectors
+        n, ones, rows = np.zeros((2, 1 << BITS), np.float32), 0, 0
+        for f, y in _rows(batches):
+            for x, label in zip(f, y, strict=True):
+                n[int(label > 0), x] += 1
+            ones, rows = ones + int((y > 0).sum()), rows + len(y)
+        yield pa.RecordBatch.from_arrays([pa.array([n.tobytes()]), pa.array([ones]), pa.array([rows])], ["n", "ones", "rows"])
+
+    got = table.mapInArrow(frugal(count), "n binary, ones long, rows long").collect()  # at most `parts` vectors
     ones, rows = sum(r.ones for r in got), sum(r.rows for r in got)
     if not ones or ones == rows:
         share = (ones + 1) / (rows + 2)
@@ -130,20 +130,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 12_000, rounds: int
     def slope(held):
         def run(batches):
             w, b = held.value
-            f, y = _collect(batches)
-            g = np.zeros(1 << BITS)
-            z = np.array([w[x].sum() for x in f]) + b
-            e = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
-            for x, d in zip(f, e, strict=True):
-                g[x] += d
-            loss = float((np.logaddexp(0, z) - y * z).sum())
-            yield pa.RecordBatch.from_arrays([pa.array([g.tobytes()]), pa.array([float(e.sum())]), pa.array([loss])], ["g", "b", "loss"])
+            g, bias, loss = np.zeros(1 << BITS), 0.0, 0.0
+            for f, y in _rows(batches):
+                z = np.array([w[x].sum() for x in f]) + b
+                e = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
+                for x, d in zip(f, e, strict=True):
+                    g[x] += d
+                bias, loss = bias + float(e.sum()), loss + float((np.logaddexp(0, z) - y * z).sum())
+            yield pa.RecordBatch.from_arrays([pa.array([g.tobytes()]), pa.array([bias]), pa.array([loss])], ["g", "b", "loss"])
         return run
 
     def evaluate(v):
         """Mean loss with its penalty, and slope, at scaled weights and bias ``v``."""
         held = spark.sparkContext.broadcast((v[:-1] * ratio, v[-1]))
-        got = table.mapInArrow(slope(held), "g binary, b double, loss double").collect()
+        got = table.mapInArrow(frugal(slope(held)), "g binary, b double, loss double").collect()
         held.destroy()
         g = np.append(sum(np.frombuffer(r.g) for r in got) * ratio, sum(r.b for r in got)) / rows
         g[:-1] += l2 / rows * v[:-1]
