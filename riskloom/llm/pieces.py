@@ -25,24 +25,25 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import re
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembered
+from .common import Remembered, frugal
+from .merging import PairTable
 
 SPACE = "▁"
 UNKNOWN_TEXT = " ⁇ "
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-#: letters of a stretch whose merges are found by looking through all pairs, and the rank of no piece
-SHORT, NEVER = 64, float("inf")
+#: letters of a stretch that is merged side by side with others
+SHORT = 64
 
 
 @dataclass(frozen=True)
@@ -73,6 +74,36 @@ class PieceModel:
         return PieceModel(tuple(p.piece for p in m.pieces), tuple(p.score for p in m.pieces), kinds, n.precompiled_charsmap, n.add_dummy_prefix, n.remove_extra_whitespaces, n.escape_whitespaces)
 
 
+class Merges:
+    """The merges of a model.  Symbols are the normal pieces, by their ids, and
+    characters that only stand in longer ones."""
+
+    def __init__(self, model: PieceModel):
+        self.symbols = [p if k == NORMAL else None for p, k in zip(model.pieces, model.kinds, strict=True)]
+        number = {p: i for i, p in enumerate(self.symbols) if p is not None}
+        self.pieces = len(self.symbols)
+        longer = [p for p in number if len(p) > 1]
+        for c in sorted(set("".join(longer)).difference(number)):
+            number[c] = len(self.symbols)
+            self.symbols.append(c)
+        rank = {s: r for r, s in enumerate(sorted({-model.scores[number[p]] for p in longer}))}
+        self.table = PairTable(((number[p[:i]], number[p[i:]], rank[-model.scores[number[p]]], number[p])
+                                for p in longer for i in range(1, len(p)) if p[:i] in number and p[i:] in number), len(self.symbols))
+        single = sorted((ord(c), i) for c, i in number.items() if len(c) == 1)
+        self.code, self.single = (np.array(x, np.int64) for x in zip(*single, strict=True))
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        """Symbols of code points, -1 for those that are none."""
+        at = np.minimum(np.searchsorted(self.code, codes), len(self.code) - 1)
+        return np.where(self.code[at] == codes, self.single[at], -1)
+
+    def merged(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text numbers, symbols and code points where they begin, after all merges."""
+        code = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.int64)
+        of, symbol, place = self.table.merged(self.of(code), np.repeat(np.arange(len(texts)), [len(t) for t in texts]))
+        return of, symbol, code[place]
+
+
 class CharacterMap:
     """The compiled map: a little-endian length, that many bytes of double-array
     units, then the replacements, each ended by a zero byte."""
@@ -158,8 +189,8 @@ class Normaliser:
 class Encoder:
     """Encodes texts within a task."""
 
-    def __init__(self, model: PieceModel, memory: int = 96 << 20):
-        self.model, self.normalise = model, Normaliser(model)
+    def __init__(self, model: PieceModel, merges: Merges | None = None, memory: int = 96 << 20):
+        self.model, self.normalise, self.merges = model, Normaliser(model), merges or Merges(model)
         normal = {p: i for i, (p, k) in enumerate(zip(model.pieces, model.kinds, strict=True)) if k == NORMAL}
         self.id_of = normal
         self.rank = {p: -model.scores[i] for p, i in normal.items() if len(p) > 1}
@@ -178,24 +209,8 @@ class Encoder:
         self.inside = inside
         self.known = Remembered(memory)
 
-    def merged(self, text: str) -> list[str]:
-        """The symbols of a stretch after all merges: the best-scored pair of
-        neighbours first, the leftmost of equal ones."""
-        if len(text) > SHORT:
-            return self._merged_by_heap(text)
-        rank, symbols = self.rank.get, list(text)
-        pairs = [rank(text[i:i + 2], NEVER) for i in range(len(text) - 1)]
-        while pairs and (best := min(pairs)) < NEVER:
-            i = pairs.index(best)
-            symbols[i:i + 2] = [symbols[i] + symbols[i + 1]]
-            del pairs[i]
-            if i:
-                pairs[i - 1] = rank(symbols[i - 1] + symbols[i], NEVER)
-            if i < len(pairs):
-                pairs[i] = rank(symbols[i] + symbols[i + 1], NEVER)
-        return symbols
-
-    def _merged_by_heap(self, text: str) -> list[str]:
+    def merged_by_heap(self, text: str) -> list[str]:
+        """The symbols of a long stretch after all merges, in the same order."""
         symbols: list[str | None] = list(text)
         n, rank = len(symbols), self.rank
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -216,20 +231,28 @@ class Encoder:
                 heapq.heappush(heap, (rank[pair], h, pair))
         return [s for s in symbols if s is not None]
 
-    def learn(self, new: Iterable[str]) -> dict[str, bytes]:
+    def learn(self, new: list[str]) -> dict[str, bytes]:
         """The ids of some stretches, as little-endian 32-bit numbers."""
-        ids, counts, get = [], [], self.id_of.get
-        for text in new:
-            before = len(ids)
-            for s in self.merged(text):
-                if (i := get(s)) is not None:
-                    ids.append(i)
-                else:
-                    ids += [self.byte_id[b] for b in s.encode()]
-            counts.append(4 * (len(ids) - before))
-        data = np.array(ids, "<i4").tobytes()
-        ends = list(accumulate(counts, initial=0))
-        return {text: data[a:b] for text, a, b in zip(new, ends[:-1], ends[1:], strict=True)}
+        short = [t for t in new if len(t) <= SHORT]
+        of, symbols, codes = self.merges.merged(short)
+        ends = np.searchsorted(of, np.arange(len(short) + 1)).tolist()
+        data = symbols.astype("<i4").tobytes()
+        found = {t: data[4 * a:4 * b] for t, a, b in zip(short, ends[:-1], ends[1:], strict=True)}
+        for i in np.unique(of[(symbols < 0) | (symbols >= self.merges.pieces)]).tolist():  # with characters that are no piece
+            part = slice(ends[i], ends[i + 1])
+            found[short[i]] = self.spelled([chr(c) if s < 0 else self.merges.symbols[s] for s, c in zip(symbols[part].tolist(), codes[part].tolist(), strict=True)])
+        found.update({t: self.spelled(self.merged_by_heap(t)) for t in new if len(t) > SHORT})
+        return found
+
+    def spelled(self, symbols: list[str]) -> bytes:
+        """Ids of symbols; one that is no piece is spelled in bytes."""
+        ids = []
+        for s in symbols:
+            if (i := self.id_of.get(s)) is not None:
+                ids.append(i)
+            else:
+                ids += [self.byte_id[b] for b in s.encode()]
+        return np.array(ids, "<i4").tobytes()
 
     def stretches(self, text: str, window: int) -> Iterator[list[str]]:
         at = 0
@@ -247,9 +270,24 @@ class Encoder:
             if parts:
                 yield np.frombuffer(b"".join(self.known.all(parts, self.learn)), "<i4")
 
+    def normalised(self, texts: Iterable[str], lot: int = 256, most: int = 1 << 20) -> Iterator[tuple[str, np.ndarray]]:
+        """Normalised texts with their alignment; the stretches of a lot of short
+        ones are learned together."""
+        held, size = [], 0
+        for text in itertools.chain(texts, [None]):
+            if held and (text is None or len(held) == lot or size + len(text) > most):
+                self.known.all([p for t, _ in held if len(t) < most for p in self.stretch.findall(t)], self.learn)
+                yield from held
+                held, size = [], 0
+            if text is not None:
+                held.append(self.normalise(text))
+                size += len(text)
+
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of a text's pieces, and the bytes of the source where each starts and ends."""
-        normalised, source = self.normalise(text)
+        return self.aligned(*self.normalise(text))
+
+    def aligned(self, normalised: str, source: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids = np.concatenate([np.zeros(0, "<i4"), *self.encode(normalised)])
         ends = np.cumsum(self.size[ids])
         return ids, source[ends - self.size[ids]], source[ends]
@@ -313,19 +351,25 @@ def _is_character(data: bytes) -> bool:
         return False
 
 
+def shared(docs: DataFrame, path: str):
+    """The model and its merges, broadcast (as large as the vocabulary)."""
+    model = PieceModel.load(path)
+    return docs.sparkSession.sparkContext.broadcast((model, Merges(model)))
+
+
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id, ids, starts, ends``: every piece of each text with the bytes of
     the UTF-8 source that it covers."""
-    held = docs.sparkSession.sparkContext.broadcast(PieceModel.load(path))
+    held = shared(docs, path)
 
     def run(batches):
-        encoder = Encoder(held.value)
+        encoder = Encoder(*held.value)
         for batch in batches:
-            rows = [encoder.spans(t or "") for t in batch.column("text").to_pylist()]
+            rows = [encoder.aligned(*n) for n in encoder.normalised(t or "" for t in batch.column("text").to_pylist())]
             lists = [pa.array([r[k] for r in rows], pa.list_(t)) for k, t in ((0, pa.int32()), (1, pa.int64()), (2, pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], ["doc_id", "ids", "starts", "ends"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, starts array<long>, ends array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run), "doc_id long, ids array<int>, starts array<long>, ends array<long>")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -333,10 +377,9 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     ``encoded`` gives, digested in the task (ids as decimal text, the decoded
     text, the spans as little-endian 64-bit numbers: all starts, then all ends,
     a window after the other)."""
-    held = docs.sparkSession.sparkContext.broadcast(PieceModel.load(path))
+    held = shared(docs, path)
 
-    def row(encoder: Encoder, decoder: Decoder, decimal: list[str], text: str):
-        normalised, source = encoder.normalise(text)
+    def row(encoder: Encoder, decoder: Decoder, decimal: list[str], normalised: str, source: np.ndarray):
         at, crc, said, ids = 0, 0, hashlib.sha256(), []
         for e in encoder.encode(normalised):
             sizes = encoder.size[e]
@@ -348,12 +391,12 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         return len(ids), said.hexdigest(), hashlib.sha256(decoder.decode(ids)).hexdigest(), crc
 
     def run(batches):
-        encoder, decoder = Encoder(held.value), Decoder(held.value)
-        decimal = [str(i) for i in range(len(held.value.pieces))]
+        encoder, decoder = Encoder(*held.value), Decoder(held.value[0])
+        decimal = [str(i) for i in range(len(held.value[0].pieces))]
         for batch in batches:
-            rows = [row(encoder, decoder, decimal, t or "") for t in batch.column("text").to_pylist()]
+            rows = [row(encoder, decoder, decimal, *n) for n in encoder.normalised(t or "" for t in batch.column("text").to_pylist())]
             columns = zip(*rows, strict=True) if rows else [[]] * 4
             kinds = (pa.int64(), pa.string(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_crc32 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_crc32 long")

@@ -115,11 +115,11 @@ def test_windows_and_forgetting_change_nothing(library):
         assert got.tolist() == library.encode(text)
 
 
-def test_heap_and_list_merge_alike():
+def test_both_ways_to_merge_agree():
     encoder, rng = pieces.Encoder(pieces.PieceModel.load(queries.piece_model())), random.Random(4)
-    for _ in range(500):
-        text = "".join(rng.choice("▁thean ") for _ in range(rng.randint(1, 60)))
-        assert encoder.merged(text) == encoder._merged_by_heap(text)
+    texts = ["".join(rng.choice("▁thean é日") for _ in range(rng.randint(1, 60))) for _ in range(500)]
+    found = encoder.learn(texts)
+    assert found == {t: encoder.spelled(encoder.merged_by_heap(t)) for t in texts}
 
 
 def test_other_kinds_of_model_are_refused(tmp_path):
