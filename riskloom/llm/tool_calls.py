@@ -31,6 +31,7 @@ import math
 from collections.abc import Mapping
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -109,10 +110,10 @@ def formatter(schemas: Mapping[str, Mapping]):
     return run
 
 
-def _levels(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Levels of the calls of one conversation, by taking away calls that need
-    no other call that is still there."""
-    needs = {i: set() if n is None else {x for x in n if x is not None} for i, n in zip(pdf["call_id"], pdf["needs"], strict=True)}
+def levels_of(calls: dict[str, list[str | None] | None]) -> dict[str, int]:
+    """Levels of the calls of one conversation (id to needs), by taking away calls
+    that need no other call that is still there."""
+    needs = {i: set() if n is None else {x for x in n if x is not None} for i, n in calls.items()}
     needs = {i: {x for x in n if x in needs} for i, n in needs.items()}
     users: dict = {}
     for i, n in needs.items():
@@ -127,7 +128,43 @@ def _levels(pdf: pd.DataFrame) -> pd.DataFrame:
             left[u] -= 1
             if not left[u]:
                 ready.append(u)
-    return pd.DataFrame({"conv_id": pdf["conv_id"], "call_id": pdf["call_id"], "level": pd.array([level.get(i) for i in pdf["call_id"]], dtype="Int64")})
+    return level
+
+
+def _level_runs(batches):
+    """Levels of conversations that come one after the other."""
+    conv, calls, columns = None, {}, ([], [], [])
+
+    def close():
+        level = levels_of(calls)
+        for out, values in zip(columns, ([conv] * len(calls), calls, map(level.get, calls)), strict=True):
+            out.extend(values)
+
+    def table():
+        found = pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], ["conv_id", "call_id", "level"])
+        for out in columns:
+            out.clear()
+        return found
+
+    for batch in batches:
+        for c, i, n in zip(*(batch.column(x).to_pylist() for x in ("conv_id", "call_id", "needs")), strict=True):
+            if calls and c != conv:
+                close()
+                calls = {}
+            conv = c
+            calls[i] = n
+        if len(columns[0]) > 10_000:
+            yield table()
+    if calls:
+        close()
+    yield table()
+
+
+def level_each(calls: DataFrame, rows: int = 20_000) -> DataFrame:
+    """Levels of conversations that each fit in a task: dealt over as many tasks as
+    there are cores, or more, by conversation, and gone through in order."""
+    tasks = max(calls.sparkSession.sparkContext.defaultParallelism, -(-calls.count() // rows))
+    return calls.select("conv_id", "call_id", "needs").repartition(tasks, "conv_id").sortWithinPartitions("conv_id").mapInArrow(_level_runs, LEVELS)
 
 
 LEVELS = "conv_id long, call_id string, level long"
@@ -138,8 +175,8 @@ def levels(calls: DataFrame, max_calls: int = 20_000) -> DataFrame:
     sizes = calls.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
     big = materialise(sizes.where(F.col("n") > max_calls).select(F.col("conv_id").alias("big")), "long-conversations")
     if big.isEmpty():
-        return calls.groupBy("conv_id").applyInPandas(_levels, LEVELS)
-    small = calls.join(big, calls.conv_id.eqNullSafe(big.big), "left_anti").groupBy("conv_id").applyInPandas(_levels, LEVELS)
+        return level_each(calls)
+    small = level_each(calls.join(big, calls.conv_id.eqNullSafe(big.big), "left_anti"))
     rest = calls.join(big, calls.conv_id.eqNullSafe(big.big), "left_semi")
     nodes = materialise(rest.select("conv_id", "call_id", F.concat_ws("\x00", F.coalesce(F.col("conv_id").cast("string"), F.lit("null")), "call_id").alias("node"), "needs"), "calls")
     need = F.concat_ws("\x00", F.coalesce(F.col("conv_id").cast("string"), F.lit("null")), F.col("need"))
