@@ -13,15 +13,16 @@ A negative weight uses the complemented slices, since ``-w*x = w*((2^b-1)-x) -
 w*(2^b-1)``, so all place values are positive and the correction is one
 constant per query and block.
 
-Rows are dealt into blocks by a hash of their id, queries into blocks too; the
+Rows are dealt into blocks by a hash of id and vector (equal rows once, with their
+number), queries into blocks too; the
 stated query set meets all rows block by block, each pair of blocks in a task
 of its own with bounded memory, and gives k rows a query; the k best of these
 are the result.
 
 Defined results: a vector that is null or holds a null, NaN or infinite
 component takes no part, nor does a null id; shorter vectors count as padded
-with zeros; of repeated rows with one id the one with the smallest vector
-counts; ties go to the smaller id; an empty table gives an empty result.  A
+with zeros; rows that share an id all count (a query id's results are the best of
+all its rows', equal results as often as they come); ties go to the smaller id; an empty table gives an empty result.  A
 quantised component beyond 2^27 is an error, as scores might leave the range
 of a long.
 """
@@ -129,7 +130,8 @@ def row_numbers(bitmap: np.ndarray) -> np.ndarray:
 
 
 def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
-    """The k best rows of the block for each query: (query id, id, score)."""
+    """The k best rows of the block for each query, but for rows of its own id:
+    (query id, row, score)."""
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
     maps, attribute, bit, least, bits = build_slices(x)
@@ -139,8 +141,7 @@ def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries:
     span = (np.int64(1) << bits) - 1
     for q, w in zip(query_ids, queries, strict=True):
         allowed = everyone.copy()
-        own = np.searchsorted(ids, q)
-        if own < len(ids) and ids[own] == q:
+        for own in range(np.searchsorted(ids, q), np.searchsorted(ids, q, side="right")):
             allowed[own >> 6] &= ~(U(1) << U(own & 63))
         slices = score_slices(maps, attribute, bit, w)
         sure, tied, missing = select_top(slices, allowed, k)
@@ -150,35 +151,41 @@ def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries:
         for p, b in enumerate(bits_of):
             total += b.astype(np.int64) << p
         shift = int((w * least).sum()) - int((np.where(w < 0, -w, 0) * span).sum())
-        yield q, ids[rows], total + shift
+        yield q, order[rows], total + shift
 
 
 def _search(k: int):
     def run(key, rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(queries):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "copies": []}, dtype="int64")
         dims = max(rows["q"].map(len).max(), queries["q"].map(len).max())
         x, w = (np.zeros((len(t), dims), np.int64) for t in (rows, queries))
         for m, t in ((x, rows), (w, queries)):
             for i, v in enumerate(t["q"]):
                 m[i, :len(v)] = v
         found = list(search_block(rows["vec_id"].to_numpy(), x, queries["vec_id"].to_numpy(), w, k))
-        return pd.DataFrame({"query_id": np.repeat([f[0] for f in found], [len(f[1]) for f in found]),
-                             "vec_id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found])}).astype("int64")
+        size = [len(f[1]) for f in found]
+        row = np.concatenate([f[1] for f in found])
+        copies = np.minimum(np.repeat(queries["copies"].to_numpy(), size) * rows["copies"].to_numpy()[row], k)
+        return pd.DataFrame({"query_id": np.repeat([f[0] for f in found], size), "vec_id": rows["vec_id"].to_numpy()[row],
+                             "score": np.concatenate([f[2] for f in found]), "copies": copies}).astype("int64")
     return run
 
 
 def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, block_rows: int = 8192, block_queries: int = 1024) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k rows of highest inner product for
-    each query row among all rows but its own.  ``vectors`` has ``vec_id`` and
+    each query id among all rows of other ids; rows that share an id all count, as
+    queries and as candidates.  ``vectors`` has ``vec_id`` and
     ``embedding``; ``is_query`` is a condition on ``vec_id``."""
     sound = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), quantised("embedding", scale).alias("q")).where("q is not null and vec_id is not null")
     n = sound.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1))).first()
     blocks, parts = max(1, -(-n[0] // block_rows)), max(1, -(-n[1] // block_queries))
-    one = sound.groupBy("vec_id").agg(F.min("q").alias("q"))
+    one = sound.groupBy("vec_id", "q").agg(F.count(F.lit(1)).alias("copies"))  # equal rows are looked at once
+    deal = lambda m: F.pmod(F.xxhash64("vec_id", "q"), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    rows = one.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("part", every(parts))
-    queries = one.where(is_query).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).withColumn("block", every(blocks))
-    met = rows.groupBy("block", "part").cogroup(queries.groupBy("block", "part")).applyInPandas(_search(k), "query_id long, vec_id long, score long")
+    rows = one.withColumn("block", deal(blocks)).withColumn("part", every(parts))
+    queries = one.where(is_query).withColumn("part", deal(parts)).withColumn("block", every(blocks))
+    met = rows.groupBy("block", "part").cogroup(queries.groupBy("block", "part")).applyInPandas(_search(k), "query_id long, vec_id long, score long, copies long")
+    met = met.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

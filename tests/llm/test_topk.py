@@ -15,14 +15,12 @@ ROWS = [(0, [0.5, -0.25, 1.0]), (1, [0.5, -0.25, 1.0]), (2, None), (3, [0.1, Non
 
 
 def brute(rows, k):
-    by = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            q = [math.floor(1024 * float(np.float32(x))) for x in v]
-            by[i] = min(by.get(i, q), q)
+    """Best scores of each query id over all its rows and all rows of other ids."""
+    sound = [(i, [math.floor(1024 * float(np.float32(x))) for x in v]) for i, v in rows
+             if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in sorted(i for i in by if i % 100 == 0):
-        scored = sorted(((-sum(a * b for a, b in zip(by[q], v)), i) for i, v in by.items() if i != q))[:k]
+    for q in sorted({i for i, _ in sound if i % 100 == 0}):
+        scored = sorted((-sum(a * b for a, b in zip(w, v)), i) for j, w in sound if j == q for i, v in sound if i != q)[:k]
         out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
     return sorted(out, key=str)
 
@@ -45,7 +43,14 @@ def test_bitmap_arithmetic_is_exact(seed, rows, dims, k):
     queries_ids = np.array([ids[0], -5])
     for (q, got, score), v in zip(topk.search_block(ids, x, queries_ids, w, k), w, strict=True):
         want = sorted((-int(s), int(i)) for i, s in zip(ids, x @ v, strict=True) if i != q)[:k]
-        assert sorted(zip((-score).tolist(), got.tolist(), strict=True)) == want
+        assert sorted(zip((-score).tolist(), ids[got].tolist(), strict=True)) == want
+
+
+def test_rows_that_share_an_id_all_count(spark):
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [3.0, 0.0]), (1, [3.0, 0.0]), (2, [2.5, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 9.0]), (3, [0.0, 1.0])] + [(4, [0.5, 0.0])] * 30
+    df = spark.createDataFrame(rows, VECTORS)
+    for k in (2, 5, 40):
+        assert shown(topk.exact_top_k(df, F.col("vec_id") % 100 == 0, k=k, block_rows=3)) == brute(rows, k)
 
 
 def test_query_equals_sql(spark):
