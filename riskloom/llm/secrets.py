@@ -38,6 +38,7 @@ HEX_DIGIT, HEX_RUN = frozenset("0123456789abcdef"), re.compile(r"[0-9a-f]+")
 GITHUB = re.compile(r"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 NPM = re.compile(r"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+JWT_RUN = re.compile(r"[A-Za-z0-9_-]*")
 DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
@@ -104,6 +105,8 @@ def scan(text: str) -> list[tuple[str, int, int]]:
             continue
         _, expression, sound = KINDS[kind]
         m = expression.match(text, start)
+        if m is None and kind == "jwt":  # no later start in this run can match either
+            passed[kind] = JWT_RUN.match(text, start).end()
         if m:
             passed[kind] = m.end()
             if sound(m):

@@ -56,3 +56,22 @@ def test_redaction(spark):
     assert secrets.blank(text, "[SECRET]") == 'é [SECRET]" and [SECRET] AKIA'
     df = spark.createDataFrame(pd.DataFrame({"text": [text, None, ""]})).select(secrets.redacted(F.col("text")).alias("t"))
     assert [r.t for r in df.collect()] == ['é [SECRET]" and [SECRET] AKIA', None, ""]
+
+
+def test_runs_of_keywords_take_linear_time():
+    import time
+
+    def cost(n):
+        t = time.perf_counter()
+        for part in ("eyJ", "eyJ-", "eyJ.", "eyJa.b.", "password", "token=", "token: ", "AKIA", "a0", "ghp_"):
+            secrets.scan(part * n)
+        return time.perf_counter() - t
+
+    cost(1000)
+    assert cost(64_000) < 12 * cost(16_000) + 1  # in proportion would be 4
+
+
+def test_a_token_after_a_run_that_is_none():
+    good = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxIn0.c2ln"
+    text = "eyJ" * 50 + " " + good + " eyJeyJ" + good
+    assert [s for s in secrets.scan(text) if s[0] == "jwt"][0] == ("jwt", 151, 151 + len(good))
