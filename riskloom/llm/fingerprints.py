@@ -26,9 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf, pandas_udf
 from pyspark.sql.types import BinaryType, DoubleType
 
+from ..functions.ordering import MOST_CUTS, with_bucket
+from .common import materialise
 from .shingles import U, batches, mix
 
 BINS, BITS, WORDS = 256, 8, 5
+#: letters of a text that order rows of one id before the whole text does
+HEAD = 64
 EMPTY = U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -92,31 +96,52 @@ def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([match(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def in_ranges(df: DataFrame, rows: int) -> tuple[DataFrame, int]:
+    """``df`` with ``cut_, part_`` (its range) and ``head_``; the number of rows."""
+    keyed = with_bucket(df.withColumn("head_", F.substring("text", 1, HEAD)), ["doc_id", "head_"], out="cut_")
+    stats = keyed.groupBy("cut_").agg(F.min("doc_id").alias("lo_"), F.max("doc_id").alias("hi_"), F.count(F.lit(1)).alias("n_"))
+    stats = materialise(stats, "id-cuts")  # MOST_CUTS + 1 rows at most
+    n = stats.agg(F.sum("n_")).first()[0] or 0
+    width = F.greatest(F.ceil((F.col("hi_") - F.col("lo_") + 1) * F.lit(float(rows)) / F.col("n_")), F.lit(1))
+    part = F.coalesce(F.floor((F.col("doc_id") - F.col("lo_")) / width).cast("long"), F.lit(-1).cast("long"))
+    return keyed.join(F.broadcast(stats), "cut_").withColumn("part_", part).drop("lo_", "hi_", "n_"), n
+
+
+def range_sizes(df: DataFrame, rows: int = 1024) -> list[int]:
+    """Rows of each range: for tests and a look at the spread of ids."""
+    return [r.n for r in in_ranges(df, rows)[0].groupBy("cut_", "part_").agg(F.count(F.lit(1)).alias("n")).collect()]
+
+
 def with_next(df: DataFrame, columns: dict[str, str], rows: int = 1024, max_broadcast: int = 200_000) -> DataFrame:
     """Add, for ``{new: column}``, the column of the next row by ``doc_id`` (after
     the last: the first).  ``df`` has ``doc_id`` and ``text``; what follows from
     the text is better made after this than moved with it.
 
-    Rows are dealt into ranges of ``doc_id`` of about ``rows`` rows each; the
-    first row of each range is also sent to the range before it as a guest, so
-    no window spans more than one range.  The ranges' first ids are a narrow
-    table of one row per range; it is broadcast if their number, which is known
-    from the count, is at most ``max_broadcast``, and else joined by a shuffle."""
-    span = df.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    lo, hi = (span.lo or 0), (span.hi or 0)
-    width = max(1, -(-(hi - lo + 1) * rows // max(1, span.n)))
-    bucket = F.coalesce(F.floor((F.col("doc_id") - F.lit(lo)) / F.lit(width)), F.lit(-1)).cast("long")
-    dealt = df.withColumn("range_", bucket)
-    heads = df.select("doc_id", bucket.alias("range_")).groupBy("range_").agg(F.min("doc_id").alias("first_"))
-    line = Window.orderBy("range_")  # of the ranges, not of the rows
-    heads = heads.select("first_", F.coalesce(F.lag("range_").over(line), F.max("range_").over(Window.partitionBy())).alias("to_"))
-    if (hi - lo + 1) // width + 2 <= max_broadcast:
+    Rows are dealt into ranges of about ``rows`` rows: stretches between sampled
+    cuts of (``doc_id``, the text's head), whatever the ids' spread, nulls or
+    repeats, and each of those into parts of equal id width.  The first row of
+    each range is also sent to the range before it as a guest, so no window spans
+    more than one range.  The ranges' heads are a narrow table of one row per range;
+    it is broadcast if their number, which the count bounds, is at most
+    ``max_broadcast``, and else joined by a shuffle."""
+    dealt, n = in_ranges(df, rows)
+    heads = dealt.select("cut_", "part_", "doc_id", "head_").groupBy("cut_", "part_").agg(F.min(F.struct("doc_id", "head_")).alias("first_"))
+    line, cuts = Window.orderBy("cut_"), Window.partitionBy()  # of the cuts, MOST_CUTS + 1 at most
+    last = heads.groupBy("cut_").agg(F.max("part_").alias("last_"))
+    end = F.max(F.struct("cut_", "last_")).over(cuts)
+    last = last.select(F.col("cut_").alias("at_"), F.coalesce(F.lag(F.struct("cut_", "last_")).over(line), end).alias("before_"))
+    within = Window.partitionBy("cut_").orderBy("part_")
+    heads = heads.join(F.broadcast(last), F.col("cut_") == F.col("at_")).withColumn("prior_", F.lag("part_").over(within))
+    to = lambda own, far: F.when(F.col("prior_").isNotNull(), F.col(own)).otherwise(F.col(f"before_.{far}"))
+    heads = heads.select(F.col("first_.doc_id").alias("f_id"), F.col("first_.head_").alias("f_head"), to("cut_", "cut_").alias("to_cut"), to("prior_", "last_").alias("to_part"))
+    if n // rows + 2 * (MOST_CUTS + 1) <= max_broadcast:
         heads = F.broadcast(heads)
-    guests = dealt.drop("range_").join(heads, dealt.doc_id.eqNullSafe(heads.first_)).withColumnRenamed("to_", "range_").drop("first_")
+    guests = dealt.drop("cut_", "part_").join(heads, dealt.doc_id.eqNullSafe(heads.f_id) & dealt["head_"].eqNullSafe(heads.f_head))
+    guests = guests.withColumnsRenamed({"to_cut": "cut_", "to_part": "part_"}).drop("f_id", "f_head")
     both = dealt.withColumn("guest_", F.lit(False)).unionByName(guests.withColumn("guest_", F.lit(True)))
-    by = Window.partitionBy("range_").orderBy("guest_", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    by = Window.partitionBy("cut_", "part_").orderBy("guest_", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     return (both.select("*", *[F.lead(c).over(by).alias(n) for n, c in columns.items()])
-            .where(~F.col("guest_")).drop("range_", "guest_"))
+            .where(~F.col("guest_")).drop("cut_", "part_", "guest_", "head_"))
 
 
 def edited(text: Column, after: Column) -> Column:

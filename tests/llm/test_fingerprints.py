@@ -19,7 +19,9 @@ def expected(rows):
 
 
 def test_edits_equal_brute_force(spark):
-    for rows in (ROWS, [ROWS[0]], [(i * 7 % 5000, f"text number {i} " * (i % 9), "en", "s", 1) for i in range(3000)]):
+    clustered = [(i if i < 1500 else 10**15 + i, f"cluster {i}", "en", "s", 1) for i in range(3000)] + [(-10**17, "far", "en", "s", 1)]
+    one_id = [(None if i % 3 else 7, f"text {i * 37 % 1000:04d} of no or one id", "en", "s", 1) for i in range(1200)]
+    for rows in (ROWS, clustered, one_id, [ROWS[0]], [(i * 7 % 5000, f"text number {i} " * (i % 9), "en", "s", 1) for i in range(3000)]):
         got = fingerprints.edit_report(clashing(docs(spark, rows))).select("doc_id", "n_chars", "edited_sha256").collect()
         assert sorted(map(tuple, got), key=str) == expected(rows)
 
@@ -55,3 +57,12 @@ def test_densified_bins_are_all_filled():
     m[0, 5], m[1, 7], m[1, 9] = 1, 2, 3
     d = fingerprints.densify(m)
     assert (d[0] == 1).all() and set(d[1].tolist()) == {2, 3} and (d[2] == fingerprints.EMPTY).all()
+
+
+def test_ranges_stay_small_whatever_the_ids(spark):
+    """No window holds much more than the rows it is meant for."""
+    rows = [(i if i < 2000 else 10**15 + i, f"cluster {i}") for i in range(4000)] + [(-10**17, "far")] + [(None, f"no id {i:05d}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plan = fingerprints.with_next(df, {"after": "text"}, rows=64)
+    sizes = fingerprints.range_sizes(df, rows=64)
+    assert plan.count() == len(rows) == sum(sizes) and max(sizes) <= 300
