@@ -40,13 +40,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .common import fresh, materialise, text_blocks, text_bytes
+from .common import fresh, frugal, materialise, text_blocks, text_bytes
 from .components import components
 from .shingles import U, batches, mix, words
 
 BANDS, WORDS, SIMILARITY = 16, 5, 0.8
-HUBS, PARITIES = 8, 16
-PLACE = U((1 << 24) - 1)
+HUBS = 8
+#: buckets of a bag of words, and how far each counts
+BUCKETS, COUNTS = 1024, 2
+BAG = [f"bag_{i}" for i in range(BUCKETS * COUNTS // 64)]
+PLACE = U((1 << 32) - 1)
 LAST = U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -213,24 +216,25 @@ def candidate_texts(docs: DataFrame, pairs: DataFrame, max_broadcast: int = 1_00
 def verified(texts: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     """The pairs ``(a, b)`` whose texts are alike, with their similarity."""
     both = pairs.join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b").join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(verifier(least), "a long, b long, similarity double")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(frugal(verifier(least)), "a long, b long, similarity double")
 
 
-def parities(n: int = PARITIES):
-    """For each text ``64 n`` bits: the parity of the number of words in each of
-    as many hash buckets.  Every word that only one of two texts has flips a bit
-    at most, so the differing bits never exceed those words."""
+def bags(buckets: int = BUCKETS, counts: int = COUNTS, lot: int = 256):
+    """For each text ``buckets * counts`` bits: whether at least 1, 2, ... of its
+    words fall in each hash bucket.  A word that only one of two texts has flips a
+    bit at most, so the differing bits never exceed those words."""
     @arrow_udf(ArrayType(LongType()))
     def run(texts: pa.Array) -> pa.Array:
-        out = [np.zeros(0, U)]
-        for lo, hi in text_blocks(texts):
-            data, offsets = text_bytes(texts.slice(lo, hi - lo))
-            _, _, doc, h = words(data, offsets)
-            own = np.zeros((hi - lo) * n, U)
-            np.bitwise_xor.at(own, doc * n + (h >> U(8)).astype(np.int64) % n, U(1) << (h & U(63)))
-            out.append(own)
+        out = [np.zeros((0, buckets * counts // 64), U)]
+        for low, high in text_blocks(texts):
+            for lo in range(low, high, lot):
+                hi = min(lo + lot, high)
+                data, offsets = text_bytes(texts.slice(lo, hi - lo))
+                _, _, doc, h = words(data, offsets)
+                n = np.bincount(doc * buckets + (h >> U(8)).astype(np.int64) % buckets, minlength=(hi - lo) * buckets).reshape(hi - lo, 1, buckets)
+                out.append(np.packbits(n > np.arange(counts)[None, :, None], axis=2, bitorder="little").reshape(hi - lo, -1).view(U))
         v = np.concatenate(out).view(np.int64)
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(v) // n + 1, dtype=np.int32) * n), pa.array(v))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * v.shape[1]), pa.array(v.ravel()))
     return run
 
 
@@ -241,7 +245,7 @@ def open_buckets(members: DataFrame, hubs: int) -> DataFrame:
     labels = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("n_words", "rep")).alias("short"))
     buckets = labels.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.sum("c").alias("n"), F.max(F.struct("c", "label")).alias("top"), F.min("short").alias("short")).where("labels > 1")
     other = F.col("n") - F.col("top.c")
-    salts = F.ceil(F.col("n") * (F.least(other, F.lit(hubs)) + 1) / F.lit(1 << 20))
+    salts = F.ceil(F.col("n") * (F.least(other, F.lit(hubs)) + 1) / F.lit(1 << 24))
     buckets = buckets.select("key", salts.cast("int").alias("salts"), other.alias("other"), F.col("top.label").alias("top"), F.col("short.rep").alias("short"))
     drawn = (F.col("label") != F.col("top")) & (F.pmod(F.xxhash64("rep", F.lit(hubs)), F.col("other")) < hubs)
     return members.join(buckets, "key").withColumn("hub", drawn | (F.col("rep") == F.col("short"))).drop("other", "top", "short")
@@ -250,15 +254,19 @@ def open_buckets(members: DataFrame, hubs: int) -> DataFrame:
 def hub_pairs(members: DataFrame, least: float) -> DataFrame:
     """Pairs ``(a, b)`` of a hub and a member of its bucket with another label,
     but for those whose lengths or words alone show that they are unlike.  A
-    bucket's members are dealt over its salts, its hubs go to each of them."""
-    dealt = members.select("key", "rep", "n_words", "label", "bag", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt"))
-    hubs = members.where("hub").select("key", F.col("rep").alias("h_rep"), F.col("n_words").alias("h_words"), F.col("label").alias("h_label"), F.col("bag").alias("h_bag"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    bucket's members are dealt over its salts, its hubs go to each of them.  A pair
+    that meets in several buckets is given by the smallest of them."""
+    keys = members.groupBy("rep").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("hub"), F.col("key"))).alias("hub_keys"))
+    members = members.join(keys, "rep")
+    dealt = members.select("key", "rep", "n_words", "label", "keys", *BAG, F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt"))
+    hubs = members.where("hub").select("key", F.col("rep").alias("h_rep"), F.col("n_words").alias("h_words"), F.col("label").alias("h_label"), "hub_keys", *[F.col(c).alias(f"h_{c}") for c in BAG], F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     shorter, longer = F.least("n_words", "h_words"), F.greatest("n_words", "h_words")
     # a distance of at most d leaves longer - d common words, so at most this many that one side lacks
     lacking = 2 * F.floor(F.lit(1 - least) * longer + F.lit(1e-9)) - (longer - shorter)
-    differing = sum((F.bit_count(F.col("bag")[i].bitwiseXOR(F.col("h_bag")[i])) for i in range(PARITIES)), F.lit(0))
+    differing = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"h_{c}"))) for c in BAG), F.lit(0))
     alike = (F.col("label") != F.col("h_label")) & (shorter >= F.lit(least - 1e-9) * longer) & (differing <= lacking)
-    met = dealt.join(hubs, (dealt["key"] == hubs["key"]) & (dealt["salt"] == hubs["salt"]) & alike)
+    once = F.array_min(F.array_intersect("keys", "hub_keys")) == dealt["key"]
+    met = dealt.join(hubs, (dealt["key"] == hubs["key"]) & (dealt["salt"] == hubs["salt"]) & alike & once)
     return met.select(F.least("rep", "h_rep").alias("a"), F.greatest("rep", "h_rep").alias("b")).distinct()
 
 
@@ -283,15 +291,15 @@ def links_of(docs: DataFrame, reps: DataFrame, bands: int, least: float):
     # leaves its bucket; what is linked to it stays.
     classes = components(found)
     members = met.where("narrow").select("key", "rep", "n_words").join(classes.withColumnsRenamed({"id": "rep", "class_id": "label"}), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    hubs, bags = HUBS, None
+    hubs, bag = HUBS, None
     while True:
         members = materialise(open_buckets(members, hubs), "bucket-members")
         if members.isEmpty():
             return links
-        if bags is None:
+        if bag is None:
             own = members.select(F.col("rep").alias("id")).distinct()
-            bags = materialise(texts.join(own, "id", "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("rep"), parities()("text").alias("bag")), "word-parities")
-        pairs = materialise(hub_pairs(members.join(bags, "rep"), least).join(tested, ["a", "b"], "left_anti"), "pairs")
+            bag = materialise(texts.join(own, "id", "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("rep"), bags()("text").alias("bag")).select("rep", *[F.col("bag")[i].alias(c) for i, c in enumerate(BAG)]), "word-bags")
+        pairs = materialise(hub_pairs(members.join(bag, "rep"), least).join(tested, ["a", "b"], "left_anti"), "pairs")
         found = materialise(verified(texts, pairs, least), "found")
         tested, links = tested.unionByName(pairs), links.unionByName(found)
         members = members.where("not hub").select("key", "rep", "n_words", "label")
