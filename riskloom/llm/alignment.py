@@ -27,24 +27,34 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import os
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import frugal, materialise
+from .merging import PairTable
 
 #: most texts whose copies are so large a share of the rows that they are broadcast
 HOT = 1024
 #: pairs (one per text that links it) and texts of a block
 BLOCK_PAIRS, BLOCK_TEXTS = 1 << 21, 1 << 13
+#: pairs of a word that are written out one by one
+SMALL = 4096
+ONE = np.ones(1, "<u4").tobytes()
+#: letters of a word that is merged side by side with others
+LONG = 64
+#: Fixed value: the pattern that cuts words for a byte-level vocabulary
+PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: a single space between two characters that neither side takes for white space
 WORD_END = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
 
@@ -58,7 +68,8 @@ def byte_letters() -> dict[str, int]:
 
 
 class ByteLevel:
-    """A byte-level BPE vocabulary; special strings are plain text."""
+    """A byte-level BPE vocabulary; special strings are plain text.  Words of
+    letters up to U+024F are merged side by side; others go through the library."""
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -66,16 +77,41 @@ class ByteLevel:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
-        split = json.loads(definition)["pre_tokenizer"] or {}
+        parts = json.loads(definition)
+        split, model = parts["pre_tokenizer"] or {}, parts["model"]
         self.by_word = split.get("type") == "ByteLevel" and split.get("use_regex", True)  # its pattern ends a token before a space between words
         letters = byte_letters()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.data = [b""] * (max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1)
         for entry, i in vocabulary.items():
             self.data[i] = bytes(letters[c] for c in entry) if all(c in letters for c in entry) else entry.encode()
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        plain = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+        self.byte = np.array([vocabulary.get(c, -1) for c, _ in sorted(letters.items(), key=lambda x: x[1])])
+        self.table = None
+        if self.by_word and plain and parts["normalizer"] is None and not split.get("add_prefix_space") and (self.byte >= 0).all():
+            merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+            self.table = PairTable(((vocabulary[x], vocabulary[y], r, vocabulary[x + y]) for r, (x, y) in enumerate(merges)), len(self.data))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and how many each has."""
+        own = [self.table is not None and len(t) <= LONG and max(t) < "ɐ" for t in texts]
+        parts = [PARTS.findall(t) for t, o in zip(texts, own, strict=True) if o]
+        flat = [p for ps in parts for p in ps]
+        data = "".join(flat).encode()
+        of = np.repeat(np.arange(len(flat)), [len(p.encode()) for p in flat])
+        of, ids, _ = self.table.merged(self.byte[np.frombuffer(data, np.uint8)], of) if flat else (of.astype(np.int64), of.astype(np.int64), None)
+        counts = np.zeros(len(texts), np.int64)
+        text = np.repeat(np.flatnonzero(own), [len(ps) for ps in parts])
+        counts += np.bincount(text[of], minlength=len(texts))
+        rest = [i for i, o in enumerate(own) if not o]
+        if not rest:
+            return ids, counts
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)]
+        counts[rest] = [len(x) for x in found]
+        out, mine = np.empty(int(counts.sum()), np.int64), np.repeat(np.array(own), counts)
+        out[mine] = ids
+        out[~mine] = np.fromiter(itertools.chain.from_iterable(found), np.int64)
+        return out, counts
 
 
 class Pieces:
@@ -90,26 +126,24 @@ class Pieces:
         # a word may be encoded by itself if no piece goes on after its end with a space
         self.by_word = not any(re.search("[^▁]▁", self.model.id_to_piece(i)) for i in range(n)) and self.model.encode("a b") == self.model.encode("a") + self.model.encode("b")
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of texts that begin with a space each."""
-        return self.model.encode([t[1:] for t in texts], num_threads=1)
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that begin with a space each, end to end, and how many each has."""
+        found = self.model.encode([t[1:] for t in texts], num_threads=1)
+        return np.fromiter(itertools.chain.from_iterable(found), np.int64), np.array([len(x) for x in found], np.int64)
 
 
-@dataclass(frozen=True)
-class Word:
+class Word(NamedTuple):
     """A word's alignment: numbers of tokens, groups and links, the groups' text,
-    and its linked pairs (each once) with how often it links them."""
+    and the linked pairs as 32-bit numbers.  ``times`` says how often each pair is
+    linked; if it is empty, the pairs come one by one."""
 
     n_a: int
     n_b: int
     n_groups: int
     n_links: int
     groups: str
-    pairs: np.ndarray
-    times: np.ndarray
-
-    def __len__(self) -> int:  # about its bytes
-        return 200 + len(self.groups) + 16 * len(self.pairs)
+    pairs: bytes
+    times: bytes
 
 
 def ends_of(ids: list[int], sizes: np.ndarray) -> np.ndarray:
@@ -137,21 +171,73 @@ def linked(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarra
 class Aligner:
     """Aligns texts within a task."""
 
-    def __init__(self, a: str, b: bytes, memory: int = 160 << 20):
+    def __init__(self, a: str, b: bytes, memory: int = 200 << 20):
         self.a, self.b = ByteLevel(a), Pieces(b)
         self.size_a, self.size_b = (np.array([len(x) for x in side.data], np.int64) for side in (self.a, self.b))
         self.width = len(self.b.data)
         if len(self.a.data) * self.width > 1 << 32:
             raise ValueError("pair codes of these vocabularies need more than 32 bits")
         self.most, self.size, self.known = memory, 0, {}
-
-    def word(self, text: str, ids_a: list[int], ids_b: list[int]) -> Word | None:
-        """None, if the tokens' bytes are not the text's."""
-        data = text.encode()
-        if b"".join([self.b.data[i] for i in ids_b]) != data or b"".join([self.a.data[i] for i in ids_a]) != data:
-            return None
-        if len(ids_a) == 1 and len(ids_b) == 1:
-            return Word(1, 1, 1, 1, f"{ids_a[0]}|{ids_b[0]}", np.array([ids_a[0] * self.width + ids_b[0]]), np.ones(1, np.int64))
+        decimal = [str(i) for i in range(max(len(self.a.data), self.width))]
+        self.plain, self.comma, self.semicolon, self.bar = (np.array([mark + d for d in decimal], object) for mark in ("", ",", ";", "|"))
+
+    def learn(self, texts: list[str]) -> dict[str, Word | None]:
+        """Alignments of some words side by side; None, if the tokens' bytes are not
+        the word's."""
+        (a, n_a), (b, n_b) = self.a.encode(texts), self.b.encode(texts)
+        data = [t.encode() for t in texts]
+        sizes = np.array([len(d) for d in data], np.int64)
+        word_a, word_b = np.repeat(np.arange(len(texts)), n_a), np.repeat(np.arange(len(texts)), n_b)
+        good = self._same(self.a.data, a, word_a, data, sizes) & self._same(self.b.data, b, word_b, data, sizes)
+        found: dict[str, Word | None] = {t: None for t, g in zip(texts, good, strict=True) if not g}
+        a, word_a, b, word_b = a[good[word_a]], word_a[good[word_a]], b[good[word_b]], word_b[good[word_b]]
+        # a group ends where tokens of both end
+        end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        at_a, at_b = (np.zeros(int(sizes[good].sum()) + 1, bool) for _ in range(2))
+        at_a[end_a], at_b[end_b] = True, True
+        last_a, last_b = at_b[end_a], at_a[end_b]
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        in_a, in_b = np.bincount(group_a), np.bincount(group_b)
+        word = word_a[last_a]  # of each group
+        many = np.unique(word[in_a * in_b > SMALL])
+        n_groups, n_links = np.bincount(word, minlength=len(texts)), np.bincount(word, weights=in_a * in_b, minlength=len(texts)).astype(np.int64)
+        # the groups' text: tokens by group, first those of A, each with what stands before it
+        first_a, first_b = np.diff(group_a, prepend=-1) > 0, np.diff(group_b, prepend=-1) > 0
+        opens = np.diff(word_a, prepend=-1) > 0
+        spelled = np.concatenate([np.where(opens, self.plain[a], np.where(first_a, self.semicolon[a], self.comma[a])), np.where(first_b, self.bar[b], self.comma[b])])
+        start_b = np.cumsum(in_b) - in_b
+        place = np.concatenate([np.arange(len(a)) + start_b[group_a], np.arange(len(b)) + np.cumsum(in_a)[group_b]])
+        flat = np.empty(len(place), object)
+        flat[place] = spelled
+        flat = flat.tolist()
+        tokens_to = np.cumsum(np.where(good, n_a + n_b, 0)).tolist()
+        # all pairs of a group
+        small = in_a * in_b <= SMALL
+        each = np.where(small[group_a], in_b[group_a], 0)
+        right = np.repeat(start_b[group_a] - np.cumsum(each) + each, each) + np.arange(int(each.sum()))
+        pairs = (np.repeat(a, each) * self.width + b[right]).astype("<u4").tobytes()
+        pairs_to = (4 * np.cumsum(np.bincount(word_a, weights=each, minlength=len(texts)).astype(np.int64))).tolist()
+        t0 = p0 = 0
+        for i, (text, g, t1, p1, x, y, n, m) in enumerate(zip(texts, good.tolist(), tokens_to, pairs_to, n_a.tolist(), n_b.tolist(), n_groups.tolist(), n_links.tolist(), strict=True)):
+            if g:
+                found[text] = Word(x, y, n, m, "".join(flat[t0:t1]), pairs[p0:p1], b"")
+            t0, p0 = t1, p1
+        for i in many.tolist():
+            found[texts[i]] = self._long_word(a[word_a == i].tolist(), b[word_b == i].tolist())
+        return found
+
+    def _same(self, tokens: list[bytes], ids: np.ndarray, word: np.ndarray, data: list[bytes], sizes: np.ndarray) -> np.ndarray:
+        """Whether each word's tokens spell it."""
+        spelled = [tokens[i] for i in ids.tolist()]
+        held = np.bincount(word, weights=[len(x) for x in spelled], minlength=len(data)) if len(ids) else np.zeros(len(data))
+        good = held == sizes
+        if good.all() and b"".join(spelled) == b"".join(data):
+            return good
+        ends = np.searchsorted(word, np.arange(len(data) + 1)).tolist()
+        return np.array([b"".join(spelled[x:y]) == d for x, y, d in zip(ends[:-1], ends[1:], data, strict=True)], bool)
+
+    def _long_word(self, ids_a: list[int], ids_b: list[int]) -> Word:
+        """The same for a word of many tokens, whose groups may be large."""
         end_a, end_b = ends_of(ids_a, self.size_a), ends_of(ids_b, self.size_b)
         common = end_a[np.isin(end_a, end_b)]
         group_a, group_b = np.searchsorted(common, end_a), np.searchsorted(common, end_b)
@@ -162,7 +248,7 @@ class Aligner:
             said.append(",".join(map(str, ids_a[at:at + i])) + "|" + ",".join(map(str, ids_b[to:to + j])))
             at, to = at + i, to + j
         pairs, times = linked(np.array(ids_a, np.int64), np.array(ids_b, np.int64), group_a, group_b, self.width)
-        return Word(len(ids_a), len(ids_b), n, int(in_a @ in_b), ";".join(said), pairs, times)
+        return Word(len(ids_a), len(ids_b), n, int(in_a @ in_b), ";".join(said), pairs.astype("<u4").tobytes(), times.astype("<u4").tobytes())
 
     def words(self, text: str) -> list[str]:
         """The stretches of a space and ``text`` that are encoded by themselves."""
@@ -177,9 +263,10 @@ class Aligner:
         if self.size > self.most:
             self.known, self.size = {}, 0
         new = list(set().union(*lot).difference(self.known))
-        for text, a, b in zip(new, self.a.encode(new), self.b.encode(new), strict=True):
-            w = self.known[text] = self.word(text, a, b)
-            self.size += 3 * len(text) + (len(w) if w else 0) + 300
+        if new:
+            made = self.learn(new)
+            self.known.update(made)
+            self.size += sum(2 * len(text) + (len(w.groups) + len(w.pairs) if w else 0) + 400 for text, w in made.items())
         for words in lot:
             found = list(map(self.known.__getitem__, words))
             yield None if None in found else found
@@ -187,12 +274,15 @@ class Aligner:
 
 def measured(words: list[Word]) -> tuple:
     """Numbers of tokens, groups and links, digest, pairs and their times of a text."""
-    n_a = n_b = n_groups = n_links = 0
-    for w in words:
-        n_a, n_b, n_groups, n_links = n_a + w.n_a, n_b + w.n_b, n_groups + w.n_groups, n_links + w.n_links
-    codes, at = np.unique(np.concatenate([w.pairs for w in words]), return_inverse=True)
-    times = np.bincount(at, weights=np.concatenate([w.times for w in words]), minlength=len(codes))
-    return n_a, n_b, n_groups, n_links, hashlib.sha256(";".join([w.groups for w in words]).encode()).hexdigest(), codes, times
+    n_a, n_b, n_groups, n_links, groups, pairs, times = zip(*words, strict=True)
+    codes = np.frombuffer(b"".join(pairs), "<u4")
+    if any(times):
+        counts = np.frombuffer(b"".join([t or ONE * (len(p) // 4) for t, p in zip(times, pairs, strict=True)]), "<u4")
+        codes, at = np.unique(codes, return_inverse=True)
+        total = np.bincount(at, weights=counts, minlength=len(codes))
+    else:
+        codes, total = np.unique(codes, return_counts=True)
+    return sum(n_a), sum(n_b), sum(n_groups), sum(n_links), hashlib.sha256(";".join(groups).encode()).hexdigest(), codes, total
 
 
 MEASURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
@@ -223,7 +313,7 @@ def aligned(texts: DataFrame, a: str, b: str) -> DataFrame:
             columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in TEXTS.split(", ")])
 
-    return texts.mapInArrow(run, TEXTS)
+    return texts.mapInArrow(frugal(run), TEXTS)
 
 
 def pair_rows(weighted: bool, most: int = 1 << 20):
