@@ -29,6 +29,8 @@ def with_position(scan: DataFrame, out: str = "position", parquet: bool = True,
     parts = rows.groupBy(FILE, BLOCK).agg(F.count(F.lit(1)).alias("_pos_n"), F.min(ROW).alias("_pos_first"))
     starts = range_cumsum(parts, "_pos_n", [FILE, BLOCK], out="_pos_start", inclusive=False)
     starts = starts.select(F.col(FILE).alias("_pos_f"), F.col(BLOCK).alias("_pos_b"), "_pos_start", "_pos_first")
+    if not parquet:  # a row per block of a file: lines of text are not shuffled for it
+        starts = F.broadcast(starts)
     found = rows.join(starts, (F.col(FILE) == F.col("_pos_f")) & (F.col(BLOCK) == F.col("_pos_b")))
     path = [F.col(FILE).alias(file)] if file else []
     return found.select(*scan.columns, *path, (F.col("_pos_start") + F.col(ROW) - F.col("_pos_first")).alias(out))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ordering import global_rank, range_cumsum
+from ..functions.ordering import range_cumsum
 from ..operators.pairing import with_position
 
 
@@ -45,10 +45,12 @@ def json_array(spark: SparkSession, path, ddl: str, one_array: bool = False) ->
     if one_array:
         lines = lines.withColumn("file", F.lit(""))
     bare = _outside_strings(F.col("value"))
-    lines = lines.withColumn("up", (_number(bare, "{[") - _number(bare, "}]")).cast("long"))
-    lines = range_cumsum(lines, "up", ["line"], by=["file"], out="depth", inclusive=False, total_out="open")
-    lines = lines.withColumn("begins", (F.col("depth") <= 1).cast("long"))
-    lines = range_cumsum(lines, "begins", ["line"], by=["file"], out="chunk")
+    # numbers alone are shuffled for the running sums; the text meets them once
+    marks = lines.select("file", "line", (_number(bare, "{[") - _number(bare, "}]")).cast("long").alias("up"))
+    marks = range_cumsum(marks, "up", ["line"], by=["file"], out="depth", inclusive=False, bounds="ordinal", total_out="open")
+    marks = marks.withColumn("begins", (F.col("depth") <= 1).cast("long"))
+    marks = range_cumsum(marks, "begins", ["line"], by=["file"], out="chunk", bounds="ordinal")
+    lines = lines.select("line", "value").join(marks.drop("begins"), "line")
     chunks = lines.groupBy("file", "chunk").agg(F.sort_array(F.collect_list(F.struct("line", "value"))).alias("l"), F.min_by("depth", "line").alias("before"),
                                                F.sum("up").alias("up"), F.max("open").alias("open"))
     text = F.btrim(F.array_join(F.transform("l", lambda x: x["value"]), "\n"), F.lit(" \t\r\n﻿"))
@@ -63,12 +65,21 @@ def json_array(spark: SparkSession, path, ddl: str, one_array: bool = False) ->
     return chunks.select(F.inline(F.variant_get(parsed, "$", kind)))
 
 
+def array_lines(df: DataFrame, order: list[str]) -> DataFrame:
+    """The lines of ``df`` as one JSON array, in range partitions by ``order``; rows
+    of equal keys share a partition, so the first row of the one that holds the
+    least key is the array's first."""
+    keys = [f"o_{i}" for i in range(len(order))]
+    least = df.select(F.struct(*[F.col(c).alias(k) for c, k in zip(order, keys, strict=True)]).alias("k")).agg(F.min("k")).scalar()
+    rows = df.select(F.lit(0).alias("end"), *[F.col(c).alias(k) for c, k in zip(order, keys, strict=True)], F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+    end = df.sparkSession.range(1).select(F.lit(1).alias("end"), *[F.lit(None).cast(rows.schema[k].dataType).alias(k) for k in keys], F.lit("]").alias("value"))
+    dealt = rows.unionByName(end).repartitionByRange("end", *keys).sortWithinPartitions("end", *keys)
+    dealt = dealt.withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).withColumn("least", least)
+    first = (F.col("end") == 0) & (F.col("at") == 0) & F.struct(*keys).eqNullSafe(F.col("least"))
+    return dealt.select(F.concat(F.when(first, "[\n").when(F.col("end") == 0, ",").when(F.col("least").isNull(), "[\n").otherwise(""), "value").alias("value"))
+
+
 def write_json_array(df: DataFrame, path: str, order: list[str]) -> None:
     """``df`` as one JSON array over the part files of ``path`` in name order, a
-    record a line, by ``order`` (which must tell rows apart).  ``cat path/part-*`` is
-    the array as one file."""
-    rows = global_rank(df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"), *[F.col(c).alias(f"o_{i}") for i, c in enumerate(order)]),
-                       [f"o_{i}" for i in range(len(order))], out="line")
-    body = rows.select("line", F.concat(F.when(F.col("line") == 1, F.lit("")).otherwise(F.lit(",")), "value").alias("value"))
-    ends = df.sparkSession.createDataFrame([(0, "["), ((1 << 63) - 1, "]")], "line long, value string")
-    body.unionByName(ends).repartitionByRange("line").sortWithinPartitions("line").select("value").write.text(path)
+    record a line, by ``order``.  ``cat path/part-*`` is the array as one file."""
+    array_lines(df, order).write.text(path)

@@ -63,6 +63,23 @@ def test_written_parts_are_one_array(spark, tmp_path):
     assert json.loads("".join(p.read_text() for p in sorted((tmp_path / "none").glob("part-*")))) == []
 
 
+def test_arrays_with_repeated_and_null_keys(spark, tmp_path):
+    df = spark.createDataFrame([(i, "x" * (k % 3), [], None) for k, i in enumerate([None, None, *range(40), *range(40), 7, 7])], DDL).repartition(5)
+    ja.write_json_array(df, str(tmp_path / "out"), ["id"])
+    text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
+    assert [r["id"] for r in json.loads(text)] == sorted([*range(40), *range(40), 7, 7, None, None], key=lambda x: (x is not None, x))
+    assert ja.json_array(spark, str(tmp_path / "out"), DDL, one_array=True).exceptAll(df).count() == 0
+
+
+def test_array_text_is_shuffled_once_to_write_and_twice_to_read(spark, tmp_path):
+    df = spark.createDataFrame([(r["id"], r["text"], r["tags"], r["inner"]) for r in RECORDS], DDL)
+    ja.write_json_array(df, str(tmp_path / "out"), ["id"])
+    got = ja.json_array(spark, str(tmp_path / "out"), DDL, one_array=True)
+    plan = got._jdf.queryExecution().optimizedPlan().toString() + got._jdf.queryExecution().executedPlan().toString()
+    assert not any("value" in line for line in plan.splitlines() if "Repartition" in line or "_rl_b" in line and "Exchange" in line)
+    assert "_rl_b" in plan
+
+
 def blocks(lists, block):
     ids = [x for one in lists for x in one]
     whole = [ids[at:at + block] for at in range(0, len(ids) - block + 1, block)]
