@@ -293,6 +293,33 @@ def test_vocabulary_order_of_very_long_texts(spark):
     assert [r.piece for r in v.orderBy("pos").collect()] == ["w", "late", "next"]
 
 
+def test_vocabulary_of_repeated_and_null_keys(spark):
+    from riskloom.functions.text import PY_WS_CHARS
+    from riskloom.operators import text_ops as tx
+    rows = [(2, "b a b c"), (2, "d b"), (None, "z c y"), (None, "y z"), (1, f"a{PY_WS_CHARS}q"), (3, None), (4, " "), (5, "new \u2009 q")]
+    base = [(9, "q r"), (None, "s r")]
+    make = lambda x: spark.createDataFrame(x, "k long, t string")
+
+    def first(rows):
+        out = {}
+        for k, t in rows:
+            for p, w in enumerate((t or "").split()):
+                at = (k is not None, k or 0, p)
+                out[w] = min(out.get(w, at), at)
+        return out
+    one, two = first(base), first(rows)
+    want = sorted(one, key=lambda w: (one[w], w)) + sorted(two.keys() - one.keys(), key=lambda w: (two[w], w))
+    got = tx.vocab_merge(tx.first_occurrence_words(make(base), "k", "t"), tx.first_occurrence_words(make(rows), "k", "t"))
+    assert [(r.piece, r.pos) for r in got.orderBy("pos").collect()] == [(w, i) for i, w in enumerate(want)]
+
+
+def test_a_task_gives_a_word_once(spark):
+    from riskloom.operators import text_ops as tx
+    d = spark.range(0, 500, 1, 1).select(F.col("id").alias("k"), F.lit("the same words in each text").alias("t"))
+    plan = tx.first_occurrence_words(d, "k", "t")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
+
+
 def test_packing_spreads_one_hot_source(spark):
     rows = spark.range(4000).select(F.lit("s").alias("g"), F.col("id").alias("k"), F.concat(F.lit("w"), F.col("id").cast("string"), F.lit(" x")).alias("t"))
     b = sft.pack_blocks(rows, "g", "k", "t", 100, eos=True).collect()
