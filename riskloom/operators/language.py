@@ -20,6 +20,8 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 BUCKETS, FACTOR, UNIT = 1 << 14, 31, 1024
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -46,7 +48,7 @@ def trigrams(texts: pa.Array):
     return (code % BUCKETS)[whole], np.maximum(np.diff(ends, prepend=0) - 2, 0)
 
 
-def _lots(column: pa.Array, most: int = 1 << 22):
+def _lots(column: pa.Array, most: int = 1 << 18):
     """Runs of texts of about ``most`` bytes, so that temporary arrays stay small."""
     lo, size = 0, 0
     for i, n in enumerate(pa.compute.binary_length(column).to_pylist()):
@@ -66,9 +68,10 @@ def trigram_counts(df: DataFrame, text: str, language: str) -> DataFrame:
             names = np.array(batch.column("language").to_pylist(), dtype=object)
             for lo, hi in _lots(batch.column("text")):
                 bucket, counts = trigrams(batch.column("text").slice(lo, hi - lo))
-                of = np.repeat(names[lo:hi], counts)
-                for name in set(names[lo:hi]):
-                    n = np.bincount(bucket[of == name], minlength=BUCKETS)
+                said = sorted(set(names[lo:hi]))
+                of = np.repeat(np.searchsorted(np.array(said, dtype=object), names[lo:hi]).astype(np.int16), counts)
+                for i, name in enumerate(said):
+                    n = np.bincount(bucket[of == i], minlength=BUCKETS)
                     total[name] = total.get(name, 0) + n
             if len(total) > MOST:
                 raise ValueError(f"more than {MOST} languages")
@@ -105,31 +108,28 @@ def identify(df: DataFrame, text: str, model: LanguageModel, out: str = "languag
     ones) and by how much it leads the next.  A text without letters, null or
     without a model has neither."""
     held = df.sparkSession.sparkContext.broadcast((model.languages, model.weights))
-    plain = "_letters"
-    while plain in df.columns:
-        plain += "_"
-    schema = df.schema
 
-    def run(batches):
+    # only the letters go to Python, in lots; the rows' own columns stay where they are
+    @arrow_udf(StructType([StructField("language", StringType()), StructField("lead", LongType())]))
+    def tell(texts: pa.Array) -> pa.Array:
         names, weights = held.value
-        for batch in batches:
-            texts = pa.compute.fill_null(batch.column(plain), "")
-            best, ahead = [], []
-            for lo, hi in _lots(texts):
-                bucket, counts = trigrams(texts.slice(lo, hi - lo))
-                of = np.repeat(np.arange(hi - lo), counts)
-                scores = np.array([np.bincount(of, weights=w[bucket], minlength=hi - lo) for w in weights]).reshape(len(names), hi - lo)
-                for i, n in enumerate(counts):
-                    one = np.argsort(-scores[:, i], kind="stable")[:2]
-                    said = bool(n and names)
-                    best.append(names[one[0]] if said else None)
-                    ahead.append(int(scores[one[0], i] - scores[one[1], i]) if said and len(one) > 1 else 0 if said else None)
-            columns = [batch.column(f.name) for f in schema]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(best, pa.string()), pa.array(ahead, pa.int64())], [*schema.names, out, lead])
+        best, ahead = [], []
+        for lo, hi in _lots(pa.compute.fill_null(texts, "")):
+            bucket, counts = trigrams(pa.compute.fill_null(texts.slice(lo, hi - lo), ""))
+            of = np.repeat(np.arange(hi - lo, dtype=np.int32), counts)
+            scores = np.array([np.bincount(of, weights=w[bucket], minlength=hi - lo) for w in weights]).reshape(len(names), hi - lo)
+            for i, n in enumerate(counts):
+                one = np.argsort(-scores[:, i], kind="stable")[:2]
+                said = bool(n and names)
+                best.append(names[one[0]] if said else None)
+                ahead.append(int(scores[one[0], i] - scores[one[1], i]) if said and len(one) > 1 else 0 if said else None)
+        return pa.StructArray.from_arrays([pa.array(best, pa.string()), pa.array(ahead, pa.int64())], ["language", "lead"])
 
     shown = F.when(F.length(F.trim(letters_only(F.col(text)))) > 0, letters_only(F.col(text)))
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return df.withColumn(plain, shown).mapInArrow(run, f"{ddl}, `{out}` string, `{lead}` long")
+    told = "_told"
+    while told in df.columns:
+        told += "_"
+    return df.withColumn(told, tell(shown)).withColumns({out: F.col(told)["language"], lead: F.col(told)["lead"]}).drop(told)
 
 
 def keep_languages(df: DataFrame, text: str, model: LanguageModel, keep: Sequence[str]) -> DataFrame:

@@ -74,3 +74,16 @@ def test_lots_cut_nothing():
     parts = [la.trigrams(texts.slice(lo, hi - lo)) for lo, hi in la._lots(texts, 5)]
     assert [b for p, _ in parts for b in p.tolist()] == whole.tolist()
     assert [c for _, n in parts for c in n.tolist()] == counts.tolist() == [5, 0, 1, 16]
+
+
+def test_memory_is_that_of_a_lot(spark):
+    """Many texts in one batch are told in lots, whatever the batch's size."""
+    import tracemalloc
+
+    import pyarrow as pa
+    texts = pa.array([" the cat and the dog " * 100] * 4000)  # 8 MB
+    tracemalloc.start()
+    sizes = [len(la.trigrams(texts.slice(lo, hi - lo))[0]) for lo, hi in la._lots(texts)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sizes) == 4000 * (21 * 100 - 2) and peak < 8 << 20, peak
