@@ -143,6 +143,25 @@ def test_query_finds_every_pair_of_like_texts(spark):
         assert len(c) == 1 or all(not s[i] or any(s[i] & s[j] for j in c if j != i) for i in c)
 
 
+def test_texts_with_too_many_own_words_are_not_aligned(spark):
+    r = random.Random(13)
+    common = [f"w{i}" for i in range(780)]
+
+    def text(edits):
+        out = list(common)
+        for at in r.sample(range(780), edits):
+            out[at] = f"x{r.randrange(10**9)}"
+        return " ".join(out)
+    texts = [text(100) for _ in range(12)] + [text(20) for _ in range(2)]
+    members = spark.createDataFrame([(7, i, 780, i, 1, True) for i in range(14)], "key long, rep long, n_words int, label long, salts int, hub boolean")
+    own = near_dedup.word_bags(spark.createDataFrame(list(enumerate(texts)), "id long, text string"))
+    got = {tuple(x) for x in near_dedup.hub_pairs(members.join(own, "rep"), 0.8).collect()}
+    words = [set(t.split()) for t in texts]
+    lacking = {(i, j): len(words[i] ^ words[j]) for i in range(14) for j in range(i + 1, 14)}
+    assert got >= {p for p, n in lacking.items() if n <= 312}  # 2 * floor(0.2 * 780): none that may be alike is left out
+    assert got <= {p for p, n in lacking.items() if n <= 330} and any(n > 330 for n in lacking.values())
+
+
 def test_order_counts():
     h = np.arange(1, 41, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     one, two = np.zeros(40, np.int64), np.arange(40)
