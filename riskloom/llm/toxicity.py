@@ -20,6 +20,7 @@ labels (0.5 without labels); an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,11 +30,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import DoubleType
 
-from .common import frugal, materialise, text_blocks, text_bytes
+from .common import forget_shuffles, frugal, materialise, text_blocks, text_bytes
 from .shingles import U, mix
 
 BITS, SIZES = 18, (3, 4, 5)
 THRESHOLD = 0.7
+#: gradients after which the driver's heap gives back what is left of them
+FORGET = 5
 #: bytes that count as one gap between words
 LETTER = np.zeros(256, bool)
 LETTER[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -102,6 +105,12 @@ def _rows(batches, most: int = 256):
             yield [np.frombuffer(x, "<i4") for x in part.column("f").to_pylist()], part.column("toxic").to_numpy(zero_copy_only=False).astype(np.float64)
 
 
+def _vectors(column: pa.ChunkedArray, kind):
+    """The vectors of a column, where they lie: as Arrow batches they reach Python
+    without copies as rows on the driver's heap."""
+    return [np.frombuffer(x.as_buffer(), kind) for x in column]
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = 12_000, rounds: int = 25, parts: int = 6, l2: float = 1.0) -> Model:
     """``docs``: doc_id, text; ``labels``: doc_id, toxic, of the rows that may teach."""
     spark = docs.sparkSession
@@ -118,12 +127,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 12_000, rounds: int
             ones, rows = ones + int((y > 0).sum()), rows + len(y)
         yield pa.RecordBatch.from_arrays([pa.array([n.tobytes()]), pa.array([ones]), pa.array([rows])], ["n", "ones", "rows"])
 
-    got = table.mapInArrow(frugal(count), "n binary, ones long, rows long").collect()  # at most `parts` vectors
-    ones, rows = sum(r.ones for r in got), sum(r.rows for r in got)
+    got = table.mapInArrow(frugal(count), "n binary, ones long, rows long").toArrow()  # at most `parts` vectors
+    ones, rows = sum(got["ones"].to_pylist()), sum(got["rows"].to_pylist())
     if not ones or ones == rows:
         share = (ones + 1) / (rows + 2)
         return Model(np.zeros(1 << BITS), float(np.log(share / (1 - share))))
-    n = sum(np.frombuffer(r.n, np.float32).reshape(2, -1).astype(np.float64) for r in got)
+    n = sum(x.reshape(2, -1).astype(np.float64) for x in _vectors(got["n"], np.float32))
     p, q = (n[1] + 1) / (ones + 2), (n[0] + 1) / (rows - ones + 2)
     ratio = np.log(p / q)
 
@@ -140,14 +149,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 12_000, rounds: int
             yield pa.RecordBatch.from_arrays([pa.array([g.tobytes()]), pa.array([bias]), pa.array([loss])], ["g", "b", "loss"])
         return run
 
+    done = itertools.count(1)
+
     def evaluate(v):
         """Mean loss with its penalty, and slope, at scaled weights and bias ``v``."""
         held = spark.sparkContext.broadcast((v[:-1] * ratio, v[-1]))
-        got = table.mapInArrow(frugal(slope(held)), "g binary, b double, loss double").collect()
+        got = table.mapInArrow(frugal(slope(held)), "g binary, b double, loss double").toArrow()
         held.destroy()
-        g = np.append(sum(np.frombuffer(r.g) for r in got) * ratio, sum(r.b for r in got)) / rows
+        if next(done) % FORGET == 0:
+            forget_shuffles(spark)
+        g = np.append(sum(_vectors(got["g"], np.float64)) * ratio, sum(got["b"].to_pylist())) / rows
         g[:-1] += l2 / rows * v[:-1]
-        return sum(r.loss for r in got) / rows + l2 / rows / 2 * float(v[:-1] @ v[:-1]), g
+        return sum(got["loss"].to_pylist()) / rows + l2 / rows / 2 * float(v[:-1] @ v[:-1]), g
 
     v = descend(evaluate, np.append(np.zeros(1 << BITS), np.log(ones / (rows - ones))), rounds)
     return Model(v[:-1] * ratio, float(v[-1]))

@@ -111,3 +111,12 @@ def test_scores_are_those_of_a_plain_fit(spark):
     want = plain_scores([t for _, t in rows], labels)
     assert [set(f.tolist()) for f in toxicity.features(pa.array([t or "" for _, t in rows]))] == [plain_features(t) for _, t in rows]
     assert max(abs(got[i] - w) for i, w in enumerate(want)) < 0.01
+
+
+def test_the_fit_gives_the_drivers_heap_back(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(toxicity, "forget_shuffles", calls.append)
+    rows = [(i, "you idiot %d" % i if i % 2 else "a kind word %d" % i, "en", "s", 1) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    toxicity.fit(docs(spark, rows).select("doc_id", "text"), labels, rounds=toxicity.FORGET, parts=2)
+    assert len(calls) == 1  # one for every FORGET gradients
